@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard_join, mixing, quality_rules, token_counts
+from . import byte_bpe, exact_topk, jaccard_join, line_crf, mixing, quality_rules, token_counts
 from .common import table
 
 TOKEN_LIMIT, TOP_K, QUERY_EVERY = 1024, 20, 20
@@ -25,6 +25,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n_gram=3, num=90, den=100)
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.classify(docs, field).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_failed", "lost_chars")
