@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard_join, line_crf, mixing, quality_rules, token_counts
+from . import byte_bpe, exact_topk, jaccard_join, line_crf, mixing, quality_rules, suffix_dedup, token_counts
 from .common import table
 
 TOKEN_LIMIT, TOP_K, QUERY_EVERY = 1024, 20, 20
@@ -21,6 +21,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n_gram=3, num=90, den=100)
 
