@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard_join, line_crf, mixing, quality_rules, suffix_dedup, token_counts
+from . import byte_bpe, exact_topk, jaccard_join, language_id, licenses, line_crf, mixing, quality_rules, suffix_dedup, token_counts
 from .common import table
 
 TOKEN_LIMIT, TOP_K, QUERY_EVERY = 1024, 20, 20
@@ -36,11 +36,20 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(docs, field).select("doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_failed", "lost_chars")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.fit(table(spark, sf_dir, "documents"))
+    return language_id.identify(table(spark, sf_dir, "pages"), model)
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return exact_topk.top_k(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0), TOP_K)
