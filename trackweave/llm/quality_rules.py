@@ -19,8 +19,8 @@ from .common import SPACE, fresh
 
 # The symbols that the base counts, terminal marks, separators of menus, stock phrases.
 SYMBOLS = "#*$%&|<>"
-TERMINAL = rf"""[.!?…。]["'”»)\]]*([{SPACE}]|$)"""
-SEPARATOR = rf"(^|[{SPACE}])([|»›>•·/-]|->|::)([{SPACE}]|$)"
+TERMINAL = rf"""[.!?…。]["'”»)\]]*([{SPACE}]|\z)"""
+SEPARATOR = rf"(^|[{SPACE}])([|»›>•·/-]|->|::)([{SPACE}]|\z)"
 PHRASES = "(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|click here|lorem ipsum|sign up for our newsletter|skip to content)"
 CAPITALS = rf"\p{{Lu}}[^{SPACE}]*[{SPACE}]+\p{{Lu}}[^{SPACE}]*[{SPACE}]+\p{{Lu}}"
 
