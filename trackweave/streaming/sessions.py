@@ -16,11 +16,11 @@ OUT = "session_id string, frame_index int, track_id int, kind string, exits int,
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
-def live_exits(frames: DataFrame, zones: dict[str, dict], track: TrackConfig, count: CountConfig, idle_ms: int = 60_000) -> DataFrame:
+def live_exits(frames: DataFrame, zones: dict[str, dict], track: TrackConfig, count: CountConfig, idle_ms: int | None = 60_000) -> DataFrame:
     """Exit events from a stream of frames: session_id, frame_index, ended, detections (an array, empty frames included).
 
     A micro-batch may hold several frames of a session; they are taken by index. State goes when a row has ``ended`` or the session is
-    idle for ``idle_ms``. ``zones`` are one small row for each session.
+    idle for ``idle_ms``; without that only at the end, as bounded runs need, since timeouts keep asking for batches. ``zones`` are one small row for each session.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,12 +40,13 @@ def live_exits(frames: DataFrame, zones: dict[str, dict], track: TrackConfig, co
             state.remove()
         else:
             state.update((pickle.dumps(core),))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         found = pd.DataFrame(out, columns=COLUMNS[1:])
         found.insert(0, "session_id", key[0])
         yield found
 
-    return frames.groupBy("session_id").applyInPandasWithState(step, OUT, "core binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("session_id").applyInPandasWithState(step, OUT, "core binary", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_seen(clips: DataFrame, results: DataFrame, delay: str = "1 day") -> DataFrame:
