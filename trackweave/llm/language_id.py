@@ -64,8 +64,11 @@ def trigrams(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages by name, and log likelihoods of trigrams by language."""
-    order = Window.partitionBy("_lang").orderBy(F.md5(F.col(id_col).cast("string")), id_col)
-    chosen = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(lang).alias("_lang")).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= train_docs)
+    known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(lang).alias("_lang"), F.md5(F.col(id_col).cast("string")).alias("_hash"))
+    # A language may hold most rows: first within slices of it, then over what they leave.
+    first = Window.partitionBy("_lang", F.substring("_hash", -2, 2)).orderBy("_hash", id_col)
+    chosen = known.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= train_docs)
+    chosen = chosen.withColumn("_place", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", id_col))).where(F.col("_place") <= train_docs)
     sample = docs.join(F.broadcast(chosen.select(F.col(id_col).alias("_id"), "_lang")), F.col(id_col) == F.col("_id")).select("_lang", F.col(text).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
