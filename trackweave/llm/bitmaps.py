@@ -9,28 +9,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bits of the bitmap's length; parts in which it is merged.
-FILTER_BITS, PARTS = 27, 256
+#: Parts in which a bitmap is merged.
+PARTS = 64
 
 
-def place(key: np.ndarray) -> np.ndarray:
-    return (key.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+def place(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def may_hold(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For each key whether the bitmap may hold it: never false for one that it holds."""
-    at = place(key)
+    at = place(key, len(bits) * 8)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def key_filter(keys: DataFrame) -> bytes:
-    """The bitmap of a table with one column of well-mixed 64-bit keys. Tasks send what they hold, part by part, and the parts are merged by other tasks."""
-    size = (1 << FILTER_BITS) // 8 // PARTS
+def key_filter(keys: DataFrame, log_bits: int) -> bytes:
+    """The bitmap, 2 ** log_bits long, of a table with one column of well-mixed 64-bit keys. Tasks send what they hold, part by part, and the parts are merged by other tasks."""
+    whole_size = (1 << log_bits) // 8
+    size = whole_size // PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+        bits = np.zeros(whole_size, np.uint8)
         for batch in batches:
-            at = place(batch.column(0).to_numpy(zero_copy_only=False))
+            at = place(batch.column(0).to_numpy(zero_copy_only=False), whole_size * 8)
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         for k in range(PARTS):
             part = bits[k * size : (k + 1) * size]
@@ -46,7 +47,7 @@ def key_filter(keys: DataFrame) -> bytes:
         for part, bits in out.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": [zlib.compress(bits.tobytes(), 1)]})
 
-    whole = bytearray((1 << FILTER_BITS) // 8)
+    whole = bytearray(whole_size)
     for row in keys.mapInArrow(run, "part int, bits binary").repartition("part").mapInArrow(merge, "part int, bits binary").collect():
         whole[row.part * size : (row.part + 1) * size] = zlib.decompress(row.bits)
     return bytes(whole)

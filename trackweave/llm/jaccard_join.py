@@ -6,14 +6,15 @@ one segment per fragment. Overlaps of a pair of documents are counted in each fr
 summed per pair.
 
 1. Documents with equal sets become one node; its first document stands for all.
-2. Star pairs: of the nodes with an equal segment in a fragment, each meets the most typical one. These are
-   linear in number, and tie the large groups of near copies together.
+2. Star pairs: of the nodes with an equal segment in a fragment, the most typical one is the head; each node meets
+   the head that it shares most segments with. These are linear in number, and tie the large groups of near copies together.
 3. Prefix pairs: two similar sets share one of their rarest n-grams. Only n-grams that occur in more than one
    component so far are joined, and only nodes of different components whose lengths and places
    in the order allow the threshold. So no pair that can connect something new is left out, and pairs inside
    a group that is already connected aren't made.
 
-Both kinds of pairs are verified exactly. Component ids are the smallest document id in reach.
+Both kinds of pairs pass a bound first: every n-gram toggles one bit of its node's sketch, so the sketches of two nodes
+differ in no more bits than their sets in n-grams. What passes is verified exactly. Component ids are the smallest document id in reach.
 
 Null and empty texts have no shingles, link with nothing, and have their own id as component. Rows with a
 null id are returned with a null component and link with nothing. Rows that repeat an id are judged one by one.
@@ -29,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import key_filter, may_hold
 from .common import cut
 from .components import components
-from .shingles import chunks, mix, shingle_sets
+from .shingles import chunks, mix, shingle_sets, slices
 
-#: Bits of a fragment's number; bits of the table of counts, and of the blocks it is summed in; bytes of the filter of node ids.
-FRAGMENT_BITS, COUNT_BITS, BLOCK_BITS, FILTER_BYTES = 4, 22, 16, 1 << 22
+#: Bits of a fragment's number; bits of the table of counts, and of the blocks it is summed in; words of 64 bits in a sketch.
+FRAGMENT_BITS, COUNT_BITS, BLOCK_BITS, SKETCH = 4, 23, 17, 32
+#: Bits of a bitmap of ids and of n-grams, as logarithms.
+ID_BITS, GRAM_BITS = 22, 25
 
 NODE = "struct<d: bigint, h: bigint>"
 
@@ -59,13 +63,11 @@ def _survey(n_gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, end in chunks(texts):
                 hashes, owners = shingle_sets(texts[begin:end], n_gram)
-                counts += np.bincount((hashes & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32) if len(hashes) > len(counts) // 8 else 0
-                if len(hashes) <= len(counts) // 8:
-                    np.add.at(counts, (hashes & np.uint64(len(counts) - 1)).astype(np.int64), 1)
+                np.add.at(counts, (hashes & np.uint64(len(counts) - 1)).astype(np.int64), 1)
                 n, h, h2 = _prints(hashes, owners, end - begin)
                 none = pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(_signed(h)), pa.array(_signed(h2)), *none], ["doc_id", "n", "h", "h2", "block", "counts"])
@@ -97,13 +99,20 @@ def _levels(survey: DataFrame) -> np.ndarray:
     return levels
 
 
-def _describe(n_gram: int, num: int, den: int, levels):
-    """For each document: segments (hash by fragment, 0 if empty), prefix (its rarest n-grams), typical (mean level)."""
+def _sketches(hashes: np.ndarray, owners: np.ndarray, size: int) -> np.ndarray:
+    """A row of SKETCH words for each text; every n-gram has toggled one bit."""
+    odd = np.bincount(owners * (SKETCH * 64) + (hashes >> np.uint64(20)).astype(np.int64) % (SKETCH * 64), minlength=size * SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(size, -1), axis=1, bitorder="little").view("<i8")
+
+
+def _describe(n_gram: int, num: int, den: int, levels, nodes):
+    """For each document that the bitmap of nodes may hold: segments (hash by fragment, 0 if empty), prefix (its rarest n-grams), sketch, typical (mean level)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, fragments = levels.value, 1 << FRAGMENT_BITS
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+        table, fragments, held = levels.value, 1 << FRAGMENT_BITS, np.frombuffer(nodes.value, np.uint8)
+        for batch in slices(batches):
+            mine = pa.array(np.flatnonzero(may_hold(held, _mixed_ids(batch.column(0)))))
+            ids, texts = batch.column(0).take(mine), batch.column(1).take(mine).to_pylist()
             for begin, end in chunks(texts):
                 hashes, owners = shingle_sets(texts[begin:end], n_gram)
                 size = end - begin
@@ -125,21 +134,25 @@ def _describe(n_gram: int, num: int, den: int, levels):
                         ids.slice(begin, size), pa.array(_signed(h)), pa.array(n, pa.int64()), pa.array(typical),
                         pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * fragments, pa.int32()), pa.array(_signed(segments))),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(_signed(prefix))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * SKETCH, pa.int32()), pa.array(_sketches(hashes, owners, size).ravel())),
                     ],
-                    ["doc_id", "h", "n", "typical", "segments", "prefix"],
+                    ["doc_id", "h", "n", "typical", "segments", "prefix", "sketch"],
                 )
 
     return run
 
 
+def _mixed_ids(ids: pa.Array) -> np.ndarray:
+    return mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 17)
+
+
 def _segments(n_gram: int, bits):
     """(doc_id, h, fragment, grams) of the documents whose node the filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            marks = _places(np.nan_to_num(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64))
-            mine = np.flatnonzero(held[marks >> 3] >> (marks & 7) & 1)
+        for batch in slices(batches):
+            mine = np.flatnonzero(may_hold(held, _mixed_ids(batch.column(0))))
             if not len(mine):
                 continue
             ids, texts = batch.column(0).take(pa.array(mine)), batch.column(1).take(pa.array(mine)).to_pylist()
@@ -158,36 +171,25 @@ def _segments(n_gram: int, bits):
     return run
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64), 17) & np.uint64(FILTER_BYTES * 8 - 1)).astype(np.int64)
-
-
-def _filter(ids: DataFrame) -> bytes:
-    """A bit for the hash of each id: FILTER_BYTES bytes, however many ids. It lets no id slip and may let others through."""
+def _frequent(bits):
+    """(node, n, at, gram): the prefixes' n-grams that the bitmap may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BYTES, np.uint8)
-        for batch in batches:
-            marks = _places(batch.column(0).to_numpy(zero_copy_only=False))
-            np.bitwise_or.at(bits, marks >> 3, (1 << (marks & 7)).astype(np.uint8))
-        for k in range(64):
-            part = bits[k * FILTER_BYTES // 64 : (k + 1) * FILTER_BYTES // 64]
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "bits": [zlib.compress(part.tobytes(), 1)]})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, np.ndarray] = {}
+        held = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                bits = np.frombuffer(zlib.decompress(packed), np.uint8)
-                out[part] = out[part] | bits if part in out else bits
-        for part, bits in out.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": [bits.tobytes()]})
+            prefix = batch.column("prefix")
+            grams, ends = prefix.flatten().to_numpy(), np.cumsum(prefix.value_lengths().to_numpy(zero_copy_only=False))
+            mine = np.flatnonzero(may_hold(held, grams))
+            row = np.searchsorted(ends, mine, "right")
+            at = mine - np.concatenate([[0], ends])[row]
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(row)), batch.column("n").take(pa.array(row)), pa.array(at, pa.int32()), pa.array(grams[mine])], ["node", "n", "at", "gram"])
 
-    whole = bytearray(FILTER_BYTES)
-    for row in ids.mapInArrow(run, "part int, bits binary").repartition("part").mapInArrow(merge, "part int, bits binary").collect():
-        whole[row.part * FILTER_BYTES // 64 : (row.part + 1) * FILTER_BYTES // 64] = row.bits
-    return bytes(whole)
+    return run
+
+
+def _ids_as_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"key": _signed(_mixed_ids(batch.column(0)))})
 
 
 class _Join:
@@ -199,22 +201,29 @@ class _Join:
     def similar(self, overlap, n_a, n_b):
         return overlap * self.den >= (n_a + n_b - overlap) * self.num
 
+    def near(self, pairs: DataFrame, told: DataFrame) -> DataFrame:
+        """Of ``pairs`` (a, b), with sizes n_a and n_b, those whose sketches allow the threshold."""
+        side = lambda x: told.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        total = F.col("n_a") + F.col("n_b")
+        return both.where(apart * (self.num + self.den) <= total * (self.den - self.num)).select("a", "b", "n_a", "n_b").distinct()
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of the distinct ``pairs`` (a, b) of nodes, those that link: overlaps by fragment, summed per pair."""
+        """Of the distinct ``pairs`` (a, b, n_a, n_b), those that link: overlaps by fragment, summed per pair."""
         pairs = cut(pairs, "pairs")
-        nodes = pairs.select("a").union(pairs.select("b")).distinct()
-        bits = self.spark.sparkContext.broadcast(_filter(nodes.select("a.d")))
-        found = self.texts.where("doc_id is not null").mapInArrow(_segments(self.n_gram, bits), "doc_id long, h long, fragment int, grams array<long>")
-        found = found.select(F.struct(F.col("doc_id").alias("d"), "h").alias("node"), "fragment", "grams")
-        # A node's rows are equal if its document repeats: one of each stays.
-        parts = cut(found.join(nodes, F.col("node") == F.col("a"), "left_semi").dropDuplicates(["node", "fragment"]), "segments")
-        sizes = parts.groupBy("node").agg(F.sum(F.size("grams")).alias("n"))
-        left = parts.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-        right = parts.select(F.col("node").alias("b"), F.col("fragment"), F.col("grams").alias("grams_b"))
-        partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
-        overlap = partial.groupBy("a", "b").agg(F.sum("common").alias("overlap"))
-        sized = overlap.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-        return sized.where(self.similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+        def parts(side: str) -> DataFrame:
+            bits = self.spark.sparkContext.broadcast(key_filter(pairs.select(f"{side}.d").distinct().mapInArrow(_ids_as_keys, "key long"), ID_BITS))
+            found = self.texts.where("doc_id is not null").mapInArrow(_segments(self.n_gram, bits), "doc_id long, h long, fragment int, grams array<long>")
+            return found.select(F.struct(F.col("doc_id").alias("d"), "h").alias(side), "fragment", F.col("grams").alias(f"grams_{side}"))
+
+        met = pairs.join(parts("a"), "a").join(parts("b"), ["b", "fragment"])
+        partial = met.select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
+        # Rows that repeat a document repeat its segments; each fragment counts once.
+        partial = partial.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("common").alias("common"))
+        overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("overlap"))
+        return overlap.where(self.similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
     def run(self) -> DataFrame:
         survey = cut(self.texts.mapInArrow(_survey(self.n_gram), "doc_id long, n long, h long, h2 long, block int, counts binary"), "survey")
@@ -222,19 +231,26 @@ class _Join:
         levels = self.spark.sparkContext.broadcast(_levels(survey))
         live = rows.where("doc_id is not null and n > 0")
         classes = cut(live.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("d")), "classes")
-        nodes = classes.select(F.struct("d", "h").alias("node"))
-        told = self.texts.where("doc_id is not null").mapInArrow(_describe(self.n_gram, self.num, self.den, levels), "doc_id long, h long, n long, typical double, segments array<long>, prefix array<long>")
-        told = told.where("n > 0").select(F.struct(F.col("doc_id").alias("d"), "h").alias("node"), "n", "typical", "segments", "prefix")
-        told = cut(told.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "described")
+        nodes = self.spark.sparkContext.broadcast(key_filter(classes.select("d").mapInArrow(_ids_as_keys, "key long"), ID_BITS))
+        told = self.texts.where("doc_id is not null").mapInArrow(
+            _describe(self.n_gram, self.num, self.den, levels, nodes), "doc_id long, h long, n long, typical double, segments array<long>, prefix array<long>, sketch array<long>"
+        )
+        # The bitmap lets few documents through that aren't nodes. They are real documents, so what they link is linked.
+        told = cut(told.where("n > 0").select(F.struct(F.col("doc_id").alias("d"), "h").alias("node"), "n", "typical", "segments", "prefix", "sketch"), "described")
 
         segments = told.select("node", "typical", F.posexplode("segments").alias("fragment", "segment")).where("segment <> 0")
         heads = segments.groupBy("fragment", "segment").agg(F.max(F.struct("typical", "node")).getField("node").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-        stars = segments.join(heads, ["fragment", "segment"]).where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct()
-        starred = self.verified(stars)
+        shared = segments.select("node", "fragment", "segment").join(heads, ["fragment", "segment"]).where(F.col("node") != F.col("b"))
+        shared = shared.groupBy("node", "b").agg(F.count(F.lit(1)).alias("equal"))
+        stars = shared.groupBy("node").agg(F.max(F.struct("equal", "b")).getField("b").alias("b")).select(F.col("node").alias("a"), "b")
+        starred = self.verified(self.near(stars, told))
         roots = cut(components(starred), "star-roots")
 
-        grouped = told.select("node", "n", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        grams = cut(grouped.select("node", "root", "n", F.posexplode("prefix").alias("at", "gram")), "prefixes")
+        # Most n-grams of a prefix occur once. They go before anything wide is shuffled: their counts are of bare numbers.
+        twice = told.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+        held = self.spark.sparkContext.broadcast(key_filter(twice, GRAM_BITS))
+        kept = told.select("node", "n", "prefix").mapInArrow(_frequent(held), f"node {NODE}, n long, at int, gram long")
+        grams = cut(kept.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
         mixed = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
         some = grams.join(mixed, "gram", "left_semi")
         one = some.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "at")])
@@ -242,7 +258,7 @@ class _Join:
         most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         allowed = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & self.similar(most, F.col("n_a"), F.col("n_b"))
         close = one.join(other, (one["gram"] == other["gram"]) & allowed).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        rest = self.verified(close)
+        rest = self.verified(self.near(close, told))
 
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)
         final = components(links)

@@ -82,3 +82,10 @@ def chunks(texts: list[str | None], size: int = 1 << 20):
         if total >= size or i == len(texts) - 1:
             yield begin, i + 1
             begin, total = i + 1, 0
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
