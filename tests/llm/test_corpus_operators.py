@@ -115,7 +115,8 @@ def test_suffix_dedup_cuts_long_texts_into_parts(spark, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(raws)), "doc_id long, text string")
     places = suffix_dedup.repeated_windows(frame.select(F.col("doc_id").alias("id"), "text")).collect()
     for r in places:
-        assert (suffix_dedup.covered(len(raws[r.id].encode()), [s.asDict() for s in r.spans]) == gone[r.id]).all()
+        start, n, mask = (np.array([s[f] for s in r.spans], np.int64) for f in ("start", "n", "mask"))
+        assert (suffix_dedup.covered(len(raws[r.id].encode()), start, n, mask) == gone[r.id]).all()
     assert {r.id for r in places} == {i for i, g in enumerate(gone) if g.any()}
 
 
