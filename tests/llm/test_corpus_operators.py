@@ -164,6 +164,27 @@ def test_jaccard_components_match_brute_force(docs, n, num):
     assert {tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()} == components_by_hand(corpus(), n, num, 100)
 
 
+@pytest.mark.parametrize(("n", "num", "block"), [(3, 90, 256), (5, 80, 2), (2, 50, 3)])
+def test_jaccard_counts_every_link(docs, spark, monkeypatch, n, num, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", block)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 16 if block < 256 else 1 << 13)
+    rows = [(i, text) for i, text, *_ in corpus()]
+    sets = {}
+    for i, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+    right = {a: sum(b != a and bool(sets[a]) and bool(sets[b]) and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]) for b in sets) for a in sets}
+    found = jaccard_join.jaccard_components(docs, n_gram=n, num=num, den=100).select("doc_id", "n_links").collect()
+    assert {r.doc_id: r.n_links for r in found} == right and max(right.values()) > 2
+
+
+def test_jaccard_counts_links_of_repeated_ids(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, near), (4, near), (4, near), (4, near + " end"), (2, near), (7, near + " end"), (8, "end " + near), (9, None)]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n_gram=3)
+    assert sorted((r.doc_id or -1, r.n_links) for r in found.collect()) == [(-1, 0), (2, 5), (4, 5), (4, 5), (4, 5), (7, 5), (8, 5), (9, 0)]
+
+
 def test_jaccard_handles_empty_tables_null_ids_and_repeated_rows(spark, none):
     assert jaccard_join.jaccard_components(none).count() == 0
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (9, None)]

@@ -10,11 +10,12 @@ summed per pair.
    the head that it shares most segments with. These are linear in number, and tie the large groups of near copies together.
 3. Prefix pairs: two similar sets share one of their rarest n-grams. Only n-grams that occur in more than one
    component so far are joined, and only nodes of different components whose lengths and places
-   in the order allow the threshold. So no pair that can connect something new is left out, and pairs inside
-   a group that is already connected aren't made.
+   in the order allow the threshold. So no pair of different groups that can link is left out.
+4. Pairs inside a group of step 2 are all counted, block of nodes against block, so that no row is made for a pair.
 
-Both kinds of pairs pass a bound first: every n-gram toggles one bit of its node's sketch, so the sketches of two nodes
+The pairs of 2 and 3 pass a bound first: every n-gram toggles one bit of its node's sketch, so the sketches of two nodes
 differ in no more bits than their sets in n-grams. What passes is verified exactly. Component ids are the smallest document id in reach.
+Every link is counted once, in step 3 or 4; a node's links count as many documents as the linked nodes stand for.
 
 Null and empty texts have no shingles, link with nothing, and have their own id as component. Rows with a
 null id are returned with a null component and link with nothing. Rows that repeat an id are judged one by one.
@@ -39,6 +40,8 @@ from .shingles import chunks, mix, shingle_sets, slices
 FRAGMENT_BITS, COUNT_BITS, BLOCK_BITS, SKETCH = 4, 23, 17, 32
 #: Bits of a bitmap of ids and of n-grams, as logarithms.
 ID_BITS, GRAM_BITS = 22, 25
+#: Nodes and n-grams in a block of a group, about; n-grams whose overlaps are counted at a time.
+BLOCK_NODES, BLOCK_GRAMS, COLUMNS = 256, 1 << 19, 1 << 13
 
 NODE = "struct<d: bigint, h: bigint>"
 
@@ -171,6 +174,83 @@ def _segments(n_gram: int, bits):
     return run
 
 
+def _held_texts(bits):
+    """The rows (doc_id, text) whose ids the bitmap may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            yield batch.take(pa.array(np.flatnonzero(may_hold(held, _mixed_ids(batch.column(0))))))
+
+    return run
+
+
+def _overlaps(hashes: np.ndarray, owners: np.ndarray, first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+    """How many n-grams each text of ``first`` shares with each of ``second``, of ``size`` texts."""
+    _, column, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    new = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    column, owners = new[column[shared]], owners[shared]
+    order = np.argsort(column, kind="stable")
+    column, owners = column[order], owners[order]
+    out = np.zeros((len(first), len(second)), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        begin, end = np.searchsorted(column, [low, low + COLUMNS])
+        held = np.zeros((size, min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+        held[owners[begin:end], column[begin:end] - low] = 1
+        out += (held[first] @ held[second].T).astype(np.int64)
+    return out
+
+
+def _count_links(n_gram: int, num: int, den: int):
+    """(d, h, links) of the nodes in rows (root, low, high, block, d, h, members, text) in order of (root, low, high): documents that each node of one block links in the other."""
+
+    def counted(rows: list[tuple], same: bool, low: int) -> pa.RecordBatch:
+        nodes: dict[tuple[int, int], int] = {}
+        sides, members, hashes, owners, texts = [], [], [], [], [r[4] for r in rows]
+        for begin, end in chunks(texts):
+            found, owner = shingle_sets(texts[begin:end], n_gram)
+            n, h, _ = _prints(found, owner, end - begin)
+            starts = np.cumsum(n) - n
+            for i, print_ in enumerate(_signed(h).tolist()):
+                block, d, wanted, weight, _ = rows[begin + i]
+                # Rows that repeat an id with the same text are one node; those with another text are another.
+                if print_ == wanted and (d, wanted) not in nodes:
+                    owners.append(np.full(n[i], len(nodes)))
+                    nodes[d, wanted] = len(nodes)
+                    hashes.append(found[starts[i] : starts[i] + n[i]])
+                    sides.append(block == low)
+                    members.append(weight)
+        if not nodes:
+            return pa.RecordBatch.from_pydict({k: pa.array([], pa.int64()) for k in ("d", "h", "links")})
+        sizes, side, weights = np.array([len(x) for x in hashes]), np.array(sides), np.array(members, np.int64)
+        first, second = np.flatnonzero(side), np.flatnonzero(side if same else ~side)
+        common = _overlaps(np.concatenate(hashes), np.concatenate(owners), first, second, len(nodes))
+        linked = common * den >= (sizes[first][:, None] + sizes[second][None, :] - common) * num
+        links = np.zeros(len(nodes), np.int64)
+        if same:
+            np.fill_diagonal(linked, False)
+            links[first] = linked @ weights[second]
+        else:
+            links[first], links[second] = linked @ weights[second], linked.T @ weights[first]
+        d, h = zip(*nodes, strict=True)
+        return pa.RecordBatch.from_pydict({"d": pa.array(d, pa.int64()), "h": pa.array(h, pa.int64()), "links": pa.array(links)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in slices(batches):
+            for root_d, root_h, low, high, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (root_d, root_h, low, high) != key:
+                    if rows:
+                        yield counted(rows, key[2] == key[3], key[2])
+                    key, rows = (root_d, root_h, low, high), []
+                rows.append(tuple(row))
+        if rows:
+            yield counted(rows, key[2] == key[3], key[2])
+
+    return run
+
+
 def _frequent(bits):
     """(node, n, at, gram): the prefixes' n-grams that the bitmap may hold."""
 
@@ -225,12 +305,32 @@ class _Join:
         overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("overlap"))
         return overlap.where(self.similar(F.col("overlap"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
+    def links_inside(self, classes: DataFrame, roots: DataFrame) -> DataFrame:
+        """(node, links): documents that each class links inside its group of ``roots``; all pairs of a group are compared, block by block."""
+        mine = classes.select(F.struct("d", "h").alias("node"), "n", "members").join(roots, "node")
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("blocks")
+        groups = mine.groupBy("root").agg(F.count(F.lit(1)).alias("nodes"), blocks).where("nodes > 1").drop("nodes")
+        mine = cut(mine.join(groups, "root").select("root", "node", "members", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "group-members")
+        bits = self.spark.sparkContext.broadcast(key_filter(mine.select("node.d").distinct().mapInArrow(_ids_as_keys, "key long"), ID_BITS))
+        texts = self.texts.where("doc_id is not null").mapInArrow(_held_texts(bits), "doc_id long, text string")
+        met = mine.join(texts, mine["node.d"] == texts["doc_id"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        met = met.select(F.col("root.d").alias("root_d"), F.col("root.h").alias("root_h"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node.d", "node.h", "members", "text")
+        key = ["root_d", "root_h", "low", "high"]
+        found = met.repartition(*key).sortWithinPartitions(*key).mapInArrow(_count_links(self.n_gram, self.num, self.den), "d long, h long, links long")
+        return found.select(F.struct("d", "h").alias("node"), "links")
+
+    def links_across(self, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(node, links): documents that each class links by ``pairs`` (a, b). Nodes that aren't classes are left out, since a class stands for them."""
+        side = lambda x: classes.select(F.struct("d", "h").alias(x), F.col("members").alias(f"members_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        return both.select(F.col("a").alias("node"), F.col("members_b").alias("links")).union(both.select("b", "members_a"))
+
     def run(self) -> DataFrame:
         survey = cut(self.texts.mapInArrow(_survey(self.n_gram), "doc_id long, n long, h long, h2 long, block int, counts binary"), "survey")
         rows = survey.where("block is null").select("doc_id", "n", "h", "h2")
         levels = self.spark.sparkContext.broadcast(_levels(survey))
         live = rows.where("doc_id is not null and n > 0")
-        classes = cut(live.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("d")), "classes")
+        classes = cut(live.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("members")), "classes")
         nodes = self.spark.sparkContext.broadcast(key_filter(classes.select("d").mapInArrow(_ids_as_keys, "key long"), ID_BITS))
         told = self.texts.where("doc_id is not null").mapInArrow(
             _describe(self.n_gram, self.num, self.den, levels, nodes), "doc_id long, h long, n long, typical double, segments array<long>, prefix array<long>, sketch array<long>"
@@ -258,16 +358,19 @@ class _Join:
         most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
         allowed = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & self.similar(most, F.col("n_a"), F.col("n_b"))
         close = one.join(other, (one["gram"] == other["gram"]) & allowed).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        rest = self.verified(self.near(close, told))
+        rest = cut(self.verified(self.near(close, told)), "links-across")
 
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest)
         final = components(links)
-        member = classes.select("h", "h2", "n", F.struct("d", "h").alias("node")).join(final, "node", "left").select("h", "h2", "n", F.coalesce("root", "node").alias("root"))
+        counts = self.links_inside(classes, roots).union(self.links_across(classes, rest)).groupBy("node").agg(F.sum("links").alias("links"))
+        member = classes.select("h", "h2", "n", "members", F.struct("d", "h").alias("node")).join(final, "node", "left").join(counts, "node", "left")
+        n_links = F.col("members") - 1 + F.coalesce("links", F.lit(0).cast("long"))
+        member = member.select("h", "h2", "n", F.coalesce("root", "node").alias("root"), n_links.alias("n_links"))
         # The root is the node with the smallest first document, so that document is the smallest in reach.
-        named = live.join(member, ["h", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("root.d").alias("component_id"))
-        return named.union(rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        named = live.join(member, ["h", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("root.d").alias("component_id"), "n_links")
+        return named.union(rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id; documents link at a Jaccard similarity of num / den or more."""
+    """One row for each document: doc_id, n_shingles, component_id, n_links (other documents it links with); documents link at a Jaccard similarity of num / den or more."""
     return _Join(docs, id_col, text, n_gram, num, den).run()
