@@ -84,3 +84,23 @@ def test_names_and_clock(spark):
         P.storage_location(F.lit("/data/Processed/failed/1.mp4")).alias("f"),
     ).first()
     assert tuple(row) == ("a_b_c", "unknown", "mp4", "02:00", "00:02", "PROCESSED_FAILED")
+
+
+def test_position_fallback_takes_all_boxes(spark, tmp_path):
+    from trackweave import fixtures, queries
+
+    spark.range(700).selectExpr("id AS event_id", "id * 10 AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    cfg, right = queries.TRACK, {}
+    rows = fixtures.detections(spark, str(tmp_path)).collect()
+    middle = lambda r: ((r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2)
+    sides = lambda r: (r.x2 - r.x1, r.y2 - r.y1)
+    for a in rows:
+        for b in rows:
+            fit = b.frame_index % 30 <= cfg.fallback_lost and b.det_seq != 1 and b.frame_index % 7 != 0
+            if a.session_id == b.session_id and middle(a)[1] < 300 and fit:
+                px = math.dist(middle(a), middle(b))
+                if px <= min(250, 2 * min(90, 2.6 * max(*sides(a), *sides(b)))):
+                    key, value = (a.session_id, a.frame_index * 5 + a.det_seq), (px, b.frame_index * 5 + b.det_seq)
+                    right[key] = min(right.get(key, value), value)
+    found = {(r.session_id, r.det_seq): (r.px, r.track_id) for r in queries.position_fallback(spark, str(tmp_path)).collect()}
+    assert len(found) > 300 and found == {k: (round(px, 6), i) for k, (px, i) in right.items()}

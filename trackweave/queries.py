@@ -261,8 +261,8 @@ def blended_embeddings(spark, d):
 def position_fallback(spark, d):
     rows = X.boxes(spark, d).withColumn("zone", F.lit("OUTSIDE"))
     x, y = G.anchor(F.col("box"), 0.5, 0.5)
-    probes = rows.where("frame_index % 20 = 7").select("session_id", (F.col("frame_index") * 5 + F.col("det_seq")).alias("det_seq"), "box", x.alias("x"), y.alias("y"), (y < 300).alias("at_exit"))
-    pool = rows.where("frame_index % 20 = 3 and det_seq < 3").select(
+    probes = rows.select("session_id", (F.col("frame_index") * 5 + F.col("det_seq")).alias("det_seq"), "box", x.alias("x"), y.alias("y"), (y < 300).alias("at_exit"))
+    pool = rows.select(
         "session_id", (F.col("frame_index") * 5 + F.col("det_seq")).alias("track_id"), F.col("box").alias("track_box"), x.alias("track_x"), y.alias("track_y"),
         (F.col("frame_index") % 30).alias("lost"), (F.col("det_seq") != 1).alias("has_history"), (F.col("frame_index") % 7 == 0).alias("alighted"),
     )
