@@ -169,3 +169,8 @@ def test_no_detections_give_no_rows(spark):
     none = spark.createDataFrame([], schemas.DETECTIONS)
     zones = spark.createDataFrame([], schemas.ZONES)
     assert tracker.live_exits(none, zones, TrackConfig(), CountConfig()).count() == 0
+
+
+def test_walkers_are_all_tracks(spark):
+    of = lambda rows, c: {tuple(r) for r in rows.select("session_id", c).distinct().collect()}
+    assert of(fixtures.walkers(spark, "/root/testdata/sf0.001"), "det_seq") == of(fixtures.samples(spark, "/root/testdata/sf0.001"), "track_id")

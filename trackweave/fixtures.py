@@ -83,8 +83,8 @@ def frame_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections that follow the trajectories: a head box around each sample's anchor, eight tracks a session at most in view."""
-    rows = samples(spark, sf_dir).where(F.col("track_id") % 16 < 8)
+    """Detections that follow the trajectories: a head box around each sample's anchor, all tracks of a session in view."""
+    rows = samples(spark, sf_dir)
     half = F.col("head_size") / 2
     return rows.select(
         "session_id", (F.col("frame_index") * 3).cast("int").alias("frame_index"), F.col("track_id").alias("det_seq"),
