@@ -63,10 +63,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids: whole texts as ids of the rank file."""
+    """doc_id, source, n_tokens, ids, decoded_sha256: whole texts as ids of the rank file, and the digest of the bytes that the ids decode to."""
     ship(spark)
-    coded = byte_bpe.encode_documents(docs, public_tokenizers.path(CODE_FILE), public_tokenizers.PATTERN)
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    path, pattern = public_tokenizers.path(CODE_FILE), public_tokenizers.PATTERN
+    coded = byte_bpe.encode_documents(docs, path, pattern)
+    decoded = F.sha2(byte_bpe.decode_column(F.col("ids"), path, pattern), 256)
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"))
 
 
 STAGES = [

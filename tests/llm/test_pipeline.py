@@ -55,6 +55,15 @@ def test_stages(spark, corpus):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, folder).collect()) == ids[4]
 
 
+def test_last_stage_decodes_its_ids(spark):
+    import hashlib
+
+    texts = ["a b c", "", None, "naïve 日本語\n\n x"]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.token_ids(spark, docs, "").collect()}
+    assert found == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_stages_on_an_empty_table(spark, corpus):
     folder, _ = corpus
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
