@@ -304,6 +304,14 @@ def test_exact_topk_matches_brute_force(spark, monkeypatch, k, bins, block):
     assert found == sorted(right)
 
 
+def test_exact_topk_ranks_repeated_queries_row_by_row(spark):
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(3, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in exact_topk.top_k(frame, asked, 4).collect())
+    up = [(3, k + 1, 29 - k, 64 * 64 * (29 - k)) for k in range(4)]
+    assert found == sorted([*up, *up, *[(3, k + 1, i, -64 * 64 * i) for k, i in enumerate([0, 1, 2, 4])]])
+
+
 def test_exact_topk_with_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in exact_topk.top_k(frame, frame.where("vec_id = 0"), 20).collect()] == [(0, 1, 1, 0)]

@@ -11,6 +11,7 @@ each task's smallest ids; ties go to smaller ids.
 Vectors that are null or hold null or non-finite components, and rows with a null id, take no part.
 Vectors of different lengths never meet: queries are scored against vectors of their own length only.
 An empty table gives an empty result. Repeated ids are separate candidates, apart from a query's own id.
+Repeated queries are ranked row by row: each has its own k rows in the result.
 """
 
 from __future__ import annotations
@@ -140,8 +141,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
             small = np.zeros_like(tied)
             small[:, order] = tied[:, order] & (tied[:, order].cumsum(1) <= k)
             r, c = np.nonzero(above | small)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[r]), "vec_id": pa.array(ids[c]), "score": pa.array(s[r, c])})
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(r), row["block"]), pa.int64()), "q": pa.array(r, pa.int32()), "query_id": pa.array(q_ids[r]), "vec_id": pa.array(ids[c]), "score": pa.array(s[r, c])})
 
-    kept = met_with(state).mapInArrow(last, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    kept = met_with(state).mapInArrow(last, "block long, q int, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("block", "q").orderBy(F.col("score").desc(), "vec_id"))
     return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
