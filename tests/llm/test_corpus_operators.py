@@ -280,6 +280,17 @@ def test_licenses_are_found_whole_and_changed(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
+@pytest.mark.parametrize("name", list(licenses.TEMPLATES))
+def test_licenses_find_adjacent_copies(name):
+    notice = licenses.TEMPLATES[name]
+    size, scanner = len(licenses.words_of(notice)), licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    for before, after in (("", ""), ("x ", " y"), ("some words before ", " and some after")):
+        for copies in (1, 2, 3, 7):
+            own = [x for x in scanner.scan(before + " ".join([notice] * copies) + after) if x[0] == name]
+            first = len(before.split())
+            assert own == [(name, size, size, first + k * size, first + (k + 1) * size - 1) for k in range(copies)]
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):

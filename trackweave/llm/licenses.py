@@ -7,7 +7,9 @@ that match.
 
 A template is looked for around its key words. They make up more of it than coverage may leave out, so every text
 region that reaches the coverage holds one. Places of key words that lie near each other form one
-region, widened by the template's length on both sides; each region is aligned as a whole, so a notice that is repeated far off is found again.
+region, widened by the template's length on both sides. A region whose words allow one copy is aligned as a whole. Where they allow
+more, each copy's words occur elsewhere too and can't be anchors; so narrow windows that hold little besides one copy are aligned first,
+the best finds that don't overlap are kept, and what lies between them is searched in wide windows.
 
 Null, empty and short texts have no finds. Words are runs of letters and digits, in lower case.
 """
@@ -141,10 +143,37 @@ class Scanner:
         return sorted(out, key=lambda x: (x[3], x[4], x[0]))
 
     def _finds(self, words: list[str], template: list[str], begin: int, end: int):
-        """Finds in a region; a region that holds the template more than once is searched window by window."""
+        """Finds in a region; a region that may hold the template more than once is searched window by window."""
+        size = len(template)
+        least = -(-size * self.coverage // 100)
+        held, own = Counter(words[begin:end]), Counter(template)
+        if sum(min(held[w], 2 * n) for w, n in own.items()) < 2 * least:
+            yield from self._between(words, template, begin, end)
+            return
+        slack = max(1, size // 4)
+        seen = []
+        for at in (i for i in range(begin, end) if words[i] in own):
+            found = [i for i, _ in align(words[at : min(at + size + slack, end)], template)]
+            if len(found) >= least:
+                seen.append((-len(found), found[-1] - found[0], at + found[0], at, found))
+        kept: list[tuple[int, int, list[int]]] = []
+        for _, length, first, at, found in sorted(seen, key=lambda x: x[:3]):
+            k = bisect_left(kept, (first, 0, []))
+            if (k == 0 or kept[k - 1][1] + kept[k - 1][2][-1] < first) and (k == len(kept) or first + length < kept[k][0]):
+                kept.insert(k, (first, at, found))
+        for first, at, found in kept:
+            yield from self._between(words, template, begin, first)
+            yield at, found
+            begin = at + found[-1] + 1
+        yield from self._between(words, template, begin, end)
+
+    def _between(self, words: list[str], template: list[str], begin: int, end: int):
+        """Finds in a stretch, which is aligned as a whole if it is short."""
         size = len(template)
         least = -(-size * self.coverage // 100)
         stretch = words[begin:end]
+        if len(stretch) < least:
+            return
         if len(stretch) <= 3 * size + 1:
             windows = [begin]
             span = len(stretch)
