@@ -92,9 +92,9 @@ def repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [256, 1])
+@pytest.mark.parametrize("hot", [1 << 20, 1])
 def test_suffix_dedup_matches_brute_force(docs, none, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
     rows = corpus()
     raws = [(r[1] or "").encode() for r in rows]
     found = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs.withColumn("KEPT", F.lit(1))).collect()}
@@ -115,8 +115,8 @@ def test_suffix_dedup_cuts_long_texts_into_parts(spark, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(raws)), "doc_id long, text string")
     places = suffix_dedup.repeated_windows(frame.select(F.col("doc_id").alias("id"), "text")).collect()
     for r in places:
-        start, n, mask = (np.array([s[f] for s in r.spans], np.int64) for f in ("start", "n", "mask"))
-        assert (suffix_dedup.covered(len(raws[r.id].encode()), start, n, mask) == gone[r.id]).all()
+        start, masks = np.array([s["start"] for s in r.spans], np.int64), np.array([[s["m0"], s["m1"], s["m2"]] for s in r.spans], np.int64)
+        assert (suffix_dedup.covered(len(raws[r.id].encode()), start, masks) == gone[r.id]).all()
     assert {r.id for r in places} == {i for i, g in enumerate(gone) if g.any()}
 
 
@@ -128,7 +128,7 @@ def test_suffix_array_matches_sorting(tmp_path):
         sigma = rng.choice([1, 2, 5, 40])
         text = [rng.randrange(sigma) for _ in range(rng.randint(1, 70))]
         text = (text[: max(1, len(text) // 4)] * 5)[: len(text)] if trial % 3 == 0 else text
-        order, common = suffix_array(np.array(text, np.uint16), sigma, tmp_path / str(trial), memory=rng.choice([4, 16, 1000]), small=rng.choice([1, 4, 2000]))
+        order, common = suffix_array(np.array(text, np.uint16), sigma, tmp_path / str(trial), memory=rng.choice([4, 16, 40, 1000]))
         right = sorted(range(len(text)), key=lambda i: text[i:])
         assert order.tolist() == right
         for a, b, n in zip(right, right[1:], common.tolist()[1:], strict=False):

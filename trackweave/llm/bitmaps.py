@@ -13,6 +13,15 @@ from pyspark.sql import DataFrame
 PARTS = 64
 
 
+#: A bitmap has at least and at most this many bits, as logarithms: what is broadcast never exceeds 16 MB.
+LEAST_BITS, MOST_BITS = 16, 27
+
+
+def sized(keys: int) -> int:
+    """The logarithm of the bits that suit a number of keys, eight a key. Beyond MOST_BITS the bitmap lets more through, which costs time only."""
+    return min(MOST_BITS, max(LEAST_BITS, (8 * max(keys, 1) - 1).bit_length()))
+
+
 def place(key: np.ndarray, bits: int) -> np.ndarray:
     return (key.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64)
 
