@@ -66,31 +66,51 @@ class BoxConfig:
     """Head and body boxes."""
 
     head_height: float = 0.28
-    head_width: float = 0.55
+    head_width: float = 0.65
     head_min_px: float = 12.0
     body_widths: float = 2.8
     body_heights: float = 5.5
     max_width: float = 0.24
     max_height: float = 0.38
     max_area: float = 0.08
-    mask_x: float = 0.25
-    mask_y: float = 0.25
+    mask_x: float = 0.30
+    mask_y: float = 0.36
     mask_share: float = 0.35
     max_iou: float = 0.5
 
 
+@dataclass(frozen=True)
+class DetectorConfig:
+    """Output of a head detector."""
+
+    form: str = "xywh-score-class"
+    input_size: int = 640
+    threshold: float = 0.25
+
+
+@dataclass(frozen=True)
+class LineConfig:
+    """Optional counting by a band around a horizontal line."""
+
+    min_move_px: float = 40.0
+    stable_samples: int = 3
+    inside_on_top: bool = True
+    #: Count as soon as the middle of the band is crossed towards the inside.
+    center_crossing: bool = False
+
+
 @dataclass(frozen=True)
 class StopConfig:
     """Smart stop: door signature and early end of a clip."""
 
     calibration_samples: int = 6
     need_activity: bool = True
-    stable_motion: float = 0.06
+    stable_motion: float = 0.30
     open_max: float = 0.10
     closed_min: float = 0.22
-    scene_motion: float = 0.05
+    scene_motion: float = 0.14
     vehicle_confirm_s: float = 5.0
-    min_seconds: float = 0.0
+    min_seconds: float = 8.0
     max_seconds: float = 0.0
     closed_confirm_s: float = 4.0
     clear_s: float = 2.0

@@ -150,15 +150,22 @@ def clip_half_plane(points: list[tuple[float, float]], a: tuple[float, float], b
     return out
 
 
-def zones_from_line(a: tuple[float, float], b: tuple[float, float], inside_below: bool = True) -> dict[str, list[tuple[float, float]]]:
-    """Salon and street as the two halves of the unit square beside a line, and a door rectangle around it."""
+def default_door(a: tuple[float, float], b: tuple[float, float], width: float, height: float) -> list[tuple[float, float]]:
+    """A door around the middle of a line, in pixels: 35 % of the line wide, within 8 % and 28 % of the frame; 22 % of the frame high, from 90 px to 45 %."""
+    mx, my = (a[0] + b[0]) / 2, (a[1] + b[1]) / 2
+    w = min(max(math.hypot(b[0] - a[0], b[1] - a[1]) * 0.35, width * 0.08), width * 0.28) / 2
+    h = min(max(height * 0.22, 90.0), height * 0.45) / 2
+    x0, x1 = (min(max(x, 0.0), width) for x in (mx - w, mx + w))
+    y0, y1 = (min(max(y, 0.0), height) for y in (my - h, my + h))
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+
+
+def zones_from_line(a: tuple[float, float], b: tuple[float, float], inside_below: bool = True, side: float = 1000.0) -> dict[str, list[tuple[float, float]]]:
+    """Salon and street as the two halves of the unit square beside a line, and the default door; the door's least size is that of a frame of ``side`` pixels."""
     square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
     if a[0] > b[0]:
         a, b = b, a
     below, above = clip_half_plane(square, a, b, True), clip_half_plane(square, a, b, False)
     salon, street = (below, above) if inside_below else (above, below)
-    pad = max(0.08, math.hypot(b[0] - a[0], b[1] - a[1]) * 0.15)
-    hold = lambda v: min(1.0, max(0.0, v))
-    x0, x1 = hold(min(a[0], b[0]) - 0.02), hold(max(a[0], b[0]) + 0.02)
-    y0, y1 = hold(min(a[1], b[1]) - pad), hold(max(a[1], b[1]) + pad)
-    return {"salon": salon, "street": street, "door": [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]}
+    door = default_door((a[0] * side, a[1] * side), (b[0] * side, b[1] * side), side, side)
+    return {"salon": salon, "street": street, "door": [(x / side, y / side) for x, y in door]}

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VIDEO_EXTENSIONS = ("mp4", "avi", "mkv", "mov", "ts", "h264", "h265", "264")
+# File extensions of clips, and of those that are taken in without being uploaded.
+VIDEO_EXTENSIONS = ("mp4", "avi", "mov", "mkv", "flv", "wmv", "webm", "m4v")
+INGEST_EXTENSIONS = ("avi", "mp4", "mov", "mkv", "m4v")
+# Places by code, with their labels and whether previews and analyses are allowed there; texts of issues.
+LOCATIONS = {
+    "MANUAL": ("Видео", True, True),
+    "CHANNEL_PREVIEW": ("Превью канала", True, False),
+    "FTP_INCOMING": ("FTP / входящие", False, False),
+    "FTP_NEEDS_CLASSIFICATION": ("FTP / ожидает дверь", True, False),
+    "FTP_FINISHED": ("FTP / обработано", True, True),
+    "FTP_FAILED": ("FTP / ошибка", True, True),
+    "FTP_STOPPED": ("FTP / остановлено", True, True),
+    "FTP_PROCESSED": ("FTP / processed", True, True),
+}
+EMPTY_FILE, NOT_COMPLETE = "Пустой файл", "Загрузка ещё не завершена"
 
 
 def segments(path: Column) -> Column:
@@ -64,25 +78,40 @@ def clock_text(frame_index: Column, fps: Column) -> Column:
     return F.concat(F.lpad((seconds / 60).cast("long").cast("string"), 2, "0"), F.lit(":"), F.lpad((seconds % 60).cast("string"), 2, "0"))
 
 
-def storage_location(path: Column) -> Column:
-    """A file's place in its life, by the folders on its path."""
-    parts = F.transform(segments(path), F.lower)
-    has = lambda name: F.array_contains(parts, name)
-    return (
-        F.when(has("processed") & has("failed"), "PROCESSED_FAILED")
-        .when(has("processed") & has("stopped"), "PROCESSED_STOPPED")
-        .when(has("processed"), "PROCESSED")
-        .when(has("waiting"), "WAITING_CLASSIFICATION")
-        .when(has("preview"), "PREVIEW")
-        .when(has("incoming"), "INCOMING")
-        .when(has("videos"), "LOCAL")
-        .otherwise("OTHER")
-    )
+def storage_location(kind: Column, relative: Column) -> Column:
+    """A file's place in its life, by the kind of its root (FTP_INCOMING, FTP_PROCESSED, VIDEOS) and the first folder below it."""
+    first = F.lower(F.get(segments(relative), 0))
+    done = F.when(first == "needs-classification", "FTP_NEEDS_CLASSIFICATION").when(first == "finished", "FTP_FINISHED").when(first == "failed", "FTP_FAILED").when(first == "stopped", "FTP_STOPPED").otherwise("FTP_PROCESSED")
+    manual = F.when(first == "classification", "CHANNEL_PREVIEW").otherwise("MANUAL")
+    return F.when(kind == "FTP_INCOMING", "FTP_INCOMING").when(kind == "FTP_PROCESSED", done).when(kind == "VIDEOS", manual)
+
+
+def location_flag(code: Column, which: int) -> Column:
+    """The label (0) of a place, or whether previews (1) or analyses (2) are allowed there."""
+    pairs = [F.lit(x) for name, values in LOCATIONS.items() for x in (name, values[which])]
+    return F.element_at(F.create_map(*pairs), code)
+
+
+def file_time(modified_ms: Column) -> Column:
+    """When a file was changed, as dd.MM.yy HH:mm in the session's time zone."""
+    return F.date_format(F.timestamp_millis(modified_ms), "dd.MM.yy HH:mm")
 
 
-def clean_text(text: Column) -> Column:
-    """Blank text as null."""
-    return F.nullif(F.trim(text), F.lit(""))
+def inside_home(path: Column, home: str) -> Column:
+    """Whether a path lies under ``home`` once its '.' and '..' segments are taken out; a path above the root never does."""
+    parts = segments(path)
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when((x == "..") & (F.size(a) > 0), F.slice(a, 1, F.size(a) - 1)).otherwise(F.array_append(a, x)))
+    top = [x for x in home.replace("\\", "/").split("/") if x]
+    return ~F.array_contains(folded, "..") & (F.slice(folded, 1, len(top)) == F.array(*[F.lit(x) for x in top])) & (F.size(folded) > len(top)) if top else ~F.array_contains(folded, "..")
+
+
+def in_device_layout(path: Column, root: str) -> Column:
+    """Whether a file lies below ``<digits>/<yyyy-MM-dd>/`` of a root, and in no folder named processed."""
+    depth = len([x for x in root.split("/") if x])
+    parts = F.slice(segments(path), depth + 1, 1 << 20)
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    fits = F.get(parts, 0).rlike("^[0-9]{1,64}$") & F.get(parts, 1).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.get(parts, 1).try_cast("date").isNotNull()
+    return F.coalesce((F.size(parts) >= 3) & fits & ~F.exists(folders, lambda x: F.lower(x) == "processed"), F.lit(False))
 
 
 def logical_door(text: Column, known: tuple[str, ...]) -> Column:
@@ -95,3 +124,10 @@ def points_from_json(text: Column) -> Column:
     """A polygon from JSON text; bad text gives an empty one."""
     kind = "array<struct<x: double, y: double>>"
     return F.coalesce(F.from_json(text, kind), F.array().cast(kind))
+
+
+def points_to_json(points: Column) -> Column:
+    """A polygon as JSON text, its points held within the unit square; a null polygon gives []."""
+    clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    held = F.transform(points, lambda p: F.struct(clamp(p["x"]).alias("x"), clamp(p["y"]).alias("y")))
+    return F.coalesce(F.to_json(held), F.lit("[]"))

@@ -8,18 +8,35 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 
 
-def videos(files: DataFrame) -> DataFrame:
-    """Video files (path, size, modified_ms), newest first, with their location and metadata."""
-    rows = files.where(P.is_video(F.col("path"))).withColumn("location", P.storage_location(F.col("path")))
-    rows = rows.withColumns(P.video_metadata(F.col("path")))
-    rows = rows.withColumn("can_preview", P.extension(F.col("path")).isin("mp4", "mov")).withColumn("can_analyse", ~F.col("location").startswith("PROCESSED"))
-    issue = F.when(F.col("video_device_id").isNull(), "no device folder").when(F.col("channel").isNull(), "no channel in the name")
+#: Folders below a root that listings go down; those that sample scans go down.
+LIST_DEPTH, SAMPLE_DEPTH = 8, 6
+
+
+def below(path, root) -> F.Column:
+    """The path below a root that it lies under."""
+    return F.array_join(F.slice(P.segments(path), F.size(P.segments(root)) + 1, 1 << 20), "/")
+
+
+def videos(files: DataFrame, roots: DataFrame, depth: int = LIST_DEPTH) -> DataFrame:
+    """Video files (path, size, modified_ms) under roots (root, kind, priority), newest first: place, flags, issue, metadata.
+
+    A file belongs to its most specific root, and must lie at most ``depth`` levels below it.
+    """
+    rows = deepest_root(files.where(P.is_video(F.col("path"))), roots).where("root is not null")
+    rows = rows.withColumn("below_root", below(F.col("path"), F.col("root"))).where(F.size(P.segments(F.col("below_root"))) <= depth)
+    rows = rows.withColumn("location", P.storage_location(F.col("kind"), F.col("below_root"))).withColumns(P.video_metadata(F.col("path")))
+    rows = rows.withColumn("folder", P.location_flag(F.col("location"), 0)).withColumn("modified", P.file_time(F.col("modified_ms")))
+    shown = P.location_flag(F.col("location"), 1)
+    rows = rows.withColumn("can_preview", (F.col("size") > 0) & shown).withColumn("can_analyse", (F.col("size") > 0) & P.location_flag(F.col("location"), 2))
+    issue = F.when(F.col("size") <= 0, P.EMPTY_FILE).when(~shown, P.NOT_COMPLETE)
     return rows.withColumn("issue", issue).orderBy(F.col("modified_ms").desc(), "path")
 
 
-def sample_videos(files: DataFrame, recorder: str, camera: str | None = None, depth: int = 6) -> DataFrame:
-    """A recorder's files at most ``depth`` folders deep and not in the incoming folder, newest first."""
-    rows = files.where(P.is_video(F.col("path")) & ~F.array_contains(P.segments(F.col("path")), "incoming") & (F.size(P.segments(F.col("path"))) <= depth + 1))
+def sample_videos(files: DataFrame, root: str, recorder: str, camera: str | None = None, depth: int = SAMPLE_DEPTH) -> DataFrame:
+    """A recorder's files at most ``depth`` levels below a root whose path doesn't hold the word incoming, newest first."""
+    top = len([x for x in root.split("/") if x])
+    here = F.col("path").startswith(root.rstrip("/") + "/") & (F.size(P.segments(F.col("path"))) - top <= depth)
+    rows = files.where(P.is_video(F.col("path")) & ~F.col("path").contains("incoming") & here)
     rows = rows.withColumns(P.video_metadata(F.col("path"))).where(F.col("video_device_id") == recorder)
     if camera is not None:
         rows = rows.where(F.col("camera_code") == camera)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import BoxConfig, TrackConfig
+from ..config import BoxConfig, DetectorConfig, TrackConfig
 from ..functions import geometry as G
+from ..functions.binding import let
 
 FRAME = ["session_id", "frame_index"]
 
 
 def sampled(frames: DataFrame, skip: int) -> DataFrame:
-    """Every (skip + 1)th frame by index; on a columnar source the filter is pushed into the scan."""
+    """Every (skip + 1)th frame by index. The clip source takes the stride as an option; on other sources this filters after the scan."""
     return frames.where(F.col("frame_index") % (max(skip, 0) + 1) == 0)
 
 
@@ -28,25 +31,82 @@ def stream_info(frames: DataFrame, default_fps: float = 25.0) -> DataFrame:
     return info.select("session_id", fps.alias("fps"), "est_frames", (F.col("est_frames") / fps).alias("duration_s"))
 
 
-def parse_row(values: Column, form: str) -> Column:
-    """A detector's output row as a struct of box, score and class; boxes under 2 x 2 pixels give null.
+def _in_frame(corners: Column, cfg: DetectorConfig, fw: Column, fh: Column) -> Column:
+    """A box (an array of corners) of the square detector input, in pixels or as shares of its side, in the frame; null if it has no area."""
+    side = F.lit(float(cfg.input_size))
+    hold = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most.cast("double"))
+
+    def placed(c: Column, gain: Column) -> Column:
+        pads = (side - fw * gain) / 2, (side - fh * gain) / 2
+        return F.array(*[(c[k] - pads[k % 2]) / gain for k in range(4)])
+
+    def held(c: Column) -> Column:
+        return F.when((c[2] > c[0]) & (c[3] > c[1]), G.box(hold(c[0], fw), hold(c[1], fh), hold(c[2], fw), hold(c[3], fh)))
+
+    scaled = _in_pixels(corners, cfg)
+    return let(scaled, lambda c: let(F.least(side / fw, side / fh), lambda gain: let(placed(c, gain), held)))
+
+
+def _in_pixels(values: Column, cfg: DetectorConfig) -> Column:
+    """Values that are all shares of the input's side are scaled by it."""
+    shares = F.forall(values, lambda v: v.between(-0.05, 1.5))
+    return F.when(shares, F.transform(values, lambda v: v * float(cfg.input_size))).otherwise(values)
+
+
+def _more_like_a_head(a: Column, b: Column, fw: Column, fh: Column) -> Column:
+    """Whether box ``a`` is a likelier head than ``b``: where one fills much of the frame, the smaller; else by the ratio of its sides."""
+    area = lambda x: G.width(x) * G.height(x) / (fw * fh)
+    square = lambda x: (G.width(x) / F.greatest(G.height(x), F.lit(1.0))).between(0.45, 1.8)
+    return F.when((area(b) > 0.18) & (area(a) < area(b)), True).when((area(a) > 0.18) & (area(b) < area(a)), False).otherwise(square(a) & ~square(b))
+
 
-    ``auto`` tells the formats apart: seven values begin with the batch; else the last value of six is the class
-    and the corners are ordered, or the box is given by its centre.
+def parse_row(values: Column, cfg: DetectorConfig, frame_width: Column, frame_height: Column) -> Column:
+    """A detector's output row as a struct of box (in the frame), score and class; null if it is no detection.
+
+    Null are rows of fewer than five values, boxes under 2 x 2 pixels, and scores below the threshold. ``batch-class-xyxy`` rows
+    have six values and score 1. ``auto`` takes rows that begin with two whole numbers before ordered corners for those, and
+    reads others both ways, by corners and by centre: the one that is a box, or the likelier head, counts.
     """
-    v = lambda k: F.get(values, k).cast("double")
+    fw, fh = frame_width, frame_height
+    form = cfg.form.lower()
+
+    def read(v: Column) -> Column:
+        whole = lambda x: F.abs(x - F.round(x)) < 1e-3
+        batch = F.when(F.size(v) >= 6, _in_frame(F.slice(v, 3, 4), cfg, fw, fh))
+        corners = _in_frame(F.slice(v, 1, 4), cfg, fw, fh)
+        centre = let(_in_pixels(F.slice(v, 1, 4), cfg), lambda c: _in_frame(F.array(c[0] - c[2] / 2, c[1] - c[3] / 2, c[0] + c[2] / 2, c[1] + c[3] / 2), cfg, fw, fh))
+        either = lambda c, m: F.when(c.isNull(), m).when(m.isNull(), c).when(_more_like_a_head(m, c, fw, fh), m).otherwise(c)
+        is_batch = whole(v[0]) & whole(v[1]) & (F.get(v, 4) > v[2]) & (F.get(v, 5) > v[3])
+        auto = F.when(is_batch, batch).otherwise(let(corners, lambda c: let(centre, lambda m: either(c, m))))
+        forms = {"batch-class-xyxy": batch, "xyxy-score-class": corners, "xywh-score-class": centre, "cxcywh-score-class": centre}
+        first = {"batch-class-xyxy": F.lit(True)}.get(form, F.lit(False) if form in forms else F.coalesce(is_batch, F.lit(False)))
+        score = F.when(first, 1.0).otherwise(F.least(F.greatest(F.get(v, 4), F.lit(0.0)), F.lit(1.0)))
+        kind = F.when(first, F.get(v, 1)).otherwise(F.get(v, 5)).cast("int")
+        fits = lambda b: b.isNotNull() & (score >= cfg.threshold) & (G.width(b) >= 2) & (G.height(b) >= 2)
+        return let(forms.get(form, auto), lambda b: F.when(fits(b), F.struct(b.alias("box"), score.alias("score"), kind.alias("kind"))))
+
+    return F.when(F.size(values) >= 5, let(values.cast("array<double>"), read))
 
-    def made(x1: Column, y1: Column, x2: Column, y2: Column, score: Column, kind: Column) -> Column:
-        found = F.struct(G.box(x1, y1, x2, y2).alias("box"), score.alias("score"), kind.cast("int").alias("kind"))
-        return F.when((x2 - x1 >= 2) & (y2 - y1 >= 2), found)
 
-    batch = made(v(2), v(3), v(4), v(5), v(6), v(1))
-    corners = made(v(0), v(1), v(2), v(3), v(4), v(5))
-    centre = made(v(0) - v(2) / 2, v(1) - v(3) / 2, v(0) + v(2) / 2, v(1) + v(3) / 2, v(4), v(5))
-    forms = {"batch-class-xyxy": batch, "xyxy-score-class": corners, "xywh-score-class": centre, "cxcywh-score-class": centre}
-    if form != "auto":
-        return forms[form]
-    return F.when(F.size(values) >= 7, batch).when((v(2) > v(0)) & (v(3) > v(1)), corners).otherwise(centre)
+def is_planes(output: Column) -> Column:
+    """Whether a detector's output is one row a coordinate or class, each long, instead of one row a detection."""
+    return F.size(output).between(5, 16) & (F.size(F.get(output, 0)) > F.size(output) * 10)
+
+
+def parse_output(outputs: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    """Detections of outputs (session_id, frame_index, frame_width, frame_height, output: arrays of numbers): det_seq, box, score, kind.
+
+    Planes hold centre x, centre y, width, height, and scores by class, of which the best counts; other outputs are rows.
+    """
+    out = F.col("output")
+    best = lambda i: F.array_max(F.transform(F.slice(out, 5, F.size(out) - 4), lambda plane: F.get(plane, i)))
+    turned = F.transform(F.sequence(F.lit(0), F.size(F.get(out, 0)) - 1), lambda i: F.array(*[F.get(F.get(out, k), i) for k in range(4)], best(i)))
+    planes = outputs.withColumn("planes", is_planes(out))
+    rows = planes.select(*FRAME, "frame_width", "frame_height", "planes", F.posexplode(F.when(F.col("planes"), turned).otherwise(out)).alias("det_seq", "_row"))
+    fw, fh = F.col("frame_width"), F.col("frame_height")
+    by_plane = parse_row(F.col("_row"), replace(cfg, form="xywh-score-class"), fw, fh)
+    found = rows.withColumn("_found", F.when(F.col("planes"), by_plane).otherwise(parse_row(F.col("_row"), cfg, fw, fh))).where("_found is not null")
+    return found.select(*FRAME, "det_seq", "_found.box", "_found.score", "_found.kind")
 
 
 def plane_scores(planes: DataFrame) -> DataFrame:
@@ -150,6 +210,14 @@ def greedy(candidates: DataFrame, by: list[str]) -> DataFrame:
     return narrow.groupBy(*FRAME).applyInPandas(take, narrow.schema)
 
 
+def diagnostics(labelled: DataFrame, every: int = 30) -> DataFrame:
+    """Of every ``every``th frame: its detections by zone (as a map), in the doorway, and altogether."""
+    some = labelled.where(F.col("frame_index") % max(every, 1) == 0)
+    by_zone = some.groupBy(*FRAME, "zone").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_door").alias("doorway"))
+    zones = F.map_from_entries(F.array_sort(F.collect_list(F.struct("zone", "n"))))
+    return by_zone.groupBy(*FRAME).agg(zones.alias("zones"), F.sum("doorway").alias("doorway"), F.sum("n").alias("detections"))
+
+
 def zone_counts(labelled: DataFrame) -> DataFrame:
     """Detections of each frame by zone, and those in the doorway, which overlaps the zones."""
     return labelled.groupBy(*FRAME).agg(*[F.count_if(F.col("zone") == z).alias(n) for z, n in (("INSIDE", "inside"), ("OUTSIDE", "outside"), ("BUFFER", "buffer"))], F.count_if("in_door").alias("doorway"))

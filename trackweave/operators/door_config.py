@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import logical_door
@@ -14,13 +14,20 @@ CAMERA = ["recorder_id", "camera_code"]
 def resolve(clips: DataFrame, bindings: DataFrame, profiles: DataFrame, defaults: dict[str, str]) -> DataFrame:
     """Each clip's active binding and its profile; missing or empty polygons fall back to the defaults.
 
-    The newest active binding wins where data hold several. Both sides are left joins on equal keys; Spark broadcasts them where they are small.
+    Cameras marked IGNORE or NEEDS_CLASSIFICATION get the defaults whatever profile they name. The newest active binding wins where data hold several. Both sides are left joins on equal keys; Spark broadcasts them where they are small.
     """
     active = latest(bindings.where("active"), CAMERA, "updated_ms").select(*CAMERA, "logical_door", "profile_id")
     known = profiles.select(F.col("id").alias("profile_id"), F.col("name").alias("profile_name"), *defaults)
+    unused = F.col("logical_door").isin("IGNORE", "NEEDS_CLASSIFICATION")
+    active = active.withColumn("profile_id", F.when(~unused, F.col("profile_id"))).withColumn("_bound", F.lit(True))
+    known = known.withColumn("_known", F.lit(True))
     rows = clips.join(active, CAMERA, "left").join(known, "profile_id", "left")
     given = lambda c: F.when(F.trim(F.col(c)).isin("", "[]"), None).otherwise(F.col(c))
-    return rows.select(*clips.columns, F.coalesce("logical_door", F.lit("NEEDS_CLASSIFICATION")).alias("logical_door"), "profile_id", "profile_name", *[F.coalesce(given(c), F.lit(v)).alias(c) for c, v in defaults.items()])
+    return rows.select(
+        *clips.columns, "logical_door", F.coalesce(F.col("logical_door") == "IGNORE", F.lit(False)).alias("ignored"), F.coalesce(F.col("logical_door") == "NEEDS_CLASSIFICATION", F.lit(False)).alias("classification_needed"),
+        F.when(F.col("_known"), F.col("profile_id")).alias("profile_id"), F.when(F.col("_known"), F.col("profile_name")).otherwise("application-default").alias("profile_name"),
+        F.when(F.col("_known"), "DATABASE").when(F.col("_bound"), "BINDING_DEFAULT").otherwise("APPLICATION_DEFAULT").alias("source"), *[F.coalesce(given(c), F.lit(v)).alias(c) for c, v in defaults.items()],
+    )
 
 
 def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -49,27 +56,81 @@ def profiles_by_name(profiles: DataFrame) -> DataFrame:
     return profiles.orderBy(F.lower("name"), "id")
 
 
-def bind(bindings: DataFrame, requests: DataFrame) -> DataFrame:
+class NoSuchBinding(KeyError):
+    """There is no binding of this id."""
+
+
+def new_id(*parts) -> F.Column:
+    """An id derived from a row's own values, so that rows needn't be numbered in one place."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
+
+
+def bind(bindings: DataFrame, requests: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """All bindings after requests (recorder_id, camera_code, logical_door, profile_id, at_ms): the active one of a requested camera is closed, a new one opened.
 
-    New ids follow the greatest one, in the order of cameras.
+    Where bindings have the columns confirmed_by, preview_path and preview_frame, requests may give them; confirmed_ms and
+    created_ms are the request's time. Blank recorders and cameras raise an error, and, if ``profiles`` are given, so does a profile that
+    isn't there, unless the door is IGNORE or NEEDS_CLASSIFICATION.
     """
-    wanted = latest(requests, CAMERA, "at_ms").withColumn("logical_door", logical_door(F.col("logical_door"), DOOR_NAMES))
+    filled = lambda c: F.when(F.trim(c) != "", F.trim(c)).otherwise(F.raise_error(F.lit(f"{c} must not be blank")))
+    wanted = latest(requests, CAMERA, "at_ms").withColumn("logical_door", logical_door(F.col("logical_door"), DOOR_NAMES)).withColumns({c: filled(c) for c in CAMERA})
+    if profiles is not None:
+        known = profiles.select(F.col("id").alias("profile_id"), F.lit(True).alias("_known"))
+        missing = F.col("profile_id").isNotNull() & F.col("_known").isNull() & ~F.col("logical_door").isin("IGNORE", "NEEDS_CLASSIFICATION")
+        checked = F.when(missing, F.raise_error(F.lit("Door zone profile not found"))).otherwise(F.col("profile_id"))
+        wanted = wanted.join(known, "profile_id", "left").withColumn("profile_id", checked).drop("_known")
     touched = wanted.select(*CAMERA, F.col("at_ms").alias("_at"))
     old = bindings.join(touched, CAMERA, "left")
     closes = F.col("active") & F.col("_at").isNotNull()
     old = old.withColumn("updated_ms", F.when(closes, F.col("_at")).otherwise(F.col("updated_ms"))).withColumn("active", F.col("active") & ~closes).select(*bindings.columns)
-    last = bindings.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*CAMERA))
-    new = wanted.withColumn("_n", number).crossJoin(F.broadcast(last)).select((F.col("_last") + F.col("_n")).alias("id"), *CAMERA, "logical_door", "profile_id", F.lit(True).alias("active"), F.col("at_ms").alias("updated_ms"))
+    clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    given = {"confirmed_by": clean, "preview_path": clean, "preview_frame": F.col}
+    values = {"id": new_id(*CAMERA, F.col("at_ms").cast("string")), "active": F.lit(True), **{c: F.col("at_ms") for c in ("updated_ms", "confirmed_ms", "created_ms")}}
+    values |= {c: f(c) for c, f in given.items() if c in wanted.columns} | {c: F.col(c) for c in (*CAMERA, "logical_door", "profile_id")}
+    new = wanted.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in bindings.schema])
     return old.unionByName(new)
 
 
 def deactivate(bindings: DataFrame, ident: int, at_ms: int) -> DataFrame:
-    hit = (F.col("id") == ident) & F.col("active")
+    """Bindings with one of them closed; an id that isn't there raises NoSuchBinding."""
+    if not bindings.where(F.col("id") == ident).limit(1).count():
+        raise NoSuchBinding(ident)
+    hit = F.col("id") == ident
     return bindings.withColumn("updated_ms", F.when(hit, F.lit(at_ms)).otherwise(F.col("updated_ms"))).withColumn("active", F.col("active") & ~hit)
 
 
+#: Doors that a person may assign.
+ASSIGNABLE = ("FRONT", "REAR", "CUSTOM", "IGNORE")
+
+
+def pending_channels(bindings: DataFrame, samples: DataFrame, recorder: str | None = None) -> DataFrame:
+    """Active cameras that wait for a door, newest first, with their newest sample file (samples: recorder_id, camera_code, path, modified_ms)."""
+    rows = bindings.where(F.col("active") & (F.col("logical_door") == "NEEDS_CLASSIFICATION"))
+    if recorder is not None and recorder.strip():
+        rows = rows.where(F.col("recorder_id") == recorder.strip())
+    newest = samples.groupBy(*CAMERA).agg(F.max_by("path", F.struct("modified_ms", "path")).alias("sample_path"))
+    rows = rows.join(newest, CAMERA, "left").withColumn("preview_available", F.col("sample_path").isNotNull())
+    return rows.orderBy(F.col("updated_ms").desc(), *CAMERA)
+
+
+def assign(bindings: DataFrame, requests: DataFrame, samples: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Bindings after doors were assigned (recorder_id, camera_code, logical_door, profile_id, at_ms, optionally frame_index).
+
+    A door outside ASSIGNABLE raises an error; IGNORE drops the profile. The preview is the newest sample, else that of
+    the binding before, as is its frame where none is asked for.
+    """
+    door = F.upper(F.trim("logical_door"))
+    checked = F.when(door.isin(*ASSIGNABLE), door).otherwise(F.raise_error(F.lit("logicalDoor must be one of: " + ", ".join(ASSIGNABLE))))
+    rows = requests.withColumn("logical_door", checked).withColumn("profile_id", F.when(F.col("logical_door") != "IGNORE", F.col("profile_id")))
+    if "preview_path" in bindings.columns:
+        newest = samples.groupBy(*CAMERA).agg(F.max_by("path", F.struct("modified_ms", "path")).alias("_sample"))
+        before = bindings.where("active").select(*CAMERA, F.col("preview_path").alias("_path"), F.col("preview_frame").alias("_frame"))
+        rows = rows.join(newest, CAMERA, "left").join(before, CAMERA, "left")
+        frame = F.coalesce("frame_index", "_frame", F.lit(0)) if "frame_index" in requests.columns else F.coalesce("_frame", F.lit(0))
+        rows = rows.withColumn("preview_path", F.coalesce("_sample", "_path")).withColumn("preview_frame", frame).drop("_sample", "_path", "_frame")
+    return bind(bindings, rows, profiles)
+
+
 def register_previews(bindings: DataFrame, previews: DataFrame) -> DataFrame:
     """Cameras seen in previews (recorder_id, camera_code, at_ms) without an active binding enter as unclassified; known ones get the time."""
     fresh = previews.join(bindings.where("active").select(*CAMERA), CAMERA, "left_anti")

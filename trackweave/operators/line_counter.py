@@ -1,27 +1,87 @@
 """Optional counting mode ``line``: a band around a horizontal line, counted in both directions.
 
-Above the band is outside, below it inside, the band itself the doorway. A zone is stable after some samples in a row; a
-stable change of side counts, and a change back cancels the count.
+One side of the band is inside, the other outside, the band itself the doorway. A zone is stable after some samples in a row.
+Each track is a state machine over its samples: stable sides and passages through the doorway count a boarding or an exit, and
+a stable return cancels it. Exits, and boardings that begin in the doorway, need a movement of some pixels from the first sample.
+
+The machine is a fold over each track's ordered samples inside the JVM; a track must fit in memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .trajectories import ORDER, TRACK
+from ..config import LineConfig
+from ..functions.binding import let
+from .trajectories import TRACK
+
+
+def band_zone(y: Column, line_y: float, half: float, inside_on_top: bool) -> Column:
+    above, under = ("INSIDE", "OUTSIDE") if inside_on_top else ("OUTSIDE", "INSIDE")
+    return F.when(y < line_y - half, above).when(y > line_y + half, under).otherwise("DOORWAY")
+
+
+def _step(a: Column, y: Column, line_y: float, half: float, cfg: LineConfig) -> Column:
+    """The machine after one more sample."""
+    return let(band_zone(y, line_y, half, cfg.inside_on_top), lambda zone: let(F.when(a["zone"] == zone, a["run"] + 1).otherwise(1), lambda run: _judged(a, y, zone, run, line_y, cfg)))
+
+
+def _judged(a: Column, y: Column, zone: Column, run: Column, line_y: float, cfg: LineConfig) -> Column:
+    first = F.coalesce(a["first"], y)
+    inward = (first - y) if cfg.inside_on_top else (y - first)
+    moved_in, moved_out = inward >= cfg.min_move_px, -inward >= cfg.min_move_px
+    crossed = ((a["prev"] >= line_y) & (y < line_y)) if cfg.inside_on_top else ((a["prev"] <= line_y) & (y > line_y))
+    is_in, is_out, door = zone == "INSIDE", zone == "OUTSIDE", zone == "DOORWAY"
+    state, boarded, alighted = a["state"], a["boarded"], a["alighted"]
+    stable = run >= cfg.stable_samples
+    what = (
+        F.when(F.lit(cfg.center_crossing) & ~boarded & F.coalesce(crossed, F.lit(False)) & moved_in, "BOARD")
+        .when(~stable, "NONE")
+        .when(alighted & is_in, "UNDO_EXIT")
+        .when(boarded & is_out, "UNDO_BOARD")
+        .when(state == "UNKNOWN", F.when(is_out, "OUTSIDE").when(is_in & moved_in, "BOARD").when(is_in, "INSIDE").otherwise("NONE"))
+        .when(state == "OUTSIDE", F.when(door, "FROM_OUTSIDE").when(is_in, "BOARD").otherwise("NONE"))
+        .when(state == "INSIDE", F.when(door, "FROM_INSIDE").when(is_out & moved_out, "EXIT").otherwise("NONE"))
+        .when(state == "FROM_OUTSIDE", F.when(is_in, "BOARD").when(is_out, "OUTSIDE").otherwise("NONE"))
+        .when(state == "FROM_INSIDE", F.when(is_out & moved_out, "EXIT").when(is_out, "OUTSIDE").when(is_in, "INSIDE").otherwise("NONE"))
+        .when((state == "BOARDED") & door, "FROM_INSIDE")
+        .when((state == "ALIGHTED") & door, "FROM_OUTSIDE")
+        .otherwise("NONE")
+    )
+    # One who has boarded can't board again, nor leave twice: the state stays as it is.
+    settled = lambda w: F.when(((w == "BOARD") & boarded) | ((w == "EXIT") & alighted), "NONE").otherwise(w)
+    return let(let(what, settled), lambda w: _after(a, y, w, zone, run, first))
+
+
+def _after(a: Column, y: Column, what: Column, zone: Column, run: Column, first: Column) -> Column:
+    state, boarded, alighted = a["state"], a["boarded"], a["alighted"]
+    return F.struct(
+        F.when(what == "BOARD", "BOARDED").when(what == "EXIT", "ALIGHTED").when(what == "UNDO_EXIT", "INSIDE").when(what == "UNDO_BOARD", "OUTSIDE").when(what == "NONE", state).otherwise(what).alias("state"),
+        zone.alias("zone"),
+        run.alias("run"),
+        first.alias("first"),
+        y.alias("prev"),
+        F.when(what == "BOARD", True).when(what.isin("UNDO_BOARD", "EXIT"), False).otherwise(boarded).alias("boarded"),
+        F.when(what == "EXIT", True).when(what.isin("UNDO_EXIT", "BOARD"), False).otherwise(alighted).alias("alighted"),
+        (a["boardings"] + F.when(what == "BOARD", 1).when(what == "UNDO_BOARD", -1).otherwise(0)).alias("boardings"),
+        (a["alightings"] + F.when(what == "EXIT", 1).when(what == "UNDO_EXIT", -1).otherwise(0)).alias("alightings"),
+    )
 
 
-def band_zone(samples: DataFrame, line_y: float, half: float) -> DataFrame:
-    y = F.col("anchor_y")
-    return samples.withColumn("zone", F.when(y > line_y + half, "INSIDE").when(y < line_y - half, "OUTSIDE").otherwise("DOORWAY"))
+def line_tracks(samples: DataFrame, line_y: float, half: float, cfg: LineConfig) -> DataFrame:
+    """session_id, track_id, boardings, alightings, state at the end."""
+    path = F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "anchor_y"))), lambda s: s["anchor_y"])
+    none = F.lit(None).cast("double")
+    start = F.struct(
+        F.lit("UNKNOWN").alias("state"), F.lit("").alias("zone"), F.lit(0).alias("run"), none.alias("first"), none.alias("prev"),
+        F.lit(False).alias("boarded"), F.lit(False).alias("alighted"), F.lit(0).alias("boardings"), F.lit(0).alias("alightings"),
+    )
+    rows = samples.groupBy(*TRACK).agg(path.alias("_path"))
+    end = rows.withColumn("_end", F.aggregate("_path", start, lambda a, y: _step(a, y, line_y, half, cfg)))
+    return end.select(*TRACK, "_end.boardings", "_end.alightings", "_end.state")
 
 
-def line_counts(samples: DataFrame, line_y: float, half: float, stable: int = 3) -> DataFrame:
-    """boardings and alightings of each session: each track's first and last stable side decide, since moves back cancel."""
-    zoned = band_zone(samples, line_y, half).where("zone <> 'DOORWAY'")
-    at = F.row_number().over(Window.partitionBy(*TRACK).orderBy(*ORDER))
-    among = F.row_number().over(Window.partitionBy(*TRACK, "zone").orderBy(*ORDER))
-    runs = zoned.withColumn("_at", at).withColumn("_island", F.col("_at") - among).groupBy(*TRACK, "zone", "_island").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
-    sides = runs.where(F.col("n") >= stable).groupBy(*TRACK).agg(F.min_by("zone", "_first").alias("first"), F.max_by("zone", "_first").alias("last"))
-    return sides.groupBy("session_id").agg(F.count_if((F.col("first") == "OUTSIDE") & (F.col("last") == "INSIDE")).alias("boardings"), F.count_if((F.col("first") == "INSIDE") & (F.col("last") == "OUTSIDE")).alias("alightings"))
+def line_counts(samples: DataFrame, line_y: float, half: float, cfg: LineConfig) -> DataFrame:
+    """boardings and alightings of each session, cancelled ones taken out."""
+    return line_tracks(samples, line_y, half, cfg).groupBy("session_id").agg(F.sum("boardings").alias("boardings"), F.sum("alightings").alias("alightings"))

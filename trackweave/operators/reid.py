@@ -23,9 +23,13 @@ def best_match(probes: DataFrame, pool: DataFrame, keys: list[str], threshold: f
 
 
 def position_fallback(probes: DataFrame, pool: DataFrame, cfg: TrackConfig) -> DataFrame:
-    """The nearest recently lost, uncounted track with salon or door history for detections at the exit."""
-    pairs = probes.where("at_exit").join(pool.where((F.col("lost") <= cfg.fallback_lost) & F.col("has_history") & ~F.col("alighted")), ["session_id"])
+    """The nearest recently lost, uncounted track with salon or door history for detections at the exit.
+
+    Both sides are as of a frame, so that a detection meets the tracks of its own session and frame only.
+    """
+    keys = ["session_id", "frame_index"]
+    pairs = probes.where("at_exit").join(pool.where((F.col("lost") <= cfg.fallback_lost) & F.col("has_history") & ~F.col("alighted")), keys)
     far = G.distance(F.col("x"), F.col("y"), F.col("track_x"), F.col("track_y"))
     limit = F.least(F.lit(cfg.fallback_px), center_limit(F.col("box"), F.col("track_box"), cfg) * 2)
     near = pairs.withColumn("px", far).where(F.col("px") <= limit)
-    return near.groupBy("session_id", "det_seq").agg(F.min(F.struct("px", "track_id")).alias("_b")).select("session_id", "det_seq", F.col("_b.track_id").alias("track_id"), F.col("_b.px").alias("px"))
+    return near.groupBy(*keys, "det_seq").agg(F.min(F.struct("px", "track_id")).alias("_b")).select(*keys, "det_seq", F.col("_b.track_id").alias("track_id"), F.col("_b.px").alias("px"))

@@ -86,8 +86,9 @@ def door_confidence(state: Column, gap: Column, cfg: StopConfig) -> Column:
 
 
 def door_states(frames: DataFrame, cfg: StopConfig) -> DataFrame:
-    """Frames (session_id, frame_index, fps, door, street, active) with all that the candidate needs."""
-    rows = with_motion(with_activity(timed(frames)))
+    """Frames (session_id, frame_index, fps, door, street, active) with all that the candidate needs. Signatures are normalised here."""
+    even = frames.withColumns({c: normalised(F.col(c)) for c in ("door", "street")})
+    rows = with_motion(with_activity(timed(even)))
     rows = rows.join(open_reference(rows, cfg), "session_id", "left")
     known = F.col("ready_frame").isNotNull() & (F.col("frame_index") >= F.col("ready_frame"))
     rows = rows.withColumn("gap", F.when(known, difference(F.col("door"), F.col("reference"))).otherwise(0.0))
@@ -157,22 +158,3 @@ def stop_points(frames: DataFrame, cfg: StopConfig) -> DataFrame:
     return facts.groupBy("session_id").applyInPandas(run, "session_id string, frame_index int, door_state string, phase string, reason string, stopped boolean")
 
 
-def grid_signature(image, polygon: list[tuple[float, float]], cells: int = 24) -> list[float | None]:
-    """Luma at the middle of each cell of a grid over a polygon's bounding box; None outside the polygon. ``image``: rows x columns x RGB."""
-    from .tracker import inside
-
-    height, width = image.shape[:2]
-    if len(polygon) < 3 or width <= 1 or height <= 1:
-        return [None] * (cells * cells)
-    xs, ys = [p[0] for p in polygon], [p[1] for p in polygon]
-    out: list[float | None] = []
-    for row in range(cells):
-        y = min(ys) + (max(ys) - min(ys)) * (row + 0.5) / cells
-        for column in range(cells):
-            x = min(xs) + (max(xs) - min(xs)) * (column + 0.5) / cells
-            if not inside(x, y, polygon):
-                out.append(None)
-                continue
-            r, g, b = image[min(int(y * height), height - 1), min(int(x * width), width - 1)][:3]
-            out.append((0.2126 * float(r) + 0.7152 * float(g) + 0.0722 * float(b)) / 255.0)
-    return out

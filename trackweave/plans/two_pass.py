@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CountConfig, FateConfig, TrackConfig
+from ..lineage import cut
 from ..operators import occupancy as O
 from ..operators import tracker
 from ..operators import trajectories as R
@@ -13,20 +14,18 @@ from ..operators.detections import zone_counts
 
 
 def analyse(detections: DataFrame, zones: DataFrame, track: TrackConfig, count: CountConfig, fate: FateConfig, mode: str = "offline") -> DataFrame:
-    """session_id, live_exits, offline_exits, exits (the greater of both; in ``streaming`` mode the live ones), initial, onboard."""
-    samples = tracker.recorded_samples(detections, zones, track, count)
-    origins = samples.groupBy("session_id", "track_id").agg(F.first("origin").alias("origin"))
+    """session_id, live_exits, offline_exits, exits (the greater of both; in ``streaming`` mode the live ones), initial, onboard.
+
+    The tracker runs once; what it tells is written to the shared folder and read by all that follows.
+    """
+    rows = cut(tracker.folded(detections, zones, track, count), "folded")
+    samples = tracker.samples_of(rows)
     clip_end = detections.groupBy("session_id").agg(F.max("frame_index").alias("final_frame_index"))
-    offline = R.session_totals(R.track_fates(samples.drop("origin"), fate, origins, clip_end)).withColumnRenamed("exits", "offline_exits")
-    live = tracker.live_exits(detections, zones, track, count).groupBy("session_id").agg(F.sum("exits").alias("live_exits"))
-    first = O.initial_occupancy(zone_counts(samples))
-    rows = detections.select("session_id").distinct().join(live, "session_id", "left").join(offline, "session_id", "left").join(first, "session_id", "left")
-    rows = rows.fillna(0, ["live_exits", "offline_exits", "initial"])
+    offline = R.session_totals(R.track_fates(samples.drop("again"), fate, tracker.origins_of(rows), clip_end)).withColumnRenamed("exits", "offline_exits")
+    live = tracker.exits_of(rows).groupBy("session_id").agg(F.sum("exits").alias("live_exits"))
+    first = O.initial_occupancy(zone_counts(samples.where("not again")))  # startup frames are recorded twice, but a person counts once
+    out = detections.select("session_id").distinct().join(live, "session_id", "left").join(offline, "session_id", "left").join(first, "session_id", "left")
+    out = out.fillna(0, ["live_exits", "offline_exits", "initial"])
     exits = F.greatest("live_exits", "offline_exits") if mode == "offline" else F.col("live_exits")
-    rows = rows.withColumn("exits", exits)
-    return rows.withColumn("onboard", F.least(F.greatest(F.col("initial") - F.col("exits"), F.lit(0)), F.lit(120)))
-
-
-def status(ended_by: str) -> str:
-    """How a session ends."""
-    return {"USER_STOP": "STOPPED", "END_OF_FILE": "FINISHED", "SMART_STOP": "FINISHED"}.get(ended_by, "FAILED")
+    out = out.withColumn("exits", exits)
+    return out.withColumn("onboard", F.least(F.greatest(F.col("initial") - F.col("exits"), F.lit(0)), F.lit(120)))

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as X
-from .config import BoxConfig, CountConfig, FateConfig, StopConfig, TrackConfig
+from .config import BoxConfig, CountConfig, DetectorConfig, FateConfig, LineConfig, StopConfig, TrackConfig
 from .functions import geometry as G
 from .functions import paths as P
 from .functions import vectors as V
-from .operators import catalog, detections, door_config, line_counter, occupancy, reid, results, smart_stop, tracker, trajectories
-from .plans import two_pass
+from .operators import catalog, detections, door_config, line_counter, messages, occupancy, reid, results, smart_stop, tracker, trajectories
+from .plans import sessions, two_pass
+from .sources import files
 
-FATE, COUNT, TRACK, BOX, STOP = FateConfig(), CountConfig(), TrackConfig(), BoxConfig(), StopConfig(need_activity=True)
+FATE, COUNT, TRACK, BOX, STOP, LINE = FateConfig(), CountConfig(), TrackConfig(), BoxConfig(), StopConfig(need_activity=True), LineConfig(inside_on_top=False)
 #: Wider limits, since derived tracks move fast: so that they show every rule.
 DERIVED = FateConfig(min_move_px=100.0, successor_px=400.0)
 
@@ -106,7 +107,7 @@ def lifetime_shift(spark, d):
 
 @query
 def line_counts(spark, d):
-    return line_counter.line_counts(X.samples(spark, d), 240.0, 24.0)
+    return line_counter.line_counts(X.samples(spark, d), 240.0, 24.0, LINE)
 
 
 def _labelled(spark, d) -> DataFrame:
@@ -188,12 +189,40 @@ def letterbox_boxes(spark, d):
     return _flat(X.boxes(spark, d).withColumn("frame", box), "frame")
 
 
+DETECTOR = DetectorConfig(form="auto")
+
+
+def _detector_values() -> F.Column:
+    """A row of detector output in one of four forms, by the box's number."""
+    e, to = F.col("det_seq"), lambda v: v.cast("double")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    score, kind = F.col("confidence"), to(F.lit(0))
+    centre = F.array((x1 + x2) / 2, (y1 + y2) / 2 + 80, x2 - x1, y2 - y1, score, kind)
+    shares = F.array((x1 + x2) / 1280, ((y1 + y2) / 2 + 80) / 640, (x2 - x1) / 640, (y2 - y1) / 640, score, kind)
+    batch = F.array(to(F.lit(0)), to(F.lit(1)), x1, y1 + 80, x2, y2 + 80)
+    corners = F.array(x1 + 0.5, y1 + 80.5, x2 + 0.5, y2 + 80.5, score, kind)
+    return F.when(e == 0, centre).when(e == 1, shares).when(e == 2, batch).when(e == 3, F.slice(centre, 1, 4)).otherwise(corners)
+
+
 @query
 def detector_rows(spark, d):
-    values = F.array("x1", "y1", "x2", "y2", "confidence", (F.col("det_seq") % 2).cast("double"))
-    rows = X.detections(spark, d).withColumn("r", detections.parse_row(values, "auto"))
-    rows = rows.select("session_id", "frame_index", "det_seq", F.col("r.box").alias("box"), F.col("r.score").alias("score"), F.col("r.kind").alias("kind"))
-    return detections.scored_persons(rows, 0.5).select("session_id", "frame_index", "det_seq", "score", F.round("box.x2", 6).alias("box_x2"))
+    rows = X.boxes(spark, d).withColumn("r", detections.parse_row(_detector_values(), DETECTOR, F.col("frame_width"), F.col("frame_height"))).where("r is not null")
+    flat = rows.select("session_id", "frame_index", "det_seq", F.round("r.score", 6).alias("score"), *[F.round(F.col(f"r.box.{c}"), 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return flat
+
+
+@query
+def detector_outputs(spark, d):
+    """Every dozen frames are one output, of planes in every other session, of rows in the others."""
+    rows = X.boxes(spark, d).withColumn("output_no", F.floor(F.col("frame_index") / 12).cast("int"))
+    box = F.struct("frame_index", "det_seq", ((F.col("x1") + F.col("x2")) / 2).alias("cx"), ((F.col("y1") + F.col("y2")) / 2 + 80).alias("cy"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), "confidence")
+    whole = rows.groupBy("session_id", "output_no").agg(F.array_sort(F.collect_list(box)).alias("b"))
+    zero = F.lit(0.0)
+    planes = F.array(*[F.concat(F.col("b").getField(c), F.array_repeat(zero, F.greatest(61 - F.size("b"), F.lit(0)))) for c in ("cx", "cy", "w", "h", "confidence")])
+    lines = F.transform("b", lambda x: F.array(x["cx"], x["cy"], x["w"], x["h"], x["confidence"], F.lit(0.0)))
+    outputs = whole.select("session_id", F.col("output_no").alias("frame_index"), F.lit(640).alias("frame_width"), F.lit(480).alias("frame_height"), F.when(F.substring("session_id", 2, 1).cast("int") % 2 == 1, planes).otherwise(lines).alias("output"))
+    found = detections.parse_output(outputs, DetectorConfig())
+    return found.select("session_id", "frame_index", "det_seq", F.round("score", 6).alias("score"), *[F.round(F.col(f"box.{c}"), 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
 @query
@@ -242,11 +271,12 @@ def suppressed_boxes(spark, d):
 
 @query
 def reid_best_match(spark, d):
-    e = X.table(spark, d, "embeddings")
+    """Ten vectors a frame; the pool of a frame are the vectors of the frame before."""
+    e = X.table(spark, d, "embeddings").withColumn("frame_index", F.floor(F.col("vec_id") / 10))
     unit = V.normalise(F.col("embedding"))
-    probes = e.where("vec_id % 10 = 0").select(F.col("label"), F.col("vec_id").alias("probe_id"), unit.alias("probe_embedding"))
-    pool = e.select(F.col("label"), F.col("vec_id").alias("pool_id"), unit.alias("pool_embedding"))
-    return rounded(reid.best_match(probes, pool, ["label"], 0.1), "similarity")
+    probes = e.select("frame_index", F.col("vec_id").alias("probe_id"), unit.alias("probe_embedding"))
+    pool = e.select((F.col("frame_index") + 1).alias("frame_index"), F.col("vec_id").alias("pool_id"), unit.alias("pool_embedding"))
+    return rounded(reid.best_match(probes, pool, ["frame_index"], 0.1), "similarity")
 
 
 @query
@@ -259,11 +289,12 @@ def blended_embeddings(spark, d):
 
 @query
 def position_fallback(spark, d):
-    rows = X.boxes(spark, d).withColumn("zone", F.lit("OUTSIDE"))
+    """The boxes of a frame against those of the frame before, as lost tracks."""
+    rows = X.boxes(spark, d)
     x, y = G.anchor(F.col("box"), 0.5, 0.5)
-    probes = rows.select("session_id", (F.col("frame_index") * 5 + F.col("det_seq")).alias("det_seq"), "box", x.alias("x"), y.alias("y"), (y < 300).alias("at_exit"))
+    probes = rows.select("session_id", "frame_index", "det_seq", "box", x.alias("x"), y.alias("y"), (y < 300).alias("at_exit"))
     pool = rows.select(
-        "session_id", (F.col("frame_index") * 5 + F.col("det_seq")).alias("track_id"), F.col("box").alias("track_box"), x.alias("track_x"), y.alias("track_y"),
+        "session_id", (F.col("frame_index") + 1).alias("frame_index"), F.col("det_seq").alias("track_id"), F.col("box").alias("track_box"), x.alias("track_x"), y.alias("track_y"),
         (F.col("frame_index") % 30).alias("lost"), (F.col("det_seq") != 1).alias("has_history"), (F.col("frame_index") % 7 == 0).alias("alighted"),
     )
     return rounded(reid.position_fallback(probes, pool, TRACK), "px")
@@ -276,14 +307,19 @@ def path_metadata(spark, d):
     return rows.select("path", "video_device_id", F.col("record_date").cast("string").alias("record_date"), "relative_path", "channel", "camera_code", "event_code", "record_type", epoch("clip_started_at").alias("clip_started_s"), epoch("clip_finished_at").alias("clip_finished_s"), "file_flag", "file_uid")
 
 
+def _roots(spark) -> DataFrame:
+    return spark.createDataFrame([("/data/incoming", "FTP_INCOMING", 0), ("/data/processed", "FTP_PROCESSED", 1), ("/data/videos", "VIDEOS", 2), ("/srv", "VIDEOS", 2)], "root string, kind string, priority int")
+
+
 @query
 def file_catalog(spark, d):
-    return catalog.videos(X.clip_files(spark, d)).select("path", "location", "can_preview", "can_analyse", "issue")
+    files = X.clip_files(spark, d).withColumn("size", F.when(F.col("size") % 70 == 0, F.lit(0)).otherwise(F.col("size")))
+    return catalog.videos(files, _roots(spark)).select("path", "location", "folder", "below_root", "modified", "can_preview", "can_analyse", "issue")
 
 
 @query
 def recorder_samples(spark, d):
-    return catalog.sample_videos(X.clip_files(spark, d), "1007", "3").select("path", "modified_ms")
+    return catalog.sample_videos(X.clip_files(spark, d), "/data", "1007", "3", 4).select("path", "modified_ms")
 
 
 @query
@@ -440,8 +476,76 @@ def door_states(spark, d):
 
 @query
 def signature_statistics(spark, d):
-    cells = X.door_frames(spark, d).select("session_id", "frame_index", F.explode("street").alias("v"))
-    return rounded(cells.groupBy("session_id", "frame_index").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread")), "mean", "spread")
+    rows = X.door_frames(spark, d).withColumn("even", smart_stop.normalised(F.col("street")))
+    return rows.select("session_id", "frame_index", F.round(F.get("even", 0), 6).alias("first"), F.round(F.get("even", 3), 6).alias("last"))
+
+
+@query
+def frame_diagnostics(spark, d):
+    rows = detections.diagnostics(_labelled(spark, d), 30)
+    return rows.select("session_id", "frame_index", F.coalesce(F.col("zones")["INSIDE"], F.lit(0)).alias("inside"), F.coalesce(F.col("zones")["OUTSIDE"], F.lit(0)).alias("outside"), "doorway", "detections")
+
+
+def _clocked(spark, d) -> DataFrame:
+    """Frames with a clock of 40 to 75 milliseconds a frame; none stops."""
+    frames = X.detections(spark, d).groupBy("session_id", "frame_index").agg(F.count(F.lit(1)).alias("visible"))
+    return frames.select("session_id", "frame_index", (F.col("frame_index") * 40 + F.col("frame_index") % 8 * 5).cast("long").alias("at_ms"), (F.col("frame_index") % 50 == 49).alias("stopped"), "visible")
+
+
+@query
+def emitted_frames(spark, d):
+    return messages.emitted(_clocked(spark, d)).select("session_id", "frame_index", "sent")
+
+
+@query
+def frame_messages(spark, d):
+    boxes = X.detections(spark, d)
+    events = boxes.where("det_seq = 2").select("session_id", "frame_index", F.col("det_seq").alias("track_id"))
+    rows = messages.frame_messages(_clocked(spark, d), boxes.select("session_id", "frame_index", "det_seq", "x1"), events)
+    shown = F.from_json("payload", "frame_index int, detections array<struct<det_seq int>>, visible int")
+    return rows.withColumn("p", shown).select("session_id", "frame_index", "n_events", F.size("p.detections").alias("boxes"), F.col("p.visible").alias("visible"))
+
+
+def _sessions(spark, d) -> DataFrame:
+    """Stored results as sessions, some still running, some of those asked to stop."""
+    rows = X.stored_results(spark, d)
+    running = F.col("finished_ms") % 4 == 0
+    return rows.select(
+        "session_id", F.lit("v").alias("video_path"), F.when(running, "RUNNING").otherwise(F.col("status")).alias("status"), (F.col("finished_ms") - 5000).alias("started_ms"), F.when(~running, F.col("finished_ms")).alias("finished_ms"),
+        (F.col("finished_ms") % 8 == 0).alias("stop_asked"), F.lit(9).cast("long").alias("frames_processed"), F.col("alightings").cast("long").alias("total_alightings"), F.lit(3).cast("long").alias("initial_onboard"),
+        F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("string").alias("finish_reason"),
+    )
+
+
+@query
+def finished_sessions(spark, d):
+    ends = X.stored_results(spark, d).select("session_id", F.when(F.col("finished_ms") % 3 == 0, "END_OF_FILE").when(F.col("finished_ms") % 3 == 1, "SMART_STOP").otherwise("ERROR").alias("ended_by"), F.col("finished_ms").alias("at_ms"), F.lit("r").alias("finish_reason"), F.lit(None).cast("string").alias("error_message"))
+    return sessions.finish(_sessions(spark, d), ends).select("session_id", "status", "finished_ms", "finish_reason")
+
+
+@query
+def final_messages(spark, d):
+    shown = F.from_json("payload", "status string, total_exited long, final_onboard long, duration_ms long")
+    return messages.final_messages(_sessions(spark, d)).select("session_id", shown.alias("p")).select("session_id", "p.*")
+
+
+@query
+def session_state(spark, d):
+    return sessions.state(_sessions(spark, d), "r1").select("session_id", "status", "total_exited", "current_onboard")
+
+
+@query
+def pending_doors(spark, d):
+    samples = X.table(spark, d, "supplier").select(F.concat(F.lit("rec"), (F.col("s_suppkey") % 30).cast("string")).alias("recorder_id"), (F.col("s_suppkey") % 7).cast("string").alias("camera_code"), F.format_string("f%06d", "s_suppkey").alias("path"), (F.col("s_suppkey") % 50).alias("modified_ms"))
+    return door_config.pending_channels(X.bindings(spark, d), samples).select("id", "recorder_id", "camera_code", "sample_path", "preview_available", "updated_ms")
+
+
+@query
+def completed_uploads(spark, d):
+    k = F.col("o_orderkey")
+    argument = F.when(k % 6 == 0, F.concat(F.lit("/1001/"), k.cast("string"))).when(k % 6 == 1, F.concat(F.lit('"a\\'), k.cast("string"), F.lit('"'))).when(k % 6 == 2, F.concat(F.lit("../../x/"), k.cast("string"))).when(k % 6 == 3, "  ").otherwise(F.concat(F.lit("../b/"), k.cast("string")))
+    events = X.table(spark, d, "orders").select(argument.alias("argument"), F.when(k % 2 == 0, "/cam/").alias("working_dir"))
+    return files.completed_uploads(events, "/data/incoming").select("path")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -48,3 +49,20 @@ def embed(rows: DataFrame, load: Callable[[], Callable[[list[bytes]], list]], im
             yield pd.Series(out)
 
     return rows.withColumn("embedding", run(F.col(image)))
+
+
+def providers(asked: str, available: list[str] | None = None) -> list[str]:
+    """Where a model runs: on the graphics card if that is asked for and there, and always on the processor as the fallback."""
+    if available is None:
+        try:
+            import onnxruntime
+
+            available = onnxruntime.get_available_providers()
+        except ImportError:
+            available = []
+    cuda, cpu = "CUDAExecutionProvider", "CPUExecutionProvider"
+    if asked.lower() == "cuda":
+        if cuda in available:
+            return [cuda, cpu]
+        logging.getLogger(__name__).warning("the CUDA provider was asked for but isn't available, so the processor is used")
+    return [cpu]

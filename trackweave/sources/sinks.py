@@ -7,48 +7,86 @@ import os
 import shutil
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..lineage import delete, exists
 from ..operators.results import upsert
 
 log = logging.getLogger(__name__)
 
 
-def save_results(new: DataFrame, path: str, key: str = "session_id", by: str = "finished_ms", enabled: bool = True) -> bool:
-    """Upserts into a Parquet table by key. A failure is logged, not raised: counting goes on. The table is swapped after the write."""
+#: Parts of a stored table, by the hash of the key: an upsert rewrites those that it touches.
+BUCKETS = 64
+
+
+def _commit(spark, side: str, path: str) -> None:
+    spark.read.parquet(side).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    delete(spark, side)
+
+
+def save_results(new: DataFrame, path: str, key: str = "session_id", by: str = "finished_ms", enabled: bool = True, buckets: int = BUCKETS) -> bool:
+    """Upserts into a Parquet table by key, on any file system that Spark writes to. A failure is logged, not raised: counting goes on.
+
+    Touched parts are merged into a table beside the first, then replace the old parts. If that is cut short, the next call, or
+    ``load_results``, does it again from the table beside, so nothing is lost.
+    """
     if not enabled:
         return False
-    spark = new.sparkSession
+    spark, side = new.sparkSession, f"{path}.next"
     try:
-        side = f"{path}.next"
-        rows = upsert(spark.read.parquet(path), new, key, by) if os.path.exists(path) else upsert(new.limit(0), new, key, by)
-        rows.write.mode("overwrite").parquet(side)
-        shutil.rmtree(path, ignore_errors=True)
-        os.replace(side, path)
+        recover(spark, path)
+        rows = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        if exists(spark, path):
+            touched = rows.select("bucket").distinct()
+            merged = upsert(spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").select(*rows.columns), rows, key, by)
+        else:
+            merged = upsert(rows.limit(0), rows, key, by)
+        merged.write.mode("overwrite").parquet(side)
+        _commit(spark, side, path)
     except Exception:  # noqa: BLE001
         log.exception("results were not saved")
         return False
     return True
 
 
+def recover(spark, path: str) -> None:
+    """Finishes an upsert that was cut short after its merge, and drops one that was cut short before."""
+    side = f"{path}.next"
+    if exists(spark, f"{side}/_SUCCESS"):
+        _commit(spark, side, path)
+    elif exists(spark, side):
+        delete(spark, side)
+
+
+def load_results(spark, path: str) -> DataFrame:
+    recover(spark, path)
+    return spark.read.parquet(path).drop("bucket")
+
+
 def batch_upsert(path: str, key: str = "session_id", by: str = "finished_ms"):
     """For ``writeStream.foreachBatch``."""
     return lambda batch, _: save_results(batch, path, key, by) and None
 
 
-def after_analysis(path: str, status: str, home: str, archive: bool = True) -> str | None:
-    """Moves a file under ``home`` to ``processed/<status>``, or deletes it; other files stay. Returns the new place."""
+def after_analysis(path: str, status: str, home: str, processed: str, keep: bool = True) -> str | None:
+    """Moves a file under ``home`` to ``<processed>/<status>/<its name>``, or deletes it; other files stay. Returns the new place."""
     real, top = os.path.realpath(path), os.path.realpath(home)
     if not real.startswith(top + os.sep) or not os.path.isfile(real):
         return None
-    if not archive:
+    if not keep:
         os.unlink(real)
         return None
-    target = os.path.join(top, "processed", "" if status == "FINISHED" else status.lower(), os.path.relpath(real, top))
+    target = os.path.join(os.path.realpath(processed), status.lower(), os.path.basename(real))
     os.makedirs(os.path.dirname(target), exist_ok=True)
     shutil.move(real, target)
     return target
 
 
+def park_unclassified(path: str, home: str, processed: str, keep: bool = True) -> str | None:
+    """A clip whose camera has no door waits in ``<processed>/needs-classification``."""
+    return after_analysis(path, "needs-classification", home, processed, keep)
+
+
 def replace_atomically(data: bytes, path: str) -> None:
     """The latest preview of a camera: readers see the old file or the new one."""
     os.makedirs(os.path.dirname(path), exist_ok=True)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import CountConfig, TrackConfig
@@ -16,12 +17,15 @@ OUT = "session_id string, frame_index int, track_id int, kind string, exits int,
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
-def live_exits(frames: DataFrame, zones: dict[str, dict], track: TrackConfig, count: CountConfig, idle_ms: int | None = 60_000) -> DataFrame:
+def live_exits(frames: DataFrame, zones: DataFrame, track: TrackConfig, count: CountConfig, idle_ms: int | None = 60_000) -> DataFrame:
     """Exit events from a stream of frames: session_id, frame_index, ended, detections (an array, empty frames included).
 
     A micro-batch may hold several frames of a session; they are taken by index. State goes when a row has ``ended`` or the session is
-    idle for ``idle_ms``; without that only at the end, as bounded runs need, since timeouts keep asking for batches. ``zones`` are one small row for each session.
+    idle for ``idle_ms``; without that only at the end, as bounded runs need, since timeouts keep asking for batches. ``zones``, a static
+    table of one row for each session, are joined to the frames, and each session keeps its own.
     """
+    about = F.struct(*[F.col(c) for c in zones.columns if c != "session_id"]).alias("zones")
+    frames = frames.join(zones.select("session_id", about), "session_id", "left")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -30,15 +34,19 @@ def live_exits(frames: DataFrame, zones: dict[str, dict], track: TrackConfig, co
         if state.exists:
             core = pickle.loads(state.get[0])
         else:
-            row = zones.get(key[0])
-            core = SessionCore(zones_of(row) if row else None, row["frame_height"] if row else 0.0, track, count)
+            core = None
         rows = pd.concat(list(batches)).sort_values("frame_index", kind="stable")
+        if core is None:
+            given = rows["zones"].iloc[0]
+            row = None if given is None else given if isinstance(given, dict) else given.asDict(recursive=True)
+            core = SessionCore(zones_of(row) if row else None, row["frame_height"] if row else 0.0, track, count)
         out: list[dict] = []
         for r in rows.itertuples():
             out += core.frame(int(r.frame_index), [seen_of(dict(d) if not hasattr(d, "asDict") else d.asDict()) for d in r.detections])
         if rows["ended"].any():
             state.remove()
         else:
+            core.samples, core.events = [], []  # what was emitted isn't state
             state.update((pickle.dumps(core),))
             if idle_ms is not None:
                 state.setTimeoutDuration(idle_ms)
