@@ -9,7 +9,7 @@ place as dead, so every place is tried once. Compatibility of adjacent tokens is
 Words are the matches of the splitting pattern. A text is first cut before ASCII white space that
 follows other characters, where the pattern always splits too, and the ids of short pieces are
 remembered in a bounded memory. Null and empty texts have no ids. Any text survives the round
-trip; decoding is done from the ids alone.
+trip; decoding is done from the ids alone. Repeated rows give repeated rows, an empty table an empty one.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_fields
+from .common import tidy, with_fields
 from .token_counts import pieces
 
-#: A Python worker remembers the ids of one to two times MEMORY short pieces, those used last, and at most PAIRS pairs of tokens.
-MEMORY, PAIRS, KEPT_CHARS = 500_000, 1_000_000, 64
+#: During a task, the ids of short pieces are remembered in one to two times MEMORY bytes, those used last, and the fit of PAIRS pairs of tokens at most.
+MEMORY, PAIRS, KEPT_CHARS = 24 << 20, 200_000, 64
+#: About what an entry takes beside its characters.
+ENTRY_BYTES = 200
 
 _coders: dict[tuple[str, str], "ByteBpe"] = {}
 
@@ -57,8 +59,21 @@ class ByteBpe:
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
         self.shorter: dict[int, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Frees what was remembered of texts; at the end of a task, since workers live on."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.fits.clear()
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= KEPT_CHARS:
+            self.held += ENTRY_BYTES + len(piece) + len(ids)
+            if self.held > MEMORY:
+                self.known, self.older, self.held = {}, self.known, 0
+            self.known[piece] = ids
 
     def _split_all(self) -> None:
         """The two tokens that each token is merged from; single bytes are their own halves.
@@ -150,36 +165,36 @@ class ByteBpe:
     def _remembered(self, piece: str) -> bytes | None:
         ids = self.known.get(piece)
         if ids is None and (ids := self.older.get(piece)) is not None:
-            self.known[piece] = ids
+            self._keep(piece, ids)
         return ids
 
     def _word_ids(self, word: str) -> bytes:
         ids = self._remembered(word)
         if ids is None:
             ids = b"".join([i.to_bytes(4, "little") for i in self.encode_word(word.encode())])
-            if len(word) <= KEPT_CHARS:
-                self.known[word] = ids
+            self._keep(word, ids)
         return ids
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > MEMORY:
-            self.known, self.older = {}, self.known
-        known, out = self.known, []
+        out = []
         for piece in pieces(text):
-            ids = known.get(piece)
+            ids = self.known.get(piece)
             if ids is None and (ids := self._remembered(piece)) is None:
                 ids = b"".join(map(self._word_ids, self.words.findall(piece)))
-                if len(piece) <= KEPT_CHARS:
-                    known[piece] = ids
+                self._keep(piece, ids)
             out.append(ids)
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    def decode_bytes(self, ids) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
+    def decode_bytes(self, ids) -> bytes | None:
+        """The bytes of some ids; None if one of them is none of the vocabulary's."""
+        try:
+            return b"".join(map(self.vocabulary.__getitem__, ids))
+        except KeyError:
+            return None
 
 
 def _coder(path: str, pattern: str) -> ByteBpe:
@@ -194,21 +209,24 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(path, pattern)
         for batch in batches:
-            packed = [coder.encode_bytes(x or "") for x in batch.to_pylist()]
+            packed = [coder.encode_bytes(x.as_py() or "") for x in batch]
             ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+        coder.forget()
+        tidy()
 
     return encode(text)
 
 
 def decode_column(ids: Column, path: str, pattern: str) -> Column:
-    """The text bytes of an array of ids; null gives null, an empty array gives no bytes."""
+    """The text bytes of an array of ids; null gives null, as does an array with an unknown or null id; an empty array gives no bytes."""
 
     @F.arrow_udf(T.BinaryType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(path, pattern)
         for batch in batches:
-            yield pa.array([None if x is None else coder.decode_bytes(x) for x in batch.to_pylist()], pa.binary())
+            yield pa.array([coder.decode_bytes(x.as_py()) if x.is_valid else None for x in batch], pa.binary())
+        tidy()
 
     return decode(ids)
 
@@ -229,6 +247,8 @@ def digest_column(text: Column, path: str, pattern: str) -> Column:
                 rows[1].append(hashlib.sha256(packed).hexdigest())
                 rows[2].append(hashlib.sha256(decoded).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], kind.names)
+        coder.forget()
+        tidy()
 
     return digest(text)
 

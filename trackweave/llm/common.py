@@ -1,16 +1,15 @@
-"""What the corpus operators share: reading tables, cutting lineage, temporary column names."""
+"""What the corpus operators share: reading tables, cutting lineage, giving memory back, temporary column names."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import cut, shared_dir  # noqa: F401
+
 #: ASCII white space and words, the same characters in Java, Python and RE2.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -30,32 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share.
-
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, and only on a
-    local master (tests), a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="trackweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, so that its lineage ends there.
-
-    A lost executor then costs tasks of later stages only, never a recomputation of this one.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trackweave-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that don't clash with those of ``df`` (case is ignored)."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,8 @@ each task's smallest ids; ties go to smaller ids.
 
 Vectors that are null or hold null or non-finite components, and rows with a null id, take no part.
 Vectors of different lengths never meet: queries are scored against vectors of their own length only.
-An empty table gives an empty result. Repeated ids are separate candidates, apart from a query's own id.
+Empty vectors are vectors of length 0 and score 0. Components that exceed 64 bits count as the nearest 64-bit integer,
+scores beyond 62 bits as the nearest one within. An empty table gives an empty result. Repeated ids are separate candidates, apart from a query's own id.
 Repeated queries are ranked row by row: each has its own k rows in the result.
 """
 
@@ -27,6 +28,8 @@ from .common import cut
 
 #: Vectors in a block of data and of queries; blocks of data in a slice; bins of a round; factor of the integers.
 DATA_BLOCK, QUERY_BLOCK, SLICE, BINS, SCALE = 2048, 512, 4, 256, 64
+#: Scores from -MOST to MOST - 1 are exact; what lies beyond counts as the nearest of them.
+MOST = 1 << 62
 
 
 def _pack(rows: DataFrame, size: int) -> DataFrame:
@@ -54,19 +57,23 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
 def _whole(vectors: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     v = F.col(f"`{vector}`")
     fine = v.isNotNull() & F.col(f"`{id_col}`").isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    return vectors.where(F.coalesce(fine, F.lit(False)) & (F.size(v) > 0)).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
 def _matrix(row: dict, kind: str = "") -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row[f"{kind}ids"], "<i8")
-    return ids, np.frombuffer(row[f"{kind}data"], "<i8").reshape(len(ids), row["dim"])
+    data = row[f"{kind}data"]
+    return ids, (np.frombuffer(data, "<i8") if data else np.zeros(0, "<i8")).reshape(len(ids), row["dim"])
 
 
 def _scores(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Integer inner products; through floating point where that is exact."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * q.shape[1] < 2**52:
+    """Integer inner products; through floating point where that is exact, by unbounded integers where 64 bits could overflow."""
+    bound = float(np.abs(q.astype("f8")).max(initial=0)) * float(np.abs(d.astype("f8")).max(initial=0)) * q.shape[1]
+    if bound < 2**52:
         return (q.astype("f8") @ d.astype("f8").T).astype("i8")
-    return q @ d.T
+    if bound < MOST:
+        return q @ d.T
+    return np.clip(q.astype(object) @ d.astype(object).T, -MOST, MOST - 1).astype("i8")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -101,7 +108,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
 
     longest = [(x.select("dim", "n", "ids", "data").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0] or 0.0) for x in (data, asked)]
     half = 1
-    while half <= longest[0] * longest[1] + 1:
+    while half < MOST and half <= longest[0] * longest[1] + 1:
         half *= 2
     def histograms(step: int, bins: int):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitmaps import key_filter, may_hold
-from .common import cut
+from .common import cut, tidy
 from .components import components
 from .shingles import chunks, mix, shingle_sets, slices
 
@@ -62,7 +62,8 @@ def _prints(hashes: np.ndarray, owners: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def _survey(n_gram: int):
-    """Rows (doc_id, n, h, h2) for documents, and at the end (block, counts) for the table of counts."""
+    """Rows (doc_id, mark, n, h, h2) for documents, and at the end (block, counts) for the table of counts."""
+    names = ["doc_id", "mark", "n", "h", "h2", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
@@ -73,11 +74,12 @@ def _survey(n_gram: int):
                 np.add.at(counts, (hashes & np.uint64(len(counts) - 1)).astype(np.int64), 1)
                 n, h, h2 = _prints(hashes, owners, end - begin)
                 none = pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(_signed(h)), pa.array(_signed(h2)), *none], ["doc_id", "n", "h", "h2", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), batch.column(2).slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(_signed(h)), pa.array(_signed(h2)), *none], names)
         blocks = counts.reshape(-1, 1 << BLOCK_BITS)
         packed = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in blocks]
         empty = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(np.arange(len(blocks)), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "n", "h", "h2", "block", "counts"])
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(np.arange(len(blocks)), pa.int32()), pa.array(packed, pa.binary())], names)
+        tidy()
 
     return run
 
@@ -275,7 +277,7 @@ def _ids_as_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text: str, n_gram: int, num: int, den: int):
         self.spark = docs.sparkSession
-        self.texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+        self.texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
         self.n_gram, self.num, self.den = n_gram, num, den
 
     def similar(self, overlap, n_a, n_b):
@@ -326,8 +328,8 @@ class _Join:
         return both.select(F.col("a").alias("node"), F.col("members_b").alias("links")).union(both.select("b", "members_a"))
 
     def run(self) -> DataFrame:
-        survey = cut(self.texts.mapInArrow(_survey(self.n_gram), "doc_id long, n long, h long, h2 long, block int, counts binary"), "survey")
-        rows = survey.where("block is null").select("doc_id", "n", "h", "h2")
+        survey = cut(self.texts.mapInArrow(_survey(self.n_gram), "doc_id long, mark long, n long, h long, h2 long, block int, counts binary"), "survey")
+        rows = survey.where("block is null").select("doc_id", "mark", "n", "h", "h2")
         levels = self.spark.sparkContext.broadcast(_levels(survey))
         live = rows.where("doc_id is not null and n > 0")
         classes = cut(live.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("members")), "classes")
@@ -367,10 +369,19 @@ class _Join:
         n_links = F.col("members") - 1 + F.coalesce("links", F.lit(0).cast("long"))
         member = member.select("h", "h2", "n", F.coalesce("root", "node").alias("root"), n_links.alias("n_links"))
         # The root is the node with the smallest first document, so that document is the smallest in reach.
-        named = live.join(member, ["h", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("root.d").alias("component_id"), "n_links")
-        return named.union(rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long")))
+        first = (F.col("doc_id") == F.col("root.d")) & (F.col("h") == F.col("root.h"))
+        named = live.join(member, ["h", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("root.d").alias("component_id"), "n_links", "h", "mark", first.alias("is_first"))
+        return named.union(rows.where("doc_id is null or n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long"), "h", "mark", F.lit(True)))
+
+
+def jaccard_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, n_links, h (of its set), mark (``xxhash64`` of its text), is_first.
+
+    ``is_first`` marks the documents that have both the component's smallest id and the set that stands for it.
+    """
+    return _Join(docs, id_col, text, n_gram, num, den).run()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_gram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, n_links (other documents it links with); documents link at a Jaccard similarity of num / den or more."""
-    return _Join(docs, id_col, text, n_gram, num, den).run()
+    return jaccard_rows(docs, id_col, text, n_gram, num, den).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, tidy
 from .shingles import chunks, mix, word_hashes
 
 #: Most documents that the fit reads; rounds and step of the fit; weight of the squared weights.
 TRAIN_DOCS, ROUNDS, STEP, RIDGE = 3000, 120, 0.15, 1e-3
+#: Texts that are Python objects at a time.
+ROWS = 512
 
 _CLASSES = ("#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "!?", "|", ".,;:'\"()-/")
 _TABLE = np.zeros((len(_CLASSES) + 1, 256), np.int64)
@@ -224,7 +226,9 @@ def classify(docs: DataFrame, field: Field, text: str = "text", score: str = "sc
     @F.arrow_udf("double")
     def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(field.scores(batch.to_pylist()), pa.float64())
+            parts = [field.scores(batch.slice(k, ROWS).to_pylist()) for k in range(0, len(batch), ROWS)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        tidy()
 
     (held,) = fresh(docs, "_score")
     kept = [c for c in docs.columns if c.lower() not in (score.lower(), "predicted")]

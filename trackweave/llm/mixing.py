@@ -6,7 +6,8 @@ sizes. A shard is a hash slice of one source's documents in seeded order: a ring
 the quota is taken from a seeded block on, round after round. So every quota is an integer,
 every document is taken as a run of words, and a rerun takes the same.
 
-Hot sources get more shards, up to MAX_SHARDS, and only (id, source, size) is ever shuffled. Null texts
+Hot sources get more shards; blocks go to groups of GROUP shards first, so that no ranking holds more than the groups of one
+source or the shards of one group. Only (id, source, size) is ever shuffled. Null texts
 have size 0 and are never taken; null sources are one source of their own, the last; null ids are
 ordered as an empty string, and rows of equal id by size.
 """
@@ -22,8 +23,8 @@ from .common import WORD, cut
 
 #: Weights of sources in order, repeating; words of the mix as a share of all words; most passes over a source.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
-#: Words of a block; words that a shard should have; most shards of a source; seed.
-BLOCK, SHARD_WORDS, MAX_SHARDS, SEED = 32, 250_000, 4096, "mix-1"
+#: Words of a block; words that a shard should have; shards of a group; seed.
+BLOCK, SHARD_WORDS, GROUP, SEED = 32, 250_000, 4096, "mix-1"
 
 
 def seeded(*parts: Column | str) -> Column:
@@ -77,7 +78,7 @@ def apportion(rows: DataFrame, group: list[str], key: list[str], weight: str, se
     return won.groupBy(*keys).agg(F.sum(F.col("_won").cast("long")).alias("_more")).withColumn("quota", F.col("_sure") + F.col("_more")).drop("_sure", "_more")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, passes: int = PASSES, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, max_shards: int = MAX_SHARDS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, passes: int = PASSES, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, group: int = GROUP, seed: str = SEED) -> DataFrame:
     """For each row of ``docs``: doc_id, source, size, source_size, target, taken (words), and the run's copies.
 
     ``taken`` is at most ``passes`` times ``size``; a source's sum of it is its target to within a
@@ -88,14 +89,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     whole = whole.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block).cast("long"))
     # One row for each source: read several times below, made from the narrow table of sizes each time.
     whole = apportion(whole, [], ["source"], "target", "seats").withColumnRenamed("quota", "blocks")
-    whole = whole.withColumn("n_shards", F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long")).drop("seats")
+    whole = whole.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")).drop("seats")
     whole = cut(whole, "sources").withColumnRenamed("source", "_s")
     dealt = sized.join(whole, sized["source"].eqNullSafe(F.col("_s"))).drop("_s")
     dealt = dealt.withColumn("shard", F.pmod(seeded_int(seed, F.col("doc_id")), F.col("n_shards")))
     own = Window.partitionBy("source", "shard").orderBy(seeded(seed, F.col("doc_id")), "size")
     dealt = dealt.withColumn("_end", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("ring"), F.first("blocks").alias("blocks"))
-    shards = apportion(shards, ["source"], ["shard"], "ring", "blocks")
+    shards = shards.withColumn("part", F.floor(F.col("shard") / group))
+    parts = apportion(shards.groupBy("source", "part").agg(F.sum("ring").alias("whole"), F.first("blocks").alias("blocks")), ["source"], ["part"], "whole", "blocks")
+    parts = parts.select(F.col("source").alias("_s"), F.col("part").alias("_p"), F.col("quota").alias("part_blocks"))
+    shards = shards.join(parts, shards["source"].eqNullSafe(F.col("_s")) & (shards["part"] == F.col("_p"))).drop("_s", "_p")
+    shards = apportion(shards, ["source", "part"], ["shard"], "ring", "part_blocks")
     shards = shards.select(F.col("source").alias("_s"), F.col("shard").alias("_shard"), "ring", F.least(F.col("quota") * block, F.col("ring") * passes).alias("_quota"))
     shards = shards.withColumn("_start", F.pmod(seeded_int(seed, F.col("_s"), F.col("_shard")), F.greatest(F.lit(1), F.ceil(F.col("ring") / block))) * block)
     out = dealt.join(shards, dealt["source"].eqNullSafe(F.col("_s")) & (dealt["shard"] == F.col("_shard")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import SPACE, WORD
-from .mixing import BLOCK, MAX_SHARDS, PASSES, SEED, SHARD_WORDS, SHARE
+from .mixing import BLOCK, GROUP, PASSES, SEED, SHARD_WORDS, SHARE
 from .quality_rules import CAPITALS, MAX_LOST, MAX_REPEATED, MIN_WORDS, PHRASES, SEPARATOR, TERMINAL
 
 
@@ -68,12 +68,15 @@ s AS (SELECT *, cap * rest_ <= left_ * weight AS capped FROM r),
 t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE weight * ((total - coalesce(sum(cap) FILTER (capped) OVER (), 0)) / sum(weight) FILTER (NOT capped) OVER ()) END AS target FROM s),
 u AS (SELECT *, CAST(round(sum(target) OVER () / {BLOCK}) AS BIGINT) AS seats FROM t),
 {_apportioned("u", "", "source", "target", "seats", "blocks", "v")},
-w AS (SELECT source, source_size, target, blocks, CAST(least({MAX_SHARDS}, greatest(1, ceil(source_size / CAST({SHARD_WORDS} AS DOUBLE)))) AS BIGINT) AS n_shards FROM v),
+w AS (SELECT source, source_size, target, blocks, CAST(greatest(1, ceil(source_size / CAST({SHARD_WORDS} AS DOUBLE))) AS BIGINT) AS n_shards FROM v),
 x AS (SELECT z.*, source_size, target, blocks, md5(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h, n_shards FROM z JOIN w ON z.source IS NOT DISTINCT FROM w.source),
 y AS (SELECT *, CAST('0x' || substr(h, 1, 15) AS BIGINT) % n_shards AS shard FROM x),
 aa AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source, shard ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_ FROM y),
-ab AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS ring, any_value(blocks) AS blocks FROM y GROUP BY source, shard),
-{_apportioned("ab", "source", "shard", "ring", "blocks", "quota", "ac")},
+ab AS (SELECT source, shard, shard // {GROUP} AS part, CAST(sum(size) AS BIGINT) AS ring, any_value(blocks) AS blocks FROM y GROUP BY source, shard),
+ag AS (SELECT source, part, CAST(sum(ring) AS BIGINT) AS whole, any_value(blocks) AS blocks FROM ab GROUP BY source, part),
+{_apportioned("ag", "source", "part", "whole", "blocks", "part_blocks", "ah")},
+ai AS (SELECT ab.source, shard, ab.part, ring, part_blocks FROM ab JOIN ah ON ab.source IS NOT DISTINCT FROM ah.source AND ab.part = ah.part),
+{_apportioned("ai", "source, part", "shard", "ring", "part_blocks", "quota", "ac")},
 ad AS (SELECT source, shard, ring, least(quota * {BLOCK}, ring * {PASSES}) AS quota, CAST('0x' || substr(md5(concat_ws('|', '{SEED}', coalesce(source, ''), CAST(shard AS VARCHAR))), 1, 15) AS BIGINT) % CAST(greatest(1, ceil(ring / CAST({BLOCK} AS DOUBLE))) AS BIGINT) * {BLOCK} AS start FROM ac),
 ae AS (SELECT aa.*, greatest(ring, 1) AS ring, quota, start, start + quota % greatest(ring, 1) AS stop FROM aa JOIN ad ON aa.source IS NOT DISTINCT FROM ad.source AND aa.shard = ad.shard)
 SELECT doc_id, size, source_size, target, CAST(quota // ring * size + greatest(0, least(end_, stop) - greatest(end_ - size, start)) + greatest(0, least(end_, stop - ring) - greatest(end_ - size, start - ring)) AS BIGINT) AS taken FROM ae"""

@@ -6,11 +6,10 @@ memory; a text's count is the sum over its pieces.
 
 A boundary is safe between a character that is no white space and an ASCII white-space
 character: no alternative of the byte-level splitting pattern joins such a pair, the pattern looks
-ahead within white space only and never back, and no added token holds white space. A text with
-white space outside ASCII, where the classes of Python and of the library could differ, is
-encoded whole.
+ahead within white space only and never back, and no added token holds white space. Behind
+white space outside ASCII, and characters that only some count as white space, there is no boundary.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated rows.
+Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated rows, an empty table an empty one. Ids don't matter.
 """
 
 from __future__ import annotations
@@ -23,16 +22,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_fields
+from .common import tidy, with_fields
 
 #: One encode_batch call gets about this many bytes.
 BATCH_BYTES = 1 << 20
-#: A Python worker remembers one to two times so many distinct pieces, those used last. Longer pieces aren't kept.
-MEMORY, KEPT_CHARS = 500_000, 64
+#: Texts that are Python objects at a time.
+ROWS = 512
+#: During a task, one to two times so many bytes of distinct pieces are remembered, those used last. Longer pieces aren't kept.
+MEMORY, KEPT_CHARS, ENTRY_BYTES = 24 << 20, 64, 120
 
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space of Unicode outside ASCII, and ASCII separators that Python alone counts as white space.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_ODD_CHARS = "\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
+_ODD = re.compile(f"[{_ODD_CHARS}]")
+_ODD_PIECE = re.compile(rf"[ \t-\r{_ODD_CHARS}]*(?:[^ \t-\r{_ODD_CHARS}]+(?:[{_ODD_CHARS}][ \t-\r{_ODD_CHARS}]*)?)+|[ \t-\r{_ODD_CHARS}]+")
 _OUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 _counters: dict[str, "PieceCounter"] = {}
@@ -40,7 +43,11 @@ _counters: dict[str, "PieceCounter"] = {}
 
 def pieces(text: str) -> list[str]:
     """The text cut at its safe boundaries; joined, they are the text."""
-    return [text] if _ODD.search(text) else _PIECE.findall(text)
+    return (_ODD_PIECE if _ODD.search(text) else _PIECE).findall(text)
+
+
+def _n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
 
 class PieceCounter:
@@ -48,8 +55,7 @@ class PieceCounter:
 
     def __init__(self, path: str, memory: int = MEMORY, batch_bytes: int = BATCH_BYTES):
         self.memory, self.batch_bytes = memory, batch_bytes
-        self.known: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.forget()
         if path.endswith(".model"):
             import sentencepiece
 
@@ -67,12 +73,18 @@ class PieceCounter:
             self.cut = pieces if byte_level else lambda text: [text]
             self.encode = lambda batch: [len(e) for e in model.encode_batch_fast(batch, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        """Frees what was remembered; at the end of a task, since workers live on."""
+        self.known: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+        self.held = 0
+
     def learn(self, new: list[str]) -> dict[str, int]:
         """Encodes ``new`` in batches of about the same number of bytes."""
         out, batch, size = {}, [], 0
         for i, piece in enumerate(new):
             batch.append(piece)
-            size += len(piece)
+            size += _n_bytes(piece)
             if size >= self.batch_bytes or i == len(new) - 1:
                 out.update(zip(batch, self.encode(batch), strict=True))
                 batch, size = [], 0
@@ -83,20 +95,21 @@ class PieceCounter:
         out, group, size = [], [], 0
         for i, text in enumerate(texts):
             group.append(self.cut(text))
-            size += len(text)
+            size += _n_bytes(text)
             if size >= 4 * self.batch_bytes or i == len(texts) - 1:
                 out += self._group(group)
                 group, size = [], 0
         return out
 
     def _group(self, group: list[list[str]]) -> list[int]:
-        if len(self.known) > self.memory:
-            self.known, self.older = {}, self.known
+        if self.held > self.memory:
+            self.known, self.older, self.held = {}, self.known, 0
         new = set().union(*group).difference(self.known)
         self.known.update((k, self.older[k]) for k in new & self.older.keys())
         found = self.learn(list(new - self.older.keys()))
         short = {k: v for k, v in found.items() if len(k) <= KEPT_CHARS}
         self.known.update(short)
+        self.held += sum(map(len, short)) + ENTRY_BYTES * len(short)
         if len(short) == len(found):
             get = self.known.__getitem__
         else:
@@ -112,9 +125,14 @@ def count_tokens(text: Column, path: str) -> Column:
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = _counters.get(path) or _counters.setdefault(path, PieceCounter(path))
         for batch in batches:
-            texts = [x or "" for x in batch.to_pylist()]
-            sizes = pa.array([len(x.encode()) for x in texts], pa.int64())
-            yield pa.StructArray.from_arrays([sizes, pa.array(counter.count(texts), pa.int64())], ["n_bytes", "n_tokens"])
+            sizes, counts = [], []
+            for begin in range(0, len(batch), ROWS):
+                texts = [x or "" for x in batch.slice(begin, ROWS).to_pylist()]
+                sizes += map(_n_bytes, texts)
+                counts += counter.count(texts)
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["n_bytes", "n_tokens"])
+        counter.forget()
+        tidy()
 
     return lengths(text)
 
