@@ -28,13 +28,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by five-word shingles at 0.8 or more: that of the smallest id.
 
-    Documents without words are in no group and stay, as do those without an id. Rows repeated as a whole stay once.
+    Documents without words are in no group and stay, as do those without an id. Rows that repeat an id with another text
+    are documents of their own; rows repeated as a whole stay once.
     """
     ship(spark)
-    found = jaccard_join.jaccard_components(docs)
-    chosen = found.where("component_id = doc_id").select(F.col("doc_id").alias("_chosen")).distinct()
-    first = docs.where("doc_id is not null").join(chosen, F.col("doc_id") == F.col("_chosen"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.unionByName(docs.where("doc_id is null"))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rest = docs.where(~alone)
+    found = jaccard_join.jaccard_rows(rest).where("is_first")
+    chosen = found.groupBy("doc_id", "h").agg(F.min("mark").alias("_mark")).select(F.col("doc_id").alias("_chosen"), "_mark")
+    first = rest.join(chosen, (F.col("doc_id") == F.col("_chosen")) & (F.xxhash64("text") == F.col("_mark")), "left_semi").dropDuplicates(["doc_id", "text"])
+    wordless = docs.where(alone)
+    return first.unionByName(wordless.where("doc_id is not null").dropDuplicates(["doc_id", "text"])).unionByName(wordless.where("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
