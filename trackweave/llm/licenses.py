@@ -5,13 +5,16 @@ subsequence of their places keeps the order; the gaps between anchors are aligne
 become unique, and equal words at the ends of a gap match directly. Coverage is the share of the template's words
 that match.
 
-A template is looked for around its key words. They make up more of it than coverage may leave out, so every text
-region that reaches the coverage holds one. Places of key words that lie near each other form one
-region, widened by the template's length on both sides. A region whose words allow one copy is aligned as a whole. Where they allow
-more, each copy's words occur elsewhere too and can't be anchors; so narrow windows that hold little besides one copy are aligned first,
-the best finds that don't overlap are kept, and what lies between them is searched in wide windows.
-
-Null, empty and short texts have no finds. Words are runs of letters and digits, in lower case.
+A find is a stretch of the text, at most SPREAD times as long as the template, whose alignment covers enough of it. One rule
+holds for every text: a stretch may start at any word of the template that lies near a key word, and end at any. Key words make
+up more of a template than coverage may leave out, so every find holds one. No stretch aligns better than its longest common
+subsequence with the template, which is computed word by word from every start; so only ends where that reaches the coverage are
+aligned, and none that could be a find is left out. Of finds that overlap the one with more words stays, then the shorter, then the first; what lies
+before it is searched again, and the search goes on behind it.
+
+Null, empty and short texts have no finds, nor has an empty table. Words are runs of letters and digits, in lower case. Rows are scanned
+one by one: repeated rows and rows with a null id have rows of their own in the result. Among a document's finds of one license, that
+of most words is told, and of equal ones the first. Columns other than the id and the text play no part.
 """
 
 from __future__ import annotations
@@ -26,21 +29,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import tidy
+from .shingles import slices
+
+_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_WARRANTY = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+_GPL_REST = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+_APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
 
-# Short forms of public license notices.
+# Whole texts of public licenses, the whole notices that longer ones ask for, and the one-line forms of both.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT": _MIT,
+    "MIT-text": f"{_MIT}, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_WARRANTY}",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "Apache-2.0": _APACHE,
+    "Apache-2.0-header": f"{_APACHE} Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-3.0": _GPL,
+    "GPL-3.0-header": f"{_GPL} {_GPL_REST}",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-2-Clause-text": f"{_BSD_HEAD} {_BSD_WARRANTY}",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause-text": f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_WARRANTY}",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "ISC-text": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_WARRANTY}",
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense-text": f"This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. {_WARRANTY.replace('AUTHORS OR COPYRIGHT HOLDERS', 'AUTHORS')}",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+#: A find is at most so many times as long as its template.
+SPREAD = 4
 #: Least share of a template's words that a find must match, in percent.
 COVERAGE = 80
 
@@ -93,21 +118,77 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Template:
+    """A template's words, which of them are key words, and for each word the bits of its places."""
+
+    def __init__(self, words: list[str], coverage: int):
+        self.words, self.size = words, len(words)
+        self.least = -(-self.size * coverage // 100)
+        self.span = SPREAD * self.size
+        self.count = Counter(words)
+        self.bits = {w: sum(1 << k for k, x in enumerate(words) if x == w) for w in self.count}
+
+    def common(self, words: list[str], begin: int, end: int) -> list[tuple[int, int]]:
+        """(stop, length): for all stops behind a template's word up to ``end``, the longest common subsequence of words[begin:stop] and the template."""
+        rest = full = (1 << self.size) - 1
+        out = []
+        for j in range(begin, min(end, begin + self.span)):
+            mask = self.bits.get(words[j])
+            if mask is not None:
+                used = rest & mask
+                rest = ((rest + used) | (rest - used)) & full
+                out.append((j + 1, self.size - rest.bit_count()))
+        return out
+
+    def best_from(self, words: list[str], begin: int, end: int, more_than: int) -> tuple[int, int, list[int]] | None:
+        """The find that starts at ``begin`` and has most words, of those with more than ``more_than``: words, end, places."""
+        least = max(self.least, more_than + 1)
+        stops = [(n, stop) for stop, n in self.common(words, begin, end) if n >= least]
+        best = None
+        for n, stop in sorted(stops, key=lambda x: (-x[0], x[1])):
+            if best is not None and n <= best[0]:
+                break  # no later one can be better
+            found = [begin + i for i, _ in align(words[begin:stop], self.words)]
+            if len(found) >= least and (best is None or len(found) > best[0]):
+                best = len(found), found[-1] + 1, found
+        return best
+
+    def finds(self, words: list[str], begin: int, end: int) -> Iterator[list[int]]:
+        """Places of the words of all finds between ``begin`` and ``end``, in order."""
+        if sum(min(n, c) for w, n in Counter(words[begin:end]).items() if (c := self.count.get(w))) < self.least:
+            return
+        at = begin
+        while at < end:
+            best, stop = None, end
+            i = at
+            while i < stop:  # the finds that overlap the first one compete with it
+                if words[i] in self.bits and (found := self.best_from(words, i, end, best[0] - 1 if best else 0)) is not None:
+                    rank = found[0], -(found[1] - found[2][0]), -found[2][0]
+                    if best is None or rank > (best[0], -(best[1] - best[2][0]), -best[2][0]):
+                        stop = found[1] if best is None else stop
+                        best = found
+                i += 1
+            if best is None:
+                return
+            if best[2][0] - at >= self.least:
+                yield from self.finds(words, at, best[2][0])
+            yield best[2]
+            at = best[1]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: int):
-        self.coverage = coverage
-        self.templates = {name: words_of(text) for name, text in templates.items()}
-        common = Counter(w for words in self.templates.values() for w in set(words))
+        self.templates = {name: Template(words_of(text), coverage) for name, text in templates.items()}
+        common = Counter(w for t in self.templates.values() for w in t.count)
         stop = {"a", "and", "any", "at", "by", "for", "in", "is", "of", "or", "the", "this", "to", "under", "with", "work", "you"}
         self.names: dict[str, list[str]] = defaultdict(list)
-        for name, words in self.templates.items():
-            missing = len(words) - -(-len(words) * coverage // 100)  # words that a find may leave out
-            count, keys = Counter(words), 0
-            for w in sorted(count, key=lambda w: (w in stop, w.isdigit(), common[w], -len(w), w)):
-                if keys > missing:
+        for name, t in self.templates.items():
+            keys = 0
+            for w in sorted(t.count, key=lambda w: (w in stop, w.isdigit(), common[w], -len(w), w)):
+                if keys > t.size - t.least:  # a find can't leave them all out
                     break
                 self.names[w].append(name)
-                keys += count[w]
+                keys += t.count[w]
         self.finder = ahocorasick.Automaton()
         for w in self.names:
             self.finder.add_word(w, w)
@@ -125,77 +206,26 @@ class Scanner:
                 hits[name].append(i)
         out = []
         for name, places in hits.items():
-            template = self.templates[name]
-            size = len(template)
-            start = end = -1
-            regions = []
+            t = self.templates[name]
+            regions: list[tuple[int, int]] = []
             for i in places:
-                if start >= 0 and i - end <= size:
-                    end = i
+                low_end, high_end = max(0, i - t.span), min(len(words), i + t.span + 1)
+                if regions and low_end <= regions[-1][1]:
+                    regions[-1] = regions[-1][0], high_end
                 else:
-                    if start >= 0:
-                        regions.append((start, end))
-                    start = end = i
-            regions.append((start, end))
-            for start, end in regions:
-                for low_end, found in self._finds(words, template, max(0, start - size), min(len(words), end + size + 1)):
-                    out.append((name, len(found), size, found[0] + low_end, found[-1] + low_end))
+                    regions.append((low_end, high_end))
+            for begin, end in regions:
+                out += [(name, len(found), t.size, found[0], found[-1]) for found in t.finds(words, begin, end)]
         return sorted(out, key=lambda x: (x[3], x[4], x[0]))
 
-    def _finds(self, words: list[str], template: list[str], begin: int, end: int):
-        """Finds in a region; a region that may hold the template more than once is searched window by window."""
-        size = len(template)
-        least = -(-size * self.coverage // 100)
-        held, own = Counter(words[begin:end]), Counter(template)
-        if sum(min(held[w], 2 * n) for w, n in own.items()) < 2 * least:
-            yield from self._between(words, template, begin, end)
-            return
-        slack = max(1, size // 4)
-        seen = []
-        for at in (i for i in range(begin, end) if words[i] in own):
-            found = [i for i, _ in align(words[at : min(at + size + slack, end)], template)]
-            if len(found) >= least:
-                seen.append((-len(found), found[-1] - found[0], at + found[0], at, found))
-        kept: list[tuple[int, int, list[int]]] = []
-        for _, length, first, at, found in sorted(seen, key=lambda x: x[:3]):
-            k = bisect_left(kept, (first, 0, []))
-            if (k == 0 or kept[k - 1][1] + kept[k - 1][2][-1] < first) and (k == len(kept) or first + length < kept[k][0]):
-                kept.insert(k, (first, at, found))
-        for first, at, found in kept:
-            yield from self._between(words, template, begin, first)
-            yield at, found
-            begin = at + found[-1] + 1
-        yield from self._between(words, template, begin, end)
-
-    def _between(self, words: list[str], template: list[str], begin: int, end: int):
-        """Finds in a stretch, which is aligned as a whole if it is short."""
-        size = len(template)
-        least = -(-size * self.coverage // 100)
-        stretch = words[begin:end]
-        if len(stretch) < least:
-            return
-        if len(stretch) <= 3 * size + 1:
-            windows = [begin]
-            span = len(stretch)
-        else:
-            windows, span = list(range(begin, end, size)), 2 * size
-        last = -1
-        for at in windows:
-            found = [i for i, _ in align(words[max(at, last + 1) : min(at + span, end)], template)]
-            if len(found) >= least:
-                base = max(at, last + 1)
-                yield base, found
-                last = base + found[-1]
-
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, coverage: int = COVERAGE) -> DataFrame:
     """One row for each document and license found in it: the best coverage, the words of that find, and the number of finds."""
     templates = templates or TEMPLATES
-    (ident,) = fresh(docs, "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, coverage)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 best: dict[str, list] = {}
@@ -208,6 +238,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "license", "matched", "size", "first_word", "last_word", "finds"])
+        tidy()
 
-    found = docs.select(F.col(f"`{id_col}`").cast("long").alias(ident), F.col(f"`{text}`")).mapInArrow(run, "id long, license string, matched long, size long, first_word long, last_word long, finds long")
+    found = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id long, license string, matched long, size long, first_word long, last_word long, finds long")
     return found.select(F.col("id").alias("doc_id"), "license", "matched", (F.col("matched") / F.col("size")).alias("coverage"), "first_word", "last_word", "finds")
