@@ -253,6 +253,32 @@ def digest_column(text: Column, path: str, pattern: str) -> Column:
     return digest(text)
 
 
+def code_column(text: Column, path: str, pattern: str) -> Column:
+    """A struct (ids, decoded_sha256): each text is encoded, and its ids are decoded again, by one worker."""
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())])
+
+    @F.arrow_udf(kind)
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = _coder(path, pattern)
+        for batch in batches:
+            packed, digests = [], []
+            for text in batch:
+                packed.append(coder.encode_bytes(text.as_py() or ""))
+                digests.append(hashlib.sha256(coder.decode_bytes(np.frombuffer(packed[-1], "<u4").tolist())).hexdigest())
+            ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.StructArray.from_arrays([ids, pa.array(digests, pa.string())], kind.names)
+        coder.forget()
+        tidy()
+
+    return code(text)
+
+
+def code_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` with ids and decoded_sha256 (of the bytes that the ids decode to), which replace columns of those names."""
+    return with_fields(docs, code_column(docs[f"`{text}`"], path, pattern), ["ids", "decoded_sha256"])
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with the array column ``ids``, which replaces a column of that name."""
     return with_fields(docs, F.struct(encode_column(docs[f"`{text}`"], path, pattern).alias("ids")), ["ids"])

@@ -23,7 +23,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs, with_kept=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.remove_repeats(docs, kept_as="").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
