@@ -44,9 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeated strings of 200 bytes cover; those left without a word go."""
     ship(spark)
-    done = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, suffix_dedup.as_text(F.col("kept"))).otherwise(F.col("text"))
-    done = done.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    done = suffix_dedup.remove_repeats(docs, kept_as="text")
+    done = done.withColumn("text", F.col("kept_text")).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", length).select(*docs.columns)
 
@@ -70,9 +69,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, decoded_sha256: whole texts as ids of the rank file, and the digest of the bytes that the ids decode to."""
     ship(spark)
     path, pattern = public_tokenizers.path(CODE_FILE), public_tokenizers.PATTERN
-    coded = byte_bpe.encode_documents(docs, path, pattern)
-    decoded = F.sha2(byte_bpe.decode_column(F.col("ids"), path, pattern), 256)
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", decoded.alias("decoded_sha256"))
+    coded = byte_bpe.code_documents(docs, path, pattern)
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
