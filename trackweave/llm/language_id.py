@@ -11,7 +11,10 @@ Priors and the two declaration tables are counts by grouped aggregation over all
 suggests; each page's own count is taken out of its priors. The trigram model is fitted on a bounded sample of labelled
 documents (TRAIN_DOCS of each language, those with the smallest hashes).
 
-Null or empty markup leaves the other evidence; a null address counts as host ''. Ties go to the first language by name.
+Null or empty markup leaves the other evidence; a null address counts as host ''. Ties go to the first language by name. Repeated
+rows and rows with a null id are pages of their own. An empty table gives an empty result; without labelled documents every page is "und".
+Other columns play no part. Counts are joined to the pages by host, suffix and codes: a hot value has one row of counts, so Spark broadcasts
+these or splits the pages' side.
 """
 
 from __future__ import annotations
@@ -25,23 +28,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
+from .shingles import slices as in_slices
 
 #: Documents of each language in the sample; buckets of trigrams; weight of a trigram's evidence; strengths of the priors; added counts.
 TRAIN_DOCS, BUCKETS, TEMPER, HOST_STRENGTH, SUFFIX_STRENGTH, ADDED = 400, 1 << 14, 0.05, 4.0, 20.0, 0.5
 
-_DROP = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
-_DECLARED = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})|<meta\b[^>]*?content-language["'][^>]*?content\s*=\s*["']?([a-z]{2,3})""")
+_RAW = re.compile(r"(?i)<(script|style|noscript|template)\b")
+_RAW_ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template")}
+_HEADS = re.compile(r"(?i)<(html|meta)\b")
+_LANG = {
+    "html": re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})"""),
+    "meta": re.compile(r"""(?i)content-language["'][^>]*?content\s*=\s*["']?([a-z]{2,3})"""),
+}
 _ADDRESS = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*(/[^?#]*)?")
 
 
 def visible(markup: str | None) -> str:
-    return unescape(_DROP.sub(" ", markup or ""))
+    """The text without tags, comments and the bodies of scripts and the like, in one pass: what has no end is searched once only."""
+    text, out, at, endless = markup or "", [], 0, set()
+    while (k := text.find("<", at)) >= 0:
+        out.append(text[at:k])
+        end = -1
+        if text.startswith("<!--", k) and "<!--" not in endless:
+            end = text.find("-->", k + 4) + 2 if text.find("-->", k + 4) >= 0 else -1
+            if end < 0:
+                endless.add("<!--")
+        elif (raw := _RAW.match(text, k)) and (name := raw[1].lower()) not in endless:
+            found = _RAW_ENDS[name].search(text, raw.end())
+            end = found.end() - 1 if found else -1
+            if end < 0:
+                endless.add(name)
+        if end < 0:
+            end = text.find(">", k + 1)
+        if end < 0:
+            at = k
+            break
+        out.append(" ")
+        at = end + 1
+    out.append(text[at:])
+    return unescape("".join(out))
 
 
 def declared(markup: str | None) -> str:
-    found = _DECLARED.search(markup or "")
-    return (found[1] or found[2]).lower() if found else ""
+    """The language that the first html or meta tag with one declares."""
+    text, at = markup or "", 0
+    while found := _HEADS.search(text, at):
+        end = text.find(">", found.end())
+        tag = text[found.end() : end if end >= 0 else len(text)]
+        if code := _LANG[found[1].lower()].search(tag):
+            return code[1].lower()
+        if end < 0:
+            break
+        at = end
+    return ""
 
 
 def address(url: str | None) -> tuple[str, str, str]:
@@ -64,16 +104,19 @@ def trigrams(text: str) -> np.ndarray:
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages by name, and log likelihoods of trigrams by language."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(lang).alias("_lang"), F.md5(F.col(id_col).cast("string")).alias("_hash"))
-    # A language may hold most rows: first within slices of it, then over what they leave.
-    first = Window.partitionBy("_lang", F.substring("_hash", -2, 2)).orderBy("_hash", id_col)
-    chosen = known.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= train_docs)
-    chosen = chosen.withColumn("_place", F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", id_col))).where(F.col("_place") <= train_docs)
-    sample = docs.join(F.broadcast(chosen.select(F.col(id_col).alias("_id"), "_lang")), F.col(id_col) == F.col("_id")).select("_lang", F.col(text).alias("_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and id is not null")
+    rows = rows.withColumn("hash", F.md5(F.col("id").cast("string"))).withColumn("slice", F.substring("hash", 1, 3))
+    # A language may hold most rows. Counts by slice of the hash tell which slices hold its smallest hashes; only those are ranked.
+    upward = Window.partitionBy("lang").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy("lang", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upward), F.lit(0)))
+    slices = slices.where(F.col("before") < train_docs).select("lang", "slice")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
+    chosen = rows.select("id", "lang", "hash", "slice").join(slices, ["lang", "slice"], "left_semi").withColumn("place", place).where(F.col("place") <= train_docs)
+    sample = rows.select("id", "lang", "text").join(F.broadcast(chosen.select("id", "lang").distinct()), ["id", "lang"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in in_slices(batches):
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[name] = sums.get(name, 0) + np.bincount(trigrams(text or ""), minlength=BUCKETS)
         for name, counts in sums.items():
@@ -89,7 +132,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "
 
 def _evidence(pages: DataFrame, names: list[str], table: np.ndarray, id_col: str, url: str, markup: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows: list[list] = [[] for _ in range(6)]
             for i, link, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 text = visible(html)
@@ -99,8 +142,9 @@ def _evidence(pages: DataFrame, names: list[str], table: np.ndarray, id_col: str
                     out.append(value)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["id", "host", "suffix", "code", "said", "likely"])
+        tidy()
 
-    return pages.select(F.col(id_col).cast("long"), url, markup).mapInArrow(run, "id long, host string, suffix string, code string, said string, likely array<double>")
+    return pages.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{url}`"), F.col(f"`{markup}`")).mapInArrow(run, "id long, host string, suffix string, code string, said string, likely array<double>")
 
 
 def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
