@@ -5,11 +5,12 @@ are tied by transition weights. Forward-backward gives each line's marginal of b
 of the marginals, weighted by line length, is the document's quality, put on a scale where 0.5 separates
 best by a logistic fit of two numbers.
 
-The field is fitted on a bounded sample of labelled documents (TRAIN_DOCS, those with the smallest hashes);
-each line of a sampled document carries the document's label. Only the text is an input of a score. Lines
-without words are left out of the chain. Null, empty and blank texts get the share of good documents in the
-sample. Rows are scored one by one, so repeated rows get equal scores. With no labelled document of either
-class every score is that share (0.5 without any).
+The field is fitted on a bounded sample of labelled documents (at most TRAIN_DOCS, those with the smallest hashes, and of these
+the first that hold TRAIN_LINES lines together); each line of a sampled document carries the document's label. The fit climbs one
+objective: the chains' mean log likelihood, each chain weighted once, for its class and by one over its lines, less a ridge. Only
+the text is an input of a score. Lines without words are left out of the chain. Null, empty and blank texts get the share of good
+documents in the sample. Rows are scored one by one: repeated rows get equal scores, ids don't matter, null ones neither. With no
+labelled document of either class every score is that share (0.5 without any). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, tidy
-from .shingles import chunks, mix, word_hashes
+from .common import cut, fresh, tidy
+from .shingles import chunks, mix, slices, word_hashes
 
-#: Most documents that the fit reads; rounds and step of the fit; weight of the squared weights.
-TRAIN_DOCS, ROUNDS, STEP, RIDGE = 3000, 120, 0.15, 1e-3
+#: Most documents and lines that the fit reads; rounds and step of the fit; weight of the squared weights.
+TRAIN_DOCS, TRAIN_LINES, ROUNDS, STEP, RIDGE = 3000, 400_000, 120, 0.15, 1e-3
 #: Texts that are Python objects at a time.
 ROWS = 512
 
@@ -109,6 +110,15 @@ class Field:
         """Each line's probability of being good, by forward-backward within its text."""
         return _chains(inputs @ self.weights, owner, self.moves)[0]
 
+    def lines(self, texts: list[str | None]) -> list[list[float]]:
+        """Of every text, the marginals of its lines with words; the prior for each if the field wasn't fitted."""
+        features, _, owner = line_features(texts)
+        if not len(owner):
+            return [[] for _ in texts]
+        good = self.marginals(with_neighbours(features, owner), owner) if len(self.weights) else np.full(len(owner), self.prior)
+        ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+        return [good[e - n : e].tolist() for e, n in zip(ends.tolist(), np.bincount(owner, minlength=len(texts)).tolist(), strict=True)]
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.prior)
         for begin, end in chunks(texts):
@@ -133,8 +143,8 @@ def _weighted(good: np.ndarray, chars: np.ndarray, owner: np.ndarray, size: int)
     return np.bincount(owner, good * chars, minlength=size) / np.maximum(np.bincount(owner, chars, minlength=size), 1)
 
 
-def _chains(unary: np.ndarray, owner: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of good for each line, and the expected number of each move; ``owner`` ascends."""
+def _chains(unary: np.ndarray, owner: np.ndarray, moves: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of good for each line, the expected number of each move (weighted by the line's chain), and each line's chain's log partition; ``owner`` ascends."""
     counts = np.unique(owner, return_counts=True)[1]
     firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     order = np.argsort(-counts, kind="stable")
@@ -156,8 +166,24 @@ def _chains(unary: np.ndarray, owner: np.ndarray, moves: np.ndarray) -> tuple[np
     at = np.flatnonzero(inner)
     if len(at):
         pair = ahead[at][:, :, None] + moves[None] + (back[at + 1] + score[at + 1])[:, None, :] - total[at][:, None, None]
-        expected = np.exp(pair).sum(0)
-    return np.exp(whole[:, 1] - total), expected
+        expected = (np.exp(pair) * (1.0 if weight is None else weight[at][:, None, None])).sum(0)
+    return np.exp(whole[:, 1] - total), expected, total
+
+
+def climb(theta: np.ndarray, inputs: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """The objective at ``theta`` (weights of inputs, then the four moves) and its slope. ``weight`` is the same for all lines of a chain."""
+    moves = theta[-4:].reshape(2, 2)
+    unary = inputs @ theta[:-4]
+    good, expected, partition = _chains(unary, owner, moves, weight)
+    same = np.flatnonzero(owner[1:] == owner[:-1])
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (y[same].astype(int), y[same + 1].astype(int)), weight[same])
+    first = np.ones(len(owner), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    total = weight[first].sum()
+    value = ((unary * y * weight).sum() + (seen * moves).sum() - (partition * weight)[first].sum()) / total - RIDGE / 2 * (theta**2).sum()
+    slope = np.concatenate([inputs.T @ ((y - good) * weight), (seen - expected).ravel()]) / total - RIDGE * theta
+    return value, slope
 
 
 def fit(features: np.ndarray, chars: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> Field:
@@ -167,16 +193,11 @@ def fit(features: np.ndarray, chars: np.ndarray, owner: np.ndarray, labels: np.n
         return Field(np.zeros(0), np.zeros((2, 2)), (0.0, 1.0), prior)
     inputs = with_neighbours(features, owner)
     y = labels[owner]
-    # Both classes weigh the same, and every text the same for each line's share of it.
-    share = 1 / np.bincount(owner)[owner]
-    weight = share * np.where(y == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
-    same = owner[1:] == owner[:-1]
-    seen = np.array([[np.sum(same & (y[1:] == j) & (y[:-1] == i)) for j in (0, 1)] for i in (0, 1)], float)
+    # Both classes weigh the same, and every chain as much as one line.
+    weight = np.where(y == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / np.bincount(owner)[owner]
     theta, first, second = np.zeros(inputs.shape[1] + 4), 0.0, 0.0
-    lines, moves = weight.sum(), max(1.0, seen.sum())
     for k in range(1, ROUNDS + 1):
-        good, expected = _chains(inputs @ theta[:-4], owner, theta[-4:].reshape(2, 2))
-        slope = np.concatenate([inputs.T @ ((y - good) * weight) / lines, ((seen - expected) / moves).ravel() * 0.1]) - RIDGE * theta
+        _, slope = climb(theta, inputs, owner, y, weight)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         theta = theta + STEP * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
     field = Field(theta[:-4], theta[-4:].reshape(2, 2), (0.0, 1.0), prior)
@@ -196,24 +217,28 @@ def fit(features: np.ndarray, chars: np.ndarray, owner: np.ndarray, labels: np.n
     return field
 
 
-def held_out(doc_id) -> F.Column:
+def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", train_docs: int = TRAIN_DOCS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Field:
     """Fits on at most ``train_docs`` labelled documents that aren't held out, those whose ids have the smallest hashes."""
     known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label}`").isin(0, 1) & ~held_out(F.col(f"`{id_col}`")))
-    known = known.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(f"`{label}`").cast("int").alias("_label"))
-    sample = known.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(train_docs)
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_label", "_text")
+    known = known.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(f"`{label}`").cast("int").alias("_label")).withColumn("_hash", F.md5(F.col("_id").cast("string")))
+    sample = known.orderBy("_hash", "_id").limit(train_docs)
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_hash", "_label", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, label, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        for batch in slices(batches):
+            for i, hashed, label, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 features, chars, _ = line_features([text])
-                yield pa.RecordBatch.from_pydict({"id": pa.array([i], pa.int64()), "label": pa.array([label], pa.int32()), "n": pa.array([len(chars)], pa.int64()), "features": [features.astype("<f4").tobytes()], "chars": [chars.astype("<f4").tobytes()]})
+                yield pa.RecordBatch.from_pydict({"id": pa.array([i], pa.int64()), "hash": [hashed], "label": pa.array([label], pa.int32()), "n": pa.array([len(chars)], pa.int64()), "features": [features.astype("<f4").tobytes()], "chars": [chars.astype("<f4").tobytes()]})
+        tidy()
 
-    rows = texts.mapInArrow(run, "id long, label int, n long, features binary, chars binary").collect()
+    found = cut(texts.mapInArrow(run, "id long, hash string, label int, n long, features binary, chars binary"), "lines")
+    so_far = Window.orderBy("hash", "id", "n").rowsBetween(Window.unboundedPreceding, 0)  # over a bounded sample
+    few = found.select("hash", "id", "n").withColumn("_lines", F.sum("n").over(so_far)).where(F.col("_lines") <= train_lines).select("id").distinct()
+    rows = found.join(F.broadcast(few), "id", "left_semi").collect()
     rows.sort(key=lambda r: (r.id, r.n, r.features))
     features = np.concatenate([np.zeros((0, N_FEATURES), "<f4"), *(np.frombuffer(r.features, "<f4").reshape(-1, N_FEATURES) for r in rows)]).astype(float)
     chars = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(r.chars, "<f4") for r in rows)]).astype(float)
@@ -234,3 +259,21 @@ def classify(docs: DataFrame, field: Field, text: str = "text", score: str = "sc
     kept = [c for c in docs.columns if c.lower() not in (score.lower(), "predicted")]
     wide = docs.withColumn(held, quality(F.col(f"`{text}`")))
     return wide.select(*[wide[f"`{c}`"] for c in kept], wide[held].alias(score), (wide[held] >= 0.5).cast("int").alias("predicted"))
+
+
+def label_lines(docs: DataFrame, field: Field, text: str = "text", out: str = "lines") -> DataFrame:
+    """``docs`` with an array of (good, label) for the lines with words, in order: each line's probability of being good, and 1 if that is 0.5 or more."""
+    kind = "array<struct<good: double, label: int>>"
+
+    @F.arrow_udf(kind)
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for begin in range(0, len(batch), ROWS):
+                rows += field.lines(batch.slice(begin, ROWS).to_pylist())
+            yield pa.array([[{"good": g, "label": int(g >= 0.5)} for g in row] for row in rows], pa.list_(pa.struct([("good", pa.float64()), ("label", pa.int32())])))
+        tidy()
+
+    (held,) = fresh(docs, "_lines")
+    wide = docs.withColumn(held, judge(F.col(f"`{text}`")))
+    return wide.select(*[wide[f"`{c}`"] for c in docs.columns if c.lower() != out.lower()], wide[held].alias(out))
