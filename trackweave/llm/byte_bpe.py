@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy, with_fields
+from .common import cache, tidy, with_fields
 from .token_counts import pieces
 
 #: During a task, the ids of short pieces are remembered in one to two times MEMORY bytes, those used last, and the fit of PAIRS pairs of tokens at most.
@@ -35,7 +35,7 @@ MEMORY, PAIRS, KEPT_CHARS = 24 << 20, 200_000, 64
 #: About what an entry takes beside its characters.
 ENTRY_BYTES = 200
 
-_coders: dict[tuple[str, str], "ByteBpe"] = {}
+_coders: dict[tuple[str, str], "ByteBpe"] = cache()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -213,7 +213,7 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
             ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
         coder.forget()
-        tidy()
+        tidy(_coders)
 
     return encode(text)
 
@@ -226,7 +226,7 @@ def decode_column(ids: Column, path: str, pattern: str) -> Column:
         coder = _coder(path, pattern)
         for batch in batches:
             yield pa.array([coder.decode_bytes(x.as_py()) if x.is_valid else None for x in batch], pa.binary())
-        tidy()
+        tidy(_coders)
 
     return decode(ids)
 
@@ -248,7 +248,7 @@ def digest_column(text: Column, path: str, pattern: str) -> Column:
                 rows[2].append(hashlib.sha256(decoded).hexdigest())
             yield pa.StructArray.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], kind.names)
         coder.forget()
-        tidy()
+        tidy(_coders)
 
     return digest(text)
 
@@ -269,7 +269,7 @@ def code_column(text: Column, path: str, pattern: str) -> Column:
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
             yield pa.StructArray.from_arrays([ids, pa.array(digests, pa.string())], kind.names)
         coder.forget()
-        tidy()
+        tidy(_coders)
 
     return code(text)
 

@@ -15,8 +15,23 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def tidy() -> None:
-    """Gives memory that a task of Python held back to the system; workers live on and run other tasks."""
+#: Bytes of an Arrow batch: what a task holds of a table of texts on either side, however long the texts are.
+BATCH_BYTES = 4 << 20
+
+_caches: list[dict] = []
+
+
+def cache() -> dict:
+    """A dictionary of what is costly to make, such as vocabularies; it is kept between tasks until another operator runs in the worker."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def tidy(keep: dict | None = None) -> None:
+    """Gives memory that a task of Python held back to the system; workers live on and run other tasks. Caches but ``keep`` are emptied."""
+    for held in _caches:
+        if held is not keep:
+            held.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -26,9 +41,17 @@ def tidy() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches in bytes, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that don't clash with those of ``df`` (case is ignored)."""
     taken = {c.lower() for c in df.columns}

@@ -70,6 +70,7 @@ def _survey(n_gram: int):
     names = ["doc_id", "mark", "n", "h", "h2", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         counts = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -79,10 +80,10 @@ def _survey(n_gram: int):
                 n, h, h2 = _prints(hashes, owners, end - begin)
                 none = pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), batch.column(2).slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(_signed(h)), pa.array(_signed(h2)), *none], names)
-        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-        packed = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in blocks]
-        empty = pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array(np.arange(len(blocks)), pa.int32()), pa.array(packed, pa.binary())], names)
+        empty = pa.nulls(1, pa.int64())
+        for k, block in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
+            packed = zlib.compress(block.astype("<u4", copy=False).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names)
         tidy()
 
     return run
@@ -439,6 +440,7 @@ class _Join:
         )
         # The bitmap lets few documents through that aren't nodes. They are real documents, so what they link is linked.
         told = cut(told.where("n > 0").select(F.struct(F.col("doc_id").alias("d"), "h").alias("node"), "n", "typical", "segments", "prefix", "places", "sketch"), "described")
+        nodes.unpersist()
 
         segments = told.select("node", "typical", F.posexplode("segments").alias("fragment", "segment")).where("segment <> 0")
         heads = segments.groupBy("fragment", "segment").agg(F.max(F.struct("typical", "node")).getField("node").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")

@@ -250,6 +250,7 @@ def classify(docs: DataFrame, field: Field, text: str = "text", score: str = "sc
 
     @F.arrow_udf("double")
     def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tidy()
         for batch in batches:
             parts = [field.scores(batch.slice(k, ROWS).to_pylist()) for k in range(0, len(batch), ROWS)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())

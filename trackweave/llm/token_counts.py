@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy, with_fields
+from .common import cache, tidy, with_fields
 
 #: One encode_batch call gets about this many bytes.
 BATCH_BYTES = 1 << 20
@@ -38,7 +38,7 @@ _ODD = re.compile(f"[{_ODD_CHARS}]")
 _ODD_PIECE = re.compile(rf"[ \t-\r{_ODD_CHARS}]*(?:[^ \t-\r{_ODD_CHARS}]+(?:[{_ODD_CHARS}][ \t-\r{_ODD_CHARS}]*)?)+|[ \t-\r{_ODD_CHARS}]+")
 _OUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
-_counters: dict[str, "PieceCounter"] = {}
+_counters: dict[str, "PieceCounter"] = cache()
 
 
 def pieces(text: str) -> list[str]:
@@ -132,7 +132,7 @@ def count_tokens(text: Column, path: str) -> Column:
                 counts += counter.count(texts)
             yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["n_bytes", "n_tokens"])
         counter.forget()
-        tidy()
+        tidy(_counters)
 
     return lengths(text)
 
