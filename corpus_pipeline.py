@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm import byte_bpe, jaccard_join, line_crf, mixing, suffix_dedup
-from trackweave.llm.common import WORD, cut, fresh, table
+from trackweave.llm.common import WORD, cut, fresh, small_batches, table
 from trackweave.session import ship
 
 CODE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,7 @@ CODE_FILE = "byte_bpe_multi_50k.tiktoken"
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field predicts to be good. It is fitted on labelled documents of this table."""
     ship(spark)
+    small_batches(spark)
     field = line_crf.train(docs, table(spark, sf_dir, "labels"))
     judged = line_crf.classify(docs, field)
     return judged.where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -32,6 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are documents of their own; rows repeated as a whole stay once.
     """
     ship(spark)
+    small_batches(spark)
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     rest = docs.where(~alone)
     found = jaccard_join.jaccard_rows(rest).where("is_first")
@@ -44,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeated strings of 200 bytes cover; those left without a word go."""
     ship(spark)
+    small_batches(spark)
     done = suffix_dedup.remove_repeats(docs, kept_as="text")
     done = done.withColumn("text", F.col("kept_text")).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
@@ -68,6 +71,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, decoded_sha256: whole texts as ids of the rank file, and the digest of the bytes that the ids decode to."""
     ship(spark)
+    small_batches(spark)
     path, pattern = public_tokenizers.path(CODE_FILE), public_tokenizers.PATTERN
     coded = byte_bpe.code_documents(docs, path, pattern)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
