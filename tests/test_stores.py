@@ -25,23 +25,51 @@ def test_resolve_falls_back_column_by_column(spark, bindings, profiles):
     clips = spark.createDataFrame([("a", "r", "1"), ("b", "r", "2"), ("c", "x", "9")], "clip string, recorder_id string, camera_code string")
     found = {r.clip: r for r in door_config.resolve(clips, bindings, profiles, {"door": "DD", "salon": "DS"}).collect()}
     assert (found["a"].logical_door, found["a"].profile_name, found["a"].door, found["a"].salon) == ("FRONT", "Front", "D1", "DS")
-    assert (found["b"].logical_door, found["b"].door) == ("NEEDS_CLASSIFICATION", "DD") and found["c"].logical_door == "NEEDS_CLASSIFICATION"
+    assert (found["b"].logical_door, found["b"].door, found["b"].classification_needed, found["b"].source) == ("NEEDS_CLASSIFICATION", "DD", True, "BINDING_DEFAULT")
+    assert found["c"].logical_door is None and not found["c"].classification_needed and found["c"].source == "APPLICATION_DEFAULT" and found["a"].source == "DATABASE"
+
+
+def test_marked_cameras_ignore_their_profile(spark, profiles):
+    clips = spark.createDataFrame([("a", "r", "1"), ("b", "r", "2")], "clip string, recorder_id string, camera_code string")
+    marked = spark.createDataFrame([(1, "r", "1", "IGNORE", 1, True, 10), (2, "r", "2", "NEEDS_CLASSIFICATION", 1, True, 10)], schemas.BINDINGS)
+    found = {r.clip: r for r in door_config.resolve(clips, marked, profiles, {"door": "DD"}).collect()}
+    assert all(r.door == "DD" and r.profile_id is None and r.profile_name == "application-default" for r in found.values())
+    assert found["a"].ignored and not found["b"].ignored and found["b"].classification_needed
 
 
 def test_binding_closes_the_old_one(spark, bindings):
     asked = spark.createDataFrame([("r", "1", " custom ", 2, 99)], "recorder_id string, camera_code string, logical_door string, profile_id long, at_ms long")
     found = {r.id: r for r in door_config.bind(bindings, asked).collect()}
-    assert not found[1].active and found[1].updated_ms == 99 and found[4].active and found[4].logical_door == "CUSTOM" and found[2].updated_ms == 5
+    (new,) = [r for i, r in found.items() if i not in (1, 2, 3)]
+    assert not found[1].active and found[1].updated_ms == 99 and new.active and new.logical_door == "CUSTOM" and found[2].updated_ms == 5
     bad = spark.createDataFrame([("r", "1", "side", 2, 99)], asked.schema)
     with pytest.raises(Exception, match="unknown logical door"):
         door_config.bind(bindings, bad).collect()
     assert not {r.id: r.active for r in door_config.deactivate(bindings, 3, 100).collect()}[3]
+    with pytest.raises(door_config.NoSuchBinding):
+        door_config.deactivate(bindings, 77, 100)
+
+
+def test_assignment_checks_doors_and_profiles(spark, bindings, profiles):
+    kind = "recorder_id string, camera_code string, logical_door string, profile_id long, at_ms long"
+    samples = spark.createDataFrame([("r", "2", "old", 1), ("r", "2", "new", 5)], "recorder_id string, camera_code string, path string, modified_ms long")
+    waiting = door_config.pending_channels(bindings, samples).collect()
+    assert [(r.id, r.sample_path, r.preview_available) for r in waiting] == [(3, "new", True)] and door_config.pending_channels(bindings, samples, "other").count() == 0
+    wide = bindings.withColumns({"confirmed_by": F.lit(None).cast("string"), "confirmed_ms": F.lit(None).cast("long"), "preview_path": F.lit("before"), "preview_frame": F.lit(4), "created_ms": F.lit(1).cast("long")})
+    asked = spark.createDataFrame([("r", "2", " rear ", 2, 50), ("q", "9", "IGNORE", 77, 50)], kind)
+    found = {(r.recorder_id, r.camera_code): r for r in door_config.assign(wide, asked, samples, profiles).where("active").collect()}
+    assert (found["r", "2"].logical_door, found["r", "2"].profile_id, found["r", "2"].preview_path, found["r", "2"].preview_frame, found["r", "2"].created_ms) == ("REAR", 2, "new", 4, 50)
+    assert (found["q", "9"].logical_door, found["q", "9"].profile_id, found["q", "9"].preview_frame) == ("IGNORE", None, 0)
+    for row, message in ((("r", "2", "NEEDS_CLASSIFICATION", None, 5), "must be one of"), (("r", "2", "REAR", 77, 5), "profile not found"), ((" ", "2", "REAR", 1, 5), "must not be blank")):
+        with pytest.raises(Exception, match=message):
+            door_config.assign(wide, spark.createDataFrame([row], kind), samples, profiles).collect()
 
 
 def test_previews_register_new_cameras(spark, bindings):
     seen = spark.createDataFrame([("r", "1", 50), ("r", "7", 60)], "recorder_id string, camera_code string, at_ms long")
     found = {r.id: r for r in door_config.register_previews(bindings, seen).collect()}
-    assert found[1].updated_ms == 50 and found[4].camera_code == "7" and found[4].logical_door == "NEEDS_CLASSIFICATION" and found[2].updated_ms == 5
+    (new,) = [r for i, r in found.items() if i not in (1, 2, 3)]
+    assert found[1].updated_ms == 50 and new.camera_code == "7" and new.logical_door == "NEEDS_CLASSIFICATION" and found[2].updated_ms == 5
 
 
 def test_profiles_have_unique_names(profiles):
@@ -68,22 +96,39 @@ def test_results_are_upserted_and_failures_are_not_raised(spark, tmp_path):
     path = str(tmp_path / "results")
     assert sinks.save_results(spark.createDataFrame([("a", "RUNNING", 1), ("b", "FINISHED", 1)], kind), path)
     assert sinks.save_results(spark.createDataFrame([("a", "FAILED", 3), ("a", "FINISHED", 4)], kind), path)
-    assert {(r.session_id, r.status) for r in spark.read.parquet(path).collect()} == {("a", "FINISHED"), ("b", "FINISHED")}
+    assert {(r.session_id, r.status) for r in sinks.load_results(spark, path).collect()} == {("a", "FINISHED"), ("b", "FINISHED")}
     assert not sinks.save_results(spark.createDataFrame([("a",)], "other string"), path)
     assert not sinks.save_results(spark.createDataFrame([("a", "x", 9)], kind), path, enabled=False)
 
 
+def test_an_upsert_that_was_cut_short_is_finished(spark, tmp_path, monkeypatch):
+    kind = "session_id string, status string, finished_ms long"
+    path = str(tmp_path / "results")
+    assert sinks.save_results(spark.createDataFrame([("a", "RUNNING", 1), ("b", "FINISHED", 1)], kind), path)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_commit", die)
+        assert not sinks.save_results(spark.createDataFrame([("a", "FINISHED", 4)], kind), path)
+    assert {(r.session_id, r.status) for r in sinks.load_results(spark, path).collect()} == {("a", "FINISHED"), ("b", "FINISHED")}
+
+
 def test_files_are_archived_under_home_only(tmp_path):
     home = tmp_path / "home"
     clip = home / "12" / "a.mp4"
     clip.parent.mkdir(parents=True)
     clip.write_bytes(b"x")
-    assert sinks.after_analysis(str(clip), "FAILED", str(home)) == str(home / "processed" / "failed" / "12" / "a.mp4")
+    done = tmp_path / "processed"
+    assert sinks.after_analysis(str(clip), "FINISHED", str(home), str(done)) == str(done / "finished" / "a.mp4")
     other = tmp_path / "b.mp4"
     other.write_bytes(b"x")
-    assert sinks.after_analysis(str(other), "FINISHED", str(home)) is None and other.exists()
+    assert sinks.after_analysis(str(other), "FINISHED", str(home), str(done)) is None and other.exists()
     clip.write_bytes(b"y")
-    sinks.after_analysis(str(clip), "FINISHED", str(home), archive=False)
+    assert sinks.park_unclassified(str(clip), str(home), str(done)) == str(done / "needs-classification" / "a.mp4")
+    clip.write_bytes(b"z")
+    sinks.after_analysis(str(clip), "FINISHED", str(home), str(done), keep=False)
     assert not clip.exists()
     sinks.replace_atomically(b"new", str(home / "preview" / "1.jpg"))
     assert (home / "preview" / "1.jpg").read_bytes() == b"new"
@@ -94,8 +139,11 @@ def test_catalogue_and_content(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(name.split("/")[-1])
     listed = files.listing(spark, str(tmp_path))
-    found = {r.location: r for r in catalog.videos(listed).collect()}
-    assert set(found) == {"LOCAL", "PROCESSED"} and found["LOCAL"].video_device_id == "12" and not found["PROCESSED"].can_analyse
+    roots = spark.createDataFrame([(f"{tmp_path}/videos", "VIDEOS", 2), (f"{tmp_path}/processed", "FTP_PROCESSED", 1)], "root string, kind string, priority int")
+    found = {r.location: r for r in catalog.videos(listed, roots).collect()}
+    assert set(found) == {"MANUAL", "FTP_PROCESSED"} and found["MANUAL"].video_device_id == "12" and found["MANUAL"].can_analyse and found["MANUAL"].issue is None
+    assert catalog.videos(listed, roots, depth=2).count() == 0
+    assert catalog.sample_videos(listed, str(tmp_path), "12", "3", 4).count() == 2 and catalog.sample_videos(listed, str(tmp_path), "12", "3", 3).count() == 0
     hashed = catalog.content_hash(files.listing(spark, str(tmp_path), with_content=True)).select("path", "sha256")
     none = spark.createDataFrame([], "file_sha256 string")
     assert catalog.unprocessed(hashed, none).count() == 2
@@ -125,3 +173,47 @@ def test_deepest_root(spark):
     paths = spark.createDataFrame([("/a/b/c.mp4",), ("/a/bc/d.mp4",), ("/z.mp4",)], "path string")
     roots = spark.createDataFrame([("/a", "A", 1), ("/a/b", "B", 2), ("/a/b", "B2", 1)], "root string, kind string, priority int")
     assert {r.path: r.kind for r in catalog.deepest_root(paths, roots).collect()} == {"/a/b/c.mp4": "B2", "/a/bc/d.mp4": "A", "/z.mp4": None}
+
+
+def test_landing_clips_come_once(spark, tmp_path):
+    from trackweave.streaming import sessions
+
+    root = tmp_path / "landing"
+    for k, name in enumerate(("12/2024-05-01/a.mp4", "12/2024-05-01/b.mp4", "12/2024-05-01/processed/c.mp4", "x/2024-05-01/d.mp4", "12/2024-05-01/e.txt", "13/2024-05-02/f.avi")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("same" if k < 2 else name)
+    done = spark.createDataFrame([], "file_sha256 string")
+    rows = sessions.first_seen(files.landing_stream(spark, str(root)), done).select("path", "sha256")
+    run = rows.writeStream.format("memory").queryName("landed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert run.awaitTermination(120)
+    finally:
+        run.stop()
+    names = sorted(r.path.rsplit("/", 1)[1] for r in spark.table("landed").collect())
+    assert len(names) == 2 and names[0] in ("a.mp4", "b.mp4") and names[1] == "f.avi"
+
+
+def test_sessions_are_started_stopped_and_finished(spark):
+    from trackweave.config import CountConfig, DetectorConfig, StopConfig, TrackConfig
+    from trackweave.operators import messages
+    from trackweave.plans import sessions
+
+    none = spark.createDataFrame([], sessions.SESSIONS)
+    asked = spark.createDataFrame([("a", "v1", 1), ("b", "v2", 2), ("c", "v3", 3)], "session_id string, video_path string, at_ms long")
+    rows = sessions.ask_stop(sessions.start(none, asked), "b")
+    assert sessions.start(rows, asked).count() == 3
+    ends = spark.createDataFrame([("a", "SMART_STOP", 9, "DOOR_CLOSED", None), ("b", "END_OF_FILE", 9, None, None), ("x", "ERROR", 9, None, "?")], "session_id string, ended_by string, at_ms long, finish_reason string, error_message string")
+    rows = sessions.finish(rows, ends)
+    assert {r.session_id: r.status for r in rows.collect()} == {"a": "FINISHED", "b": "STOPPED", "c": "RUNNING"}
+    assert sessions.state(rows, "a").first().finish_reason == "DOOR_CLOSED"
+    with pytest.raises(sessions.NoSuchSession):
+        sessions.state(rows, "zz")
+    sent: dict[str, list[str]] = {"a": []}
+    messages.push(lambda s: sent[s].append if s in sent else None)(messages.final_messages(rows), 0)
+    assert len(sent["a"]) == 1 and '"status":"FINISHED"' in sent["a"][0]
+    assert sessions.info(spark, TrackConfig(), CountConfig(), DetectorConfig(), StopConfig()).first().process_every_n_frames == 3
+
+
+def test_the_processor_is_the_fallback():
+    assert detectors.providers("cuda", ["CUDAExecutionProvider", "CPUExecutionProvider"]) == ["CUDAExecutionProvider", "CPUExecutionProvider"]
+    assert detectors.providers("cuda", []) == ["CPUExecutionProvider"] and detectors.providers("cpu", ["CUDAExecutionProvider"]) == ["CPUExecutionProvider"]

@@ -2,12 +2,14 @@
 
 import json
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from trackweave import fixtures, schemas
-from trackweave.config import CountConfig, StopConfig, TrackConfig
-from trackweave.operators import detections, smart_stop, tracker
+from trackweave.config import CountConfig, LineConfig, StopConfig, TrackConfig
+from trackweave.operators import detections, line_counter, smart_stop, tracker
 from trackweave.operators.tracker import Seen, SessionCore, Zones
 
 ZONES = Zones([(0, 260), (640, 260), (640, 480), (0, 480)], [(0, 0), (640, 0), (640, 220), (0, 220)], [(200, 150), (440, 150), (440, 300), (200, 300)], [(0, 420), (640, 420), (640, 480), (0, 480)])
@@ -122,9 +124,8 @@ def test_streaming_counts_as_batch_does(spark, tmp_path):
     for k, part in enumerate(half):
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(part))
         os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k * 60,) * 2)
-    rows = {r.session_id: r.asDict(recursive=True) for r in zones.collect()}
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in"))
-    done = sessions.live_exits(stream, rows, TrackConfig(), CountConfig(), idle_ms=None).writeStream.format("memory").queryName("exits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    done = sessions.live_exits(stream, zones, TrackConfig(), CountConfig(), idle_ms=None).writeStream.format("memory").queryName("exits").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     try:
         assert done.awaitTermination(120)
     finally:
@@ -138,7 +139,7 @@ def frames(states, active=(), street=None):
 
 
 DOOR = "session_id string, frame_index int, fps double, door array<double>, street array<double>, active boolean"
-CFG = StopConfig(calibration_samples=2, open_max=0.05, closed_min=0.10, closed_confirm_s=2, clear_s=1, post_roll_s=1, stable_motion=0.06)
+CFG = StopConfig(calibration_samples=2, open_max=0.05, closed_min=0.10, closed_confirm_s=2, clear_s=1, post_roll_s=1, min_seconds=0)
 
 
 @pytest.mark.parametrize(("states", "active", "stops"), [([1] * 5 + [0] * 8, (0,), True), ([1] * 5 + [0] * 3 + [1] * 5, (0,), False), ([1] * 13, (0,), False), ([1] * 5 + [0] * 8, (), False)])
@@ -155,16 +156,6 @@ def test_maximum_duration_can_not_be_cancelled(spark):
     assert found["reason"].iloc[-1] == "MAX_DURATION" and found["stopped"].tolist() == [False] * 4 + [True] * 4
 
 
-def test_signature_of_an_image():
-    import numpy as np
-
-    image = np.zeros((48, 48, 3), np.uint8)
-    image[24:] = 255
-    cells = smart_stop.grid_signature(image, [(0, 0), (1, 0), (1, 1), (0, 1)], 4)
-    assert cells[:8] == [0.0] * 8 and cells[8:] == pytest.approx([1.0] * 8)
-    assert smart_stop.grid_signature(image, [], 4) == [None] * 16
-
-
 def test_no_detections_give_no_rows(spark):
     none = spark.createDataFrame([], schemas.DETECTIONS)
     zones = spark.createDataFrame([], schemas.ZONES)
@@ -174,3 +165,107 @@ def test_no_detections_give_no_rows(spark):
 def test_walkers_are_all_tracks(spark):
     of = lambda rows, c: {tuple(r) for r in rows.select("session_id", c).distinct().collect()}
     assert of(fixtures.walkers(spark, "/root/testdata/sf0.001"), "det_seq") == of(fixtures.samples(spark, "/root/testdata/sf0.001"), "track_id")
+
+
+def by_session(detections, zones, count):
+    """An independent model: every session's frames one by one through the core."""
+    out = {}
+    for r in zones.collect():
+        core = SessionCore(tracker.zones_of(r.asDict(recursive=True)), r.frame_height, TrackConfig(), count)
+        mine = [d.asDict(recursive=True) for d in detections.where(f"session_id = '{r.session_id}'").orderBy("frame_index", "det_seq").collect()]
+        for index in range(mine[0]["frame_index"], mine[-1]["frame_index"] + count.stride * (count.lost_frames + 2) + 1, count.stride):
+            core.frame(index, [tracker.seen_of(d) for d in mine if d["frame_index"] == index])
+        out[r.session_id] = core
+    return out
+
+
+def test_one_pass_gives_samples_origins_and_exits(spark):
+    from trackweave.config import FateConfig
+    from trackweave.plans import two_pass
+
+    folder, count = "/root/testdata/sf0.001", CountConfig()
+    walkers, zones = fixtures.walkers(spark, folder), fixtures.frame_zones(spark, folder)
+    right = by_session(walkers, zones, count)
+    rows = tracker.folded(walkers, zones, TrackConfig(), count)
+    found = tracker.samples_of(rows).collect()
+    for session, core in right.items():
+        assert sorted((r.track_id, r.seq, r.frame_index, r.zone, r.again) for r in found if r.session_id == session) == sorted((x["track_id"], x["seq"], x["frame_index"], x["zone"], x["again"]) for x in core.samples)
+    assert {(r.session_id, r.track_id, r.origin) for r in tracker.origins_of(rows).collect()} == {(s, t, o) for s, core in right.items() for t, o in core.origins.items()}
+    results = {r.session_id: r for r in two_pass.analyse(walkers, zones, TrackConfig(), count, FateConfig()).collect()}
+    for session, core in right.items():
+        inside: dict[int, int] = {}
+        for x in core.samples:
+            if not x["again"]:
+                inside[x["frame_index"]] = inside.get(x["frame_index"], 0) + (x["zone"] == "INSIDE")
+        r = results[session]
+        assert r.live_exits == core.exits and r.exits == max(r.live_exits, r.offline_exits)
+        assert r.initial == max([v for _, v in sorted(inside.items())][:25]) and r.onboard == min(max(r.initial - r.exits, 0), 120)
+
+
+def test_a_person_who_stands_in_the_salon_counts_once(spark):
+    from trackweave.config import FateConfig
+    from trackweave.plans import two_pass
+
+    still = [("s", k * 3, 0, 300.0, 400.0, 330.0, 440.0, 0.9, None, None) for k in range(20)]
+    zones = fixtures.frame_zones(spark, "/root/testdata/sf0.001").limit(1).withColumn("session_id", F.lit("s"))
+    (r,) = two_pass.analyse(spark.createDataFrame(still, schemas.DETECTIONS), zones, TrackConfig(), CountConfig(), FateConfig()).collect()
+    assert (r.initial, r.exits, r.onboard) == (1, 0, 1)
+
+
+def crossings(ys, line, half, cfg):
+    """The line's machine in plain Python."""
+    state, zone, run, boarded, alighted, b, a = "UNKNOWN", None, 0, False, False, 0, 0
+    for k, y in enumerate(ys):
+        above = y < line - half
+        now = ("INSIDE" if above == cfg.inside_on_top else "OUTSIDE") if above or y > line + half else "DOORWAY"
+        run, zone = (run + 1 if now == zone else 1), now
+        inward = (ys[0] - y) if cfg.inside_on_top else (y - ys[0])
+        crossed = k > 0 and ((ys[k - 1] >= line > y) if cfg.inside_on_top else (ys[k - 1] <= line < y))
+        board = leave = False
+        if cfg.center_crossing and not boarded and crossed and inward >= cfg.min_move_px:
+            board = True
+        elif run < cfg.stable_samples:
+            continue
+        elif alighted and zone == "INSIDE":
+            alighted, state, a = False, "INSIDE", a - 1
+        elif boarded and zone == "OUTSIDE":
+            boarded, state, b = False, "OUTSIDE", b - 1
+        elif zone == "DOORWAY":
+            state = {"OUTSIDE": "FROM_OUTSIDE", "ALIGHTED": "FROM_OUTSIDE", "INSIDE": "FROM_INSIDE", "BOARDED": "FROM_INSIDE"}.get(state, state)
+        elif zone == "INSIDE":
+            board = state in ("OUTSIDE", "FROM_OUTSIDE") or (state == "UNKNOWN" and inward >= cfg.min_move_px)
+            state = state if board or state in ("BOARDED", "ALIGHTED") else "INSIDE"
+        else:
+            leave = state in ("INSIDE", "FROM_INSIDE") and -inward >= cfg.min_move_px
+            state = "OUTSIDE" if not leave and state in ("UNKNOWN", "FROM_OUTSIDE", "FROM_INSIDE") else state
+        if board and not boarded:
+            boarded, alighted, state, b = True, False, "BOARDED", b + 1
+        if leave and not alighted:
+            alighted, boarded, state, a = True, False, "ALIGHTED", a + 1
+    return b, a
+
+
+@pytest.mark.parametrize("cfg", [LineConfig(), LineConfig(inside_on_top=False), LineConfig(center_crossing=True, stable_samples=2), LineConfig(min_move_px=5.0, stable_samples=1)])
+def test_line_mode_matches_plain_python(spark, cfg):
+    rng = random.Random(4)
+    walks = []
+    for _ in range(120):
+        y, walk = rng.uniform(0, 200), []
+        for _ in range(rng.randint(1, 40)):
+            y = min(200.0, max(0.0, y + rng.choice([-25, -10, 0, 10, 25]) * rng.choice([1, 1, 3])))
+            walk.append(y)
+        walks.append(walk)
+    rows = [("s", t, k, y) for t, walk in enumerate(walks) for k, y in enumerate(walk)]
+    found = line_counter.line_tracks(spark.createDataFrame(rows, "session_id string, track_id int, frame_index int, anchor_y double"), 100.0, 20.0, cfg).collect()
+    assert {r.track_id: (r.boardings, r.alightings) for r in found} == {t: crossings(walk, 100.0, 20.0, cfg) for t, walk in enumerate(walks)}
+
+
+def test_events_wait_for_the_next_message(spark):
+    from trackweave.operators import messages
+
+    frames = spark.createDataFrame([("s", k, k * 50, k == 8, k) for k in range(10)], "session_id string, frame_index int, at_ms long, stopped boolean, exited int")
+    events = spark.createDataFrame([("s", 1, 7), ("s", 2, 8), ("s", 4, 9), ("s", 9, 5)], "session_id string, frame_index int, track_id int")
+    boxes = spark.createDataFrame([("s", 3, 1, 0.5)], "session_id string, frame_index int, track_id int, x1 double")
+    found = {r.frame_index: r for r in messages.frame_messages(frames, boxes, events).collect()}
+    assert {k: r.n_events for k, r in found.items()} == {0: 0, 3: 2, 6: 1, 8: 0}
+    assert json.loads(found[3].payload) == {"frame_index": 3, "detections": [{"track_id": 1, "x1": 0.5}], "events": [{"frame_index": 1, "track_id": 7}, {"frame_index": 2, "track_id": 8}], "exited": 3}

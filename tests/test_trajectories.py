@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackweave import schemas
-from trackweave.config import FateConfig
+from trackweave.config import FateConfig, LineConfig
 from trackweave.operators import line_counter, trajectories
 
 CFG = FateConfig(stable_samples=3, shrink_ratio=0.92, min_move_px=40, lost_frames=3, min_body_ratio=0.18, successor_gap=15, successor_px=120)
@@ -84,7 +84,7 @@ def test_median_and_head_average(spark):
 
 def test_line_mode_cancels_a_return(spark):
     rows = series(1, [B] * 9, [100] * 3 + [300] * 3 + [100] * 3, [50] * 9) + series(2, [B] * 6, [100] * 3 + [300] * 3, [50] * 6)
-    found = line_counter.line_counts(spark.createDataFrame(rows, schemas.SAMPLES), 200.0, 10.0).first()
+    found = line_counter.line_counts(spark.createDataFrame(rows, schemas.SAMPLES), 200.0, 10.0, LineConfig(inside_on_top=False)).first()
     assert (found.boardings, found.alightings) == (1, 0)
 
 

@@ -100,7 +100,7 @@ def file_time(modified_ms: Column) -> Column:
 def inside_home(path: Column, home: str) -> Column:
     """Whether a path lies under ``home`` once its '.' and '..' segments are taken out; a path above the root never does."""
     parts = segments(path)
-    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when((x == "..") & (F.size(a) > 0), F.slice(a, 1, F.size(a) - 1)).otherwise(F.array_append(a, x)))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == ".", a).when((x == "..") & (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)) != ".."), F.slice(a, 1, F.size(a) - 1)).otherwise(F.array_append(a, x)))
     top = [x for x in home.replace("\\", "/").split("/") if x]
     return ~F.array_contains(folded, "..") & (F.slice(folded, 1, len(top)) == F.array(*[F.lit(x) for x in top])) & (F.size(folded) > len(top)) if top else ~F.array_contains(folded, "..")
 
