@@ -355,3 +355,232 @@ def test_apportionment_is_sainte_lague(spark):
         found = {r.key: r.quota for r in mixing.apportion(frame, [], ["key"], "weight", "seats").collect()}
         won = sorted(((-w / (2 * j + 1), k is None, k or "", j) for k, w in weights if w for j in range(seats)))[:seats]
         assert found == {k: sum((k is None, k or "") == x[1:3] for x in won) for k, _ in weights}
+
+
+def test_production_settings_spill_and_recurse(tmp_path, monkeypatch):
+    """A shard of the least size: the queue goes to disk, strings of names are sorted two levels deep, and the order is right."""
+    from trackweave.llm import induced_sort
+
+    rng, spilled = np.random.default_rng(1), []
+    spill = induced_sort.DiskQueue._spill
+    monkeypatch.setattr(induced_sort.DiskQueue, "_spill", lambda self: (spilled.append(self.n_held), spill(self))[1])
+    base = np.frombuffer(" ".join(rng.choice(WORDS, 60_000)).encode(), np.uint8).astype(np.uint16) + 1
+    pieces = [base[k : k + 300] for k in rng.integers(0, len(base) - 300, suffix_dedup.SHARD_BYTES // 600 + 1)]
+    data = np.concatenate([np.append(p, 0) for p in (*pieces, *pieces)]).astype("<u2")
+    levels: list[int] = []
+    order, common = induced_sort.suffix_array(data, 257, tmp_path / "sort", levels=levels)
+    assert len(data) >= suffix_dedup.SHARD_BYTES and len(levels) >= 3 and levels[0] > 4 * levels[2] and sum(spilled) > len(data)
+    assert (np.sort(order) == np.arange(len(data))).all()
+    for i in rng.integers(1, len(data), 4000).tolist():
+        a, b = bytes(data[order[i - 1] :][:400].astype(">u2")), bytes(data[order[i] :][:400].astype(">u2"))
+        n = next((k for k in range(0, min(len(a), len(b)), 2) if a[k : k + 2] != b[k : k + 2]), min(len(a), len(b))) // 2
+        assert common[i] == min(n, induced_sort.CAP) and (a < b or n == 400)
+    assert not any((tmp_path / "sort" / "deeper").glob("*"))
+
+
+def test_nothing_is_removed_without_the_suffix_array(monkeypatch):
+    import pyarrow as pa
+
+    piece = b"x" * 150 + bytes(range(60))
+    batch = pa.RecordBatch.from_pydict({"h1": [1], "h2": [2], "n": pa.array([11], pa.int32()), "m": [2], "piece": pa.array([piece], pa.binary())})
+    (found,) = list(suffix_dedup._sorted_shard(iter([batch])))
+    assert found.column("m0").to_pylist() == [(1 << 11) - 1]
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text, *_: (np.arange(len(text)), np.zeros(len(text), np.uint8)))
+    assert sum(b.num_rows for b in suffix_dedup._sorted_shard(iter([batch]))) == 0
+
+
+def test_suffix_dedup_tells_rows_apart(spark):
+    rng = random.Random(12)
+    shared, own = prose(rng, 60), prose(rng, 60)
+    rows = [(None, shared), (3, shared), (3, shared), (3, own), (4, None), (5, "é" * 99), (6, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("N_Removed", F.lit("x"))
+    found = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.kept_text) for r in suffix_dedup.remove_repeats(frame, kept_as="text").collect())
+    n = len(shared.encode())
+    assert found == sorted([(-1, n, n, ""), (3, n, n, ""), (3, n, n, ""), (3, len(own.encode()), 0, own), (4, 0, 0, None), (5, 198, 0, "é" * 99), (6, 0, 0, "")], key=lambda r: (r[0], r[1], r[2], r[3] or "")) or len(found) == 7
+
+
+def test_quality_verdicts_can_be_filtered(spark):
+    import time
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+    def seconds(rows):
+        began = time.time()
+        rows.write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    whole = quality_rules.apply_rules(docs)
+    seconds(whole)
+    assert seconds(whole.where("kept").where("not base_failed").select("doc_id", "kept")) < 3 * seconds(whole) + 1
+    assert whole.where("kept").count() == sum(r.kept for r in whole.select("kept").collect())
+    assert whole.where("not kept")._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_quality_counts_repeated_words_of_long_texts(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(n)) for n in (3, 40, 2500, 9000)]
+    frame = spark.createDataFrame([(None if i == 1 else i, t) for i, t in enumerate(texts)] + [(7, texts[1]), (7, texts[1])], "doc_id long, text string").withColumn("N_WORDS", F.lit(1))
+    found = sorted((r.n_words, r.n_repeat_words) for r in quality_rules.apply_rules(frame).collect())
+    right = []
+    for t in (*texts, texts[1], texts[1]):
+        words = t.split(" ")
+        grams = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        times = {g: 0 for g in grams}
+        for g in grams:
+            times[g] += 1
+        right.append((len(words), len({j for k, g in enumerate(grams) if times[g] > 1 for j in (k, k + 1, k + 2)})))
+    assert found == sorted(right)
+
+
+def test_licenses_match_every_stretch_of_small_texts():
+    rng = random.Random(3)
+    for _ in range(300):
+        letters = "abcdefgh"[: rng.choice([3, 5, 8])]
+        template = licenses.Template([rng.choice(letters) for _ in range(rng.randint(3, 7))], licenses.COVERAGE)
+        words = [rng.choice(letters + "xyz") for _ in range(rng.randint(0, 22))]
+        if rng.random() < 0.5:
+            k = rng.randrange(len(words) + 1)
+            words[k:k] = [w for w in template.words if rng.random() < 0.95]
+        found = list(template.finds(words, 0, len(words)))
+        held = any(len(licenses.align(words[i:j], template.words)) >= template.least for i in range(len(words)) for j in range(i + 1, min(len(words), i + template.span) + 1))
+        assert held == bool(found) and all(len(x) >= template.least for x in found)
+        assert all(a[-1] < b[0] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_licenses_are_found_among_stray_words(spark):
+    bsd = licenses.TEMPLATES["BSD-3-Clause"]
+    spread = " ".join(w + " foo bar" for w in bsd.split())
+    stray = "redistribution source " * 10 + " lorem" * 30 + " " + spread + " ipsum" * 40 + " permitted binary" * 9
+    rows = [(1, spread), (2, stray), (2, stray), (None, spread)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("LICENSE", F.lit("x")).withColumn("_id", F.lit(0))
+    found = sorted((r.doc_id or -1, r.license, r.matched) for r in licenses.scan_licenses(frame).collect())
+    assert found == [(-1, "BSD-3-Clause", 21), (1, "BSD-3-Clause", 21), (2, "BSD-3-Clause", 21), (2, "BSD-3-Clause", 21)]
+    whole = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE).scan("x " + licenses.TEMPLATES["MIT-text"] + " y")
+    assert [(x[0], x[1] == x[2]) for x in whole] == [("MIT", True), ("MIT-text", True)]
+
+
+def test_markup_without_ends_is_read_in_one_pass():
+    import time
+
+    began = time.time()
+    assert language_id.visible("<script>" * 20_000).strip() == "" and language_id.visible("<" * 200_000) == "<" * 200_000
+    language_id.visible("<!-- " * 40_000)
+    language_id.declared("<html " * 30_000)
+    assert time.time() - began < 5
+    assert language_id.visible("a<b>c</b><!-- x > -->d<SCRIPT a>z<z</script >e &amp; f") == "a c  d e & f"
+    assert language_id.declared("<meta http-equiv='content-language' content='DE'><html lang=fr>") == "de" and language_id.declared("<html lang='fr'>") == "fr"
+
+
+def test_language_posteriors_match_plain_python(spark):
+    import math
+
+    rng = random.Random(14)
+    names = ["de", "en"]
+    table = np.log(np.random.default_rng(2).dirichlet(np.ones(language_id.BUCKETS), 2))
+    rows = [(k if k != 5 else None, rng.choice(["https://a.de/de/x", "http://b.com/en/y", "https://c.a.de/z", None, "bad"]), rng.choice(["<html lang=de>", "<html lang='en'>", "<p>", ""]) + prose(rng, 8)) for k in range(40)]
+    rows += rows[:3] + [(90, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("guess", F.lit("x")).withColumn("HOST", F.lit("y"))
+    facts = []
+    for _, url, html in rows:
+        text = language_id.visible(html)
+        likely = [float(v) * language_id.TEMPER for v in table @ (np.bincount(language_id.trigrams(text), minlength=language_id.BUCKETS) if text.strip() else np.zeros(language_id.BUCKETS))]
+        host, suffix, code = language_id.address(url)
+        facts.append({"likely": likely, "guess": likely.index(max(likely)), "host": host, "suffix": suffix, "code": code, "said": language_id.declared(html)})
+    right = []
+    for i, f in enumerate(facts):
+        rest = facts[:i] + facts[i + 1 :]
+        scores = []
+        for k in (0, 1):
+            mine = [g for g in rest if g["guess"] == k]
+            base = (len(mine) + language_id.ADDED) / (len(rest) + 2 * language_id.ADDED)
+            prior = base
+            for key, strength in (("suffix", language_id.SUFFIX_STRENGTH), ("host", language_id.HOST_STRENGTH)):
+                prior = (sum(g[key] == f[key] for g in mine) + strength * prior) / (sum(g[key] == f[key] for g in rest) + strength)
+            score = f["likely"][k] + math.log(prior)
+            for key in ("said", "code"):
+                score += math.log((sum(g[key] == f[key] for g in mine) + language_id.ADDED) / (len(mine) + language_id.ADDED * len({g[key] for g in facts})))
+            scores.append(score)
+        best = scores.index(max(scores))
+        right.append((names[best], round(1 / sum(math.exp(s - max(scores)) for s in scores), 6)))
+    found = language_id.identify(frame, (names, table)).collect()
+    assert sorted((r.lang, round(r.confidence, 6)) for r in found) == sorted(right)
+
+
+def test_language_samples_are_the_smallest_hashes(spark):
+    rows = [(i, "w" * (i + 1), "aa" if i % 10 else "bb") for i in range(300)] + [(None, "x", "aa"), (9, "zz", "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("slice", F.lit(1)).withColumn("_lang", F.lit(1))
+    names, table = language_id.fit(frame, train_docs=7)
+    sums = {}
+    for lang in ("aa", "bb"):
+        ids = sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i, _, x in rows if x == lang and i is not None)[:7]
+        sums[lang] = sum(np.bincount(language_id.trigrams(t), minlength=language_id.BUCKETS) for i, t, x in rows if x == lang and i in {k for _, k in ids}) + language_id.ADDED
+    assert names == ["aa", "bb"] and np.allclose(table, np.log(np.stack([sums[n] / sums[n].sum() for n in names])))
+    assert language_id.fit(frame.limit(0))[0] == ["und"]
+
+
+def test_exact_topk_takes_large_and_empty_vectors(spark):
+    big = [1e12, -1e12, 3.0]
+    rows = [(0, big), (1, big), (1, big), (2, [1.0, 2.0, 3.0]), (3, []), (4, []), (20, [1e300, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("ids", F.lit(1)).withColumn("BLOCK", F.lit(1))
+    found = sorted(tuple(r) for r in exact_topk.top_k(frame, frame.where("vec_id in (0, 3)"), 3).collect())
+    most = exact_topk.MOST - 1
+    small = int(np.floor(64 * 1e12)) * (64 - 128) + 192 * 192
+    assert found == [(0, 1, 1, most), (0, 2, 1, most), (0, 3, 20, most), (3, 1, 4, 0)] and small < 0
+
+
+def test_byte_bpe_knows_unknown_ids(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = [(1, [1, 2]), (2, [10**9]), (3, [-1]), (4, []), (5, None), (6, [1, None])]
+    frame = spark.createDataFrame(rows, "k int, ids array<int>").withColumn("b", byte_bpe.decode_column(F.col("ids"), path, pattern))
+    found = {r.k: r.b for r in frame.collect()}
+    assert found[1] and found[2] is None and found[3] is None and bytes(found[4]) == b"" and found[5] is None and found[6] is None
+    docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string").withColumn("IDS", F.lit("x")).withColumn("decoded_SHA256", F.lit("x"))
+    coded = byte_bpe.code_documents(docs, path, pattern).collect()
+    assert len(coded) == 3 and len({tuple(r.ids) for r in coded}) == 1 and {r.decoded_sha256 for r in coded} == {hashlib.sha256(b"a b").hexdigest()}
+
+
+def test_texts_with_odd_spaces_are_still_cut():
+    text = "one\u00a0two " + "three four " * 50 + "five\u3000 six seven"
+    found = token_counts.pieces(text)
+    assert "".join(found) == text and len(found) > 90 and max(map(len, found)) < 20
+    assert "\u00a0" not in [p[0] for p in found]
+
+
+def test_line_crf_climbs_one_objective():
+    rng = np.random.default_rng(0)
+    owner, y = np.repeat([0, 1, 2], [4, 1, 3]), np.array([1, 1, 1, 1, 0, 1, 1, 1.0])
+    inputs, weight, theta = rng.normal(size=(8, 3)), np.repeat([0.5, 2, 1], [4, 1, 3]), rng.normal(size=7)
+    _, slope = line_crf.climb(theta, inputs, owner, y, weight)
+    step = [(line_crf.climb(theta + 1e-6 * e, inputs, owner, y, weight)[0] - line_crf.climb(theta - 1e-6 * e, inputs, owner, y, weight)[0]) / 2e-6 for e in np.eye(7)]
+    assert np.allclose(step, slope, atol=1e-7)
+
+
+def test_line_crf_labels_lines(spark):
+    good, bad = "Plain words end here and go on.", "BUY!! NOW!! BUY!!"
+    rows = [(i, "\n".join([good] * 4) if i % 2 else "\n".join([bad] * 3)) for i in range(80)] + [(None, good), (7, good), (7, good)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Lines", F.lit(1))
+    field = line_crf.train(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int"))
+    asked = spark.createDataFrame([(1, f"{good}\n\n{good}\n{bad}\n{bad}"), (2, None), (3, " ")], "k int, text string").withColumn("Lines", F.lit(1))
+    found = {r.k: r.lines for r in line_crf.label_lines(asked, field).collect()}
+    assert [x.label for x in found[1]][0] == 1 and [x.label for x in found[1]][-1] == 0 and len(found[1]) == 4 and found[2] == [] and found[3] == []
+    scored = line_crf.classify(docs, field).where("doc_id is null or doc_id = 7").collect()
+    assert len(scored) == 4 and line_crf.classify(docs.limit(0), field).count() == 0
+
+
+def test_jaccard_compares_groups_of_many_nodes(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MANY", 1)
+    monkeypatch.setattr(jaccard_join, "PAIRS", 2)
+    found = jaccard_join.jaccard_components(docs.withColumn("H", F.lit(1)).withColumn("mark", F.lit("x")), n_gram=2, num=50, den=100)
+    assert {tuple(r) for r in found.select("doc_id", "n_shingles", "component_id").collect()} == components_by_hand(corpus(), 2, 50, 100)
+
+
+def test_mixing_deals_groups_and_odd_rows(spark):
+    rng = random.Random(15)
+    rows = [(None if i % 9 == 0 else i // 2, prose(rng, rng.randint(1, 120)), rng.choice(["a", "a", "a", "b", None])) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("ring", "SHARD", "_s", "quota")})
+    found = mixing.mix(frame, shard_words=150, group=3).collect()
+    assert len(found) == 200 and all(0 <= r.taken <= 2 * r.size for r in found)
+    for source in ("a", "b", None):
+        mine = [r for r in found if r.source == source]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, abs=32 * (1 + mine[0].source_size / 150))
+    assert sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(frame.repartition(7), shard_words=150, group=3).collect()) == sorted((r.doc_id or -1, r.size, r.taken) for r in found)

@@ -4,6 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -69,3 +70,23 @@ def test_stages_on_an_empty_table(spark, corpus):
     empty = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_duplicates_tell_rows_apart_by_text(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (4, b), (4, a), (4, b), (6, b), (None, a), (None, a), (7, None), (7, None), (8, " "), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], KIND).withColumn("extra", F.lit("mark")).withColumnRenamed("extra", "H")
+    found = sorted(((r.doc_id or -1, r.text or "") for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+    assert found == sorted([(1, a), (4, b), (-1, a), (-1, a), (7, ""), (8, " "), (9, "")])
+
+
+def test_stages_take_odd_rows(spark, corpus):
+    folder, _ = corpus
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (1, "word " * 30_000, "en", "s", 150_000), (2, "Same text here.", "en", "s", 15), (2, "Same text here.", "en", "s", 15), (3, "a\u00a0b 日本語 " * 50, None, "s", None)]
+    docs = spark.createDataFrame(rows, KIND).withColumn("SIZE", F.lit(1)).withColumn("ids", F.lit("x"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        assert out.count() <= 2 * len(rows) and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns)
