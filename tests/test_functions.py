@@ -231,4 +231,4 @@ def test_image_functions_run_on_tables(spark):
     found = rows.select(images.signature("image", "width", "height", square).alias("s"), images.letterbox_input("image", "width", "height", 8).alias("l")).collect()
     assert len(found[0].s) == 576 and len(found[0].l) == 192 and found[1].s is None and found[1].l is None
     even = rows.limit(1).select(images.signature("image", "width", "height", square).alias("s")).select(normalised(F.col("s")).alias("s")).first().s
-    assert abs(sum(even)) < 1e-6 and max(even) == -min(even)
+    assert abs(sum(even)) < 1e-6 and min(even) < 0 < max(even)
