@@ -31,7 +31,7 @@ from .common import cache, tidy, with_fields
 from .token_counts import pieces
 
 #: During a task, the ids of short pieces are remembered in one to two times MEMORY bytes, those used last, and the fit of PAIRS pairs of tokens at most.
-MEMORY, PAIRS, KEPT_CHARS = 24 << 20, 200_000, 64
+MEMORY, PAIRS, KEPT_CHARS = 8 << 20, 60_000, 64
 #: About what an entry takes beside its characters.
 ENTRY_BYTES = 200
 

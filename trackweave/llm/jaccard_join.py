@@ -38,7 +38,7 @@ from .components import components
 from .shingles import chunks, mix, shingle_sets, slices
 
 #: Fragments; bits of the table of counts, and of the blocks it is summed in; words of 64 bits in a sketch.
-FRAGMENTS, COUNT_BITS, BLOCK_BITS, SKETCH = 16, 23, 17, 32
+FRAGMENTS, COUNT_BITS, BLOCK_BITS, SKETCH = 16, 22, 17, 32
 #: Pairs that one task takes of a node that many share; nodes of an n-gram beyond which no rows are made for its pairs.
 PAIRS, MANY = 4096, 512
 #: Nodes and n-grams in a block of a group, about; n-grams whose overlaps are counted at a time.

@@ -74,7 +74,7 @@ def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
     return hashes[new], owners[new]
 
 
-def chunks(texts: list[str | None], size: int = 1 << 20):
+def chunks(texts: list[str | None], size: int = 1 << 18):
     """Ranges of texts of about ``size`` characters, so that work arrays stay small; a longer text is alone."""
     begin = total = 0
     for i, t in enumerate(texts):

@@ -29,7 +29,7 @@ BATCH_BYTES = 1 << 20
 #: Texts that are Python objects at a time.
 ROWS = 512
 #: During a task, one to two times so many bytes of distinct pieces are remembered, those used last. Longer pieces aren't kept.
-MEMORY, KEPT_CHARS, ENTRY_BYTES = 24 << 20, 64, 120
+MEMORY, KEPT_CHARS, ENTRY_BYTES = 12 << 20, 64, 120
 
 _PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space of Unicode outside ASCII, and ASCII separators that Python alone counts as white space.
