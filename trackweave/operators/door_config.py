@@ -45,6 +45,21 @@ def channels(bindings: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select(*CAMERA, F.coalesce("logical_door", F.lit("NEEDS_CLASSIFICATION")).alias("logical_door"), F.coalesce("samples", F.lit(0)).alias("samples"), "newest_ms")
 
 
+def camera_keys(*tables: DataFrame) -> DataFrame:
+    """All cameras (recorder_id, camera_code) of some tables, blank codes left out, in order."""
+    keys = [t.select(*CAMERA) for t in tables]
+    rows = keys[0]
+    for other in keys[1:]:
+        rows = rows.union(other)
+    return rows.where(F.trim("camera_code") != "").distinct().orderBy(*CAMERA)
+
+
+def of_recorder(bindings: DataFrame, recorder: str) -> DataFrame:
+    """A recorder's active bindings by camera, the newest of each camera first."""
+    rows = bindings.where((F.col("recorder_id") == recorder.strip()) & F.col("active"))
+    return rows.orderBy("camera_code", F.col("updated_ms").desc(), "id")
+
+
 def listed(bindings: DataFrame, profiles: DataFrame) -> DataFrame:
     """Bindings with profile names: unclassified ones first, then by recorder, camera, newest."""
     names = profiles.select(F.col("id").alias("profile_id"), F.col("name").alias("profile_name"))

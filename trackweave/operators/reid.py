@@ -11,6 +11,11 @@ from ..functions import vectors as V
 from .detections import center_limit
 
 
+def pool(lost: DataFrame, coasting: DataFrame) -> DataFrame:
+    """Tracks that a detection may belong to: the archived ones, then those not seen for a while, with the name of their pool."""
+    return lost.withColumn("pool", F.lit("lost")).unionByName(coasting.withColumn("pool", F.lit("coasting")))
+
+
 def best_match(probes: DataFrame, pool: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Each probe's most similar pool row above the threshold; ties go to the smaller pool id.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import FateConfig
 from ..functions.geometry import distance
+from ..lineage import cut
 
 TRACK = ["session_id", "track_id"]
 ORDER = ["frame_index", "seq"]
@@ -48,10 +49,15 @@ def _ratio(base: Column, value: Column) -> Column:
 
 
 def track_facts(samples: DataFrame, cfg: FateConfig) -> DataFrame:
-    """One row for each track: counts, first, last and last but one sample, and what the tail window shows."""
-    tail = max(cfg.lost_frames, 2)
-    back = F.row_number().over(Window.partitionBy(*TRACK).orderBy(*[F.col(c).desc() for c in ORDER]))
-    rows = samples.withColumn("_back", back)
+    """One row for each track: counts, first, last and last but one sample, what the tail window shows, and how far the first samples lie from the first.
+
+    One sort serves the places from the beginning and, with the track's number of samples, those from the end.
+    """
+    tail, early = max(cfg.lost_frames, 2), max(cfg.stable_samples, 2)
+    whole = Window.partitionBy(*TRACK)
+    own = whole.orderBy(*ORDER)
+    rows = samples.withColumn("_at", F.row_number().over(own)).withColumn("_start", F.first(F.struct("anchor_x", "anchor_y")).over(own))
+    rows = rows.withColumn("_back", F.count(F.lit(1)).over(whole) - F.col("_at") + 1)
     in_tail = F.col("_back") <= tail
     exit_area = F.col("in_door") | (F.col("zone") == "OUTSIDE")
     rank = F.when(F.col("zone") == "OUTSIDE", 2).when(F.col("in_door"), 1).otherwise(0)
@@ -67,6 +73,7 @@ def track_facts(samples: DataFrame, cfg: FateConfig) -> DataFrame:
         # The last sample outside, else the last in the door, else the last of all.
         F.max_by(tail_sample, F.when(in_tail, F.struct(rank.alias("r"), (-F.col("_back")).alias("b")))).alias("tail"),
         F.max(F.when(F.col("_back") == 2, F.struct(F.col("anchor_x").alias("x"), F.col("anchor_y").alias("y")))).alias("before_last"),
+        F.max(F.when(F.col("_at") <= early, distance(F.col("_start.anchor_x"), F.col("_start.anchor_y"), F.col("anchor_x"), F.col("anchor_y")))).alias("early_shift"),
     )
 
 
@@ -84,8 +91,7 @@ def with_stationary_successor(samples: DataFrame, cfg: FateConfig, facts: DataFr
     Births are binned by the gap, so an end meets births of its own and the next bin only.
     """
     facts = track_facts(samples, cfg) if facts is None else facts
-    still = early_shift(samples, max(cfg.stable_samples, 2)).where(F.col("early_shift") < cfg.min_move_px)
-    births = facts.join(still, TRACK).select("session_id", F.col("track_id").alias("_other"), F.col("first.frame_index").alias("_born"), F.col("first.x").alias("_x"), F.col("first.y").alias("_y"))
+    births = facts.where(F.col("early_shift") < cfg.min_move_px).select("session_id", F.col("track_id").alias("_other"), F.col("first.frame_index").alias("_born"), F.col("first.x").alias("_x"), F.col("first.y").alias("_y"))
     births = births.withColumn("_bin", F.floor(F.col("_born") / cfg.successor_gap))
     ends = facts.select(*TRACK, F.col("last.frame_index").alias("_end"), F.col("last.x").alias("_ex"), F.col("last.y").alias("_ey"))
     here = F.floor(F.col("_end") / cfg.successor_gap)
@@ -97,10 +103,14 @@ def with_stationary_successor(samples: DataFrame, cfg: FateConfig, facts: DataFr
 
 def track_fates(samples: DataFrame, cfg: FateConfig, origins: DataFrame | None = None, clip_end: DataFrame | None = None) -> DataFrame:
     """session_id, track_id, exits, fate. ``origins``: (session_id, track_id, origin); ``clip_end``: (session_id, final_frame_index)."""
-    facts = track_facts(samples, cfg)
+    facts = cut(track_facts(samples, cfg), "facts")  # a row for each track, read three times
     visits = stable_visits(samples, cfg.stable_samples)
     order = F.col("visit_no")
-    seen = visits.groupBy(*TRACK).agg(
+    before = F.lag(F.struct("zone", "median_head", "mean_x", "mean_y")).over(Window.partitionBy(*TRACK).orderBy("visit_no"))
+    out = (F.col("zone") == "OUTSIDE") & (F.col("_b.zone") == "INSIDE") & (distance(F.col("_b.mean_x"), F.col("_b.mean_y"), F.col("mean_x"), F.col("mean_y")) >= cfg.min_move_px)
+    seen = visits.withColumn("_b", before).withColumn("_out", F.coalesce(out, F.lit(False))).groupBy(*TRACK).agg(
+        F.count_if("_out").alias("moved_out"),
+        F.count_if(F.col("_out") & (_ratio(F.col("_b.median_head"), F.col("median_head")) <= cfg.shrink_ratio)).alias("shrank_out"),
         F.count(F.lit(1)).alias("visits"),
         F.count_if(F.col("zone") == "INSIDE").alias("inside"),
         F.count_if(F.col("zone") == "OUTSIDE").alias("outside"),
@@ -108,11 +118,9 @@ def track_fates(samples: DataFrame, cfg: FateConfig, origins: DataFrame | None =
         F.max_by("zone", order).alias("last_zone"),
         F.max_by(F.struct("median_head", "mean_x", "mean_y"), F.when(F.col("zone") == "INSIDE", order)).alias("within"),
     )
-    crossed = transitions(visits).where((F.col("from_zone") == "INSIDE") & (F.col("to_zone") == "OUTSIDE") & (F.col("shift") >= cfg.min_move_px))
-    crossed = crossed.groupBy(*TRACK).agg(F.count(F.lit(1)).alias("moved_out"), F.count_if(F.col("head_ratio") <= cfg.shrink_ratio).alias("shrank_out"))
     followed = with_stationary_successor(samples, cfg, facts).withColumn("followed", F.lit(True))
 
-    rows = facts.join(seen, TRACK, "left").join(crossed, TRACK, "left").join(followed, TRACK, "left")
+    rows = facts.join(seen, TRACK, "left").join(followed, TRACK, "left")
     rows = rows.join(origins.select(*TRACK, "origin"), TRACK, "left") if origins is not None else rows.withColumn("origin", F.lit(None).cast("string"))
     rows = rows.join(clip_end.select("session_id", "final_frame_index"), "session_id", "left") if clip_end is not None else rows.withColumn("final_frame_index", F.lit(None).cast("int"))
 

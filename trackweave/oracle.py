@@ -249,6 +249,7 @@ SQL = {
     "deepest_root": "SELECT CASE o_orderkey % 5 WHEN 0 THEN '/data/processed/failed' WHEN 1 THEN '/data/processed' WHEN 4 THEN '/srv' ELSE '/data' END AS root, CASE o_orderkey % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'ARCHIVE' WHEN 4 THEN 'OTHER' ELSE 'ANY' END AS kind, count(*) AS files FROM orders GROUP BY ALL",
     "first_by_root": "SELECT '/r' || n_regionkey AS root, n_name AS kind, n_nationkey % 3 AS priority FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 3, n_name) = 1",
     "camera_keys": f"WITH {BINDINGS}, {CAMERAS} SELECT recorder_id, camera_code FROM bi UNION SELECT recorder_id, camera_code FROM ca",
+    "recorder_bindings": f"WITH {BINDINGS} SELECT id, camera_code, logical_door, updated_ms FROM bi WHERE recorder_id = 'rec7' AND active",
     "lost_pool": f"WITH {SAMPLES} SELECT session_id, track_id, max(frame_index) AS last_frame, CASE WHEN max(frame_index) < 60 THEN 'lost' ELSE 'coasting' END AS pool FROM s GROUP BY ALL",
     "unprocessed_content": "WITH h AS (SELECT sha256(text) AS sha256, 'p' || lpad(CAST(doc_id AS VARCHAR), 10, '0') AS path FROM documents) SELECT sha256, min(path) AS path FROM h WHERE substr(sha256, 1, 1) NOT IN ('0', '1', '2', '3') GROUP BY ALL",
     "unanalysed_clips": f"WITH {FILES} SELECT path FROM fp WHERE NOT (k % 8 = 0 OR (k % 12 = 0 AND device <> 'x') OR (k % 20 = 0 AND device <> 'x'))",

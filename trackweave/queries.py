@@ -349,16 +349,19 @@ def first_by_root(spark, d):
 
 @query
 def camera_keys(spark, d):
-    keys = lambda df: df.select("recorder_id", "camera_code")
     other = X.table(spark, d, "supplier").select(F.concat(F.lit("rec"), (F.col("s_suppkey") % 40).cast("string")).alias("recorder_id"), (F.col("s_suppkey") % 9).cast("string").alias("camera_code"))
-    return keys(X.bindings(spark, d)).union(other).distinct().orderBy("recorder_id", "camera_code")
+    return door_config.camera_keys(X.bindings(spark, d), other)
+
+
+@query
+def recorder_bindings(spark, d):
+    return door_config.of_recorder(X.bindings(spark, d), " rec7 ").select("id", "camera_code", "logical_door", "updated_ms")
 
 
 @query
 def lost_pool(spark, d):
     rows = X.samples(spark, d).groupBy("session_id", "track_id").agg(F.max("frame_index").cast("long").alias("last_frame"))
-    lost, coasting = rows.where("last_frame < 60").withColumn("pool", F.lit("lost")), rows.where("last_frame >= 60").withColumn("pool", F.lit("coasting"))
-    return lost.unionAll(coasting)
+    return reid.pool(rows.where("last_frame < 60"), rows.where("last_frame >= 60"))
 
 
 @query
