@@ -232,3 +232,16 @@ def test_image_functions_run_on_tables(spark):
     assert len(found[0].s) == 576 and len(found[0].l) == 192 and found[1].s is None and found[1].l is None
     even = rows.limit(1).select(images.signature("image", "width", "height", square).alias("s")).select(normalised(F.col("s")).alias("s")).first().s
     assert abs(sum(even)) < 1e-6 and min(even) < 0 < max(even)
+
+
+def test_settings_come_from_texts():
+    import pytest
+
+    from trackweave.config import CountConfig, StopConfig, configured
+
+    found = configured(StopConfig, {"PC_SMART_STOP_MIN_SECONDS": "3.5", "pc-smart-stop-need-activity": "no", "PC_SMART_STOP_CALIBRATION_SAMPLES": " 2 ", "PC_SMART_STOP_OPEN_MAX": ""}, "pc_smart_stop_")
+    assert (found.min_seconds, found.need_activity, found.calibration_samples, found.open_max) == (3.5, False, 2, 0.10)
+    assert configured(CountConfig, {"mode": "streaming"}).mode == "streaming" and configured(CountConfig, {}) == CountConfig()
+    for bad in ({"stride": "x"}, {"allow_preboarded": "maybe"}):
+        with pytest.raises(ValueError):
+            configured(CountConfig, bad)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+from typing import TypeVar
+
+T = TypeVar("T")
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,8 @@ class CountConfig:
     lock_similarity: float = 0.82
     #: A track that was never stably inside may exit if it was in the door and seen early.
     allow_preboarded: bool = True
+    #: ``offline``: the greater of the live and the second pass's exits; ``streaming``: the live ones.
+    mode: str = "offline"
 
 
 @dataclass(frozen=True)
@@ -117,3 +123,24 @@ class StopConfig:
     motion_fallback: bool = True
     inactivity_s: float = 30.0
     post_roll_s: float = 3.0
+
+
+def configured(kind: type[T], values: Mapping[str, str], prefix: str = "") -> T:
+    """Settings of a kind, with the defaults replaced by texts (of the environment or a file) named ``prefix`` and the field, case and _ or - aside.
+
+    A text that isn't of the field's type raises ValueError; empty ones are left out.
+    """
+    plain = {k.lower().replace("-", "_"): v for k, v in values.items()}
+    switches = {"true": True, "1": True, "yes": True, "on": True, "false": False, "0": False, "no": False, "off": False}
+    found = {}
+    for f in fields(kind):
+        text = plain.get(f"{prefix}{f.name}".lower().replace("-", "_"), "").strip()
+        if not text:
+            continue
+        if isinstance(f.default, bool):
+            if text.lower() not in switches:
+                raise ValueError(f"{f.name} is neither true nor false: {text}")
+            found[f.name] = switches[text.lower()]
+        else:
+            found[f.name] = type(f.default)(text)
+    return kind(**found)

@@ -32,6 +32,14 @@ def videos(files: DataFrame, roots: DataFrame, depth: int = LIST_DEPTH) -> DataF
     return rows.withColumn("issue", issue).orderBy(F.col("modified_ms").desc(), "path")
 
 
+def preview_answers(requests: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
+    """What a request for a preview (path) is answered, as a status: 400 outside the roots or no video, 404 missing, 422 empty, 409 not complete yet, 200."""
+    rows = deepest_root(requests.select("path").distinct(), roots).join(files.select("path", "size"), "path", "left")
+    shown = P.location_flag(P.storage_location(F.col("kind"), below(F.col("path"), F.col("root"))), 1)
+    status = F.when(F.col("root").isNull(), 400).when(F.col("size").isNull(), 404).when(~P.is_video(F.col("path")), 400).when(F.col("size") <= 0, 422).when(~shown, 409).otherwise(200)
+    return rows.select("path", status.alias("status"))
+
+
 def sample_videos(files: DataFrame, root: str, recorder: str, camera: str | None = None, depth: int = SAMPLE_DEPTH) -> DataFrame:
     """A recorder's files at most ``depth`` levels below a root whose path doesn't hold the word incoming, newest first."""
     top = len([x for x in root.split("/") if x])

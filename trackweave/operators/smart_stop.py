@@ -137,6 +137,12 @@ class Candidate:
             self.since, self.stopped = now, cfg.post_roll_s <= 0
 
 
+def until_stop(frames: DataFrame, points: DataFrame) -> DataFrame:
+    """Frames up to the one at which analysis stops, which is the last; all frames of sessions that don't stop."""
+    ends = points.where("stopped").groupBy("session_id").agg(F.min("frame_index").alias("_end"))
+    return frames.join(ends, "session_id", "left").where(F.col("_end").isNull() | (F.col("frame_index") <= F.col("_end"))).drop("_end")
+
+
 def stop_points(frames: DataFrame, cfg: StopConfig) -> DataFrame:
     """Each frame's phase and reason, and whether analysis stops there; rows after a stop keep FINISHED."""
     columns = ["session_id", "frame_index", "video_s", "active", "door_state", "closed_s", "idle_s", "activity_seen", "vehicle_moving"]

@@ -243,6 +243,8 @@ SQL = {
     " SELECT path, location, CASE location WHEN 'FTP_FAILED' THEN 'FTP / ошибка' WHEN 'FTP_PROCESSED' THEN 'FTP / processed' WHEN 'FTP_INCOMING' THEN 'FTP / входящие' ELSE 'Видео' END AS folder,"
     " CASE k % 5 WHEN 0 THEN 'failed/' WHEN 4 THEN 'other/' ELSE '' END || device || '/' || day || '/' || name AS below_root, strftime(make_timestamp(modified_ms * 1000), '%d.%m.%y %H:%M') AS modified, size > 0 AND location <> 'FTP_INCOMING' AS can_preview, size > 0 AND location <> 'FTP_INCOMING' AS can_analyse,"
     " CASE WHEN size <= 0 THEN 'Пустой файл' WHEN location = 'FTP_INCOMING' THEN 'Загрузка ещё не завершена' END AS issue FROM pl",
+    "preview_answers": f"WITH {FILES} SELECT path, CASE WHEN k % 13 = 0 THEN 400 WHEN k * 10 % 70 = 0 THEN 422 WHEN k % 5 = 2 THEN 409 ELSE 200 END AS status FROM fp"
+    " UNION ALL SELECT CASE WHEN o_orderkey % 2 = 0 THEN '/nowhere/' ELSE '/data/videos/' END || o_orderkey || '.mp4', CASE WHEN o_orderkey % 2 = 0 THEN 400 ELSE 404 END FROM orders",
     "recorder_samples": f"WITH {FILES} SELECT path, modified_ms FROM fp WHERE k % 13 <> 0 AND device = '1007' AND k % 6 = 3 AND k % 5 IN (1, 3)",
     "page_extensions": "WITH p AS (SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1) AS last FROM pages) SELECT page_id, lower(regexp_extract(last, '\\.([^./\\\\]*)$', 1)) AS extension, substr(regexp_replace(coalesce(nullif(trim(last), ''), 'index'), '[^A-Za-z0-9._-]', '_', 'g'), 1, 80) AS safe_name FROM p",
     "clock_texts": f"WITH {DETECTIONS} SELECT DISTINCT session_id, frame_index, lpad(CAST(CAST(floor(frame_index * 9 / CAST(25 AS DOUBLE)) AS BIGINT) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(floor(frame_index * 9 / CAST(25 AS DOUBLE)) AS BIGINT) % 60 AS VARCHAR), 2, '0') AS clock FROM d",
@@ -279,6 +281,7 @@ SQL = {
     " round(gap, 6) AS gap, round(door_motion, 6) AS door_motion, round(scene_motion, 6) AS scene_motion, round(closed_s, 6) AS closed_s, round(moving_s, 6) AS moving_s, scene_motion >= 0.14 AND moving_s >= 5 AS vehicle_moving FROM se",
     "signature_statistics": f"WITH {DOOR} SELECT session_id, frame_index, round(street[1], 6) AS first, round(street[4], 6) AS last FROM df",
     "stop_points": f"WITH RECURSIVE {STATES}, {STOPS} SELECT session_id, frame_index, door_state, CASE WHEN stopped THEN 'FINISHED' WHEN reason IS NOT NULL THEN 'POST_ROLL' WHEN door_state = 'CALIBRATING' THEN 'CALIBRATING' WHEN door_state = 'CLOSED' THEN 'CLOSING' ELSE 'MONITORING' END AS phase, reason, stopped FROM sp WHERE n > 0",
+    "analysed_frames": f"WITH RECURSIVE {STATES}, {STOPS}, en AS (SELECT session_id, min(frame_index) AS last FROM sp WHERE stopped GROUP BY ALL) SELECT sp.session_id, count(*) AS frames, max(frame_index) AS last_frame FROM sp LEFT JOIN en ON en.session_id = sp.session_id WHERE n > 0 AND (last IS NULL OR frame_index <= last) GROUP BY ALL",
     "greedy_matches": f"WITH RECURSIVE {PAIRS}, {GREEDY} SELECT session_id, frame_index, track_id, det_seq, round(iou, 6) AS iou, round(center_px, 6) AS center_px FROM gm WHERE kept",
     "suppressed_boxes": f"WITH RECURSIVE {DETECTIONS}, {SUPPRESSED} SELECT session_id, frame_index, det_seq, x1, y1, x2, y2, confidence FROM nm WHERE kept",
     "frame_diagnostics": f"WITH {COUNTED} SELECT session_id, frame_index, inside, outside, doorway, inside + outside + buffer AS detections FROM k WHERE frame_index % 30 = 0",

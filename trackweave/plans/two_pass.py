@@ -13,11 +13,14 @@ from ..operators import trajectories as R
 from ..operators.detections import zone_counts
 
 
-def analyse(detections: DataFrame, zones: DataFrame, track: TrackConfig, count: CountConfig, fate: FateConfig, mode: str = "offline") -> DataFrame:
+def analyse(detections: DataFrame, zones: DataFrame, track: TrackConfig, count: CountConfig, fate: FateConfig, mode: str | None = None) -> DataFrame:
     """session_id, live_exits, offline_exits, exits (the greater of both; in ``streaming`` mode the live ones), initial, onboard.
 
-    The tracker runs once; what it tells is written to the shared folder and read by all that follows.
+    ``mode`` is the counting configuration's unless given; another than those two raises ValueError. The tracker runs once; what it tells is written to the shared folder and read by all that follows.
     """
+    mode = (mode or count.mode).lower()
+    if mode not in ("offline", "streaming"):
+        raise ValueError(f"unknown count mode: {mode}")
     rows = cut(tracker.folded(detections, zones, track, count), "folded")
     samples = tracker.samples_of(rows)
     clip_end = detections.groupBy("session_id").agg(F.max("frame_index").alias("final_frame_index"))

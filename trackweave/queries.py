@@ -317,6 +317,14 @@ def file_catalog(spark, d):
     return catalog.videos(files, _roots(spark)).select("path", "location", "folder", "below_root", "modified", "can_preview", "can_analyse", "issue")
 
 
+@query
+def preview_answers(spark, d):
+    clips = X.clip_files(spark, d).withColumn("size", F.when(F.col("size") % 70 == 0, F.lit(0)).otherwise(F.col("size")))
+    k = F.col("o_orderkey")
+    other = X.table(spark, d, "orders").select(F.when(k % 2 == 0, F.concat(F.lit("/nowhere/"), k.cast("string"), F.lit(".mp4"))).otherwise(F.concat(F.lit("/data/videos/"), k.cast("string"), F.lit(".mp4"))).alias("path"))
+    return catalog.preview_answers(clips.select("path").union(other), clips, _roots(spark))
+
+
 @query
 def recorder_samples(spark, d):
     return catalog.sample_videos(X.clip_files(spark, d), "/data", "1007", "3", 4).select("path", "modified_ms")
@@ -556,6 +564,13 @@ def stop_points(spark, d):
     return smart_stop.stop_points(X.door_frames(spark, d), STOP)
 
 
+@query
+def analysed_frames(spark, d):
+    frames = X.door_frames(spark, d)
+    kept = smart_stop.until_stop(frames, smart_stop.stop_points(frames, STOP))
+    return kept.groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"), F.max("frame_index").alias("last_frame"))
+
+
 @query
 def live_exits(spark, d):
     return tracker.live_exits(X.walkers(spark, d), X.frame_zones(spark, d), TRACK, COUNT)
