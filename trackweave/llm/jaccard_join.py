@@ -38,7 +38,7 @@ from .components import components
 from .shingles import chunks, mix, shingle_sets, slices
 
 #: Fragments; bits of the table of counts, and of the blocks it is summed in; words of 64 bits in a sketch.
-FRAGMENTS, COUNT_BITS, BLOCK_BITS, SKETCH = 16, 22, 17, 32
+FRAGMENTS, COUNT_BITS, BLOCK_BITS, SKETCH = 16, 23, 17, 32
 #: Pairs that one task takes of a node that many share; nodes of an n-gram beyond which no rows are made for its pairs.
 PAIRS, MANY = 4096, 512
 #: Nodes and n-grams in a block of a group, about; n-grams whose overlaps are counted at a time.
@@ -71,18 +71,19 @@ def _survey(n_gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
-        counts = np.zeros(1 << COUNT_BITS, np.uint32)
+        counts = np.zeros(1 << COUNT_BITS, np.uint16)  # a task counts a bucket up to 65,535
         for batch in slices(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for begin, end in chunks(texts):
                 hashes, owners = shingle_sets(texts[begin:end], n_gram)
-                np.add.at(counts, (hashes & np.uint64(len(counts) - 1)).astype(np.int64), 1)
+                bucket, more = np.unique((hashes & np.uint64(len(counts) - 1)).astype(np.int64), return_counts=True)
+                counts[bucket] = np.minimum(counts[bucket] + more, 65535)
                 n, h, h2 = _prints(hashes, owners, end - begin)
                 none = pa.nulls(end - begin, pa.int32()), pa.nulls(end - begin, pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), batch.column(2).slice(begin, end - begin), pa.array(n, pa.int64()), pa.array(_signed(h)), pa.array(_signed(h2)), *none], names)
         empty = pa.nulls(1, pa.int64())
         for k, block in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)):
-            packed = zlib.compress(block.astype("<u4", copy=False).tobytes(), 1)
+            packed = zlib.compress(block.astype("<u2", copy=False).tobytes(), 1)
             yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, empty, pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names)
         tidy()
 
@@ -94,7 +95,7 @@ def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.uint64)
+            counts = np.frombuffer(zlib.decompress(packed), "<u2").astype(np.uint64)
             sums[block] = sums[block] + counts if block in sums else counts
     for block, counts in sums.items():
         levels = np.floor(2 * np.log2(counts + 1.0)).astype(np.uint8)
