@@ -1,12 +1,12 @@
 """N-gram Jaccard join by vertical partitioning: components of texts whose shingle sets are similar.
 
 The global order of n-grams is by frequency (in levels of bucketed counts over the whole corpus), then by hash. Pivots cut it into
-fragments that hold about equally many n-grams of the corpus; a document is one segment per fragment. Candidates are found in fragments, by segments
-and by n-grams; overlaps of a pair of documents are counted in each fragment separately and summed per pair.
+fragments that hold about equally many n-grams of the corpus; a document is one segment per fragment. Candidates are found by n-grams inside fragments, after copies
+were tied by equal parts; overlaps of a pair of documents are counted in each fragment separately and summed per pair.
 
 1. Documents with equal sets become one node; its first document stands for all.
-2. Star pairs: of the nodes with an equal segment in a fragment, the most typical one is the head; each node meets
-   the head that it shares most segments with. These are linear in number, and tie the large groups of near copies together.
+2. Star pairs: of the nodes with an equal part of their set, by ranges of hashes, the most typical one is the head; each node meets
+   the head that it shares most parts with. These are linear in number, and tie the large groups of near copies together.
 3. Prefix pairs: two similar sets share one of their rarest n-grams. Only n-grams that occur in more than one
    component so far are joined, inside their fragments, and only nodes of different components whose lengths and places
    in the order allow the threshold. So no pair of different groups that can link is left out. N-grams of very many nodes are
@@ -152,7 +152,8 @@ def _describe(n_gram: int, num: int, den: int, order, nodes):
                 size = end - begin
                 n, h, _ = _prints(hashes, owners, size)
                 fragment, level = table.fragment(hashes), table.level(hashes)
-                cells = owners * FRAGMENTS + fragment
+                # Parts for star pairs are by hash: copies differ in rare n-grams and agree in frequent ones, which one fragment may hold alone.
+                cells = owners * FRAGMENTS + (hashes >> np.uint64(60)).astype(np.int64) % FRAGMENTS
                 by_cell = np.argsort(cells, kind="stable")
                 per_cell = np.bincount(cells, minlength=size * FRAGMENTS)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes[by_cell], 13), dtype=np.uint64)])
