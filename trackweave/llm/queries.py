@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, jaccard_join, language_id, licenses, line_crf, mixing, quality_rules, suffix_dedup, token_counts
+from . import alignment, byte_bpe, exact_topk, jaccard_join, language_id, lexical, licenses, line_crf, mixing, quality_rules, sharding, suffix_dedup, token_counts
 from .common import table
 
-TOKEN_LIMIT, TOP_K, QUERY_EVERY = 1024, 20, 20
-COUNT_FILE, CODE_FILE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
+TOKEN_LIMIT, TOP_K, QUERY_EVERY, SHARDS, RANKS = 1024, 20, 20, 24, 10
+COUNT_FILE, CODE_FILE, PIECE_FILE = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +65,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_documents(docs, public_tokenizers.path(COUNT_FILE), public_tokenizers.path(PIECE_FILE))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", *sharding.sizes(F.col("text")))
+    return sharding.shard_rows(docs, SHARDS).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), RANKS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

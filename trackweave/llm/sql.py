@@ -7,6 +7,10 @@ from .mixing import BLOCK, GROUP, PASSES, SEED, SHARD_WORDS, SHARE
 from .quality_rules import CAPITALS, MAX_LOST, MAX_REPEATED, MIN_WORDS, PHRASES, SEPARATOR, TERMINAL
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -82,5 +86,16 @@ ae AS (SELECT aa.*, greatest(ring, 1) AS ring, quota, start, start + quota % gre
 SELECT doc_id, size, source_size, target, CAST(quota // ring * size + greatest(0, least(end_, stop) - greatest(end_ - size, start)) + greatest(0, least(end_, stop - ring) - greatest(end_ - size, start - ring)) AS BIGINT) AS taken FROM ae"""
 
 
+OP13 = f"""WITH d AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS words FROM documents),
+n AS (SELECT d, doc_id, CAST(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0),
+g AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all({_LOWER}, '{_TERM}') AS words FROM benchmark),
+q AS (SELECT i, item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT i, item_id, unnest(words) AS term FROM i) GROUP BY ALL),
+p AS (SELECT d, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(docs) + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM p, g GROUP BY term),
+s AS (SELECT i, item_id, d, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN n USING (d), g GROUP BY i, item_id, d)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS INT) AS rank, doc_id, score FROM s JOIN (SELECT d, doc_id FROM n) USING (d) WHERE score > 0 QUALIFY rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6, "op8_exact_topk": OP8, "op10_mixing": OP10}
+    return {"op6_quality_rules": OP6, "op8_exact_topk": OP8, "op10_mixing": OP10, "op13_lexical_search": OP13}
