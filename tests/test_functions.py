@@ -29,16 +29,29 @@ def test_edges_are_half_open(spark):
 
 
 def test_zones_from_a_line_halve_the_frame(spark):
-    zones = G.zones_from_line((0.0, 0.5), (1.0, 0.5))
+    zones = G.zones_from_line((0.0, 0.5), (1.0, 0.5), 1000.0, 1000.0)
     assert sorted(zones["salon"]) == [(0.0, 0.5), (0.0, 1.0), (1.0, 0.5), (1.0, 1.0)]
     assert sorted(zones["street"]) == [(0.0, 0.0), (0.0, 0.5), (1.0, 0.0), (1.0, 0.5)]
     # 35 % of a line of 1000 pixels is held to 28 % of the frame; 22 % of its height.
     assert [(round(x, 3), round(y, 3)) for x, y in zones["door"]] == [(0.36, 0.39), (0.64, 0.39), (0.64, 0.61), (0.36, 0.61)]
     assert G.default_door((0.0, 100.0), (10.0, 100.0), 200.0, 200.0) == [(0.0, 55.0), (13.0, 55.0), (13.0, 145.0), (0.0, 145.0)]
-    upside = G.zones_from_line((1.0, 0.5), (0.0, 0.5), inside_below=False)
+    upside = G.zones_from_line((1.0, 0.5), (0.0, 0.5), 1000.0, 1000.0, inside_below=False)
     assert sorted(upside["salon"]) == sorted(zones["street"])
 
 
+def test_a_door_is_that_of_the_frame_in_pixels(spark):
+    a, b = (0.46, 0.12), (0.18, 0.88)
+    door = G.zones_from_line(a, b, 640.0, 480.0)["door"]
+    # The line is 406.4 px long; 35 % of it is 142.2 px. 22 % of the height is 105.6 px.
+    assert [(round(x, 3), round(y, 3)) for x, y in door] == [(0.209, 0.39), (0.431, 0.39), (0.431, 0.61), (0.209, 0.61)]
+    lines = [(*a, *b, 640, 480), (0.0, 0.0, 0.01, 0.0, 352, 288), (-0.2, 0.5, 1.4, 0.9, 1280, 720), (0.97, 0.9, 1.0, 1.0, 320, 100)]
+    frame = spark.createDataFrame(lines, "ax double, ay double, bx double, by double, w int, h int")
+    found = frame.select("*", G.line_door(*[F.col(c) for c in frame.columns]).alias("d")).collect()
+    for r in found:
+        want = G.zones_from_line((r.ax, r.ay), (r.bx, r.by), float(r.w), float(r.h))["door"]
+        assert [round(v, 9) for v in r.d] == [round(v, 9) for v in (*want[0], *want[2])]
+
+
 def test_boxes(spark):
     b = lambda *v: G.box(*[F.lit(float(x)) for x in v])
     cfg = BoxConfig()
@@ -202,6 +215,18 @@ def test_planes_are_told_from_rows(spark):
     assert all(r.got == r.want for r in frame.withColumn("got", detections.is_planes(F.col("v"))).select("got", "want").collect())
 
 
+def test_planes_keep_small_boxes_and_rows_do_not(spark):
+    from trackweave.config import DetectorConfig
+    from trackweave.operators import detections
+
+    n = 60
+    planes = [[100.0 + 5 * i for i in range(n)], [200.0] * n, [1.0] * n, [1.5] * n, [0.9] + [0.1] * (n - 1)]
+    lines = [[100.0, 200.0, 101.0, 201.5, 0.9, 0.0], [100.0, 200.0, 110.0, 215.0, 0.9, 0.0]]
+    outputs = spark.createDataFrame([("a", 0, 640, 640, planes), ("b", 0, 640, 640, lines)], "session_id string, frame_index int, frame_width int, frame_height int, output array<array<double>>")
+    found = detections.parse_output(outputs, DetectorConfig(form="xyxy-score-class")).collect()
+    assert sorted((r.session_id, r.det_seq, round(r.box.x2 - r.box.x1, 6)) for r in found) == [("a", 0, 1.0), ("b", 1, 10.0)]
+
+
 def test_images():
     import numpy as np
     import pytest

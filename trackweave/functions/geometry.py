@@ -160,12 +160,23 @@ def default_door(a: tuple[float, float], b: tuple[float, float], width: float, h
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
 
 
-def zones_from_line(a: tuple[float, float], b: tuple[float, float], inside_below: bool = True, side: float = 1000.0) -> dict[str, list[tuple[float, float]]]:
-    """Salon and street as the two halves of the unit square beside a line, and the default door; the door's least size is that of a frame of ``side`` pixels."""
-    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+def line_door(ax: Column, ay: Column, bx: Column, by: Column, fw: Column, fh: Column) -> Column:
+    """``default_door`` of a line in shares of the frame, as a column: the door's corners x1, y1, x2, y2 in shares of the frame."""
+    hold = lambda v, low, high: F.least(F.greatest(v, low), high)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    ax, bx = (hold(v, zero, one) * fw for v in (ax, bx))
+    ay, by = (hold(v, zero, one) * fh for v in (ay, by))
+    w = hold(F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) * 0.35, fw * 0.08, fw * 0.28) / 2
+    h = hold(fh * 0.22, F.lit(90.0), fh * 0.45) / 2
+    mx, my = (ax + bx) / 2, (ay + by) / 2
+    return box(hold(mx - w, zero, fw.cast("double")) / fw, hold(my - h, zero, fh.cast("double")) / fh, hold(mx + w, zero, fw.cast("double")) / fw, hold(my + h, zero, fh.cast("double")) / fh)
+
+
+def zones_from_line(a: tuple[float, float], b: tuple[float, float], width: float, height: float, inside_below: bool = True) -> dict[str, list[tuple[float, float]]]:
+    """Salon and street, the two parts of a frame beside a line, and the default door, all in shares of the frame. The line is in shares, too; sizes are in pixels."""
+    frame = [(0.0, 0.0), (width, 0.0), (width, height), (0.0, height)]
     if a[0] > b[0]:
         a, b = b, a
-    below, above = clip_half_plane(square, a, b, True), clip_half_plane(square, a, b, False)
-    salon, street = (below, above) if inside_below else (above, below)
-    door = default_door((a[0] * side, a[1] * side), (b[0] * side, b[1] * side), side, side)
-    return {"salon": salon, "street": street, "door": [(x / side, y / side) for x, y in door]}
+    a, b = ((min(max(x, 0.0), 1.0) * width, min(max(y, 0.0), 1.0) * height) for x, y in (a, b))
+    parts = {"salon": clip_half_plane(frame, a, b, inside_below), "street": clip_half_plane(frame, a, b, not inside_below), "door": default_door(a, b, width, height)}
+    return {k: [(min(max(x / width, 0.0), 1.0), min(max(y / height, 0.0), 1.0)) for x, y in points] for k, points in parts.items()}

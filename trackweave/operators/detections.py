@@ -60,10 +60,10 @@ def _more_like_a_head(a: Column, b: Column, fw: Column, fh: Column) -> Column:
     return F.when((area(b) > 0.18) & (area(a) < area(b)), True).when((area(a) > 0.18) & (area(b) < area(a)), False).otherwise(square(a) & ~square(b))
 
 
-def parse_row(values: Column, cfg: DetectorConfig, frame_width: Column, frame_height: Column) -> Column:
+def parse_row(values: Column, cfg: DetectorConfig, frame_width: Column, frame_height: Column, least: float = 2.0) -> Column:
     """A detector's output row as a struct of box (in the frame), score and class; null if it is no detection.
 
-    Null are rows of fewer than five values, boxes under 2 x 2 pixels, and scores below the threshold. ``batch-class-xyxy`` rows
+    Null are rows of fewer than five values, boxes with a side under ``least`` pixels, and scores below the threshold. ``batch-class-xyxy`` rows
     have six values and score 1. ``auto`` takes rows that begin with two whole numbers before ordered corners for those, and
     reads others both ways, by corners and by centre: the one that is a box, or the likelier head, counts.
     """
@@ -82,7 +82,7 @@ def parse_row(values: Column, cfg: DetectorConfig, frame_width: Column, frame_he
         first = {"batch-class-xyxy": F.lit(True)}.get(form, F.lit(False) if form in forms else F.coalesce(is_batch, F.lit(False)))
         score = F.when(first, 1.0).otherwise(F.least(F.greatest(F.get(v, 4), F.lit(0.0)), F.lit(1.0)))
         kind = F.when(first, F.get(v, 1)).otherwise(F.get(v, 5)).cast("int")
-        fits = lambda b: b.isNotNull() & (score >= cfg.threshold) & (G.width(b) >= 2) & (G.height(b) >= 2)
+        fits = lambda b: b.isNotNull() & (score >= cfg.threshold) & (G.width(b) >= least) & (G.height(b) >= least)
         return let(forms.get(form, auto), lambda b: F.when(fits(b), F.struct(b.alias("box"), score.alias("score"), kind.alias("kind"))))
 
     return F.when(F.size(values) >= 5, let(values.cast("array<double>"), read))
@@ -96,7 +96,7 @@ def is_planes(output: Column) -> Column:
 def parse_output(outputs: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """Detections of outputs (session_id, frame_index, frame_width, frame_height, output: arrays of numbers): det_seq, box, score, kind.
 
-    Planes hold centre x, centre y, width, height, and scores by class, of which the best counts; other outputs are rows.
+    Planes hold centre x, centre y, width, height, and scores by class, of which the best counts, and boxes of any size; other outputs are rows.
     """
     out = F.col("output")
     best = lambda i: F.array_max(F.transform(F.slice(out, 5, F.size(out) - 4), lambda plane: F.get(plane, i)))
@@ -104,7 +104,7 @@ def parse_output(outputs: DataFrame, cfg: DetectorConfig) -> DataFrame:
     planes = outputs.withColumn("planes", is_planes(out))
     rows = planes.select(*FRAME, "frame_width", "frame_height", "planes", F.posexplode(F.when(F.col("planes"), turned).otherwise(out)).alias("det_seq", "_row"))
     fw, fh = F.col("frame_width"), F.col("frame_height")
-    by_plane = parse_row(F.col("_row"), replace(cfg, form="xywh-score-class"), fw, fh)
+    by_plane = parse_row(F.col("_row"), replace(cfg, form="xywh-score-class"), fw, fh, 0.0)
     found = rows.withColumn("_found", F.when(F.col("planes"), by_plane).otherwise(parse_row(F.col("_row"), cfg, fw, fh))).where("_found is not null")
     return found.select(*FRAME, "det_seq", "_found.box", "_found.score", "_found.kind")
 

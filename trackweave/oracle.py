@@ -225,11 +225,15 @@ SQL = {
     + " FROM na WHERE NOT masked",
     "letterbox_boxes": f"WITH {DETECTIONS} SELECT session_id, frame_index, det_seq, {_hold('(x1 - 16) / CAST(0.8 AS DOUBLE)', 640)} AS frame_x1, {_hold('(y1 - 40) / CAST(0.8 AS DOUBLE)', 480)} AS frame_y1, {_hold('(x2 - 16) / CAST(0.8 AS DOUBLE)', 640)} AS frame_x2, {_hold('(y2 - 40) / CAST(0.8 AS DOUBLE)', 480)} AS frame_y2 FROM d",
     "detector_rows": f"WITH {DETECTIONS}, {READ} SELECT session_id, frame_index, det_seq, round(score, 6) AS score, round(a1, 6) AS x1, round(b1, 6) AS y1, round(a2, 6) AS x2, round(b2, 6) AS y2 FROM rr WHERE score >= 0.25 AND a2 - a1 >= 2 AND b2 - b1 >= 2",
-    "detector_outputs": f"WITH {DETECTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id, frame_index // 12 ORDER BY frame_index, det_seq) - 1 AS place FROM d) SELECT session_id, CAST(frame_index // 12 AS INT) AS frame_index, CAST(place AS INT) AS det_seq, round(confidence, 6) AS score, {_hold('x1', 640)} AS x1, {_hold('y1', 480)} AS y1, {_hold('x2', 640)} AS x2, {_hold('y2', 480)} AS y2 FROM o WHERE confidence >= 0.25 AND least(x2, 640) - x1 >= 2 AND least(y2, 480) - y1 >= 2",
+    "detector_outputs": f"WITH {DETECTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id, frame_index // 12 ORDER BY frame_index, det_seq) - 1 AS place FROM d) SELECT session_id, CAST(frame_index // 12 AS INT) AS frame_index, CAST(place AS INT) AS det_seq, round(confidence, 6) AS score, {_hold('x1', 640)} AS x1, {_hold('y1', 480)} AS y1, {_hold('x2', 640)} AS x2, {_hold('y2', 480)} AS y2 FROM o WHERE confidence >= 0.25 AND (CAST(substr(session_id, 2, 1) AS INT) % 2 = 1 OR (least(x2, 640) - x1 >= 2 AND least(y2, 480) - y1 >= 2))",
+    "line_doors": "WITH l AS (SELECT s_suppkey, (s_suppkey * 7 % 101) / CAST(100 AS DOUBLE) AS ax, (s_suppkey * 11 % 103) / CAST(100 AS DOUBLE) AS ay, (s_suppkey * 13 % 97) / CAST(100 AS DOUBLE) AS dx, (s_suppkey * 17 % 89) / CAST(100 AS DOUBLE) AS dy, CASE s_suppkey % 3 WHEN 0 THEN 640 WHEN 1 THEN 1280 ELSE 352 END AS w, CASE s_suppkey % 3 WHEN 0 THEN 480 WHEN 1 THEN 720 ELSE 288 END AS h FROM supplier),"
+    " p AS (SELECT s_suppkey, w, h, least(ax, 1) * w AS ax, least(ay, 1) * h AS ay, least(dx, 1) * w AS dx, least(dy, 1) * h AS dy FROM l), q AS (SELECT s_suppkey, w, h, (ax + dx) / 2 AS mx, (ay + dy) / 2 AS my, least(greatest(sqrt((dx - ax) * (dx - ax) + (dy - ay) * (dy - ay)) * CAST(0.35 AS DOUBLE), w * CAST(0.08 AS DOUBLE)), w * CAST(0.28 AS DOUBLE)) / 2 AS dw, least(greatest(h * CAST(0.22 AS DOUBLE), 90), h * CAST(0.45 AS DOUBLE)) / 2 AS dh FROM p)"
+    " SELECT s_suppkey AS line_id, round(least(greatest(mx - dw, 0), w) / w, 6) AS x1, round(least(greatest(my - dh, 0), h) / h, 6) AS y1, round(least(greatest(mx + dw, 0), w) / w, 6) AS x2, round(least(greatest(my + dh, 0), h) / h, 6) AS y2 FROM q",
     "plane_scores": f"WITH {DETECTIONS} SELECT session_id, frame_index, det_seq AS anchor, round(greatest(confidence, 1 - confidence), 6) AS score, CAST(CASE WHEN confidence >= 1 - confidence THEN 0 ELSE 1 END AS INT) AS kind, round((x1 + x2) / 2 - (x2 - x1) / 2, 6) AS box_x1 FROM d",
     "overlap_candidates": f"WITH {PAIRS} SELECT session_id, frame_index, track_id, det_seq, round(iou, 6) AS iou, round(center_px, 6) AS center_px FROM io WHERE iou >= 0.05",
-    "center_candidates": f"WITH {PAIRS}, ov AS (SELECT * FROM io WHERE iou >= 0.3) SELECT session_id, frame_index, track_id, det_seq, round(center_px, 6) AS center_px FROM io WHERE center_px <= least(90, greatest(x2 - x1, y2 - y1, p2 - p1, q2 - q1) * 2.6)"
-    " AND NOT EXISTS (SELECT 1 FROM ov WHERE ov.session_id = io.session_id AND ov.frame_index = io.frame_index AND ov.track_id = io.track_id) AND NOT EXISTS (SELECT 1 FROM ov WHERE ov.session_id = io.session_id AND ov.frame_index = io.frame_index AND ov.det_seq = io.det_seq)",
+    "center_candidates": f"WITH {PAIRS.replace('io AS (', 'io AS MATERIALIZED (')}, ov AS MATERIALIZED (SELECT session_id, frame_index, track_id, det_seq FROM io WHERE iou >= 0.3), tk AS (SELECT DISTINCT session_id, frame_index, track_id, 1 AS t FROM ov), dk AS (SELECT DISTINCT session_id, frame_index, det_seq, 1 AS b FROM ov)"
+    " SELECT session_id, frame_index, track_id, det_seq, round(center_px, 6) AS center_px FROM io LEFT JOIN tk USING (session_id, frame_index, track_id) LEFT JOIN dk USING (session_id, frame_index, det_seq)"
+    " WHERE t IS NULL AND b IS NULL AND center_px <= least(90, greatest(x2 - x1, y2 - y1, p2 - p1, q2 - q1) * 2.6)",
     "reid_best_match": f"WITH {UNIT}, si AS (SELECT a.vec_id // 10 AS frame_index, a.vec_id AS probe_id, b.vec_id AS pool_id, list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])) AS similarity FROM un a JOIN un b ON a.vec_id // 10 = b.vec_id // 10 + 1)"
     " SELECT frame_index, probe_id, pool_id, round(similarity, 6) AS similarity FROM si WHERE similarity > 0.1 QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, pool_id) = 1",
     "blended_embeddings": "WITH b AS (SELECT a.vec_id, list_transform(list_zip(a.embedding, c.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(0.8 AS DOUBLE) + CAST(p[2] AS DOUBLE) * CAST(0.2 AS DOUBLE)) AS m FROM embeddings a JOIN embeddings c ON a.vec_id = c.vec_id + 1),"

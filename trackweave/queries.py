@@ -225,6 +225,17 @@ def detector_outputs(spark, d):
     return found.select("session_id", "frame_index", "det_seq", F.round("score", 6).alias("score"), *[F.round(F.col(f"box.{c}"), 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+@query
+def line_doors(spark, d):
+    """Suppliers as lines in frames of three sizes."""
+    k = F.col("s_suppkey")
+    size = lambda a, b, c: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(c)
+    share = lambda n, m: (k * n % m) / F.lit(100.0)
+    door = G.line_door(share(7, 101), share(11, 103), share(13, 97), share(17, 89), size(640, 1280, 352), size(480, 720, 288))
+    rows = X.table(spark, d, "supplier").select(k.alias("line_id"), door.alias("door"))
+    return rows.select("line_id", *[F.round(F.col(f"door.{c}"), 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
 @query
 def plane_scores(spark, d):
     one = lambda c: F.collect_list(c)
