@@ -4,82 +4,105 @@ One side of the band is inside, the other outside, the band itself the doorway.
 Each track is a state machine over its samples: stable sides and passages through the doorway count a boarding or an exit, and
 a stable return cancels it. Exits, and boardings that begin in the doorway, need a movement of some pixels from the first sample.
 
-The machine is a fold over each track's ordered samples inside the JVM; a track must fit in memory.
+The machine has few states: a side, two flags, and how long the zone has held, up to what is stable. So it runs as a scan: a stretch of a track becomes a
+map from the state before it to the state behind it with what was counted, and however long a track is, no task holds more than a stretch of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LineConfig
-from ..functions.binding import let
+from . import scan
 from .trajectories import TRACK
 
+SIDES = ("INSIDE", "OUTSIDE", "DOORWAY")
+#: What a stable zone does to a state: (state, zone) to what happens, for movements that are far enough. BOARD and EXIT are counted; others name the next state.
+STABLE = {
+    ("UNKNOWN", "OUTSIDE"): "OUTSIDE", ("UNKNOWN", "INSIDE"): "BOARD",
+    ("OUTSIDE", "DOORWAY"): "FROM_OUTSIDE", ("OUTSIDE", "INSIDE"): "BOARD",
+    ("INSIDE", "DOORWAY"): "FROM_INSIDE", ("INSIDE", "OUTSIDE"): "EXIT",
+    ("FROM_OUTSIDE", "INSIDE"): "BOARD", ("FROM_OUTSIDE", "OUTSIDE"): "OUTSIDE",
+    ("FROM_INSIDE", "OUTSIDE"): "EXIT", ("FROM_INSIDE", "INSIDE"): "INSIDE",
+    ("BOARDED", "DOORWAY"): "FROM_INSIDE", ("ALIGHTED", "DOORWAY"): "FROM_OUTSIDE",
+}
+#: What happens instead where the movement is too short.
+SHORT = {("UNKNOWN", "INSIDE"): "INSIDE", ("INSIDE", "OUTSIDE"): None, ("FROM_INSIDE", "OUTSIDE"): "OUTSIDE"}
+
 
 def band_zone(y: Column, line_y: float, half: float, inside_on_top: bool) -> Column:
     above, under = ("INSIDE", "OUTSIDE") if inside_on_top else ("OUTSIDE", "INSIDE")
     return F.when(y < line_y - half, above).when(y > line_y + half, under).otherwise("DOORWAY")
 
 
-def _step(a: Column, y: Column, line_y: float, half: float, cfg: LineConfig) -> Column:
-    """The machine after one more sample."""
-    return let(band_zone(y, line_y, half, cfg.inside_on_top), lambda zone: let(F.when(a["zone"] == zone, a["run"] + 1).otherwise(1), lambda run: _judged(a, y, zone, run, line_y, cfg)))
-
-
-def _judged(a: Column, y: Column, zone: Column, run: Column, line_y: float, cfg: LineConfig) -> Column:
-    first = F.coalesce(a["first"], y)
-    inward = (first - y) if cfg.inside_on_top else (y - first)
-    moved_in, moved_out = inward >= cfg.min_move_px, -inward >= cfg.min_move_px
-    crossed = ((a["prev"] >= line_y) & (y < line_y)) if cfg.inside_on_top else ((a["prev"] <= line_y) & (y > line_y))
-    is_in, is_out, door = zone == "INSIDE", zone == "OUTSIDE", zone == "DOORWAY"
-    state, boarded, alighted = a["state"], a["boarded"], a["alighted"]
-    stable = run >= cfg.stable_samples
-    what = (
-        F.when(F.lit(cfg.center_crossing) & ~boarded & F.coalesce(crossed, F.lit(False)) & moved_in, "BOARD")
-        .when(~stable, "NONE")
-        .when(alighted & is_in, "UNDO_EXIT")
-        .when(boarded & is_out, "UNDO_BOARD")
-        .when(state == "UNKNOWN", F.when(is_out, "OUTSIDE").when(is_in & moved_in, "BOARD").when(is_in, "INSIDE").otherwise("NONE"))
-        .when(state == "OUTSIDE", F.when(door, "FROM_OUTSIDE").when(is_in, "BOARD").otherwise("NONE"))
-        .when(state == "INSIDE", F.when(door, "FROM_INSIDE").when(is_out & moved_out, "EXIT").otherwise("NONE"))
-        .when(state == "FROM_OUTSIDE", F.when(is_in, "BOARD").when(is_out, "OUTSIDE").otherwise("NONE"))
-        .when(state == "FROM_INSIDE", F.when(is_out & moved_out, "EXIT").when(is_out, "OUTSIDE").when(is_in, "INSIDE").otherwise("NONE"))
-        .when((state == "BOARDED") & door, "FROM_INSIDE")
-        .when((state == "ALIGHTED") & door, "FROM_OUTSIDE")
-        .otherwise("NONE")
-    )
-    # One who has boarded can't board again, nor leave twice: the state stays as it is.
-    settled = lambda w: F.when(((w == "BOARD") & boarded) | ((w == "EXIT") & alighted), "NONE").otherwise(w)
-    return let(let(what, settled), lambda w: _after(a, y, w, zone, run, first))
-
-
-def _after(a: Column, y: Column, what: Column, zone: Column, run: Column, first: Column) -> Column:
-    state, boarded, alighted = a["state"], a["boarded"], a["alighted"]
-    return F.struct(
-        F.when(what == "BOARD", "BOARDED").when(what == "EXIT", "ALIGHTED").when(what == "UNDO_EXIT", "INSIDE").when(what == "UNDO_BOARD", "OUTSIDE").when(what == "NONE", state).otherwise(what).alias("state"),
-        zone.alias("zone"),
-        run.alias("run"),
-        first.alias("first"),
-        y.alias("prev"),
-        F.when(what == "BOARD", True).when(what.isin("UNDO_BOARD", "EXIT"), False).otherwise(boarded).alias("boarded"),
-        F.when(what == "EXIT", True).when(what.isin("UNDO_EXIT", "BOARD"), False).otherwise(alighted).alias("alighted"),
-        (a["boardings"] + F.when(what == "BOARD", 1).when(what == "UNDO_BOARD", -1).otherwise(0)).alias("boardings"),
-        (a["alightings"] + F.when(what == "EXIT", 1).when(what == "UNDO_EXIT", -1).otherwise(0)).alias("alightings"),
-    )
-
-
-def line_tracks(samples: DataFrame, line_y: float, half: float, cfg: LineConfig) -> DataFrame:
-    """session_id, track_id, boardings, alightings, state at the end."""
-    path = F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "anchor_y"))), lambda s: s["anchor_y"])
-    none = F.lit(None).cast("double")
-    start = F.struct(
-        F.lit("UNKNOWN").alias("state"), F.lit("").alias("zone"), F.lit(0).alias("run"), none.alias("first"), none.alias("prev"),
-        F.lit(False).alias("boarded"), F.lit(False).alias("alighted"), F.lit(0).alias("boardings"), F.lit(0).alias("alightings"),
-    )
-    rows = samples.groupBy(*TRACK).agg(path.alias("_path"))
-    end = rows.withColumn("_end", F.aggregate("_path", start, lambda a, y: _step(a, y, line_y, half, cfg)))
-    return end.select(*TRACK, "_end.boardings", "_end.alightings", "_end.state")
+def line_machine(line_y: float, half: float, cfg: LineConfig) -> scan.Automaton:
+    """The counter as an automaton over a track's rows (anchor_y and first_y, the track's first). A state is (side, boarded, alighted, zone, its run, side of the line before)."""
+    stable = max(cfg.stable_samples, 1)
+
+    def happens(state: tuple, zone: str, run: int, crossed: bool, moved_in: bool, moved_out: bool) -> str | None:
+        side, boarded, alighted = state[:3]
+        if crossed and not boarded and moved_in:
+            return "BOARD"
+        if run < stable:
+            return None
+        if (alighted and zone == "INSIDE") or (boarded and zone == "OUTSIDE"):
+            return "UNDO"
+        far = {"BOARD": moved_in or side != "UNKNOWN", "EXIT": moved_out}
+        what = STABLE.get((side, zone))
+        return what if far.get(what, True) else SHORT[side, zone]
+
+    def step(state: tuple, symbol: tuple) -> tuple[tuple, tuple[int, int]]:
+        side, boarded, alighted, held, run, before = state
+        zone, place, moved_in, moved_out = symbol
+        run = min(run + 1, stable) if zone == held else 1
+        toward = -1 if cfg.inside_on_top else 1
+        crossed = cfg.center_crossing and before is not None and before * toward <= 0 < place * toward
+        what = happens(state, zone, run, crossed, moved_in, moved_out)
+        counted = (0, 0)
+        if what == "UNDO":
+            counted = (0, -1) if alighted and zone == "INSIDE" else (-1, 0)
+            side, boarded, alighted = (zone, boarded, False) if counted[1] else (zone, False, alighted)
+        elif what == "BOARD":
+            if not boarded:
+                side, boarded, alighted, counted = "BOARDED", True, False, (1, 0)
+        elif what == "EXIT":
+            if not alighted:
+                side, boarded, alighted, counted = "ALIGHTED", False, True, (0, 1)
+        elif what is not None:
+            side = what
+        return (side, boarded, alighted, zone, run, place if cfg.center_crossing else None), counted
+
+    places = (-1, 0, 1) if cfg.center_crossing else (0,)
+    alphabet = list(product(SIDES, places, (False, True), (False, True)))
+
+    def symbols(rows: pa.Table) -> np.ndarray:
+        y, first = (rows.column(c).to_numpy() for c in ("anchor_y", "first_y"))
+        above, under = (0, 1) if cfg.inside_on_top else (1, 0)
+        zone = np.where(y < line_y - half, above, np.where(y > line_y + half, under, 2))
+        inward = (first - y) if cfg.inside_on_top else (y - first)
+        place = np.sign(y - line_y).astype(np.int64) + 1 if cfg.center_crossing else 0
+        return ((zone * len(places) + place) * 2 + (inward >= cfg.min_move_px)) * 2 + (-inward >= cfg.min_move_px)
+
+    return scan.Automaton(("UNKNOWN", False, False, "", 0, None), alphabet, step, symbols)
+
+
+def line_tracks(samples: DataFrame, line_y: float, half: float, cfg: LineConfig, stretch: int = scan.STRETCH, fan: int = scan.FAN) -> DataFrame:
+    """session_id, track_id, boardings, alightings, state at the end. Samples are taken by frame and, where they have it, ``seq``."""
+    seq = F.col("seq") if "seq" in samples.columns else F.lit(0)
+    rows = scan.with_stretch(samples.select(*TRACK, "frame_index", seq.alias("seq"), F.col("anchor_y").cast("double").alias("anchor_y")), "frame_index", stretch)
+    ends = rows.groupBy(*TRACK, "_stretch").agg(F.min(F.struct("frame_index", "seq", "anchor_y")).alias("_f"))
+    firsts = ends.select(*TRACK, "_stretch", F.min("_f").over(Window.partitionBy(*TRACK))["anchor_y"].alias("first_y"))
+    machine = line_machine(line_y, half, cfg)
+    states = scan.final_states(rows.join(firsts, [*TRACK, "_stretch"]), list(TRACK), ["frame_index", "seq"], machine, fan)
+    names = F.array(*[F.lit(s[0]) for s in machine.states])
+    end = states.withColumn("_s", F.from_json("state", "array<string>"))
+    counts = F.from_json(F.get("_s", 1), "array<int>")
+    return end.select(*TRACK, F.get(counts, 0).alias("boardings"), F.get(counts, 1).alias("alightings"), F.get(names, F.get("_s", 0).cast("int")).alias("state"))
 
 
 def line_counts(samples: DataFrame, line_y: float, half: float, cfg: LineConfig) -> DataFrame:

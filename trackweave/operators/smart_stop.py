@@ -1,17 +1,24 @@
 """Smart stop: when a clip's analysis may end early, from door and street signatures.
 
-Signature arithmetic, activity times and run lengths are windows; only the candidate, which can be cancelled, is a fold.
+Signature arithmetic, activity times and run lengths are windows; only the candidate, which can be cancelled, is a fold, and that runs as a scan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import StopConfig
+from ..lineage import cut
+from . import scan
+
+#: Reasons to stop early, those that come first win.
+REASONS = ("MAX_DURATION", "DOOR_CLOSED", "INACTIVITY_AND_MOVEMENT")
 
 
 def _session():
@@ -102,7 +109,7 @@ def door_states(frames: DataFrame, cfg: StopConfig) -> DataFrame:
     rows = rows.withColumn("door_state", state).withColumn("door_confidence", door_confidence(F.col("door_state"), F.col("gap"), cfg))
     rows = seconds_in_row(rows.withColumn("_closed", F.col("door_state") == "CLOSED"), "_closed", "closed_s")
     rows = seconds_in_row(rows.withColumn("_moving", F.col("scene_motion") >= cfg.scene_motion), "_moving", "moving_s")
-    return rows.withColumn("vehicle_moving", F.col("_moving") & (F.col("moving_s") >= max(cfg.vehicle_confirm_s, 0.0))).drop("reference", "_closed", "_moving")
+    return rows.withColumn("vehicle_moving", F.col("moving_s") >= max(cfg.vehicle_confirm_s, 0.0)).drop("reference", "_closed", "_moving")
 
 
 @dataclass
@@ -143,24 +150,91 @@ def until_stop(frames: DataFrame, points: DataFrame) -> DataFrame:
     return frames.join(ends, "session_id", "left").where(F.col("_end").isNull() | (F.col("frame_index") <= F.col("_end"))).drop("_end")
 
 
-def stop_points(frames: DataFrame, cfg: StopConfig) -> DataFrame:
-    """Each frame's phase and reason, and whether analysis stops there; rows after a stop keep FINISHED."""
+class StopMachine:
+    """The candidate as a machine of stretches. Its state is "none", or a reason and since when, or that the session has stopped.
+
+    A stretch's map says what becomes of a session without a candidate, and of one that comes in with each reason: the latest time before the candidate breaks, if it does,
+    and what becomes of the session behind that frame. Whether the candidate has held long enough by then follows from its own time.
+    """
+
+    start = ["none"]
+    out = "door_state string, phase string, reason string, stopped boolean"
+
+    def __init__(self, cfg: StopConfig):
+        self.cfg, self.post = cfg, max(cfg.post_roll_s, 0.0)
+
+    def _read(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Times, the number of the reason that would begin at each frame (0: none), and for each reason the frames that break it."""
+        cfg = self.cfg
+        now, closed_s, idle_s = (rows.column(c).to_numpy() for c in ("video_s", "closed_s", "idle_s"))
+        active, seen, moving = (rows.column(c).to_numpy() for c in ("active", "activity_seen", "vehicle_moving"))
+        closed = pc.equal(rows.column("door_state"), "CLOSED").to_numpy()
+        begins = np.select(
+            [now < max(cfg.min_seconds, 0.0), np.full(len(now), cfg.max_seconds > 0) & (now >= cfg.max_seconds), closed & (closed_s >= max(cfg.closed_confirm_s, 0.0)) & (idle_s >= max(cfg.clear_s, 0.0)), np.full(len(now), cfg.motion_fallback) & seen & (idle_s >= max(cfg.inactivity_s, 0.0)) & moving],
+            [0, 1, 2, 3],
+            0,
+        )
+        return now, begins, {"MAX_DURATION": np.zeros(len(now), bool), "DOOR_CLOSED": active | ~closed, "INACTIVITY_AND_MOVEMENT": active | ~moving}
+
+    def summary(self, rows: pa.Table) -> dict:
+        now, begins, breaks = self._read(rows)
+        n = len(now)
+        starts = np.flatnonzero(begins)
+
+        def after(broken: np.ndarray, place: int) -> int:
+            found = np.flatnonzero(broken[place:])
+            return place + int(found[0]) if len(found) else n
+
+        def without(place: int) -> list:
+            """What becomes of a session that has no candidate before ``place``."""
+            while (k := int(np.searchsorted(starts, place))) < len(starts):
+                s = int(starts[k])
+                reason, since = REASONS[begins[s] - 1], float(now[s])
+                end = after(breaks[reason], s + 1)
+                if self.cfg.post_roll_s <= 0 or (now[s + 1 : end] - since >= self.post).any():
+                    return ["stopped", reason]
+                if end == n:
+                    return ["held", reason, since]
+                place = end + 1
+            return ["none"]
+
+        way = {"none": without(0)}
+        for reason in REASONS:
+            end = after(breaks[reason], 0)
+            way[reason] = [float(now[:end].max()) if end else None, without(end + 1) if end < n else None]
+        return way
+
+    def _latest(self, a: float | None, b: float | None) -> float | None:
+        return b if a is None else a if b is None else max(a, b)
+
+    def apply(self, way: dict, state: list) -> list:
+        if state[0] != "held":
+            return way["none"] if state[0] == "none" else state
+        most, then = way[state[1]]
+        if most is not None and most - state[2] >= self.post:
+            return ["stopped", state[1]]
+        return state if then is None else then
+
+    def then(self, first: dict, second: dict) -> dict:
+        way = {"none": self.apply(second, first["none"])}
+        for reason in REASONS:
+            most, after = first[reason]
+            way[reason] = [most, self.apply(second, after)] if after is not None else [self._latest(most, second[reason][0]), second[reason][1]]
+        return way
+
+    def replay(self, rows: pa.Table, state: list) -> list[pa.Array]:
+        candidate = Candidate(self.cfg, *(state[1:] if state[0] != "none" else ()), **({"stopped": True} if state[0] == "stopped" else {}))
+        phases, reasons, stopped = [], [], []
+        for r in rows.select(["video_s", "active", "door_state", "closed_s", "idle_s", "activity_seen", "vehicle_moving"]).to_pylist():
+            candidate.step(r)
+            phases.append("FINISHED" if candidate.stopped else "POST_ROLL" if candidate.reason is not None else {"CALIBRATING": "CALIBRATING", "CLOSED": "CLOSING"}.get(r["door_state"], "MONITORING"))
+            reasons.append(candidate.reason)
+            stopped.append(candidate.stopped)
+        return [rows.column("frame_index").combine_chunks(), rows.column("door_state").combine_chunks(), pa.array(phases), pa.array(reasons, pa.string()), pa.array(stopped)]
+
+
+def stop_points(frames: DataFrame, cfg: StopConfig, stretch: int = scan.STRETCH, fan: int = scan.FAN) -> DataFrame:
+    """Each frame's phase and reason, and whether analysis stops there; rows after a stop keep FINISHED. The candidate runs as a scan over stretches of frames."""
     columns = ["session_id", "frame_index", "video_s", "active", "door_state", "closed_s", "idle_s", "activity_seen", "vehicle_moving"]
-    facts = door_states(frames, cfg).select(*columns)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = Candidate(cfg), []
-        for r in pdf.sort_values("frame_index", kind="stable").to_dict("records"):
-            state.step(r)
-            if state.stopped:
-                phase = "FINISHED"
-            elif state.reason is not None:
-                phase = "POST_ROLL"
-            else:
-                phase = {"CALIBRATING": "CALIBRATING", "CLOSED": "CLOSING"}.get(r["door_state"], "MONITORING")
-            rows.append((r["session_id"], r["frame_index"], r["door_state"], phase, state.reason, state.stopped))
-        return pd.DataFrame(rows, columns=["session_id", "frame_index", "door_state", "phase", "reason", "stopped"])
-
-    return facts.groupBy("session_id").applyInPandas(run, "session_id string, frame_index int, door_state string, phase string, reason string, stopped boolean")
-
-
+    facts = cut(door_states(frames, cfg).select(*columns), "door-states")
+    return scan.scanned(scan.with_stretch(facts, "frame_index", stretch), ["session_id"], ["frame_index"], StopMachine(cfg), fan)

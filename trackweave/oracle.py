@@ -301,6 +301,19 @@ SQL = {
     "completed_uploads": "SELECT CASE o_orderkey % 6 WHEN 0 THEN '/data/incoming/1001/' WHEN 1 THEN '/data/incoming/a/' ELSE '/data/incoming/cam/../b/' END || o_orderkey AS path FROM orders WHERE o_orderkey % 6 IN (0, 1, 4)",
 }
 
+#: The long clip's chain of frames by pointer doubling in SQL: each frame's successor by an as-of join, doubled, then marked from the first frame on.
+_ROUNDS = 22
+SQL["emitted_long_clip"] = (
+    "WITH f AS (SELECT (l_orderkey * 8 + l_linenumber) * 30 + k AS frame_index, k = 29 AND l_linenumber = 1 AND l_orderkey % 100 = 0 AS stopped FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), (SELECT unnest(range(30)) AS k)),"
+    " o AS MATERIALIZED (SELECT frame_index, stopped, frame_index * 40 + frame_index % 8 * 5 AS at_ms, row_number() OVER (ORDER BY frame_index) AS n FROM f),"
+    " st AS (SELECT n FROM o WHERE stopped),"
+    " j0 AS MATERIALIZED (SELECT o.n, least(coalesce(b.n, 1000000000), coalesce(st.n, 1000000000)) AS nx FROM o ASOF LEFT JOIN o b ON b.at_ms >= o.at_ms + 120 ASOF LEFT JOIN st ON st.n > o.n), "
+    + ", ".join(f"j{i + 1} AS MATERIALIZED (SELECT a.n, b.nx FROM j{i} a JOIN j{i} b ON b.n = a.nx)" for i in range(_ROUNDS - 1))
+    + ", m0 AS (SELECT CAST(1 AS BIGINT) AS n), "
+    + ", ".join(f"m{i + 1} AS MATERIALIZED (SELECT n FROM m{i} UNION ALL SELECT nx FROM m{i} JOIN j{_ROUNDS - 1 - i} USING (n) WHERE nx < 1000000000)" for i in range(_ROUNDS))
+    + f" SELECT frame_index, m.n IS NOT NULL AS sent FROM o LEFT JOIN m{_ROUNDS} m USING (n)"
+)
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

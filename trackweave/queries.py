@@ -519,6 +519,16 @@ def emitted_frames(spark, d):
     return messages.emitted(_clocked(spark, d)).select("session_id", "frame_index", "sent")
 
 
+@query
+def emitted_long_clip(spark, d):
+    """All order lines as one session, of thirty frames a line: its clock is one chain of more than a million frames at sf0.01."""
+    frame = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 30 + F.col("k")
+    rows = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(29))))
+    stops = (F.col("k") == 29) & (F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 100 == 0)
+    clock = rows.select(F.lit("long").alias("session_id"), frame.alias("frame_index"), (frame * 40 + frame % 8 * 5).alias("at_ms"), stops.alias("stopped"))
+    return messages.emitted(clock).select("frame_index", "sent")
+
+
 @query
 def frame_messages(spark, d):
     boxes = X.detections(spark, d)
