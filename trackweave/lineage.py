@@ -26,16 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+def cut(df: DataFrame, name: str, by: tuple[str, ...] = (), **options: str | int) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, so that its lineage ends there.
 
     A lost executor then costs tasks of later stages only, never a recomputation of this one. ``clear`` drops the tables.
-    ``options`` go to the Parquet writer.
+    ``by`` names columns whose values become folders, so that filters on them read no other; ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{_PREFIX}{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.options(compression="zstd", **options).parquet(path)
+    out = df.write.options(compression="zstd", **options)
+    (out.partitionBy(*by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
