@@ -101,18 +101,129 @@ def test_results_are_upserted_and_failures_are_not_raised(spark, tmp_path):
     assert not sinks.save_results(spark.createDataFrame([("a", "x", 9)], kind), path, enabled=False)
 
 
-def test_an_upsert_that_was_cut_short_is_finished(spark, tmp_path, monkeypatch):
+def test_a_write_killed_midway_is_replayed_once(spark, tmp_path, monkeypatch):
+    from trackweave.sources.table_log import TableLog
+
     kind = "session_id string, status string, finished_ms long"
     path = str(tmp_path / "results")
-    assert sinks.save_results(spark.createDataFrame([("a", "RUNNING", 1), ("b", "FINISHED", 1)], kind), path)
+    rows = lambda: {(r.session_id, r.status, r.finished_ms) for r in sinks.load_results(spark, path).collect()}
+    write = sinks.batch_upsert(path, name="q")
+    write(spark.createDataFrame([("a", "RUNNING", 1), ("b", "FINISHED", 1)], kind), 0)
+    before = rows()
 
     def die(*_):
-        raise RuntimeError("lost")
+        raise RuntimeError("killed")
 
+    batch = spark.createDataFrame([("a", "FINISHED", 4), ("c", "FINISHED", 2)], kind)
     with monkeypatch.context() as m:
-        m.setattr(sinks, "_commit", die)
-        assert not sinks.save_results(spark.createDataFrame([("a", "FINISHED", 4)], kind), path)
-    assert {(r.session_id, r.status) for r in sinks.load_results(spark, path).collect()} == {("a", "FINISHED"), ("b", "FINISHED")}
+        m.setattr(TableLog, "_swap", die)
+        with pytest.raises(RuntimeError, match="killed"):
+            write(batch, 1)  # the stream stops, and does not go on without the batch
+    assert rows() == before
+    write(batch, 1)
+    after = rows()
+    assert after == {("a", "FINISHED", 4), ("b", "FINISHED", 1), ("c", "FINISHED", 2)}
+    write(spark.createDataFrame([("a", "OTHER", 9)], kind), 1)  # the same batch again: nothing happens
+    assert rows() == after and TableLog(spark, path).version()[0] == 2
+    assert TableLog(spark, path).vacuum() >= 1 and rows() == after
+    with pytest.raises(ValueError, match="other columns"):
+        write(spark.createDataFrame([("a",)], "other string"), 2)
+
+
+def test_writers_that_meet_begin_again(spark, tmp_path, monkeypatch):
+    from trackweave.sources import table_log
+
+    kind = "session_id string, n long, finished_ms long"
+    one, two = (table_log.TableLog(spark, str(tmp_path / "t"), 4) for _ in range(2))
+    one.upsert(spark.createDataFrame([(f"k{i}", 0, 0) for i in range(20)], kind), "session_id", "finished_ms")
+    swap, met = table_log.TableLog._swap, []
+
+    def first_another(self, version, state):
+        if not met:
+            met.append(version)
+            two.upsert(spark.createDataFrame([("k3", 7, 7), ("new", 7, 7)], kind), "session_id", "finished_ms")
+        return swap(self, version, state)
+
+    with monkeypatch.context() as m:
+        m.setattr(table_log.TableLog, "_swap", first_another)
+        assert one.upsert(spark.createDataFrame([("k3", 5, 5), ("k4", 5, 5)], kind), "session_id", "finished_ms") == 3
+    found = {r.session_id: r.n for r in one.load().collect()}
+    assert len(found) == 21 and (found["k3"], found["k4"], found["new"], found["k5"]) == (5, 5, 7, 0)  # k3 of the version that came between is replaced, not lost with it
+    with monkeypatch.context() as m:
+        m.setattr(table_log.TableLog, "_swap", lambda *_: False)
+        with pytest.raises(table_log.Conflict):
+            one.upsert(spark.createDataFrame([("k1", 1, 1)], kind), "session_id", "finished_ms")
+    assert {r.session_id: r.n for r in one.load().collect()} == found
+
+
+def test_a_stream_of_results_survives_a_failed_batch(spark, tmp_path):
+    kind = "session_id string, status string, finished_ms long"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text('{"session_id": "a", "status": "FINISHED", "finished_ms": 1}')
+    path, failures = str(tmp_path / "results"), [1]
+    write = sinks.batch_upsert(path)
+
+    def sometimes(batch, number):
+        write(batch, number)
+        if failures:
+            failures.pop()
+            raise RuntimeError("lost after the write")
+
+    def run():
+        stream = spark.readStream.schema(kind).json(str(tmp_path / "in"))
+        query = stream.writeStream.foreachBatch(sometimes).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination(120)
+        finally:
+            query.stop()
+
+    with pytest.raises(Exception, match="lost after the write"):
+        run()
+    run()
+    from trackweave.sources.table_log import TableLog
+
+    assert TableLog(spark, path).version()[0] == 1 and [r.session_id for r in sinks.load_results(spark, path).collect()] == ["a"]
+
+
+def test_messages_go_out_from_the_executors_in_order(spark, tmp_path):
+    from trackweave.sources import push
+
+    folder = str(tmp_path)
+
+    def open_channel(session):
+        if session == "nobody":
+            return None
+
+        class File:
+            def __init__(self):
+                self.file = open(f"{folder}/{session}.txt", "a")  # noqa: SIM115
+                self.file.write("open\n")
+
+            def __call__(self, payload):
+                if payload == "bad":
+                    raise OSError("gone")
+                self.file.write(f"{payload}\n")
+
+            def close(self):
+                self.file.close()
+
+        return File()
+
+    rows = [(f"s{s}", k, f"m{k}") for s in range(5) for k in range(60)] + [("nobody", 1, "m"), ("s1", 61, "bad"), ("s1", 62, "m62")]
+    frame = spark.createDataFrame(rows, "session_id string, frame_index int, payload string").repartition(7)
+    push.push_batches(open_channel)(frame, 0)
+    for s in range(5):
+        assert (tmp_path / f"s{s}.txt").read_text().split() == ["open", *(f"m{k}" for k in range(60)), *(["m62"] if s == 1 else [])]
+    assert not (tmp_path / "nobody.txt").exists()
+    frame.coalesce(1).write.json(f"{folder}/in")
+    push.register(spark)
+    stream = spark.readStream.schema(frame.schema).json(f"{folder}/in").where("session_id = 's2'")
+    query = stream.writeStream.format("session_push").options(**push.options(open_channel)).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(120)
+    finally:
+        query.stop()
+    assert sorted((tmp_path / "s2.txt").read_text().split()) == sorted(["open", *(f"m{k}" for k in range(60))] * 2)
 
 
 def test_files_are_archived_under_home_only(tmp_path):
@@ -208,9 +319,8 @@ def test_sessions_are_started_stopped_and_finished(spark):
     assert sessions.state(rows, "a").first().finish_reason == "DOOR_CLOSED"
     with pytest.raises(sessions.NoSuchSession):
         sessions.state(rows, "zz")
-    sent: dict[str, list[str]] = {"a": []}
-    messages.push(lambda s: sent[s].append if s in sent else None)(messages.final_messages(rows), 0)
-    assert len(sent["a"]) == 1 and '"status":"FINISHED"' in sent["a"][0]
+    last = {r.session_id: r.payload for r in messages.final_messages(rows).collect()}
+    assert '"status":"FINISHED"' in last["a"]
     assert sessions.info(spark, TrackConfig(), CountConfig(), DetectorConfig(), StopConfig()).first().process_every_n_frames == 3
 
 

@@ -134,6 +134,75 @@ def test_streaming_counts_as_batch_does(spark, tmp_path):
     assert sorted((r.session_id, r.frame_index, r.track_id) for r in spark.table("exits").collect()) == right
 
 
+def test_snapshots_go_on_as_if_nothing_had_stopped():
+    import math
+    import random
+
+    rng = random.Random(4)
+    cfg, track = CountConfig(stride=1, stable_samples=2, lost_frames=2, startup_frames=2, lock_frames=9), TrackConfig(archive_after=3)
+    whole, cut = core(cfg, track), core(cfg, track)
+    people = [{"x": rng.uniform(50, 590), "y": rng.uniform(20, 460), "dy": rng.choice([-9, -4, 5, 8]), "v": [rng.uniform(-1, 1) for _ in range(4)]} for _ in range(7)]
+    told = []
+    for index in range(150):
+        found = []
+        for k, p in enumerate(people):
+            p["y"] += p["dy"]
+            p["dy"] = -p["dy"] if not 10 < p["y"] < 470 else p["dy"]
+            if rng.random() < 0.75:
+                norm = math.sqrt(sum(x * x for x in p["v"]))
+                found.append(head(p["y"], x=p["x"], vector=tuple(x / norm for x in p["v"]) if k % 2 else None))
+        expected = whole.frame(index, found)
+        row = json.loads(json.dumps(tracker.snapshot(cut)))  # as a store would give it back
+        cut, before = tracker.restored(row | {"origins": {int(k): v for k, v in row["origins"].items()}}, track, cfg), cut
+        told += before.samples
+        assert cut.frame(index, found) == expected
+    assert whole.exits == cut.exits > 0 and cut.origins == whole.origins and told + cut.samples == whole.samples
+
+
+def test_parts_give_what_whole_sessions_give(spark):
+    boxes, zones = fixtures.walkers(spark, "/root/testdata/sf0.001"), fixtures.frame_zones(spark, "/root/testdata/sf0.001")
+    boxes = boxes.union(boxes.where("session_id = 's1'").withColumn("session_id", F.lit("unzoned")).withColumn("frame_index", F.col("frame_index") + 400))
+    late = boxes.where("session_id = 's2' and frame_index > 200").withColumn("frame_index", F.col("frame_index") + 900)  # an empty part between
+    boxes = boxes.union(late)
+    rows = lambda df: sorted(map(str, df.collect()))
+    whole = rows(tracker.folded(boxes, zones, TrackConfig(), CountConfig()))
+    kept = {}
+    parts = tracker.folded(boxes, zones, TrackConfig(), CountConfig(), 130, kept.__setitem__)
+    assert len(kept) > 5 and rows(parts) == whole
+    assert any(r.kind == "SNAPSHOT" and r.found for r in kept[1].collect())
+    # A run that was stopped behind its third part goes on from there
+    rest = tracker.folded(boxes, zones, TrackConfig(), CountConfig(), 130, since=(2, kept[2]))
+    first = [r for k in range(3) for r in rows(kept[k].where("kind <> 'SNAPSHOT'").select(*tracker.TOLD))]
+    assert sorted(first + rows(rest)) == whole
+
+
+def test_a_stream_restarts_from_its_typed_state(spark, tmp_path):
+    """Frames come in three runs of one query; each takes up the tracks, locks and counters that the run before has stored, and idle or ended sessions are forgotten."""
+    from trackweave.streaming import sessions
+
+    zones = spark.createDataFrame([("a", [(0.0, 0.55), (1.0, 0.55), (1.0, 1.0), (0.0, 1.0)], [(0.0, 0.0), (1.0, 0.0), (1.0, 0.45), (0.0, 0.45)], [(0.2, 0.3), (0.8, 0.3), (0.8, 0.65), (0.2, 0.65)], [(0.0, 0.9), (1.0, 0.9), (1.0, 1.0), (0.0, 1.0)], 640, 480)],
+                                  "session_id string, salon array<struct<x: double, y: double>>, street array<struct<x: double, y: double>>, door array<struct<x: double, y: double>>, spawn array<struct<x: double, y: double>>, frame_width int, frame_height int")
+    box = "x1: double, y1: double, x2: double, y2: double"
+    schema = f"session_id string, frame_index int, ended boolean, detections array<struct<{box}, confidence: double, body: struct<{box}>>>"
+    cfg = CountConfig(stride=1, stable_samples=2, lost_frames=2, startup_frames=1)
+    path = [440.0 - 20 * k for k in range(21)] + [None] * 6
+    lines = [{"session_id": "a", "frame_index": k, "ended": k == len(path) - 1, "detections": [] if y is None else [{"x1": 300.0, "y1": y - 20, "x2": 340.0, "y2": y + 20, "confidence": 0.9, "body": {"x1": 280.0, "y1": y - 20, "x2": 360.0, "y2": y + 140}}]} for k, y in enumerate(path)]
+    c = SessionCore(tracker.zones_of({k: [{"x": p[0], "y": p[1]} for p in zones.first()[k]] for k in ("salon", "street", "door", "spawn")} | {"frame_width": 640, "frame_height": 480}), 480.0, TrackConfig(), cfg)
+    expected = [e for r in lines for e in c.frame(r["frame_index"], [tracker.seen_of(d) for d in r["detections"]])]
+    assert len(expected) == 1
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(r) for r in lines[k * 9 : k * 9 + 9]))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        run = sessions.live_exits(stream, zones, TrackConfig(), cfg, idle_ms=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        try:
+            assert run.awaitTermination(120)
+        finally:
+            run.stop()
+    found = spark.read.schema(sessions.OUT).parquet(str(tmp_path / "out")).collect()
+    assert [(r.frame_index, r.track_id, r.total_exits) for r in found] == [(e["frame_index"], e["track_id"], e["total_exits"]) for e in expected]
+
+
 def frames(states, active=(), street=None):
     return [("s", k * 10, 10.0, [0.1, 0.3, 0.5, 0.7] if s else [0.9, 0.7, 0.5, 0.3], (street or {}).get(k, [0.2, 0.2, 0.2, 0.2]), k in active) for k, s in enumerate(states)]
 

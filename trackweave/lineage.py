@@ -48,17 +48,18 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
-def _path(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """A path and the file system that it names, as Hadoop objects."""
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is such a file or folder on whatever file system the path names."""
-    where, system = _path(spark, path)
+    where, system = file_system(spark, path)
     return bool(system.exists(where))
 
 
 def delete(spark: SparkSession, path: str) -> bool:
-    where, system = _path(spark, path)
+    where, system = file_system(spark, path)
     return bool(system.delete(where, True))

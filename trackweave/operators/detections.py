@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,27 +142,25 @@ def tracking_boxes(rows: DataFrame, mode: str, cfg: BoxConfig) -> DataFrame:
 def suppress_overlaps(rows: DataFrame, max_iou: float) -> DataFrame:
     """Non-max suppression in each frame: the best box stays, boxes that overlap it by more go, and so on.
 
-    Order-dependent, so a fold over each frame's boxes; ties in confidence keep det_seq order.
+    Order-dependent, so a fold over each frame's boxes, inside the JVM; ties in confidence keep det_seq order.
     """
-    schema = rows.schema
+    place = F.struct((-F.col("confidence")).alias("by"), "det_seq", *[F.col(c) for c in rows.columns if c != "det_seq" and c not in FRAME])
+    best_first = rows.groupBy(*FRAME).agg(F.array_sort(F.collect_list(place), _by("by", "det_seq")).alias("_boxes"))
+    kind = best_first.schema["_boxes"].dataType
+    kept = F.aggregate("_boxes", F.array().cast(kind), lambda done, b: F.when(F.forall(done, lambda k: G.iou(k, b) <= max_iou), F.array_append(done, b)).otherwise(done))
+    return best_first.select(*FRAME, F.explode(kept).alias("_b")).select(*[F.col(c) if c in FRAME else F.col(f"_b.{c}") for c in rows.columns])
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "det_seq"], ascending=[False, True], kind="stable")
-        kept: list[int] = []
-        boxes = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        for i in range(len(boxes)):
-            if all(_iou(boxes[i], boxes[j]) <= max_iou for j in kept):
-                kept.append(i)
-        return pdf.iloc[kept]
 
-    return rows.groupBy(*FRAME).applyInPandas(keep, schema)
+def _by(*names: str):
+    """A comparison of structs by some of their fields, each ascending."""
 
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for n in reversed(names):
+            out = F.when(a[n] < b[n], -1).when(a[n] > b[n], 1).otherwise(out)
+        return out
 
-def _iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+    return compare
 
 
 def overlap_candidates(tracks: DataFrame, boxes: DataFrame, cfg: TrackConfig) -> DataFrame:
@@ -188,26 +185,24 @@ def center_candidates(tracks: DataFrame, boxes: DataFrame, taken: DataFrame, cfg
 
 
 def greedy(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """One-to-one pairs of each frame, taken greedily in the order of ``by`` (a minus sign for descending), then track and detection."""
-    names = [b.lstrip("-") for b in by] + ["track_id", "det_seq"]
-    up = [not b.startswith("-") for b in by] + [True, True]
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: set[int] = set()
-        boxes: set[int] = set()
-        kept: list[bool] = []
-        pdf = pdf.sort_values(names, ascending=up, kind="stable")
-        for t, d in zip(pdf["track_id"], pdf["det_seq"], strict=True):
-            free = t not in tracks and d not in boxes
-            kept.append(free)
-            if free:
-                tracks.add(t)
-                boxes.add(d)
-        return pdf[kept]
-
-    columns = [*FRAME, "track_id", "det_seq", "iou", "center_px"]
-    narrow = candidates.select(*columns)
-    return narrow.groupBy(*FRAME).applyInPandas(take, narrow.schema)
+    """One-to-one pairs of each frame, taken greedily in the order of ``by`` (a minus sign for descending), then track and detection.
+
+    A fold over each frame's candidates, inside the JVM: the first of those that are left is taken, and all that share its track or its detection go.
+    """
+    order = [(-F.col(b[1:]) if b.startswith("-") else F.col(b)).alias(f"_{k}") for k, b in enumerate(by)]
+    one = F.struct(*order, "track_id", "det_seq", "iou", "center_px")
+    frames = candidates.groupBy(*FRAME).agg(F.array_sort(F.collect_list(one)).alias("_left"))
+    kind = frames.schema["_left"].dataType
+    turns = F.sequence(F.lit(1), F.least(F.size(F.array_distinct(F.transform("_left", lambda c: c["track_id"]))), F.size(F.array_distinct(F.transform("_left", lambda c: c["det_seq"])))))
+    start = F.struct(F.col("_left").alias("left"), F.array().cast(kind).alias("taken"))
+
+    def turn(state: Column, _: Column) -> Column:
+        rest = lambda first: F.filter(state["left"], lambda c: (c["track_id"] != first["track_id"]) & (c["det_seq"] != first["det_seq"]))
+        step = let(F.get(state["left"], 0), lambda first: F.struct(rest(first).alias("left"), F.array_append(state["taken"], first).alias("taken")))
+        return F.when(F.size(state["left"]) > 0, step).otherwise(state)
+
+    taken = F.aggregate(turns, start, turn)["taken"]
+    return frames.select(*FRAME, F.explode(taken).alias("_p")).select(*FRAME, "_p.track_id", "_p.det_seq", "_p.iou", "_p.center_px")
 
 
 def diagnostics(labelled: DataFrame, every: int = 30) -> DataFrame:

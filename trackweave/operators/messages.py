@@ -1,13 +1,10 @@
 """What clients are sent of a session: a message for some of its frames, with all events since the one before, and a last one.
 
-Messages are rows with JSON text. A sink pushes them to the session's subscriber, where there is one.
+Messages are rows with JSON text; ``sources.push`` sends them to the session's subscriber, where there is one.
 """
 
 from __future__ import annotations
 
-import logging
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,8 +12,6 @@ from pyspark.sql import functions as F
 
 from . import scan
 
-log = logging.getLogger(__name__)
-
 #: Least milliseconds between two messages of a session.
 EMIT_EVERY_MS = 120
 
@@ -149,20 +144,3 @@ def final_messages(sessions: DataFrame) -> DataFrame:
         (F.col("finished_ms") - F.col("started_ms")).alias("duration_ms"), "error_message", "finish_reason",
     ]
     return ended.select("session_id", F.to_json(F.struct(*fields)).alias("payload"))
-
-
-def push(subscriber: Callable[[str], Callable[[str], None] | None]):
-    """For ``writeStream.foreachBatch``: sends each message to its session's subscriber, in order of frames. Without one it is dropped; failures are logged."""
-
-    def run(batch: DataFrame, _: int) -> None:
-        order = [c for c in ("session_id", "frame_index") if c in batch.columns]
-        for row in batch.orderBy(*order).toLocalIterator():
-            send = subscriber(row.session_id)
-            if send is None:
-                continue
-            try:
-                send(row.payload)
-            except Exception:  # noqa: BLE001
-                log.warning("a message of session %s was not sent", row.session_id, exc_info=True)
-
-    return run

@@ -273,6 +273,7 @@ SQL = {
     " SELECT bi.id, bi.recorder_id, bi.camera_code, bi.logical_door, bi.profile_id, bi.active AND rq.recorder_id IS NULL AS active, CASE WHEN bi.active AND rq.recorder_id IS NOT NULL THEN rq.updated_ms ELSE bi.updated_ms END AS updated_ms FROM bi LEFT JOIN rq ON bi.recorder_id = rq.recorder_id AND bi.camera_code = rq.camera_code"
     " UNION ALL SELECT CAST('0x' || substr(md5(concat_ws('|', recorder_id, camera_code, CAST(updated_ms AS VARCHAR))), 1, 15) AS BIGINT), recorder_id, camera_code, 'FRONT', profile_id, true, updated_ms FROM rq",
     "upserted_results": f"WITH {RESULTS} SELECT session_id, CASE WHEN finished_ms % 3 = 0 THEN 'STOPPED' ELSE status END AS status, CASE WHEN finished_ms % 3 = 0 THEN finished_ms + 5 ELSE finished_ms END AS finished_ms FROM re",
+    "logged_results": f"WITH {RESULTS} SELECT session_id, CASE WHEN finished_ms % 3 = 0 THEN 'STOPPED' ELSE status END AS status, CASE WHEN finished_ms % 3 = 0 THEN finished_ms + 5 ELSE finished_ms END AS finished_ms FROM re",
     "result_search": f"WITH {RESULTS} SELECT session_id, status, video_device_id, coalesce(CAST(channel AS VARCHAR), event_code) AS camera_code, greatest(exited, alightings) AS exited, 0 AS boardings, onboard, coalesce(clip_started_ms, finished_ms) AS at_ms FROM re WHERE status = 'FINISHED' AND coalesce(clip_started_ms, finished_ms) BETWEEN 700000000000 AND 850000000000",
     "result_page": f"WITH {RESULTS} SELECT session_id, finished_ms FROM re ORDER BY finished_ms DESC, session_id LIMIT 20 OFFSET 40",
     "result_pages": "SELECT count(*) AS total, CAST(ceil(count(*) / CAST(20 AS DOUBLE)) AS BIGINT) AS pages FROM orders",

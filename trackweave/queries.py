@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from .functions import paths as P
 from .functions import vectors as V
 from .operators import catalog, detections, door_config, line_counter, messages, occupancy, reid, results, smart_stop, tracker, trajectories
 from .plans import sessions, two_pass
+from .lineage import shared_dir
 from .sources import files
+from .sources.table_log import TableLog
 
 FATE, COUNT, TRACK, BOX, STOP, LINE = FateConfig(), CountConfig(), TrackConfig(), BoxConfig(), StopConfig(need_activity=True), LineConfig(inside_on_top=False)
 #: Wider limits, since derived tracks move fast: so that they show every rule.
@@ -447,6 +450,18 @@ def upserted_results(spark, d):
     return results.upsert(old, new.union(new.withColumn("finished_ms", F.col("finished_ms") - 2)), "session_id", "finished_ms")
 
 
+@query
+def logged_results(spark, d):
+    """Orders as results that a stream writes into a versioned table, in two batches; the second comes twice, and the last has other rows by then."""
+    log = TableLog(spark, f"{shared_dir(spark)}/trackweave-results-{uuid.uuid4().hex}", 8)
+    rows = X.stored_results(spark, d).select("session_id", "status", "finished_ms")
+    later = rows.where(F.col("finished_ms") % 3 == 0).withColumn("status", F.lit("STOPPED")).withColumn("finished_ms", F.col("finished_ms") + 5)
+    log.upsert(rows, "session_id", "finished_ms", ("orders", 0))
+    log.upsert(later, "session_id", "finished_ms", ("orders", 1))
+    log.upsert(later.withColumn("status", F.lit("LOST")).withColumn("finished_ms", F.col("finished_ms") + 9), "session_id", "finished_ms", ("orders", 1))
+    return log.load()
+
+
 @query
 def result_search(spark, d):
     rows = results.search(X.stored_results(spark, d), device="  ", status="FINISHED", from_ms=700_000_000_000, to_ms=850_000_000_000)

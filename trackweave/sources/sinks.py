@@ -7,65 +7,43 @@ import os
 import shutil
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..lineage import delete, exists
-from ..operators.results import upsert
+from .table_log import TableLog
 
 log = logging.getLogger(__name__)
 
 
-#: Parts of a stored table, by the hash of the key: an upsert rewrites those that it touches.
-BUCKETS = 64
-
-
-def _commit(spark, side: str, path: str) -> None:
-    spark.read.parquet(side).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    delete(spark, side)
-
-
-def save_results(new: DataFrame, path: str, key: str = "session_id", by: str = "finished_ms", enabled: bool = True, buckets: int = BUCKETS) -> bool:
-    """Upserts into a Parquet table by key, on any file system that Spark writes to. A failure is logged, not raised: counting goes on.
-
-    Touched parts are merged into a table beside the first, then replace the old parts. If that is cut short, the next call, or
-    ``load_results``, does it again from the table beside, so nothing is lost.
-    """
+def save_results(new: DataFrame, path: str, key: str = "session_id", by: str = "finished_ms", enabled: bool = True) -> bool:
+    """Upserts into a stored table by key, on any file system that Spark writes to. A failure is logged, not raised: counting goes on, and the table is as it was."""
     if not enabled:
         return False
-    spark, side = new.sparkSession, f"{path}.next"
     try:
-        recover(spark, path)
-        rows = new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        if exists(spark, path):
-            touched = rows.select("bucket").distinct()
-            merged = upsert(spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").select(*rows.columns), rows, key, by)
-        else:
-            merged = upsert(rows.limit(0), rows, key, by)
-        merged.write.mode("overwrite").parquet(side)
-        _commit(spark, side, path)
+        TableLog(new.sparkSession, path).upsert(new, key, by)
     except Exception:  # noqa: BLE001
         log.exception("results were not saved")
         return False
     return True
 
 
-def recover(spark, path: str) -> None:
-    """Finishes an upsert that was cut short after its merge, and drops one that was cut short before."""
-    side = f"{path}.next"
-    if exists(spark, f"{side}/_SUCCESS"):
-        _commit(spark, side, path)
-    elif exists(spark, side):
-        delete(spark, side)
+def load_results(spark, path: str) -> DataFrame:
+    found = TableLog(spark, path).load()
+    if found is None:
+        raise ValueError(f"{path} holds no results")
+    return found
 
 
-def load_results(spark, path: str) -> DataFrame:
-    recover(spark, path)
-    return spark.read.parquet(path).drop("bucket")
+def batch_upsert(path: str, key: str = "session_id", by: str = "finished_ms", name: str | None = None):
+    """For ``writeStream.foreachBatch``. A failure is raised, so that the stream doesn't go on without the batch; a batch that comes again is applied once.
+
+    Batches are known by their number and ``name``, or else the query's id, which lasts as long as its checkpoint.
+    """
 
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        query = name or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "stream"
+        TableLog(spark, path).upsert(batch, key, by, (query, number))
 
-def batch_upsert(path: str, key: str = "session_id", by: str = "finished_ms"):
-    """For ``writeStream.foreachBatch``."""
-    return lambda batch, _: save_results(batch, path, key, by) and None
+    return run
 
 
 def after_analysis(path: str, status: str, home: str, processed: str, keep: bool = True) -> str | None:
