@@ -447,6 +447,52 @@ def test_licenses_match_every_stretch_of_small_texts():
         assert all(a[-1] < b[0] for a, b in zip(found, found[1:], strict=False))
 
 
+def test_noisy_licenses_take_time_in_proportion():
+    import time
+
+    rng = random.Random(1)
+    mit, scanner = licenses.words_of(licenses.TEMPLATES["MIT-text"]), licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    words = []
+    for _ in range(12):
+        copy = list(mit)
+        for _ in range(25):
+            copy.pop(rng.randrange(len(copy)))
+        for _ in range(40):
+            copy.insert(rng.randrange(len(copy) + 1), rng.choice([*mit, "stray", "word"]))
+        words += copy
+    began = time.process_time()
+    found = [x for x in scanner.scan(" ".join(words)) if x[0] == "MIT-text"]
+    assert len(found) >= 6 and time.process_time() - began < 10
+
+
+def test_a_long_tag_is_read_once():
+    import time
+
+    began = time.process_time()
+    assert language_id.declared("<meta " + "content-language' " * 60_000 + ">") == ""
+    assert time.process_time() - began < 0.5
+    assert language_id.declared("<meta http-equiv='Content-Language' x=1 CONTENT = 'DE-at'>") == "de"
+    assert language_id.declared("<meta content='fr' http-equiv='content-language'><html lang=es>") == "es"
+
+
+def test_one_long_text_does_not_switch_the_classifier_off(spark):
+    rng = random.Random(2)
+    good = [" ".join(rng.choice(WORDS) for _ in range(40)) + "." for _ in range(40)]
+    rows = [(i, good[i % 40] if i % 2 else "# $ | > ## %%") for i in range(60)]
+    ids = [r[0] for r in rows]
+    long = "\n".join(good * 5)
+    for extra in range(100, 140):  # whichever of these has the smallest hash
+        rows.append((extra, long))
+        ids.append(extra)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 or i >= 100), 0) for i in ids], "doc_id long, quality int, toxic int")
+    field = line_crf.train(docs, labels, train_lines=150)
+    scores = {r.doc_id: r.score for r in line_crf.classify(docs, field).collect()}
+    assert min(scores[i] for i in range(1, 60, 2)) > max(scores[i] for i in range(0, 60, 2))
+    only = line_crf.train(docs.where("doc_id >= 100"), labels, train_lines=50)
+    assert only is not None
+
+
 def test_licenses_are_found_among_stray_words(spark):
     bsd = licenses.TEMPLATES["BSD-3-Clause"]
     spread = " ".join(w + " foo bar" for w in bsd.split())

@@ -37,9 +37,10 @@ TRAIN_DOCS, BUCKETS, TEMPER, HOST_STRENGTH, SUFFIX_STRENGTH, ADDED = 400, 1 << 1
 _RAW = re.compile(r"(?i)<(script|style|noscript|template)\b")
 _RAW_ENDS = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template")}
 _HEADS = re.compile(r"(?i)<(html|meta)\b")
+#: What stands before a tag's language, if anything must, and the attribute that gives it; one after the other, so that a tag is read once.
 _LANG = {
-    "html": re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})"""),
-    "meta": re.compile(r"""(?i)content-language["'][^>]*?content\s*=\s*["']?([a-z]{2,3})"""),
+    "html": (None, re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})""")),
+    "meta": (re.compile(r"""(?i)content-language["']"""), re.compile(r"""(?i)content\s*=\s*["']?([a-z]{2,3})""")),
 }
 _ADDRESS = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*(/[^?#]*)?")
 
@@ -76,7 +77,9 @@ def declared(markup: str | None) -> str:
     while found := _HEADS.search(text, at):
         end = text.find(">", found.end())
         tag = text[found.end() : end if end >= 0 else len(text)]
-        if code := _LANG[found[1].lower()].search(tag):
+        before, attribute = _LANG[found[1].lower()]
+        begin = before.search(tag) if before else None
+        if (begin or not before) and (code := attribute.search(tag, begin.end() if begin else 0)):
             return code[1].lower()
         if end < 0:
             break

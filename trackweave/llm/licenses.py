@@ -6,10 +6,10 @@ become unique, and equal words at the ends of a gap match directly. Coverage is
 that match.
 
 A find is a stretch of the text, at most SPREAD times as long as the template, whose alignment covers enough of it. One rule
-holds for every text: a stretch may start at any word of the template that lies near a key word, and end at any. Key words make
-up more of a template than coverage may leave out, so every find holds one. No stretch aligns better than its longest common
-subsequence with the template, which is computed word by word from every start; so only ends where that reaches the coverage are
-aligned, and none that could be a find is left out. Of finds that overlap the one with more words stays, then the shorter, then the first; what lies
+holds for every text: a stretch begins and ends with words that its longest common subsequence with the template needs, without which that would be shorter, and near
+a key word. Key words make up more of a template than coverage may leave out, so every find holds one. No stretch aligns better than its longest common
+subsequence, which is computed word by word, with bits, from every start; only stretches for which it reaches the coverage, and the words of the best find so far, are
+aligned. So time grows with the words near key words times the template's reach, however noisy a text is. Of finds that overlap the one with more words stays, then the shorter, then the first; what lies
 before it is searched again, and the search goes on behind it.
 
 Null, empty and short texts have no finds, nor has an empty table. Words are runs of letters and digits, in lower case. Rows are scanned
@@ -129,27 +129,36 @@ class Template:
         self.bits = {w: sum(1 << k for k, x in enumerate(words) if x == w) for w in self.count}
 
     def common(self, words: list[str], begin: int, end: int) -> list[tuple[int, int]]:
-        """(stop, length): for all stops behind a template's word up to ``end``, the longest common subsequence of words[begin:stop] and the template."""
+        """(stop, length): for stops up to ``end`` whose last word makes it longer, the longest common subsequence of words[begin:stop] and the template."""
         rest = full = (1 << self.size) - 1
-        out = []
+        out, length = [], 0
         for j in range(begin, min(end, begin + self.span)):
             mask = self.bits.get(words[j])
             if mask is not None:
                 used = rest & mask
                 rest = ((rest + used) | (rest - used)) & full
-                out.append((j + 1, self.size - rest.bit_count()))
+                n = self.size - rest.bit_count()
+                if n > length:
+                    length = n
+                    out.append((j + 1, n))
         return out
 
-    def best_from(self, words: list[str], begin: int, end: int, more_than: int) -> tuple[int, int, list[int]] | None:
-        """The find that starts at ``begin`` and has most words, of those with more than ``more_than``: words, end, places."""
+    def best_from(self, words: list[str], begin: int, end: int, more_than: int, rows: dict[int, list[tuple[int, int]]]) -> tuple[int, int, list[int]] | None:
+        """The find that starts at ``begin`` and has most words, of those with more than ``more_than``: words, end, places. ``rows`` keeps what ``common`` gave for this start and the next."""
         least = max(self.least, more_than + 1)
-        stops = [(n, stop) for stop, n in self.common(words, begin, end) if n >= least]
+        here = rows.pop(begin, None) or self.common(words, begin, end)
+        if not here or here[-1][1] < least:
+            return None
+        rows.clear()
+        after = rows[begin + 1] = self.common(words, begin + 1, end)
+        shorter = lambda stop: after[k - 1][1] if (k := bisect_left(after, (stop + 1,))) else 0
+        stops = [(n, stop) for stop, n in here if n >= least and shorter(stop) < n]
         best = None
-        for n, stop in sorted(stops, key=lambda x: (-x[0], x[1])):
+        for n, stop in reversed(stops):
             if best is not None and n <= best[0]:
                 break  # no later one can be better
             found = [begin + i for i, _ in align(words[begin:stop], self.words)]
-            if len(found) >= least and (best is None or len(found) > best[0]):
+            if len(found) >= least and (best is None or len(found) >= best[0]):
                 best = len(found), found[-1] + 1, found
         return best
 
@@ -159,10 +168,10 @@ class Template:
             return
         at = begin
         while at < end:
-            best, stop = None, end
+            best, stop, rows = None, end, {}
             i = at
             while i < stop:  # the finds that overlap the first one compete with it
-                if words[i] in self.bits and (found := self.best_from(words, i, end, best[0] - 1 if best else 0)) is not None:
+                if words[i] in self.bits and (found := self.best_from(words, i, end, best[0] - 1 if best else 0, rows)) is not None:
                     rank = found[0], -(found[1] - found[2][0]), -found[2][0]
                     if best is None or rank > (best[0], -(best[1] - best[2][0]), -best[2][0]):
                         stop = found[1] if best is None else stop

@@ -222,7 +222,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Field:
-    """Fits on at most ``train_docs`` labelled documents that aren't held out, those whose ids have the smallest hashes."""
+    """Fits on at most ``train_docs`` labelled documents that aren't held out, those whose ids have the smallest hashes, and on ``train_lines`` lines of them.
+
+    Texts with more than a hundredth of these lines come last, the shorter first, so that no long text takes the place of many; of a text with more lines than all, the first ones are taken.
+    """
     known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label}`").isin(0, 1) & ~held_out(F.col(f"`{id_col}`")))
     known = known.groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.min(f"`{label}`").cast("int").alias("_label")).withColumn("_hash", F.md5(F.col("_id").cast("string")))
     sample = known.orderBy("_hash", "_id").limit(train_docs)
@@ -232,11 +235,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         for batch in slices(batches):
             for i, hashed, label, text in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 features, chars, _ = line_features([text])
+                features, chars = features[:train_lines], chars[:train_lines]
                 yield pa.RecordBatch.from_pydict({"id": pa.array([i], pa.int64()), "hash": [hashed], "label": pa.array([label], pa.int32()), "n": pa.array([len(chars)], pa.int64()), "features": [features.astype("<f4").tobytes()], "chars": [chars.astype("<f4").tobytes()]})
         tidy()
 
     found = cut(texts.mapInArrow(run, "id long, hash string, label int, n long, features binary, chars binary"), "lines")
-    so_far = Window.orderBy("hash", "id", "n").rowsBetween(Window.unboundedPreceding, 0)  # over a bounded sample
+    long = F.when(F.col("n") > train_lines // 100, F.col("n")).otherwise(0)
+    so_far = Window.orderBy(long, "hash", "id", "n").rowsBetween(Window.unboundedPreceding, 0)  # over a bounded sample
     few = found.select("hash", "id", "n").withColumn("_lines", F.sum("n").over(so_far)).where(F.col("_lines") <= train_lines).select("id").distinct()
     rows = found.join(F.broadcast(few), "id", "left_semi").collect()
     rows.sort(key=lambda r: (r.id, r.n, r.features))
