@@ -280,6 +280,29 @@ def test_frames_come_with_the_stride_applied(spark, tmp_path):
     assert sorted(r.embedding[0] for r in calls.collect()) == [0.0, 3.0, 6.0]
 
 
+def test_filters_reach_the_clips(spark, tmp_path):
+    """Frames that a filter leaves out aren't opened: they are unreadable here, so that opening one would fail."""
+    for session in ("s1", "s2", "s3"):
+        clip = tmp_path / session
+        clip.mkdir()
+        (clip / "clip.json").write_text('{"fps": 12.5, "width": 1, "height": 1}')
+        for k in range(25):
+            (clip / f"{k:06d}.rgb").write_bytes(b"abc") if session == "s2" and 10 <= k < 13 else (clip / f"{k:06d}.rgb").mkdir()
+    frames.register(spark)
+    clips = spark.read.format("clips").option("frames", 4).load(str(tmp_path))
+    read = lambda df: sorted((r.session_id, r.frame_index) for r in df.collect())
+    assert read(clips.where("session_id = 's2' and frame_index = 11")) == [("s2", 11)]
+    assert read(clips.where("session_id in ('s2', 'x') and frame_index >= 10 and frame_index < 13")) == [("s2", k) for k in (10, 11, 12)]
+    assert read(clips.where("session_id = 's2' and frame_index > 9 and frame_index <= 12 and frame_index % 2 = 0")) == [("s2", 10), ("s2", 12)]
+    assert read(clips.where("session_id = 'nobody'")) == [] and read(clips.where("session_id = 's2' and frame_index = 99")) == []
+    with pytest.raises(Exception, match="Is a directory|IsADirectory"):
+        clips.where("frame_index = 3").collect()
+    heads = spark.read.format("clips").option("headers", True).load(str(tmp_path))
+    assert sorted(tuple(r) for r in heads.collect()) == [(s, 12.5, 1, 1, 25) for s in ("s1", "s2", "s3")]
+    reader = frames.ClipReader({"path": str(tmp_path), "frames": "4"})
+    assert len(reader.partitions()) == 3 * 7  # one clip is many tasks
+
+
 def test_deepest_root(spark):
     paths = spark.createDataFrame([("/a/b/c.mp4",), ("/a/bc/d.mp4",), ("/z.mp4",)], "path string")
     roots = spark.createDataFrame([("/a", "A", 1), ("/a/b", "B", 2), ("/a/b", "B2", 1)], "root string, kind string, priority int")

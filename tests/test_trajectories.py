@@ -93,3 +93,27 @@ def test_final_exits_are_the_greater_count(spark):
     live = spark.createDataFrame([("a", 1), ("c", 4)], "session_id string, live_exits long")
     found = trajectories.session_totals(counted, live)
     assert {r.session_id: r.exits for r in found.orderBy(F.col("session_id")).collect()} == {"a": 2, "b": 0, "c": 4}
+
+
+def test_near_pairs_are_all_found_and_stay_few(spark):
+    import random
+
+    from trackweave.operators import near
+
+    def points(n, seed):
+        rng = random.Random(seed)
+        return [("s", k, rng.uniform(-300, 3000), rng.uniform(-300, 3000), rng.randrange(15 * n)) for k in range(n)]
+
+    kind = "session_id string, track_id int, x double, y double, t int"
+    close = lambda a, b: 0 <= b[4] - a[4] <= 50 and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 120**2
+    share = []
+    for n in (200, 800):
+        ends, begins = points(n, 1), points(n, 2)
+        begins += [("s", n + k, ends[0][2] + k % 7, ends[0][3], ends[0][4] + 1) for k in range(60)]  # a hot cell
+        right = {(a[1], b[1]) for a in ends for b in begins if close(a, b)}
+        for hot in (4096, 10):
+            pairs = near.soon_and_near(spark.createDataFrame(ends, kind), spark.createDataFrame(begins, kind), ["session_id"], 120.0, 50.0, hot).collect()
+            met = [(r.track_id, r.track_id_b) for r in pairs]
+            assert len(set(met)) == len(met) and right <= set(met)
+        share.append((len(met) - 60) / n)
+    assert share[1] < 2 * share[0] + 0.2  # four times as many tracks in four times the time: about as many pairs for each end

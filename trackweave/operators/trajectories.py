@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import FateConfig
 from ..functions.geometry import distance
 from ..lineage import cut
+from .near import soon_and_near
 
 TRACK = ["session_id", "track_id"]
 ORDER = ["frame_index", "seq"]
@@ -86,19 +87,14 @@ def early_shift(samples: DataFrame, first_n: int) -> DataFrame:
 
 
 def with_stationary_successor(samples: DataFrame, cfg: FateConfig, facts: DataFrame | None = None) -> DataFrame:
-    """Tracks that another track follows closely in time and place while standing still: a band join on binned frames.
-
-    Births are binned by the gap, so an end meets births of its own and the next bin only.
-    """
+    """Tracks that another track follows closely in time and place while standing still: a join on cells of space and time."""
     facts = track_facts(samples, cfg) if facts is None else facts
-    births = facts.where(F.col("early_shift") < cfg.min_move_px).select("session_id", F.col("track_id").alias("_other"), F.col("first.frame_index").alias("_born"), F.col("first.x").alias("_x"), F.col("first.y").alias("_y"))
-    births = births.withColumn("_bin", F.floor(F.col("_born") / cfg.successor_gap))
-    ends = facts.select(*TRACK, F.col("last.frame_index").alias("_end"), F.col("last.x").alias("_ex"), F.col("last.y").alias("_ey"))
-    here = F.floor(F.col("_end") / cfg.successor_gap)
-    ends = ends.withColumn("_bin", F.explode(F.array(here, here + 1)))
-    gap = F.col("_born") - F.col("_end")
-    close = (F.col("track_id") != F.col("_other")) & (gap > 0) & (gap <= cfg.successor_gap) & (distance(F.col("_ex"), F.col("_ey"), F.col("_x"), F.col("_y")) <= cfg.successor_px)
-    return ends.join(births, ["session_id", "_bin"]).where(close).select(*TRACK).distinct()
+    at = lambda which: [F.col(f"{which}.x").alias("x"), F.col(f"{which}.y").alias("y"), F.col(f"{which}.frame_index").alias("t")]
+    births = facts.where(F.col("early_shift") < cfg.min_move_px).select("session_id", F.col("track_id"), *at("first"))
+    pairs = soon_and_near(facts.select(*TRACK, *at("last")), births, ["session_id"], cfg.successor_px, cfg.successor_gap)
+    gap = F.col("t_b") - F.col("t")
+    close = (F.col("track_id") != F.col("track_id_b")) & (gap > 0) & (gap <= cfg.successor_gap) & (distance(F.col("x"), F.col("y"), F.col("x_b"), F.col("y_b")) <= cfg.successor_px)
+    return pairs.where(close).select(*TRACK).distinct()
 
 
 def track_fates(samples: DataFrame, cfg: FateConfig, origins: DataFrame | None = None, clip_end: DataFrame | None = None) -> DataFrame:

@@ -1,41 +1,102 @@
-"""Frames of clips as a Python data source: one partition for each clip, the stride applied inside the scan.
+"""Frames of clips as a Python data source: a clip is read in ranges of frames, and the stride, filters on session and frame, and columns without images stay inside the scan.
 
 A clip is a folder of numbered raw frames here (``000012.rgb`` of width x height x 3 bytes beside ``clip.json``), since no video
-decoder is at hand; a decoder needs only another ``read``.
+decoder is at hand; a decoder needs only another ``frame``. ``register`` lets Spark hand filters to Python sources, so that a point read opens one frame's file, and a
+read up to a stop frame opens none behind it. With ``headers`` there is a row a clip with its rate, size and number of frames, and no frame is opened.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 SCHEMA = "session_id string, frame_index int, fps double, width int, height int, image binary"
+HEADERS = "session_id string, fps double, width int, height int, n_frames int"
+#: Frames of a partition, so that one long clip is many tasks.
+FRAMES = 1000
+DEFAULT_FPS = 25.0
 
 
-class Clip(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+@dataclass
+class Frames(InputPartition):
+    """Frames ``first`` to ``last`` of a clip."""
+
+    path: str
+    first: int
+    last: int
+
+
+def header(path: str) -> tuple[float, int, int]:
+    """Rate, width and height of a clip; a rate that is missing or 0 counts as 25."""
+    with open(os.path.join(path, "clip.json")) as f:
+        info = json.load(f)
+    return float(info.get("fps") or DEFAULT_FPS), info["width"], info["height"]
+
+
+def frame(path: str, index: int) -> bytes:
+    with open(os.path.join(path, f"{index:06d}.rgb"), "rb") as f:
+        return f.read()
+
+
+def frame_numbers(path: str) -> list[int]:
+    return sorted(int(n.split(".")[0]) for n in os.listdir(path) if n.endswith(".rgb"))
 
 
 class ClipReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.step = options["path"], int(options.get("skip", 0)) + 1
-
-    def partitions(self) -> list[Clip]:
-        return [Clip(os.path.join(self.root, d)) for d in sorted(os.listdir(self.root)) if os.path.exists(os.path.join(self.root, d, "clip.json"))]
-
-    def read(self, partition: Clip):
-        with open(os.path.join(partition.path, "clip.json")) as f:
-            info = json.load(f)
-        fps = info.get("fps") or 25.0
-        for name in sorted(n for n in os.listdir(partition.path) if n.endswith(".rgb")):
-            index = int(name.split(".")[0])
-            if index % self.step == 0:
-                with open(os.path.join(partition.path, name), "rb") as f:
-                    yield os.path.basename(partition.path), index, float(fps), info["width"], info["height"], f.read()
+        self.size, self.headers = max(int(options.get("frames", FRAMES)), 1), options.get("headers", "false").lower() == "true"
+        self.first, self.last, self.sessions = 0, None, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes filters on session_id and frame_index; gives back the others."""
+        for f in filters:
+            if not self._taken(f):
+                yield f
+
+    def _taken(self, f: Filter) -> bool:
+        column = getattr(f, "attribute", None)
+        if column == ("session_id",) and isinstance(f, EqualTo | In):
+            wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.sessions = wanted if self.sessions is None else self.sessions & wanted
+            return True
+        if column != ("frame_index",) or self.headers:
+            return False
+        if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+            self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+        if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+            most = f.value - isinstance(f, LessThan)
+            self.last = most if self.last is None else min(self.last, most)
+        return isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual)
+
+    def partitions(self) -> list[Frames]:
+        clips = [d for d in sorted(os.listdir(self.root)) if (self.sessions is None or d in self.sessions) and os.path.exists(os.path.join(self.root, d, "clip.json"))]
+        out: list[Frames] = []
+        for path in (os.path.join(self.root, d) for d in clips):
+            if self.headers:
+                out.append(Frames(path, 0, -1))
+                continue
+            numbers = [n for n in frame_numbers(path) if n >= self.first and (self.last is None or n <= self.last)]
+            out += [Frames(path, numbers[k], numbers[min(k + self.size, len(numbers)) - 1]) for k in range(0, len(numbers), self.size)]
+        return out or [Frames("", 0, -1)]
+
+    def read(self, partition: Frames) -> Iterator[tuple]:
+        if not partition.path:
+            return
+        session = os.path.basename(partition.path)
+        fps, width, height = header(partition.path)
+        if self.headers:
+            numbers = frame_numbers(partition.path)
+            yield session, fps, width, height, numbers[-1] + 1 if numbers else 0
+            return
+        for index in frame_numbers(partition.path):
+            if partition.first <= index <= partition.last and index % self.step == 0:
+                yield session, index, fps, width, height, frame(partition.path, index)
 
 
 class ClipSource(DataSource):
@@ -44,11 +105,12 @@ class ClipSource(DataSource):
         return "clips"
 
     def schema(self) -> str:
-        return SCHEMA
+        return HEADERS if self.options.get("headers", "false").lower() == "true" else SCHEMA
 
     def reader(self, schema) -> ClipReader:
         return ClipReader(self.options)
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ClipSource)
