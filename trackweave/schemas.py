@@ -17,4 +17,5 @@ BINDINGS = "id long, recorder_id string, camera_code string, logical_door string
 PROFILES = "id long, name string, door string, salon string, street string, spawn string, smart_stop boolean"
 FILES = "path string, size long, modified_ms long"
 
+#: Fixed values.
 DOOR_NAMES = "FRONT", "REAR", "CUSTOM", "IGNORE", "NEEDS_CLASSIFICATION"
