@@ -1,11 +1,15 @@
 """The corpus pipeline: documents to token ids, in stages that are each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return
-the columns of documents.
+the columns of documents, with the values they had but for what the stage is to change: other columns, whatever their names, are set aside
+under names of their own while a stage works. Empty tables give empty ones. Texts are taken whole, however long.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,8 +21,30 @@ from trackweave.session import ship
 CODE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+#: The columns that stages work with.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def apart(stage: Stage) -> Stage:
+    """The stage with all columns but COLUMNS under other names while it works, so that none clashes with what it adds."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in COLUMNS else f"_kept_{k}" for k, c in enumerate(docs.columns)}
+        out = stage(spark, docs.select(*[docs[f"`{c}`"].alias(names[c]) for c in docs.columns]), sf_dir)
+        return out.select(*[out[names[c]].alias(c) for c in docs.columns])
+
+    return run
+
+
+@apart
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field predicts to be good. It is fitted on labelled documents of this table."""
+    """Documents that the line field predicts to be good. It is fitted on labelled documents of this table.
+
+    Null and empty texts are judged as texts without lines are. Equal texts are judged alike, so repeated rows stay or go together; a score of 0.5 stays. Ids decide nothing but the sample.
+    """
     ship(spark)
     small_batches(spark)
     field = line_crf.train(docs, table(spark, sf_dir, "labels"))
@@ -26,6 +52,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return judged.where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by five-word shingles at 0.8 or more: that of the smallest id.
 
@@ -43,18 +70,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return first.unionByName(wordless.where("doc_id is not null").dropDuplicates(["doc_id", "text"])).unionByName(wordless.where("doc_id is null"))
 
 
+@apart
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeated strings of 200 bytes cover; those left without a word go."""
+    """Documents without the bytes that repeated strings of 200 bytes cover; those left without a word go.
+
+    Null and short texts stay as they are. Of rows that repeat a long text all lose it. ``n_chars``, where there is such a column, follows the text.
+    """
     ship(spark)
     small_batches(spark)
     done = suffix_dedup.remove_repeats(docs, kept_as="text")
     done = done.withColumn("text", F.col("kept_text")).where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", length).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
 
 
+@apart
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole: not at all, once, or twice."""
+    """Each document as often as the mix takes it, to the nearest whole: not at all, once, or twice.
+
+    A null source is a source of its own. Texts without words, null ones too, have nothing to take and go. Rows that repeat an id, a source and a size take the shares of these rows in any order.
+    """
     taken = mixing.mix(docs).select("doc_id", "source", "size", "taken")
     size, number = fresh(docs, "_size", "_number")
     keys = ["doc_id", "source", size]
@@ -69,11 +105,14 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, decoded_sha256: whole texts as ids of the rank file, and the digest of the bytes that the ids decode to."""
+    """doc_id, source, n_tokens, ids, decoded_sha256: whole texts as ids of the rank file, and the digest of the bytes that the ids decode to.
+
+    Null and empty texts have no ids. Every row has a row, repeated ones too; other columns are left out.
+    """
     ship(spark)
     small_batches(spark)
     path, pattern = public_tokenizers.path(CODE_FILE), public_tokenizers.PATTERN
-    coded = byte_bpe.code_documents(docs, path, pattern)
+    coded = byte_bpe.code_documents(docs.select("doc_id", "source", "text"), path, pattern)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
