@@ -90,3 +90,17 @@ def test_stages_take_odd_rows(spark, corpus):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, folder)
         assert out.count() <= 2 * len(rows) and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns)
+
+
+CLASHING = ("score", "predicted", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "_copies", "_copy", "_chosen", "_mark", "_size", "_number", "taken", "size", "target", "h", "a.b", "_kept_0", "Rank")
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_other_columns_keep_their_values(spark, k):
+    """A stage gives back every column of documents, whatever its name, with the row's own values; and n_chars may be missing."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").drop("n_chars")
+    wide = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id")).alias(c) for c in CLASHING])
+    out = corpus_pipeline.STAGES[k][1](spark, wide, "/root/testdata/sf0.001")
+    assert out.columns == wide.columns
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in CLASHING)
