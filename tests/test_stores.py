@@ -1,5 +1,6 @@
 """Door configuration, results, catalogue, files and sinks."""
 
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -327,6 +328,25 @@ def test_landing_clips_come_once(spark, tmp_path):
     assert len(names) == 2 and names[0] in ("a.mp4", "b.mp4") and names[1] == "f.avi"
 
 
+def test_clips_past_the_watermark_are_late(spark, tmp_path):
+    """A clip whose time lies further back than the delay behind the latest one seen is dropped; within it, content that was seen comes once."""
+    from trackweave.streaming import sessions
+
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(([("a", 10)], [("b", 11), ("a", 10)], [("late", 2), ("c", 10.5)])):
+        lines = [f'{{"sha256": "{name}", "modificationTime": "2024-05-{int(day):02d}T{int(day % 1 * 24):02d}:00:00Z"}}' for name, day in rows]
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines))
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k * 60,) * 2)
+    stream = spark.readStream.schema("sha256 string, modificationTime timestamp").option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in"))
+    done = spark.createDataFrame([("x",)], "file_sha256 string")
+    run = sessions.first_seen(stream, done, "1 day").writeStream.format("memory").queryName("timely").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert run.awaitTermination(120)
+    finally:
+        run.stop()
+    assert sorted(r.sha256 for r in spark.table("timely").collect()) == ["a", "b", "c"]
+
+
 def test_sessions_are_started_stopped_and_finished(spark):
     from trackweave.config import CountConfig, DetectorConfig, StopConfig, TrackConfig
     from trackweave.operators import messages
