@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product, the cosine of normalised vectors; 0 if the lengths differ."""
@@ -15,7 +17,7 @@ def dot(a: Column, b: Column) -> Column:
 def normalise(a: Column, floor: float = 1e-12) -> Column:
     """The vector at length 1; lengths below ``floor`` count as ``floor``."""
     length = F.greatest(F.sqrt(dot(a, a)), F.lit(floor))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return let(length, lambda n: F.transform(a, lambda x: x.cast("double") / n))  # once, not once a component
 
 
 def blend(old: Column, new: Column, share: float = 0.2) -> Column:

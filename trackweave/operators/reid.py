@@ -19,7 +19,8 @@ def pool(lost: DataFrame, coasting: DataFrame) -> DataFrame:
 def best_match(probes: DataFrame, pool: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Each probe's most similar pool row above the threshold; ties go to the smaller pool id.
 
-    ``keys`` (session, or session and frame) keep the join equal-keyed and local; embeddings are normalised.
+    ``keys`` (session and frame) keep the join equal-keyed and local; embeddings are normalised. It scores all pairs of a key, which suits the
+    few tracks of a frame; for pools as long as an archive there is ``similar.best_match``, with the same rows.
     """
     pairs = probes.join(pool, keys).where(F.col("probe_id") != F.col("pool_id"))
     scored = pairs.withColumn("similarity", V.dot(F.col("probe_embedding"), F.col("pool_embedding"))).where(F.col("similarity") > threshold)

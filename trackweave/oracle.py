@@ -236,6 +236,8 @@ SQL = {
     " WHERE t IS NULL AND b IS NULL AND center_px <= least(90, greatest(x2 - x1, y2 - y1, p2 - p1, q2 - q1) * 2.6)",
     "reid_best_match": f"WITH {UNIT}, si AS (SELECT a.vec_id // 10 AS frame_index, a.vec_id AS probe_id, b.vec_id AS pool_id, list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])) AS similarity FROM un a JOIN un b ON a.vec_id // 10 = b.vec_id // 10 + 1)"
     " SELECT frame_index, probe_id, pool_id, round(similarity, 6) AS similarity FROM si WHERE similarity > 0.1 QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, pool_id) = 1",
+    "reid_archive_match": f"WITH {UNIT}, si AS (SELECT a.label, a.vec_id AS probe_id, b.vec_id AS pool_id, list_sum(list_transform(list_zip(a.u, b.u), lambda p: p[1] * p[2])) AS similarity FROM un a JOIN un b ON a.label = b.label AND a.vec_id <> b.vec_id)"
+    " SELECT label, probe_id, pool_id, round(similarity, 6) AS similarity FROM si WHERE similarity > 0.1 QUALIFY row_number() OVER (PARTITION BY label, probe_id ORDER BY similarity DESC, pool_id) = 1",
     "blended_embeddings": "WITH b AS (SELECT a.vec_id, list_transform(list_zip(a.embedding, c.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(0.8 AS DOUBLE) + CAST(p[2] AS DOUBLE) * CAST(0.2 AS DOUBLE)) AS m FROM embeddings a JOIN embeddings c ON a.vec_id = c.vec_id + 1),"
     " n AS (SELECT *, greatest(sqrt(list_sum(list_transform(m, lambda x: x * x))), 1e-12) AS len FROM b) SELECT vec_id, round(m[1] / len, 6) AS m0, round(m[64] / len, 6) AS m63 FROM n",
     "position_fallback": f"WITH {DETECTIONS}, c AS (SELECT *, x1 + (x2 - x1) * CAST(0.5 AS DOUBLE) AS ax, y1 + (y2 - y1) * CAST(0.5 AS DOUBLE) AS ay FROM d), j AS (SELECT a.session_id, a.frame_index, a.det_seq, b.det_seq AS track_id, sqrt((b.ax - a.ax) * (b.ax - a.ax) + (b.ay - a.ay) * (b.ay - a.ay)) AS px,"

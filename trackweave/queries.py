@@ -13,7 +13,7 @@ from .config import BoxConfig, CountConfig, DetectorConfig, FateConfig, LineConf
 from .functions import geometry as G
 from .functions import paths as P
 from .functions import vectors as V
-from .operators import catalog, detections, door_config, line_counter, messages, occupancy, reid, results, smart_stop, tracker, trajectories
+from .operators import catalog, detections, door_config, line_counter, messages, occupancy, reid, results, similar, smart_stop, tracker, trajectories
 from .plans import sessions, two_pass
 from .lineage import shared_dir
 from .sources import files
@@ -301,6 +301,15 @@ def blended_embeddings(spark, d):
     return mixed.select("vec_id", F.round(F.get("m", 0), 6).alias("m0"), F.round(F.get("m", 63), 6).alias("m63"))
 
 
+@query
+def reid_archive_match(spark, d):
+    """Each vector's best match in the whole archive of its label."""
+    e = X.table(spark, d, "embeddings")
+    unit = V.normalise(F.col("embedding"))
+    probes = e.select("label", F.col("vec_id").alias("probe_id"), unit.alias("probe_embedding"))
+    return rounded(similar.best_match(probes, e.select("label", F.col("vec_id").alias("pool_id"), unit.alias("pool_embedding")), ["label"], 0.1), "similarity")
+
+
 @query
 def position_fallback(spark, d):
     """The boxes of a frame against those of the frame before, as lost tracks."""
