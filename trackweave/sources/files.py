@@ -19,10 +19,14 @@ def listing(spark: SparkSession, *roots: str, with_content: bool = False) -> Dat
     return rows.select(*columns, *([F.col("content")] if with_content else []))
 
 
-def landing_stream(spark: SparkSession, root: str, per_trigger: int = 10) -> DataFrame:
-    """New clips under ``<digits>/<yyyy-MM-dd>/`` of a landing folder, never those in a processed folder."""
+def landing_stream(spark: SparkSession, root: str, per_trigger: int = 10, archive: str | None = None) -> DataFrame:
+    """New clips under ``<digits>/<yyyy-MM-dd>/`` of a landing folder, never those in a processed folder.
+
+    With ``archive``, a folder outside of ``root`` on the same file system, files move there under their whole path once their batch is done.
+    """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    rows = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(root)
+    rows = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger)
+    rows = (rows.option("cleanSource", "archive").option("sourceArchiveDir", archive) if archive else rows).load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
     fine = P.in_device_layout(path, root) & P.extension(path).isin(*P.INGEST_EXTENSIONS)
     return rows.where(fine).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"), "modificationTime", F.sha2("content", 256).alias("sha256"))
