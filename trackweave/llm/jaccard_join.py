@@ -412,7 +412,7 @@ class _Join:
 
     def links_of_many(self, grams: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b): linked nodes of different components among those that share an n-gram of very many nodes; they are compared block by block."""
-        mine = grams.select(F.struct(F.col("fragment").cast("long").alias("d"), F.col("gram").alias("h")).alias("group"), "node", "root", "n")
+        mine = cut(grams.select(F.struct(F.col("fragment").cast("long").alias("d"), F.col("gram").alias("h")).alias("group"), "node", "root", "n"), "many-nodes")
         size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("blocks")
         mine = mine.join(mine.groupBy("group").agg(size), "group")
         mine = cut(mine.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("n"), "many-members")
@@ -458,7 +458,9 @@ class _Join:
         kept = told.select("node", "n", "prefix", "places").mapInArrow(_frequent(held), f"node {NODE}, n long, at int, fragment int, gram long")
         grams = cut(kept.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "prefixes")
         key = ["fragment", "gram"]
-        mixed = cut(grams.groupBy(*key).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("nodes")).where("low <> high").select(*key, "nodes"), "mixed-grams")
+        ends = [f("root." + c).alias(f"{c}_{f.__name__}") for c in ("d", "h") for f in (F.min, F.max)]
+        mixed = grams.groupBy(*key).agg(*ends, F.count(F.lit(1)).alias("nodes")).where("d_min <> d_max or h_min <> h_max")
+        mixed = cut(mixed.select(*key, "nodes"), "mixed-grams")
         some = grams.join(mixed.where(F.col("nodes") <= MANY).select(*key), key, "left_semi")
         one = some.select(*key, *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "at")])
         other = some.select(*key, *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "at")])
@@ -466,7 +468,8 @@ class _Join:
         allowed = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & self.similar(most, F.col("n_a"), F.col("n_b"))
         close = one.join(other, (one["fragment"] == other["fragment"]) & (one["gram"] == other["gram"]) & allowed).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
         rest = self.verified(self.near(close, told))
-        many = mixed.where(F.col("nodes") > MANY).select(*key)
+        # Written by itself, this table's size is known: while it is small, the rows that it selects are found without a shuffle of all.
+        many = cut(mixed.where(F.col("nodes") > MANY).select(*key), "frequent-grams")
         if not many.isEmpty():
             rest = rest.union(self.links_of_many(grams.join(many, key, "left_semi"), classes)).distinct()
         rest = cut(rest, "links-across")
