@@ -246,6 +246,30 @@ def test_files_are_archived_under_home_only(tmp_path):
     assert (home / "preview" / "1.jpg").read_bytes() == b"new"
 
 
+def test_files_are_archived_where_only_spark_reads(spark, tmp_path):
+    home, done, far = (tmp_path / name for name in ("home", "done", "far"))
+    for folder in (home / "1", far):
+        folder.mkdir(parents=True)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.clips.link./data", f"file://{tmp_path}")
+    at = "viewfs://clips/data"
+    archive = lambda path, status="FINISHED", to=f"{at}/done", **more: sinks.after_analysis(path, status, f"{at}/home", to, spark=spark, **more)
+    clip = home / "1" / "a.mp4"
+    for content in (b"one", b"two"):  # the second replaces what was archived under its name
+        clip.write_bytes(content)
+        assert archive(f"{at}/home/1/a.mp4") == f"{at}/done/finished/a.mp4"
+        assert not clip.exists() and (done / "finished" / "a.mp4").read_bytes() == content
+    clip.write_bytes(b"three")
+    assert sinks.park_unclassified(f"{at}/home/1/a.mp4", f"{at}/home", f"file://{far}", spark=spark) == f"file:{far}/needs-classification/a.mp4"
+    assert not clip.exists() and (far / "needs-classification" / "a.mp4").read_bytes() == b"three"
+    outside = tmp_path / "homes.mp4"
+    outside.write_bytes(b"x")
+    assert archive(f"{at}/homes.mp4") is None and archive(f"{at}/home/../homes.mp4") is None and archive(f"{at}/home/none.mp4") is None and archive(f"{at}/home/1") is None
+    assert outside.exists() and (home / "1").is_dir()
+    clip.write_bytes(b"four")
+    assert archive(f"{at}/home/1/a.mp4", to=f"{at}/home", status="1") == f"{at}/home/1/a.mp4" and clip.read_bytes() == b"four"
+    assert archive(f"{at}/home/1/a.mp4", keep=False) is None and not clip.exists()
+
+
 def test_catalogue_and_content(spark, tmp_path):
     for name in ("videos/12/2024-05-01/3_E.mp4", "processed/12/2024-05-01/3_E.mp4", "videos/note.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

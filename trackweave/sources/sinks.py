@@ -6,8 +6,9 @@ import logging
 import os
 import shutil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import file_system
 from .table_log import TableLog
 
 log = logging.getLogger(__name__)
@@ -46,8 +47,38 @@ def batch_upsert(path: str, key: str = "session_id", by: str = "finished_ms", na
     return run
 
 
-def after_analysis(path: str, status: str, home: str, processed: str, keep: bool = True) -> str | None:
-    """Moves a file under ``home`` to ``<processed>/<status>/<its name>``, or deletes it; other files stay. Returns the new place."""
+def _archived(spark: SparkSession, path: str, status: str, home: str, processed: str, keep: bool) -> str | None:
+    """``after_analysis`` on the file systems that the paths name: a rename, or a copy where ``processed`` is on another one."""
+    named, system = file_system(spark, path)
+    file, top = system.makeQualified(named).toString(), system.makeQualified(file_system(spark, home)[0]).toString()
+    if not file.startswith(top.rstrip("/") + "/") or not system.exists(named) or not system.getFileStatus(named).isFile():
+        return None
+    if not keep:
+        system.delete(named, False)
+        return None
+    folder, other = file_system(spark, f"{processed.rstrip('/')}/{status.lower()}")
+    target, _ = file_system(spark, f"{folder.toString()}/{named.getName()}")
+    if system.makeQualified(named).equals(other.makeQualified(target)):
+        return target.toString()
+    other.mkdirs(folder)
+    if not system.getUri().equals(other.getUri()):
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, named, other, target, True, True, spark._jsc.hadoopConfiguration())
+        return target.toString()
+    if other.exists(target):
+        other.delete(target, False)
+    if not system.rename(named, target):
+        raise OSError(f"{path} could not be moved to {target.toString()}")
+    return target.toString()
+
+
+def after_analysis(path: str, status: str, home: str, processed: str, keep: bool = True, spark: SparkSession | None = None) -> str | None:
+    """Moves a file under ``home`` to ``<processed>/<status>/<its name>``, or deletes it; other files stay. Returns the new place.
+
+    Without ``spark`` these are paths of the local disk, and links are followed before they are compared with ``home``. With it they may be on
+    any file system that Spark knows; dots in a path are resolved, links are not followed.
+    """
+    if spark is not None:
+        return _archived(spark, path, status, home, processed, keep)
     real, top = os.path.realpath(path), os.path.realpath(home)
     if not real.startswith(top + os.sep) or not os.path.isfile(real):
         return None
@@ -60,9 +91,9 @@ def after_analysis(path: str, status: str, home: str, processed: str, keep: bool
     return target
 
 
-def park_unclassified(path: str, home: str, processed: str, keep: bool = True) -> str | None:
+def park_unclassified(path: str, home: str, processed: str, keep: bool = True, spark: SparkSession | None = None) -> str | None:
     """A clip whose camera has no door waits in ``<processed>/needs-classification``."""
-    return after_analysis(path, "needs-classification", home, processed, keep)
+    return after_analysis(path, "needs-classification", home, processed, keep, spark)
 
 
 def replace_atomically(data: bytes, path: str) -> None:
