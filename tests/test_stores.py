@@ -334,6 +334,23 @@ def test_deepest_root(spark):
     assert {r.path: r.kind for r in catalog.deepest_root(paths, roots).collect()} == {"/a/b/c.mp4": "B2", "/a/bc/d.mp4": "A", "/z.mp4": None}
 
 
+def test_previews_and_roots_never_gather_files(spark, tmp_path):
+    """A table of files is neither broadcast, however small it is estimated, nor shuffled by the few prefixes that are roots."""
+    spark.range(3000).selectExpr("concat(if(id % 3 = 0, '/a/', '/b/'), id, '.mp4') as path", "id as size").write.parquet(str(tmp_path / "files"))
+    listed = spark.read.parquet(str(tmp_path / "files"))
+    roots = spark.createDataFrame([("/a", "VIDEOS", 1), ("/a", "FTP_INCOMING", None), ("/b/c", "VIDEOS", 1), ("/", "VIDEOS", 0)], "root string, kind string, priority int")
+    answers = catalog.preview_answers(listed.select("path"), listed, roots)
+    plan = answers._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "_prefix" in plan and "hashpartitioning(_prefix" not in plan
+    assert {r.status: r["count"] for r in answers.groupBy("status").count().collect()} == {422: 1, 200: 999, 400: 2000}
+    rooted = catalog.deepest_root(listed, roots)
+    plan = rooted._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(path" not in plan and "hashpartitioning(_prefix" not in plan
+    odd = spark.createDataFrame([("/",), ("/b/c",), ("\\\\a/x.mp4",), ("",), (None,), ("/a//y.mp4",)], "path string")
+    assert {r.path: r.root for r in catalog.deepest_root(odd, roots).collect()} == {"/": "/", "/b/c": "/b/c", "\\\\a/x.mp4": None, "": None, None: None, "/a//y.mp4": "/a"}
+    assert catalog.deepest_root(odd, roots.limit(0)).where("root is null").count() == 6
+
+
 def test_landing_clips_come_once(spark, tmp_path):
     from trackweave.streaming import sessions
 

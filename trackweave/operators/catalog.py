@@ -10,6 +10,8 @@ from ..functions import paths as P
 
 #: Folders below a root that listings go down; those that sample scans go down.
 LIST_DEPTH, SAMPLE_DEPTH = 8, 6
+#: Bytes of a table of roots that is broadcast at most.
+ROOTS_BYTES = 8 << 20
 
 
 def below(path, root) -> F.Column:
@@ -34,7 +36,8 @@ def videos(files: DataFrame, roots: DataFrame, depth: int = LIST_DEPTH) -> DataF
 
 def preview_answers(requests: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
     """What a request for a preview (path) is answered, as a status: 400 outside the roots or no video, 404 missing, 422 empty, 409 not complete yet, 200."""
-    rows = deepest_root(requests.select("path").distinct(), roots).join(files.select("path", "size"), "path", "left")
+    held = files.select("path", "size").hint("merge")  # as long as the requests are: never broadcast, whatever its size is estimated at
+    rows = deepest_root(requests.select("path").distinct().join(held, "path", "left"), roots)
     shown = P.location_flag(P.storage_location(F.col("kind"), below(F.col("path"), F.col("root"))), 1)
     status = F.when(F.col("root").isNull(), 400).when(F.col("size").isNull(), 404).when(~P.is_video(F.col("path")), 400).when(F.col("size") <= 0, 422).when(~shown, 409).otherwise(200)
     return rows.select("path", status.alias("status"))
@@ -54,16 +57,21 @@ def sample_videos(files: DataFrame, root: str, recorder: str, camera: str | None
 def deepest_root(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Each file's most specific root (root, kind, priority): the longest path prefix, ties by priority.
 
-    Prefixes of the path are exploded and joined by equality, so no file meets every root.
+    The prefix of each length that a root has is joined by equality, so no file meets every root, and a file's row is neither multiplied nor grouped.
+    Roots of up to ``ROOTS_BYTES`` are broadcast: else the files would be shuffled by prefixes of which there are few, most of them into one task.
     """
-    parts = P.segments(F.col("path"))
-    lead = F.when(F.col("path").startswith("/"), "/").otherwise("")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(lead, F.array_join(F.slice(parts, 1, n), "/")))
-    tried = files.withColumn("_prefix", F.explode(prefixes))
-    hits = tried.join(roots.select(F.col("root").alias("_prefix"), "kind", "priority"), "_prefix")
-    best = F.max_by(F.struct(F.col("_prefix").alias("root"), "kind"), F.struct(F.length("_prefix"), -F.col("priority")))
-    found = hits.groupBy("path").agg(best.alias("_b")).select("path", F.col("_b.root").alias("root"), F.col("_b.kind").alias("kind"))
-    return files.join(found, "path", "left")
+    depth = lambda parts: F.greatest(F.size(parts), F.lit(1))
+    own = roots.where("root is not null").groupBy("root").agg(F.min_by("kind", F.struct(F.col("priority").isNull(), "priority", "kind")).alias("kind"))
+    deepest, size = own.agg(F.max(depth(P.segments(F.col("root")))), F.sum(64 + F.octet_length("root") + F.coalesce(F.octet_length("kind"), F.lit(0)))).first()
+    place = lambda held: F.broadcast(held) if (size or 0) <= ROOTS_BYTES else held
+    rows, found = files.withColumn("_parts", P.segments(F.col("path"))), []
+    for n in range(1, (deepest or 0) + 1):
+        prefix = F.when(depth(F.col("_parts")) >= n, F.concat(F.when(F.col("path").startswith("/"), "/").otherwise(""), F.array_join(F.slice("_parts", 1, n), "/")))
+        level = own.where(depth(P.segments(F.col("root"))) == n).select(F.col("root").alias("_prefix"), F.struct("root", "kind").alias(f"_root_{n}"))
+        rows = rows.join(place(level), prefix == F.col("_prefix"), "left").drop("_prefix")
+        found.insert(0, f"_root_{n}")
+    best = F.coalesce(*found) if found else F.lit(None).cast(own.select(F.struct("root", "kind").alias("r")).schema["r"].dataType)
+    return rows.withColumn("_root", best).select(*files.columns, F.col("_root.root").alias("root"), F.col("_root.kind").alias("kind"))
 
 
 def first_by_root(roots: DataFrame) -> DataFrame:
