@@ -139,3 +139,14 @@ def test_standing_vehicles_move_without_a_time_to_confirm(spark):
     frames = spark.createDataFrame([("s", k, 10.0, [0.1, 0.9], [0.2, 0.8], False) for k in range(3)], "session_id string, frame_index int, fps double, door array<double>, street array<double>, active boolean")
     assert all(r.vehicle_moving for r in smart_stop.door_states(frames, StopConfig(vehicle_confirm_s=0.0)).collect())
     assert not any(r.vehicle_moving for r in smart_stop.door_states(frames, StopConfig(vehicle_confirm_s=1.0)).collect())
+
+
+def test_frames_of_a_clip_are_never_broadcast(spark):
+    """Exploded frames are estimated as small as what they came from; they go through the scan and are joined to nothing but tables of stretches."""
+    frames = spark.range(20).selectExpr("'s' as session_id", "explode(sequence(id * 10, id * 10 + 9)) as frame_index", "named_struct('n', id) as more").selectExpr("*", "frame_index * 50 as at_ms", "frame_index = 199 as stopped")
+    sent = messages.emitted(frames, 120, stretch=16, fan=4)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and plan.count("Join") == 2 and "Inner" not in plan
+    rows = sorted(sent.collect(), key=lambda r: r.frame_index)
+    assert sent.columns == ["session_id", "frame_index", "more", "at_ms", "stopped", "sent"] and [r.more.n for r in rows] == [k // 10 for k in range(200)]
+    assert [r.frame_index for r in rows if r.sent] == [*range(0, 199, 3), 199]

@@ -103,12 +103,12 @@ def emitted(frames: DataFrame, every_ms: int = EMIT_EVERY_MS, stretch: int = sca
     """Adds whether a frame (session_id, frame_index, at_ms, stopped) is sent: the first, each that comes ``every_ms`` or more after the last sent, and those that stop the session.
 
     When a frame is sent depends on the one before, so it is a fold over each session's clock; it runs as a scan over stretches of frames. A frame without
-    a time is sent, and so is the one behind it. ``frames`` is read several times.
+    a time is sent, and so is the one behind it. ``frames`` is read several times. All its columns go through the scan, so that nothing is joined to them afterwards.
     """
-    clock = scan.with_stretch(frames.select("session_id", "frame_index", "at_ms", "stopped"), "frame_index", stretch)
-    rows = scan.before_stretch(clock, ["session_id"], {"bound": F.col("at_ms")})
-    sent = scan.scanned(rows, ["session_id"], ["frame_index"], Throttle(every_ms), fan)
-    return frames.join(sent, ["session_id", "frame_index"])
+    also = tuple(c for c in frames.columns if c not in ("session_id", "frame_index"))
+    rows = scan.before_stretch(scan.with_stretch(frames, "frame_index", stretch), ["session_id"], {"bound": F.col("at_ms")})
+    sent = scan.scanned(rows, ["session_id"], ["frame_index"], Throttle(every_ms), fan, also)
+    return sent.select("session_id", "frame_index", *also, "sent")
 
 
 def frame_messages(frames: DataFrame, boxes: DataFrame, events: DataFrame, every_ms: int = EMIT_EVERY_MS) -> DataFrame:

@@ -92,7 +92,13 @@ def before_stretch(rows: DataFrame, keys: list[str], most: dict[str, F.Column])
     """Adds to rows with stretches the greatest values of ``most`` over all earlier stretches of their keys: small windows over a row a stretch."""
     ends = rows.groupBy(*keys, "_stretch").agg(*[F.max(c).alias(n) for n, c in most.items()])
     earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(ends.select(*keys, "_stretch", *[F.max(n).over(earlier).alias(n) for n in most]), [*keys, "_stretch"])
+    return by_stretch(rows, cut(ends.select(*keys, "_stretch", *[F.max(n).over(earlier).alias(n) for n in most]), "scan-ends"), keys)
+
+
+def by_stretch(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to rows what a written table holds of their stretch, all of which it has. As a left join, so that only that table is ever broadcast:
+    Spark's estimate of rows knows nothing of what was exploded or compressed, and may be a hundredth of their size."""
+    return rows.dropna(subset=[*keys, "_stretch"]).join(held, [*keys, "_stretch"], "left")
 
 
 def maps(rows: DataFrame, keys: list[str], order: list[str], machine: Machine) -> DataFrame:
@@ -161,11 +167,11 @@ def final_states(rows: DataFrame, keys: list[str], order: list[str], machine: Ma
     return _by_run(top, keys, ["_stretch"], end, _schema(top, keys, "state string"))
 
 
-def scanned(rows: DataFrame, keys: list[str], order: list[str], machine: Machine, fan: int = FAN) -> DataFrame:
-    """(keys, order, what the machine gives each row)."""
+def scanned(rows: DataFrame, keys: list[str], order: list[str], machine: Machine, fan: int = FAN, also: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, the columns ``also``, order, what the machine gives each row)."""
     states = entries(maps(rows, keys, order, machine), keys, machine, fan)
-    joined = rows.join(states, [*keys, "_stretch"])
-    return _by_run(joined, [*keys, "_stretch"], order, lambda r: machine.replay(r, json.loads(r.column("state")[0].as_py())), _schema(rows, [*keys, *order], machine.out))
+    joined = by_stretch(rows, states, keys)
+    return _by_run(joined, [*keys, "_stretch"], order, lambda r: machine.replay(r, json.loads(r.column("state")[0].as_py())), _schema(rows, [*keys, *also, *order], machine.out))
 
 
 class Automaton:
