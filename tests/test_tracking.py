@@ -5,6 +5,7 @@ import os
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -360,3 +361,22 @@ def test_events_wait_for_the_next_message(spark):
     found = {r.frame_index: r for r in messages.frame_messages(frames, boxes, events).collect()}
     assert {k: r.n_events for k, r in found.items()} == {0: 0, 3: 2, 6: 1, 8: 0}
     assert json.loads(found[3].payload) == {"frame_index": 3, "detections": [{"track_id": 1, "x1": 0.5}], "events": [{"frame_index": 1, "track_id": 7}, {"frame_index": 2, "track_id": 8}], "exited": 3}
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 64])
+def test_overlapping_pairs_are_chosen_as_by_going_through_all_of_them(monkeypatch, rounds):
+    monkeypatch.setattr(tracker, "ROUNDS", rounds)
+    rng = random.Random(rounds)
+    for size in (1, 6, 60):
+        box = lambda: (lambda x, y: (x, y, x + rng.choice((20.0, 40.0)), y + 40.0))(rng.randrange(0, 60, 5) * 1.0, rng.randrange(0, 60, 5) * 1.0)
+        tracks, found = [box() for _ in range(size)], [box() for _ in range(size)]
+        kinds = {}
+        kind = [kinds.setdefault(b, len(kinds)) for b in found]
+        pairs = sorted((-tracker.overlap(f, t), tracker.centers(f, t), i, j) for i, t in enumerate(tracks) for j, f in enumerate(found) if tracker.overlap(f, t) >= 0.3)
+        wanted, used = {}, set()
+        for *_, i, j in pairs:
+            if i not in wanted and kind[j] not in used:
+                wanted[i] = j
+                used.add(kind[j])
+        got = tracker.overlapping(np.array(tracks).T, np.array(found).T, np.array(kind), 0.3)
+        assert dict(zip(*got, strict=True)) == wanted

@@ -117,3 +117,14 @@ def test_near_pairs_are_all_found_and_stay_few(spark):
             assert len(set(met)) == len(met) and right <= set(met)
         share.append((len(met) - 60) / n)
     assert share[1] < 2 * share[0] + 0.2  # four times as many tracks in four times the time: about as many pairs for each end
+
+
+def test_a_successor_is_searched_without_a_row_for_each_pair(spark):
+    n = 300
+    facts = spark.createDataFrame(
+        [("s", k, {"x": 0.0, "y": 0.0, "frame_index": 0 if k < n else 3}, {"x": 0.0, "y": 0.0, "frame_index": 0 if k < n else 3}, 0.0) for k in range(2 * n)],
+        "session_id string, track_id int, first struct<x: double, y: double, frame_index: int>, last struct<x: double, y: double, frame_index: int>, early_shift double",
+    )
+    found = trajectories.with_stationary_successor(None, FateConfig(), facts)
+    assert {r.track_id for r in found.collect()} == set(range(n))
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()

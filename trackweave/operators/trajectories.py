@@ -91,10 +91,9 @@ def with_stationary_successor(samples: DataFrame, cfg: FateConfig, facts: DataFr
     facts = track_facts(samples, cfg) if facts is None else facts
     at = lambda which: [F.col(f"{which}.x").alias("x"), F.col(f"{which}.y").alias("y"), F.col(f"{which}.frame_index").alias("t")]
     births = facts.where(F.col("early_shift") < cfg.min_move_px).select("session_id", F.col("track_id"), *at("first"))
-    pairs = soon_and_near(facts.select(*TRACK, *at("last")), births, ["session_id"], cfg.successor_px, cfg.successor_gap)
     gap = F.col("t_b") - F.col("t")
     close = (F.col("track_id") != F.col("track_id_b")) & (gap > 0) & (gap <= cfg.successor_gap) & (distance(F.col("x"), F.col("y"), F.col("x_b"), F.col("y_b")) <= cfg.successor_px)
-    return pairs.where(close).select(*TRACK).distinct()
+    return soon_and_near(facts.select(*TRACK, *at("last")), births, ["session_id"], cfg.successor_px, cfg.successor_gap, only=close).select(*TRACK)
 
 
 def track_fates(samples: DataFrame, cfg: FateConfig, origins: DataFrame | None = None, clip_end: DataFrame | None = None) -> DataFrame:
