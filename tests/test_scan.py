@@ -150,3 +150,19 @@ def test_frames_of_a_clip_are_never_broadcast(spark):
     rows = sorted(sent.collect(), key=lambda r: r.frame_index)
     assert sent.columns == ["session_id", "frame_index", "more", "at_ms", "stopped", "sent"] and [r.more.n for r in rows] == [k // 10 for k in range(200)]
     assert [r.frame_index for r in rows if r.sent] == [*range(0, 199, 3), 199]
+
+
+def test_door_states_don_t_depend_on_how_sessions_are_cut(spark):
+    rng = random.Random(5)
+    rows = []
+    for session, fps in (("a", 10.0), ("b", 8.0), (None, 4.0)):
+        for k in range(0, 160, 2):
+            door = [0.1 * (k // 40 % 2) + 0.3 * i * (1 - 2 * (k // 40 % 2)) for i in range(4)] if rng.random() > 0.05 else None
+            rows.append((session, k + rng.randrange(2), fps, door, [rng.choice((0.0, 1.0)) for _ in range(4)], rng.random() < 0.05))
+    frames = spark.createDataFrame(rows, "session_id string, frame_index int, fps double, door array<double>, street array<double>, active boolean")
+    cfg = StopConfig(need_activity=True, calibration_samples=3, vehicle_confirm_s=0.5)
+    exact = lambda r: repr([round(x, 9) if isinstance(x, float) else x for x in r])  # noqa: E731  # sums of seconds may differ in the last bit
+    told = [sorted(map(exact, smart_stop.door_states(frames, cfg, size).collect())) for size in (8, 1 << 20)]
+    assert set(told[0]) ^ set(told[1]) == set() and len(told[0]) == len(rows)
+    seconds = lambda name: max(r[name] for r in smart_stop.door_states(frames, cfg, 8).collect())
+    assert seconds("moving_s") > 1.0 and seconds("idle_s") > 2.0  # longer than a stretch

@@ -95,11 +95,21 @@ def walkers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _placed(events: DataFrame) -> DataFrame:
+    """Adds ``k``, each event's place in its session from 0: the place in its hour and the events of the hours before, so that no task numbers a session."""
+    rows = events.withColumn("_hour", F.date_trunc("hour", "ts"))
+    hours = rows.groupBy("session_id", "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("session_id").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
+    hours = hours.select(F.col("session_id").alias("_s"), F.col("_hour").alias("_h"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.join(hours, rows["session_id"].eqNullSafe(hours["_s"]) & rows["_hour"].eqNullSafe(hours["_h"]))
+    own = F.row_number().over(Window.partitionBy("session_id", "_hour").orderBy("ts", "event_id")) - 1
+    return rows.withColumn("k", F.col("_before") + own).drop("_hour", "_s", "_h", "_before")
+
+
 def door_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of four cells by frame: the door closes for stretches, the street moves now and then, activity is rare."""
     e = F.col("event_id")
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")) - 1
-    rows = table(spark, sf_dir, "events").withColumn("session_id", F.concat(F.lit("s"), (e % 8).cast("string"))).withColumn("k", place)
+    rows = _placed(table(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("s"), (e % 8).cast("string")).alias("session_id")))
     k = F.col("k")
     closed = (k % 90) >= 50
     cell = lambda i: F.when(closed, F.lit(0.9 - 0.2 * i)).otherwise(F.lit(0.1 + 0.2 * i))

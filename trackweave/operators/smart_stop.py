@@ -1,6 +1,7 @@
 """Smart stop: when a clip's analysis may end early, from door and street signatures.
 
-Signature arithmetic, activity times and run lengths are windows; only the candidate, which can be cancelled, is a fold, and that runs as a scan.
+Signature arithmetic, activity times and run lengths are windows over stretches of frames, into each of which a table of one row a stretch carries what the stretches before it leave: their last frame, their last
+activity, and the seconds that a flag has held. Only the candidate, which can be cancelled, is a fold, and that runs as a scan. So no task holds a session.
 """
 
 from __future__ import annotations
@@ -21,12 +22,27 @@ from . import scan
 REASONS = ("MAX_DURATION", "DOOR_CLOSED", "INACTIVITY_AND_MOVEMENT")
 
 
-def _session():
-    return Window.partitionBy("session_id").orderBy("frame_index")
+STRETCH_KEYS = ["session_id", "_stretch"]
+
+
+def _stretch():
+    return Window.partitionBy(*STRETCH_KEYS).orderBy("frame_index")
 
 
 def _so_far():
-    return _session().rowsBetween(Window.unboundedPreceding, 0)
+    return _stretch().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _stretches(*keys: str):
+    """The stretches of a session in order; of tables that have a row for each."""
+    return Window.partitionBy("session_id", *keys).orderBy("_stretch")
+
+
+def _carried(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Adds to rows what ``ends`` has for their stretch; null sessions are a session, too."""
+    held = cut(ends, "stretch-ends").withColumnsRenamed({k: f"_k{k}" for k in STRETCH_KEYS})
+    same = [rows[k].eqNullSafe(held[f"_k{k}"]) for k in STRETCH_KEYS]
+    return rows.join(held, same[0] & same[1], "left").drop(*[f"_k{k}" for k in STRETCH_KEYS])
 
 
 def normalised(signature: Column) -> Column:
@@ -46,39 +62,50 @@ def difference(a: Column, b: Column) -> Column:
 
 
 def timed(frames: DataFrame) -> DataFrame:
-    """Adds video seconds and seconds since the frame before; frame rates that aren't above 0 count as 25."""
+    """Adds video seconds; frame rates that aren't above 0 count as 25."""
     fps = F.when((F.col("fps") > 0) & (F.col("fps") < float("inf")), F.col("fps")).otherwise(25.0)
-    rows = frames.withColumn("video_s", F.col("frame_index") / fps)
-    step = F.greatest(F.col("frame_index") - F.lag("frame_index").over(_session()), F.lit(0)) / fps
-    return rows.withColumn("delta_s", F.coalesce(step, F.lit(0.0)))
-
-
-def with_activity(rows: DataFrame) -> DataFrame:
-    """Adds whether anyone was active at all so far, and seconds since."""
-    last = F.last(F.when(F.col("active"), F.col("video_s")), ignorenulls=True).over(_so_far())
-    return rows.withColumn("activity_seen", last.isNotNull()).withColumn("idle_s", F.coalesce(F.greatest(F.col("video_s") - last, F.lit(0.0)), F.lit(0.0)))
-
-
-def seconds_in_row(rows: DataFrame, flag: str, out: str) -> DataFrame:
-    """Adds the seconds for which ``flag`` has held without a break; a break resets them."""
-    group = F.sum((~F.col(flag)).cast("int")).over(_so_far())
-    own = Window.partitionBy("session_id", "_group").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.when(F.col(flag), F.sum(F.when(F.col(flag), F.col("delta_s")).otherwise(0.0)).over(own)).otherwise(0.0)
-    return rows.withColumn("_group", group).withColumn(out, held).drop("_group")
-
-
-def with_motion(rows: DataFrame) -> DataFrame:
-    """Adds door and scene motion: differences to the frame before."""
+    return frames.withColumn("_fps", fps).withColumn("video_s", F.col("frame_index") / F.col("_fps"))
+
+
+def with_past(rows: DataFrame) -> DataFrame:
+    """Adds to timed rows with stretches the seconds since the frame before, whether anyone was active at all so far, and seconds since, and door and scene motion: differences to the frame before."""
+    frame, active = F.struct("frame_index", "door", "street"), F.when(F.col("active"), F.col("video_s"))
+    ends = rows.groupBy(*STRETCH_KEYS).agg(F.max_by(frame, "frame_index").alias("_frame"), F.max_by(active, F.when(active.isNotNull(), F.col("frame_index"))).alias("_active"))
+    before = _stretches().rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*STRETCH_KEYS, F.lag("_frame").over(_stretches()).alias("_frame"), F.last("_active", ignorenulls=True).over(before).alias("_active"))
+    rows = _carried(rows, ends)
+    rows = rows.withColumn("_before", F.coalesce(F.lag(frame).over(_stretch()), F.col("_frame"))).withColumn("_last", F.coalesce(F.last(active, ignorenulls=True).over(_so_far()), F.col("_active")))
+    step = F.greatest(F.col("frame_index") - F.col("_before.frame_index"), F.lit(0)) / F.col("_fps")
+    rows = rows.withColumn("delta_s", F.when(F.col("_before").isNotNull(), F.coalesce(step, F.lit(0.0))).otherwise(0.0))
+    rows = rows.withColumn("activity_seen", F.col("_last").isNotNull()).withColumn("idle_s", F.coalesce(F.greatest(F.col("video_s") - F.col("_last"), F.lit(0.0)), F.lit(0.0)))
     for kind, out in (("door", "door_motion"), ("street", "scene_motion")):
-        before = F.lag(kind).over(_session())
-        rows = rows.withColumn(out, F.when(before.isNull(), 0.0).otherwise(difference(F.col(kind), before)))
+        rows = rows.withColumn(out, F.when(F.col(f"_before.{kind}").isNull(), 0.0).otherwise(difference(F.col(kind), F.col(f"_before.{kind}"))))
+    return rows.drop("_fps", "_frame", "_active", "_before", "_last")
+
+
+def seconds_in_row(rows: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """Adds for each flag, under its name in ``flags``, the seconds for which it has held without a break; a break resets them."""
+    for k, (flag, out) in enumerate(flags.items()):
+        rows = rows.withColumn(f"_breaks{k}", F.sum((~F.col(flag)).cast("int")).over(_so_far()))
+        own = Window.partitionBy(*STRETCH_KEYS, f"_breaks{k}").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(out, F.when(F.col(flag), F.sum(F.when(F.col(flag), F.col("delta_s")).otherwise(0.0)).over(own)).otherwise(0.0))
+    ends = rows.groupBy(*STRETCH_KEYS).agg(*[c for k, out in enumerate(flags.values()) for c in (F.max_by(out, "frame_index").alias(f"_held{k}"), F.coalesce(F.max(f"_breaks{k}") > 0, F.lit(False)).alias(f"_broken{k}"))])
+    for k in range(len(flags)):
+        # What a stretch leaves goes on through the unbroken ones behind it.
+        ends = ends.withColumn(f"_run{k}", F.sum(F.col(f"_broken{k}").cast("int")).over(_stretches()))
+        ends = ends.withColumn(f"_left{k}", F.sum(f"_held{k}").over(_stretches(f"_run{k}")))
+    rows = _carried(rows, ends.select(*STRETCH_KEYS, *[F.lag(f"_left{k}").over(_stretches()).alias(f"_left{k}") for k in range(len(flags))]))
+    for k, (flag, out) in enumerate(flags.items()):
+        goes_on = F.col(flag) & (F.coalesce(F.col(f"_breaks{k}"), F.lit(0)) == 0)
+        rows = rows.withColumn(out, F.when(goes_on, F.col(out) + F.coalesce(F.col(f"_left{k}"), F.lit(0.0))).otherwise(F.col(out))).drop(f"_breaks{k}", f"_left{k}")
     return rows
 
 
 def open_reference(rows: DataFrame, cfg: StopConfig) -> DataFrame:
     """The open door's signature of each session: the mean of the first quiet frames; and the frame that completes it."""
     quiet = rows.where(~F.col("active") & (F.col("door_motion") <= cfg.stable_motion) & (F.col("activity_seen") | F.lit(not cfg.need_activity)))
-    first = quiet.withColumn("_n", F.row_number().over(_session())).where(F.col("_n") <= max(cfg.calibration_samples, 1))
+    few = lambda df, w: df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(cfg.calibration_samples, 1))
+    first = cut(few(few(quiet, _stretch()), Window.partitionBy("session_id").orderBy("frame_index")).select("session_id", "frame_index", "door"), "quiet-frames")
     cells = first.select("session_id", "frame_index", F.posexplode("door").alias("cell", "v"))
     means = cells.groupBy("session_id", "cell").agg(F.avg("v").alias("v"))
     whole = means.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("cell", "v"))).alias("_c")).select("session_id", F.transform("_c", lambda c: c["v"]).alias("reference"))
@@ -92,11 +119,11 @@ def door_confidence(state: Column, gap: Column, cfg: StopConfig) -> Column:
     return F.when(state == "OPEN", hold(1 - gap / open_max, 0.0)).when(state == "CLOSED", hold(0.5 + (gap - closed_min) / closed_min, 0.5)).otherwise(0.0)
 
 
-def door_states(frames: DataFrame, cfg: StopConfig) -> DataFrame:
+def door_states(frames: DataFrame, cfg: StopConfig, stretch: int = scan.STRETCH) -> DataFrame:
     """Frames (session_id, frame_index, fps, door, street, active) with all that the candidate needs. Signatures are normalised here."""
     even = frames.withColumns({c: normalised(F.col(c)) for c in ("door", "street")})
-    rows = with_motion(with_activity(timed(even)))
-    rows = rows.join(open_reference(rows, cfg), "session_id", "left")
+    rows = cut(with_past(cut(scan.with_stretch(timed(even), "frame_index", stretch), "even-frames")), "past-frames")
+    rows = rows.join(cut(open_reference(rows, cfg), "open-doors"), "session_id", "left")
     known = F.col("ready_frame").isNotNull() & (F.col("frame_index") >= F.col("ready_frame"))
     rows = rows.withColumn("gap", F.when(known, difference(F.col("door"), F.col("reference"))).otherwise(0.0))
     state = (
@@ -107,9 +134,9 @@ def door_states(frames: DataFrame, cfg: StopConfig) -> DataFrame:
         .otherwise("UNKNOWN")
     )
     rows = rows.withColumn("door_state", state).withColumn("door_confidence", door_confidence(F.col("door_state"), F.col("gap"), cfg))
-    rows = seconds_in_row(rows.withColumn("_closed", F.col("door_state") == "CLOSED"), "_closed", "closed_s")
-    rows = seconds_in_row(rows.withColumn("_moving", F.col("scene_motion") >= cfg.scene_motion), "_moving", "moving_s")
-    return rows.withColumn("vehicle_moving", F.col("moving_s") >= max(cfg.vehicle_confirm_s, 0.0)).drop("reference", "_closed", "_moving")
+    rows = rows.withColumn("_closed", F.col("door_state") == "CLOSED").withColumn("_moving", F.col("scene_motion") >= cfg.scene_motion).drop("reference")
+    rows = seconds_in_row(rows, {"_closed": "closed_s", "_moving": "moving_s"})
+    return rows.withColumn("vehicle_moving", F.col("moving_s") >= max(cfg.vehicle_confirm_s, 0.0)).drop("_closed", "_moving", "_stretch")
 
 
 @dataclass
@@ -236,5 +263,5 @@ class StopMachine:
 def stop_points(frames: DataFrame, cfg: StopConfig, stretch: int = scan.STRETCH, fan: int = scan.FAN) -> DataFrame:
     """Each frame's phase and reason, and whether analysis stops there; rows after a stop keep FINISHED. The candidate runs as a scan over stretches of frames."""
     columns = ["session_id", "frame_index", "video_s", "active", "door_state", "closed_s", "idle_s", "activity_seen", "vehicle_moving"]
-    facts = cut(door_states(frames, cfg).select(*columns), "door-states")
+    facts = cut(door_states(frames, cfg, stretch).select(*columns), "door-states")
     return scan.scanned(scan.with_stretch(facts, "frame_index", stretch), ["session_id"], ["frame_index"], StopMachine(cfg), fan)

@@ -13,7 +13,7 @@ from .config import BoxConfig, CountConfig, DetectorConfig, FateConfig, LineConf
 from .functions import geometry as G
 from .functions import paths as P
 from .functions import vectors as V
-from .operators import catalog, detections, door_config, line_counter, messages, occupancy, reid, results, similar, smart_stop, tracker, trajectories
+from .operators import catalog, detections, door_config, line_counter, messages, occupancy, reid, results, scan, similar, smart_stop, tracker, trajectories
 from .plans import sessions, two_pass
 from .lineage import shared_dir
 from .sources import files
@@ -511,7 +511,7 @@ def json_points(spark, d):
 
 @query
 def idle_seconds(spark, d):
-    return rounded(smart_stop.with_activity(smart_stop.timed(X.door_frames(spark, d))).select("session_id", "frame_index", "video_s", "activity_seen", "idle_s"), "video_s", "idle_s")
+    return rounded(smart_stop.with_past(scan.with_stretch(smart_stop.timed(X.door_frames(spark, d)), "frame_index")).select("session_id", "frame_index", "video_s", "activity_seen", "idle_s"), "video_s", "idle_s")
 
 
 @query
