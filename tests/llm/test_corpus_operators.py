@@ -630,3 +630,20 @@ def test_mixing_deals_groups_and_odd_rows(spark):
         mine = [r for r in found if r.source == source]
         assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, abs=32 * (1 + mine[0].source_size / 150))
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in mixing.mix(frame.repartition(7), shard_words=150, group=3).collect()) == sorted((r.doc_id or -1, r.size, r.taken) for r in found)
+
+
+def test_byte_bpe_encodes_a_word_once():
+    """Words of a task's texts are encoded once, also when there are many; longest tokens that don't fit are stepped back from."""
+    import tiktoken
+
+    path, chance = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), random.Random(5)
+    ranks = byte_bpe.read_ranks(path)
+    coder, model = byte_bpe.ByteBpe(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = sorted({"".join(chance.choice(("th", "ou", "ing", "re", "an", "q", "é", "tion", "bl")) for _ in range(6)) for _ in range(100_000)})[:90_000]
+    assert len(words) == 90_000
+    text, asked, encode = " ".join(words), [], coder.encode_word
+    coder.encode_word = lambda word: asked.append(word) or encode(word)
+    ids = coder.encode(text)
+    assert ids == model.encode_ordinary(text) and len(asked) >= 90_000
+    asked.clear()
+    assert coder.encode(text) == ids and not asked

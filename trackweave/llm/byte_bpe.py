@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by a rank file, exact to the merges, in linear time.
 
 The vocabulary stands in a pyahocorasick automaton, bytes mapped to Latin-1 characters. One scan
-finds the longest token at every place of a word. The encoder walks from longest matches; a
-token may follow another only if the pair is compatible, that is, if merging the joined bytes would
-leave the border between the two alone. Where no compatible token fits, it steps back and marks the
-place as dead, so every place is tried once. Compatibility of adjacent tokens is memoised.
+finds the longest tokens of a word, one after the other. A token may follow another only if the pair is
+compatible, that is, if merging the joined bytes would leave the border between the two alone. From the first pair
+that isn't, the encoder walks on from place to place, looking for the longest token at each. Where no compatible token fits, it steps back
+and marks the place as dead, so every place is tried once. Compatibility of adjacent tokens is memoised.
 
 Words are the matches of the splitting pattern. A text is first cut before ASCII white space that
 follows other characters, where the pattern always splits too, and the ids of short pieces are
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from .common import cache, tidy, with_fields
 from .token_counts import pieces
 
-#: During a task, the ids of short pieces are remembered in one to two times MEMORY bytes, those used last, and the fit of PAIRS pairs of tokens at most.
-MEMORY, PAIRS, KEPT_CHARS = 8 << 20, 60_000, 64
+#: During a task, the ids of short pieces are remembered in one to two times MEMORY bytes, those used last; the fit of PAIRS pairs of tokens at most, as long as the vocabulary.
+MEMORY, PAIRS, KEPT_CHARS = 48 << 20, 250_000, 64
 #: About what an entry takes beside its characters.
 ENTRY_BYTES = 200
 
@@ -49,24 +50,25 @@ class ByteBpe:
         self.ranks, self.words = ranks, regex.compile(pattern)
         self.vocabulary = {rank: token for token, rank in ranks.items()}
         self.sizes = {rank: len(token) for token, rank in ranks.items()}
+        self.most = max(self.sizes.values(), default=1)
         self.halves: dict[int, tuple[int, int]] = {}
         self.joined: dict[tuple[int, int], int] = {}
         self._split_all()
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             if rank in self.halves:
-                self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+                self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.tokens = pa.array([self.vocabulary.get(rank) for rank in range(max(self.vocabulary, default=-1) + 1)], pa.large_binary())
+        self.fits: dict[int, bool] = {}  # by both ranks, each of 32 bits
         self.shorter: dict[int, int] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Frees what was remembered of texts; at the end of a task, since workers live on."""
+        """Frees what was remembered of texts; at the end of a task, since workers live on. Pairs of tokens that fit are kept."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
-        self.fits.clear()
 
     def _keep(self, piece: str, ids: bytes) -> None:
         if len(piece) <= KEPT_CHARS:
@@ -112,7 +114,7 @@ class ByteBpe:
                 return True
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left << 32 | right
         found = self.fits.get(key)
         if found is None:
             if len(self.fits) >= PAIRS:
@@ -133,30 +135,46 @@ class ByteBpe:
         """The ids of one match of the splitting pattern."""
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
-        size = len(word)
-        longest = [-1] * size
-        for end, (rank, n) in self.automaton.iter(word.decode("latin-1")):
-            longest[end - n + 1] = rank  # later ends are longer
-        alive = bytearray(b"\x01") * (size + 1)
+        text, fits = word.decode("latin-1"), self.fits
         out: list[int] = []
-        at, token, last = 0, longest[0], -1
-        sizes, fits = self.sizes, self.fits
+        last, covered = -1, 0
+        for end, token in self.automaton.iter_long(text):
+            if last >= 0:
+                fit = fits.get(last << 32 | token)
+                if not (self.compatible(last, token) if fit is None else fit):
+                    break
+            out.append(token)
+            last, covered = token, end + 1
+        if covered != sum(map(self.sizes.__getitem__, out)):  # a byte that is no token was skipped
+            out, covered = [], 0
+        return out if covered == len(word) else self._walk(text, out)
+
+    def _walk(self, text: str, out: list[int]) -> list[int]:
+        """The ids of a word that begins with the longest tokens ``out``, which fit; the longest one after them may not."""
+        sizes, fits, shorter, size, most, longest = self.sizes, self.fits, self.shorter, len(text), self.most, self.automaton.iter_long
+        dead: set[int] = set()
+        at, last, new = sum(map(sizes.__getitem__, out)), out[-1] if out else -1, True
+        token = -1
         while at < size:
+            if new:
+                end, token = next(longest(text[at : at + most]), (0, -1))
+                if token >= 0 and sizes[token] != end + 1:
+                    token = -1  # a byte that is no token stands here
             while token >= 0:
                 end = at + sizes[token]
-                if alive[end]:
+                if end not in dead:
                     if last < 0:
                         break
-                    fit = fits.get((last, token))
+                    fit = fits.get(last << 32 | token)
                     if self.compatible(last, token) if fit is None else fit:
                         break
-                token = self.next_shorter(token)
-            if token >= 0:
+                token = shorter[token] if token in shorter else self.next_shorter(token)
+            new = token >= 0
+            if new:
                 out.append(token)
                 at, last = end, token
-                token = longest[at] if at < size else -1
             else:
-                alive[at] = 0
+                dead.add(at)
                 token = out.pop()
                 at -= sizes[token]
                 last = out[-1] if out else -1
@@ -171,7 +189,8 @@ class ByteBpe:
     def _word_ids(self, word: str) -> bytes:
         ids = self._remembered(word)
         if ids is None:
-            ids = b"".join([i.to_bytes(4, "little") for i in self.encode_word(word.encode())])
+            found = self.encode_word(word.encode())
+            ids = struct.pack(f"<{len(found)}I", *found)
             self._keep(word, ids)
         return ids
 
@@ -181,8 +200,12 @@ class ByteBpe:
         for piece in pieces(text):
             ids = self.known.get(piece)
             if ids is None and (ids := self._remembered(piece)) is None:
-                ids = b"".join(map(self._word_ids, self.words.findall(piece)))
-                self._keep(piece, ids)
+                words = self.words.findall(piece)
+                if words == [piece]:
+                    ids = self._word_ids(piece)
+                else:
+                    ids = b"".join(map(self._word_ids, words))
+                    self._keep(piece, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -196,6 +219,13 @@ class ByteBpe:
         except KeyError:
             return None
 
+    def decode_packed(self, packed: bytes) -> bytes:
+        """The bytes of ids that stand as little-endian unsigned 32-bit integers, all of the vocabulary."""
+        found = self.tokens.take(pa.array(np.frombuffer(packed, "<u4")))
+        begin, end = found.offset, found.offset + len(found)
+        at = np.frombuffer(found.buffers()[1], np.int64)[begin : end + 1] if len(found) else [0, 0]
+        return found.buffers()[2][int(at[0]) : int(at[-1])].to_pybytes() if at[-1] > at[0] else b""
+
 
 def _coder(path: str, pattern: str) -> ByteBpe:
     key = (path, pattern)
@@ -242,7 +272,7 @@ def digest_column(text: Column, path: str, pattern: str) -> Column:
             rows: list[list] = [[], [], []]
             for text in pc.fill_null(batch, ""):
                 packed = coder.encode_bytes(text.as_py())
-                decoded = coder.decode_bytes(np.frombuffer(packed, "<u4").tolist())
+                decoded = coder.decode_packed(packed)
                 rows[0].append(len(packed) // 4)
                 rows[1].append(hashlib.sha256(packed).hexdigest())
                 rows[2].append(hashlib.sha256(decoded).hexdigest())
@@ -264,7 +294,7 @@ def code_column(text: Column, path: str, pattern: str) -> Column:
             packed, digests = [], []
             for text in batch:
                 packed.append(coder.encode_bytes(text.as_py() or ""))
-                digests.append(hashlib.sha256(coder.decode_bytes(np.frombuffer(packed[-1], "<u4").tolist())).hexdigest())
+                digests.append(hashlib.sha256(coder.decode_packed(packed[-1])).hexdigest())
             ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int64).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))
             yield pa.StructArray.from_arrays([ids, pa.array(digests, pa.string())], kind.names)
