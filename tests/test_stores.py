@@ -1,6 +1,7 @@
 """Door configuration, results, catalogue, files and sinks."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -351,6 +352,24 @@ def test_previews_and_roots_never_gather_files(spark, tmp_path):
     assert catalog.deepest_root(odd, roots.limit(0)).where("root is null").count() == 6
 
 
+def test_clips_without_a_key_are_spread(spark):
+    """Clips whose names tell no path, device or uid match nothing and don't meet in one task."""
+    clips = spark.range(4000).selectExpr("concat('h', id) as sha256", "if(id < 1000, concat('p', id), null) as relative_path", "if(id < 2000, 'd', null) as video_device_id", "if(id < 2000, id, null) as file_uid")
+    kinds = "file_sha256 string, original_path string, video_device_id string, file_uid long, status string"
+    results = spark.createDataFrame([("h1", None, None, None, "FINISHED"), (None, "p2", None, None, "FINISHED"), (None, None, "d", 3, "FINISHED"), (None, None, "e", 4, "FINISHED"), ("h5", "p5", "d", 5, "FAILED"), (None,) * 4 + ("FINISHED",)], kinds)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = catalog.unanalysed(clips, results).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(int(r.sha256[1:]) for r in rows) == [k for k in range(4000) if k not in (1, 2, 3)]
+    assert max(Counter(r.task for r in rows).values()) < 1000
+
+
 def test_landing_clips_come_once(spark, tmp_path):
     from trackweave.streaming import sessions
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,6 +97,15 @@ def unprocessed(clips: DataFrame, results: DataFrame) -> DataFrame:
 def unanalysed(clips: DataFrame, results: DataFrame) -> DataFrame:
     """The older rule: clips that no FINISHED result matches by content, by relative path, or by device and uid. Three anti joins."""
     done = results.where("status = 'FINISHED'")
-    rows = clips.join(done.select(F.col("file_sha256").alias("sha256")), "sha256", "left_anti")
-    rows = rows.join(done.select(F.col("original_path").alias("relative_path")), "relative_path", "left_anti")
-    return rows.join(done.select("video_device_id", "file_uid"), ["video_device_id", "file_uid"], "left_anti").select(*clips.columns)
+    rows = unmatched(clips, done, ["sha256"], ["file_sha256"])
+    rows = unmatched(rows, done, ["relative_path"], ["original_path"])
+    return unmatched(rows, done, ["video_device_id", "file_uid"], ["video_device_id", "file_uid"])
+
+
+def unmatched(rows: DataFrame, others: DataFrame, key: list[str], other_key: list[str]) -> DataFrame:
+    """Rows whose key no other row has. A key that holds a null matches nothing; such rows are dealt by all their columns, so that they don't meet in one task."""
+    whole = [F.col(c).isNotNull() for c in key]
+    spread = F.when(reduce(and_, whole), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns))
+    known = others.where(reduce(and_, [F.col(c).isNotNull() for c in other_key])).select(F.struct(F.lit(0).cast("long").alias("spread"), *other_key).alias("_known"))
+    asked = rows.withColumn("_asked", F.struct(spread.alias("spread"), *[F.col(c).alias(o) for c, o in zip(key, other_key, strict=True)]))
+    return asked.join(known, F.col("_asked") == F.col("_known"), "left_anti").select(*rows.columns)

@@ -15,7 +15,7 @@ from .functions import paths as P
 from .functions import vectors as V
 from .operators import catalog, detections, door_config, line_counter, messages, occupancy, reid, results, scan, similar, smart_stop, tracker, trajectories
 from .plans import sessions, two_pass
-from .lineage import shared_dir
+from .lineage import cut, shared_dir
 from .sources import files
 from .sources.table_log import TableLog
 
@@ -405,7 +405,8 @@ def unprocessed_content(spark, d):
 @query
 def unanalysed_clips(spark, d):
     files = X.clip_files(spark, d).withColumns(P.video_metadata(F.col("path"))).withColumn("sha256", F.sha2(F.col("path"), 256))
-    clips = files.select("path", "sha256", "relative_path", "video_device_id", "file_uid")
+    # Names are read once: results are made of the same files.
+    clips = files = cut(files.select("path", "sha256", "relative_path", "video_device_id", "file_uid"), "clip-names")
     done = files.where("file_uid % 4 = 0").select(
         F.when(F.col("file_uid") % 8 == 0, F.col("sha256")).alias("file_sha256"), F.when(F.col("file_uid") % 12 == 0, F.col("relative_path")).alias("original_path"),
         F.when(F.col("file_uid") % 20 == 0, F.col("video_device_id")).alias("video_device_id"), "file_uid", F.lit("FINISHED").alias("status"),
