@@ -647,3 +647,18 @@ def test_byte_bpe_encodes_a_word_once():
     assert ids == model.encode_ordinary(text) and len(asked) >= 90_000
     asked.clear()
     assert coder.encode(text) == ids and not asked
+
+
+def test_bitmaps_let_few_other_keys_through(spark):
+    """A bitmap holds all its keys, and of others about one in two hundred at most, or what passes it would follow the size of the whole table."""
+    from trackweave.llm.bitmaps import key_filter, may_hold, sized
+    from trackweave.llm.shingles import mix
+
+    keys = mix(np.arange(107_000, dtype=np.uint64), 17).view(np.int64)
+    frame = spark.createDataFrame([(int(k),) for k in keys[:7_000]], "key long")
+    bits = np.frombuffer(key_filter(frame, sized(7_000)), np.uint8)
+    assert may_hold(bits, keys[:7_000]).all() and may_hold(bits, keys[7_000:]).mean() < 0.01
+    crowded = np.frombuffer(key_filter(frame, (12, 1)), np.uint8)  # more keys than bits
+    assert may_hold(crowded, keys[:7_000]).all()
+    none = np.frombuffer(key_filter(frame.limit(0), sized(0)), np.uint8)
+    assert not may_hold(none, keys).any()
