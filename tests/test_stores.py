@@ -352,6 +352,18 @@ def test_previews_and_roots_never_gather_files(spark, tmp_path):
     assert catalog.deepest_root(odd, roots.limit(0)).where("root is null").count() == 6
 
 
+def test_the_catalogue_is_sorted_before_it_is_told(spark):
+    """What is told of a file isn't shuffled or computed for the sample of the ranges; depth counts folders below the root, whatever the separators."""
+    roots = spark.createDataFrame([("/d", "VIDEOS", 0), ("/d/in", "FTP_PROCESSED", 1)], "root string, kind string, priority int")
+    paths = ["/d/a/b.mp4", "/d/in/finished/x.mp4", "/d/a/b/c.mp4", "/d\\a\\b.mp4", "/d//a.mp4", "/e/a.mp4", "/d/a.txt", None, "/d/in/a/b/c.mp4"]
+    listed = spark.createDataFrame([(p, k % 2, 1000 * (k % 3)) for k, p in enumerate(paths)], "path string, size long, modified_ms long")
+    told = catalog.videos(listed.repartition(3), roots, depth=2)
+    rows = [(r.path, r.below_root, r.location, r.modified_ms) for r in told.collect()]
+    assert rows == [("/d//a.mp4", "a.mp4", "MANUAL", 1000), ("/d/in/finished/x.mp4", "finished/x.mp4", "FTP_FINISHED", 1000), ("/d/a/b.mp4", "a/b.mp4", "MANUAL", 0), ("/d\\a\\b.mp4", "a/b.mp4", "MANUAL", 0)]
+    before = told._jdf.queryExecution().executedPlan().toString().split("rangepartitioning")[-1]
+    assert "below_root" not in before and "record_date" not in before and "date_format" not in before
+
+
 def test_clips_without_a_key_are_spread(spark):
     """Clips whose names tell no path, device or uid match nothing and don't meet in one task."""
     clips = spark.range(4000).selectExpr("concat('h', id) as sha256", "if(id < 1000, concat('p', id), null) as relative_path", "if(id < 2000, 'd', null) as video_device_id", "if(id < 2000, id, null) as file_uid")

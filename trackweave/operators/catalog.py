@@ -28,13 +28,15 @@ def videos(files: DataFrame, roots: DataFrame, depth: int = LIST_DEPTH) -> DataF
     A file belongs to its most specific root, and must lie at most ``depth`` levels below it.
     """
     rows = deepest_root(files.where(P.is_video(F.col("path"))), roots).where("root is not null")
-    rows = rows.withColumn("below_root", below(F.col("path"), F.col("root"))).where(F.size(P.segments(F.col("below_root"))) <= depth)
+    rows = rows.where(F.size(P.segments(F.col("path"))) - F.size(P.segments(F.col("root"))) <= depth)
+    # What is told of a file comes behind the sort: before it, it would be shuffled, and computed once more for the sample of the ranges.
+    rows = rows.orderBy(F.col("modified_ms").desc(), "path").withColumn("below_root", below(F.col("path"), F.col("root")))
     rows = rows.withColumn("location", P.storage_location(F.col("kind"), F.col("below_root"))).withColumns(P.video_metadata(F.col("path")))
     rows = rows.withColumn("folder", P.location_flag(F.col("location"), 0)).withColumn("modified", P.file_time(F.col("modified_ms")))
     shown = P.location_flag(F.col("location"), 1)
     rows = rows.withColumn("can_preview", (F.col("size") > 0) & shown).withColumn("can_analyse", (F.col("size") > 0) & P.location_flag(F.col("location"), 2))
     issue = F.when(F.col("size") <= 0, P.EMPTY_FILE).when(~shown, P.NOT_COMPLETE)
-    return rows.withColumn("issue", issue).orderBy(F.col("modified_ms").desc(), "path")
+    return rows.withColumn("issue", issue)
 
 
 def preview_answers(requests: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
