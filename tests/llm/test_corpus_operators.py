@@ -323,6 +323,13 @@ def test_exact_topk_ranks_repeated_queries_row_by_row(spark):
     assert found == sorted([*up, *up, *[(3, k + 1, i, -64 * 64 * i) for k, i in enumerate([0, 1, 2, 4])]])
 
 
+def test_exact_topk_never_broadcasts_blocks(spark):
+    """Blocks of queries stand once for each slice, of which Spark's estimate of their small file knows nothing; their copies would go through the driver."""
+    frame = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(60)], "vec_id long, embedding array<float>")
+    plan = exact_topk.top_k(frame, frame.where("vec_id % 20 = 0"), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 def test_exact_topk_with_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in exact_topk.top_k(frame, frame.where("vec_id = 0"), 20).collect()] == [(0, 1, 1, 0)]

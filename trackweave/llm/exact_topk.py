@@ -83,11 +83,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     asked = cut(_pack(_whole(queries, id_col, vector, scale), QUERY_BLOCK).withColumn("block", F.monotonically_increasing_id()), "topk-queries")
     n_blocks = data.count()
     slices = max(1, -(-n_blocks // SLICE))
-    dealt = data.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices).cast("long")))
-    wanted = asked.select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
-    met = dealt.join(wanted, ["dim", "slice"]).select("dim", "block", "ids", "data", "q_ids", "q_data")
+    # Spark's estimate of blocks is that of their compressed files and knows nothing of the copies for each slice, so joins are never left to broadcast them.
+    dealt = data.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices).cast("long"))).select("dim", "slice", "ids", "data")
+    each_slice = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice")
+
     def met_with(ranges: DataFrame) -> DataFrame:
-        return met.join(ranges.select("block", "lows"), "block")
+        """Every block of queries, with its ranges, beside every block of data; of a slice only the data are held."""
+        wanted = asked.join(ranges.select("block", "lows").hint("merge"), "block").select("dim", "block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "lows", each_slice)
+        return wanted.join(dealt.hint("merge"), ["dim", "slice"]).select("dim", "block", "ids", "data", "q_ids", "q_data", "lows")
 
     def each(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in rows:
