@@ -106,6 +106,21 @@ def test_suffix_dedup_matches_brute_force(docs, none, monkeypatch, hot):
         assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 300])
+def test_suffix_dedup_broadcasts_no_table(docs, monkeypatch, hot):
+    """Tables that grow with the corpus look small by their compressed files; none may go through the driver."""
+    plans, cut = [], suffix_dedup.cut
+
+    def told(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    monkeypatch.setattr(suffix_dedup, "cut", told)
+    plans.append(suffix_dedup.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_suffix_dedup_cuts_long_texts_into_parts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
     rng = random.Random(3)
