@@ -166,3 +166,33 @@ def test_door_states_don_t_depend_on_how_sessions_are_cut(spark):
     assert set(told[0]) ^ set(told[1]) == set() and len(told[0]) == len(rows)
     seconds = lambda name: max(r[name] for r in smart_stop.door_states(frames, cfg, 8).collect())
     assert seconds("moving_s") > 1.0 and seconds("idle_s") > 2.0  # longer than a stretch
+
+
+def test_frames_of_messages_are_read_once_and_packed_by_stretch(spark):
+    """Two sessions whose frames come in any order, with a frame without a time and one that stops; the frames go through one shuffle, later passes move a value a stretch."""
+    from trackweave.operators import messages
+
+    rng, rows = random.Random(2), []
+    for session in ("a", "b"):
+        rows += [(session, k, None if k == 41 else k * 50 + rng.randrange(30), k == 97, k % 3) for k in range(-20, 300) if k % 37]
+    rows += [(None, 5, 7, False, 1), ("a", None, 9, False, 1)]
+    rng.shuffle(rows)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    schema = "session_id string, frame_index int, at_ms long, stopped boolean, visible int"
+    frames = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    found = {(r.session_id, r.frame_index): (r.at_ms, r.stopped, r.visible, r.sent) for r in messages.emitted(frames, 120, stretch=16, fan=3).collect()}
+    wanted = {}
+    for session in ("a", "b"):
+        last, known = None, False
+        for _, k, at, stopped, visible in sorted((r for r in rows if r[0] == session and r[1] is not None), key=lambda r: r[1]):
+            sent = at is None or not known or stopped or at - last >= 120
+            wanted[session, k] = (at, stopped, visible, sent)
+            if sent:
+                last, known = at, at is not None
+    assert found == wanted and read.value == len(rows)

@@ -64,13 +64,13 @@ class Throttle:
         leaves = lambda f: int(at[end[f]]) if known[end[f]] else None
         until = int(np.argmax(fixed)) if fixed.any() else n
         highest = np.maximum.accumulate(at[:until])
-        first = [] if not until else [0, *(np.flatnonzero(highest[1:] > highest[:-1]) + 1).tolist()]
         bound = rows.column("bound")[0].as_py()
-        if bound is not None:
-            enough = [f for f in first if at[f] >= bound + self.every]
-            first = [f for f in first if not enough or f <= enough[0]]
-        else:
-            first = []
+        first: list[int] = []
+        if until and bound is not None:
+            # A first that is late enough for the latest time before is for all, and the list ends with it.
+            late = int(np.searchsorted(highest, bound + self.every, "left"))
+            head = highest[: late + 1]
+            first = [0, *(np.flatnonzero(head[1:] > head[:-1]) + 1).tolist()]
         way = {"none": leaves(0), "by": [[int(at[f]), leaves(f)] for f in first]}
         return way | ({"rest": leaves(until)} if until < n else {})
 
@@ -103,11 +103,10 @@ def emitted(frames: DataFrame, every_ms: int = EMIT_EVERY_MS, stretch: int = sca
     """Adds whether a frame (session_id, frame_index, at_ms, stopped) is sent: the first, each that comes ``every_ms`` or more after the last sent, and those that stop the session.
 
     When a frame is sent depends on the one before, so it is a fold over each session's clock; it runs as a scan over stretches of frames. A frame without
-    a time is sent, and so is the one behind it. ``frames`` is read several times. All its columns go through the scan, so that nothing is joined to them afterwards.
+    a time is sent, and so is the one behind it. ``frames`` is read once. All its columns go through the scan, so that nothing is joined to them afterwards.
     """
     also = tuple(c for c in frames.columns if c not in ("session_id", "frame_index"))
-    rows = scan.before_stretch(scan.with_stretch(frames, "frame_index", stretch), ["session_id"], {"bound": F.col("at_ms")})
-    sent = scan.scanned(rows, ["session_id"], ["frame_index"], Throttle(every_ms), fan, also)
+    sent = scan.scanned_packed(scan.with_stretch(frames, "frame_index", stretch), ["session_id"], "frame_index", Throttle(every_ms), "at_ms", fan, also)
     return sent.select("session_id", "frame_index", *also, "sent")
 
 

@@ -16,9 +16,11 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..lineage import cut
 
@@ -174,6 +176,92 @@ def scanned(rows: DataFrame, keys: list[str], order: list[str], machine: Machine
     return _by_run(joined, [*keys, "_stretch"], order, lambda r: machine.replay(r, json.loads(r.column("state")[0].as_py())), _schema(rows, [*keys, *also, *order], machine.out))
 
 
+#: Bytes of an Arrow batch of packed stretches, and stretches that are written at a time.
+BATCH_BYTES, PACKED = 1 << 20, 16
+
+
+def packed(rows: DataFrame, keys: list[str], order: str, most: dict[str, str]) -> DataFrame:
+    """(keys, _stretch, the greatest value of each column of ``most`` under its new name, rows): the rows of each stretch by ``order``, a whole number, as one compressed value, in a table of the shared folder.
+
+    Rows are shuffled and sorted this once, by a single number, which Spark does by radix; each further pass of a scan moves a value a stretch.
+    """
+    spark = rows.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    by = [*keys, "_stretch"]
+    body = [c for c in rows.columns if c not in by]
+    out = T.StructType([*(rows.schema[k] for k in by), *(T.StructField(n, rows.schema[c].dataType) for n, c in most.items()), T.StructField("rows", T.BinaryType())])
+
+    def one(part: pa.Table) -> list:
+        at = part.column(order).to_numpy()
+        part = part if (at[1:] >= at[:-1]).all() else part.take(np.argsort(at, kind="stable"))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.select(body).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(part.select(body).combine_chunks())
+        return [*(part.column(k)[0] for k in by), *(pc.max(part.column(c)) for c in most.values()), pa.scalar(sink.getvalue().to_pybytes(), pa.binary())]
+
+    def batch(held: list[list], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in column], kind) for column, kind in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, held = to_arrow_schema(out), []
+        for found in _runs(batches, ["_run"]):
+            for part in _apart(found, by):
+                held.append(one(part))
+                if len(held) == PACKED:
+                    yield batch(held, schema)
+                    held = []
+        if held:
+            yield batch(held, schema)
+
+    numbered = rows.dropna(subset=by).withColumn("_run", F.xxhash64(*by))
+    return cut(numbered.repartition("_run").sortWithinPartitions("_run").mapInArrow(run, out), "scan-rows")
+
+
+def _apart(rows: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key of a run; more than one only where different keys have one number."""
+    differ = [k for k in keys if len(pc.unique(rows.column(k))) > 1]
+    if not differ:
+        yield rows
+        return
+    for value in pc.unique(rows.column(differ[0])).to_pylist():
+        yield from _apart(rows.filter(pc.equal(rows.column(differ[0]), pa.scalar(value, rows.schema.field(differ[0]).type))), keys)
+
+
+def _each_packed(table: DataFrame, keys: list[str], more: str, f: Callable[[pa.Table, Any], list[pa.Array]], out: T.StructType) -> DataFrame:
+    """``f`` over the rows of each stretch, with the value of the column ``more`` beside them; it gives the columns behind the first of ``out``, which are keys or columns of the rows."""
+    names = [x.name for x in out.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                rows = pa.ipc.open_stream(batch.column("rows")[i].as_buffer()).read_all().combine_chunks()
+                columns = f(rows, batch.column(more)[i].as_py())
+                n = len(columns[0])
+                first = [pa.repeat(batch.column(k)[i], n) if k in keys else rows.column(k).combine_chunks() for k in names[: len(names) - len(columns)]]
+                if n:
+                    yield pa.RecordBatch.from_arrays([*first, *columns], names)
+
+    return table.mapInArrow(run, out)
+
+
+def scanned_packed(rows: DataFrame, keys: list[str], order: str, machine: Machine, bound: str, fan: int = FAN, also: tuple[str, ...] = ()) -> DataFrame:
+    """As ``scanned`` over rows with stretches, for a machine whose summary also reads as ``bound`` the greatest value of that column in all earlier stretches; rows are shuffled once."""
+    by = [*keys, "_stretch"]
+    held = packed(rows, keys, order, {"_most": bound})
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut(held.select(*by, F.max("_most").over(earlier).alias("bound")), "scan-ends")
+    # By sorting: what Spark knows of a written table is the size of its compressed file, and these grow with the rows.
+    bounded = held.join(ends.hint("merge"), by, "left")
+
+    def summary(part: pa.Table, most: Any) -> list[pa.Array]:
+        return [pa.array([json.dumps(machine.summary(part.append_column("bound", pa.repeat(pa.scalar(most, part.schema.field(bound).type), len(part)))))])]
+
+    ways = cut(_each_packed(bounded, by, "bound", summary, _schema(rows, by, "way string")), "scan-maps")
+    states = entries(ways, keys, machine, fan)
+    return _each_packed(bounded.join(states.hint("merge"), by, "left"), by, "state", lambda part, state: machine.replay(part, json.loads(state)), _schema(rows, [*keys, *also, order], machine.out))
+
+
 class Automaton:
     """A machine of finitely many states: ``step(state, symbol)`` gives the next state and what is counted on the way.
 
