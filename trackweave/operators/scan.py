@@ -90,13 +90,6 @@ def with_stretch(df: DataFrame, by: str, size: int = STRETCH) -> DataFrame:
     return df.withColumn("_stretch", F.floor(F.col(by) / size).cast("long"))
 
 
-def before_stretch(rows: DataFrame, keys: list[str], most: dict[str, F.Column]) -> DataFrame:
-    """Adds to rows with stretches the greatest values of ``most`` over all earlier stretches of their keys: small windows over a row a stretch."""
-    ends = rows.groupBy(*keys, "_stretch").agg(*[F.max(c).alias(n) for n, c in most.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    return by_stretch(rows, cut(ends.select(*keys, "_stretch", *[F.max(n).over(earlier).alias(n) for n in most]), "scan-ends"), keys)
-
-
 def by_stretch(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
     """Adds to rows what a written table holds of their stretch, all of which it has. As a left join, so that only that table is ever broadcast:
     Spark's estimate of rows knows nothing of what was exploded or compressed, and may be a hundredth of their size."""
